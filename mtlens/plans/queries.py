@@ -382,3 +382,109 @@ from c""")
 def q_class_weights(spark, sf_dir):
     p = fx.pairs(spark, sf_dir).select(R.encode_label("label")["y_para"].alias("y"))
     return round_doubles(R.class_weights(p, "y"))
+
+
+# ---------------------------------------------------------------- n-gram metrics
+from ..operators import ngram as NG  # noqa: E402
+
+
+def _metric_query(col: str, **kw):
+    def run(spark, sf_dir):
+        p = fx.pairs(spark, sf_dir).select("row_id", "ref", "mt")
+        return NG.sentence_metrics(p, "row_id", "mt", "ref", **kw).select("row_id", col)
+
+    return run
+
+
+register("sentence_bleu", f"""with {S.FX_PAIRS}, {S.ngram_stats_sql('fx_pairs', 'row_id', 'mt', 'ref', 'b')}
+select k as row_id, {S.bleu_sql()} as BLEU from st""")(_metric_query("BLEU", bleu="BLEU", chrf=None, chrfpp=None))
+register("sentence_chrf", f"""with {S.FX_PAIRS}, {S.ngram_stats_sql('fx_pairs', 'row_id', 'mt', 'ref', 'c')}
+select k as row_id, {S.chrf_sql(0)} as ChrF from st""")(_metric_query("ChrF", bleu=None, chrf="ChrF", chrfpp=None))
+register("sentence_chrfpp", f"""with {S.FX_PAIRS}, {S.ngram_stats_sql('fx_pairs', 'row_id', 'mt', 'ref', 'cw')}
+select k as row_id, {S.chrf_sql(2)} as "ChrF++" from st""")(_metric_query("ChrF++", bleu=None, chrf=None, chrfpp="ChrF++"))
+
+
+# ---------------------------------------------------------------- correlation
+from ..operators import corr as C  # noqa: E402
+
+SC_METRICS = ("m_disc", "m_tax", "m_qty")
+
+
+def _kendall_cells_sql(src: str, g: str, x: str, y: str) -> str:
+    """CTEs ending in ``kt(g, kendall_tau, n)``: tau-b by a self join on weighted cells."""
+    return f"""kc as (select {g} as g, {x} as x, {y} as y, count(*) as w from {src}
+         where {x} is not null and {y} is not null and not isnan({x}) and not isnan({y}) group by all),
+kd as (select a.g, sum(cast(a.w as hugeint) * b.w) as d from kc a join kc b on a.g = b.g and a.x < b.x and a.y > b.y group by a.g),
+k1 as (select g, sum(cast(t as hugeint) * (t - 1) / 2) as n1, count(*) as nx from (select g, x, sum(w) as t from kc group by all) group by g),
+k2 as (select g, sum(cast(t as hugeint) * (t - 1) / 2) as n2, count(*) as ny from (select g, y, sum(w) as t from kc group by all) group by g),
+k3 as (select g, sum(w) as n, sum(cast(w as hugeint) * (w - 1) / 2) as n3 from kc group by g),
+kt as (select g, case when n >= 2 and nx > 1 and ny > 1 then
+   greatest(-1.0, least(1.0, cast(cast(n as hugeint) * (n - 1) / 2 - n1 - n2 + n3 - 2 * coalesce(d, 0) as double)
+     / sqrt(cast(cast(n as hugeint) * (n - 1) / 2 - n1 as double) * cast(cast(n as hugeint) * (n - 1) / 2 - n2 as double)))) end
+   as kendall_tau, n
+   from k3 join k1 using (g) join k2 using (g) left join kd using (g))"""
+
+
+def _long_sql_scores(src: str, metrics, human: str, extra: str = "") -> str:
+    parts = [f"select {extra}'{m}' as metric, cast({m} as double) as x, cast({human} as double) as y from {src}" for m in metrics]
+    return "ln as (" + " union all ".join(parts) + ")"
+
+
+def _corr_sql(src: str, metrics, human: str, digits: int) -> str:
+    """CTEs ending in ``cr(metric, pearson, kendall_tau, n)``."""
+    return f"""{_long_sql_scores(src, metrics, human)},
+pr as (select metric, {S.pearson_sql('x', 'y')} as pearson,
+       cast(count(*) filter (where x is not null and y is not null) as bigint) as n from ln group by metric),
+{_kendall_cells_sql('ln', 'metric', 'x', 'y')},
+cr as (select pr.metric, round(pr.pearson, {digits}) as pearson,
+       case when pr.pearson is not null then round(kt.kendall_tau, {digits}) end as kendall_tau, pr.n
+       from pr left join kt on kt.g = pr.metric)"""
+
+
+@register("pearson", f"""with {S.FX_SCORES}, {_long_sql_scores('fx_scores', SC_METRICS, 'human_score')}
+select metric, round({S.pearson_sql('x', 'y')}, 6) as pearson,
+  cast(count(*) filter (where x is not null and y is not null) as bigint) as n from ln group by metric""")
+def q_pearson(spark, sf_dir):
+    from ..operators.stats import pair_count, safe_pearson
+
+    lg = C.long_pairs(fx.scores(spark, sf_dir), SC_METRICS, "human_score")
+    return round_doubles(lg.groupBy("metric").agg(safe_pearson("x", "y").alias("pearson"),
+                                                  pair_count("x", "y").cast("bigint").alias("n")))
+
+
+@register("kendall_tau_b", f"""with {S.FX_EVENTS}, {_kendall_cells_sql('fx_events', 'model', 'x', 'y')}
+select g as model, round(kendall_tau, 6) as kendall_tau, cast(n as bigint) as n from kt""")
+def q_kendall(spark, sf_dir):
+    return round_doubles(C.kendall_tau_b(fx.events(spark, sf_dir), "x", "y", ["model"]))
+
+
+@register("segment_corr", f"""with {S.FX_SCORES}, {_corr_sql('fx_scores', SC_METRICS, 'human_score', 3)}
+select metric, pearson, kendall_tau, n from cr""")
+def q_segment_corr(spark, sf_dir):
+    return round_doubles(C.segment_corr(fx.scores(spark, sf_dir), SC_METRICS, "human_score"))
+
+
+@register("system_means", f"""with {S.FX_SCORES}
+select model, round(avg(m_disc), 6) as m_disc, round(avg(m_tax), 6) as m_tax, round(avg(m_qty), 6) as m_qty,
+  round(avg(human_score), 6) as human_score from fx_scores where model is not null group by model""")
+def q_system_means(spark, sf_dir):
+    return round_doubles(C.system_means(fx.scores(spark, sf_dir), SC_METRICS, "human_score"))
+
+
+_SYS_MEANS_SQL = """sm as (select model, avg(m_disc) as m_disc, avg(m_tax) as m_tax, avg(m_qty) as m_qty,
+  avg(human_score) as human_score from fx_scores where model is not null group by model)"""
+
+
+@register("system_corr", f"""with {S.FX_SCORES}, {_SYS_MEANS_SQL}, {_corr_sql('sm', SC_METRICS, 'human_score', 3)}
+select metric, pearson, kendall_tau, n from cr""")
+def q_system_corr(spark, sf_dir):
+    return round_doubles(C.system_corr(fx.scores(spark, sf_dir), SC_METRICS, "human_score"))
+
+
+@register("corr_table", f"""with {S.FX_SCORES}, {_SYS_MEANS_SQL},
+seg as (select * from (with {_corr_sql('fx_scores', SC_METRICS, 'human_score', 4)} select * from cr)),
+sys as (select * from (with {_corr_sql('sm', SC_METRICS, 'human_score', 4)} select * from cr))
+select 'segment' as level, metric, 'human_score' as human, n, pearson, kendall_tau from seg
+union all select 'system', metric, 'human_score', n, pearson, kendall_tau from sys""")
+def q_corr_table(spark, sf_dir):
+    return round_doubles(C.corr_table(fx.scores(spark, sf_dir), SC_METRICS, "human_score"))

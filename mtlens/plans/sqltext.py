@@ -153,3 +153,80 @@ def pearson_sql(x: str, y: str) -> str:
 SIMILAR = str_list(SIMILAR_CATEGORIES)
 NEG_C = NEG_CONTRA
 NEG_P = NEG_PARA
+
+
+# ---------------------------------------------------------------- n-gram metrics
+P13A = r"[\x{20}-\x{26}\x{28}-\x{2B}\x{2F}\x{3A}-\x{40}\x{5B}-\x{60}\x{7B}-\x{7E}]"
+PUNCT = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+
+
+def tok13a(x: str) -> str:
+    s = f"replace(replace(replace({x}, '<skipped>', ''), '-' || chr(10), ''), chr(10), ' ')"
+    s = f"replace(replace(replace(replace({s}, '&quot;', '\"'), '&amp;', '&'), '&lt;', '<'), '&gt;', '>')"
+    s = f"regexp_replace({s}, '({P13A})', ' \\1 ', 'g')"
+    s = f"regexp_replace({s}, '([^0-9])([.,])', '\\1 \\2 ', 'g')"
+    s = f"regexp_replace({s}, '([.,])([^0-9])', ' \\1 \\2', 'g')"
+    s = f"regexp_replace({s}, '([0-9])(-)', '\\1 \\2 ', 'g')"
+    return tokens_ws(s)
+
+
+def chrf_words(x: str) -> str:
+    pl = str_list(list(PUNCT))
+    return (f"flatten(list_transform({tokens_ws(x)}, lambda w: case when length(w) = 1 then [w] "
+            f"when list_contains({pl}, right(w, 1)) then [left(w, length(w) - 1), right(w, 1)] "
+            f"when list_contains({pl}, left(w, 1)) then [left(w, 1), substring(w, 2)] else [w] end))")
+
+
+def ngram_stats_sql(src: str, key: str, hyp: str, ref: str, kinds: str) -> str:
+    """CTEs ending in ``st``: one row per key with {kind}{n}_{h,r,m} columns."""
+    nows = lambda x: f"regexp_replace({x}, '{WS}+', '', 'g')"
+    toks = (f"tk as (select {key} as k, {tok13a(hyp)} as hb, {tok13a(ref)} as rb, {nows(hyp)} as hc, {nows(ref)} as rc, "
+            f"{chrf_words(hyp)} as hw, {chrf_words(ref)} as rw from {src})")
+    parts = []
+    spec = {"b": (4, "hb", "rb", "w"), "c": (6, "hc", "rc", "c"), "w": (2, "hw", "rw", "w")}
+    for kind in kinds:
+        top, h, r, typ = spec[kind]
+        for side, col in ((0, h), (1, r)):
+            if typ == "w":
+                expr = f"list_transform(generate_series(1, len({col}) - o.n + 1), lambda i: array_to_string({col}[i:i + o.n - 1], ' '))"
+            else:
+                expr = f"list_transform(generate_series(1, length({col}) - o.n + 1), lambda i: substring({col}, i, o.n))"
+            parts.append(f"select k, '{kind}' as kind, o.n, {side} as side, unnest({expr}) as gram "
+                         f"from tk, (select unnest(generate_series(1, {top})) as n) o")
+    grams = "gr as (" + " union all ".join(parts) + ")"
+    cnt = ("gc as (select k, kind, n, gram, count(*) filter (where side = 0) as hc, "
+           "count(*) filter (where side = 1) as rc from gr group by all)")
+    ordc = "go as (select k, kind, n, sum(hc) as h, sum(rc) as r, sum(least(hc, rc)) as m from gc group by all)"
+    cols = []
+    for kind in kinds:
+        top = spec[kind][0]
+        for n in range(1, top + 1):
+            for s in ("h", "r", "m"):
+                cols.append(f"cast(coalesce(sum({s}) filter (where kind = '{kind}' and n = {n}), 0) as bigint) as {kind}{n}_{s}")
+    st = f"st as (select t.k, {', '.join(cols)} from tk t left join go using (k) group by t.k)"
+    return ",\n".join([toks, grams, cnt, ordc, st])
+
+
+def bleu_sql() -> str:
+    eff = "least(4, b1_h)"
+    terms, zeros = [], "0"
+    for n in range(1, 5):
+        zeros = f"({zeros} + case when b{n}_m = 0 and b{n}_h > 0 then 1 else 0 end)"
+        p = (f"case when b{n}_m = 0 then 100.0 / (pow(2.0, {zeros}) * b{n}_h) "
+             f"else 100.0 * b{n}_m / b{n}_h end")
+        terms.append(f"case when {n} <= {eff} then ln({p}) else 0.0 end")
+    bp = "case when b1_h >= b1_r then 1.0 when b1_h > 0 then exp(1.0 - b1_r / b1_h) else 0.0 end"
+    score = (f"case when b1_m + b2_m + b3_m + b4_m > 0 and {eff} > 0 then {bp} * exp(({' + '.join(terms)}) / {eff}) "
+             f"else 0.0 end")
+    return f"round({score} / 100.0, 4)"
+
+
+def chrf_sql(word_order: int = 0) -> str:
+    names = [f"c{n}" for n in range(1, 7)] + [f"w{n}" for n in range(1, word_order + 1)]
+    both = {p: f"({p}_h > 0 and {p}_r > 0)" for p in names}
+    sp = " + ".join(f"case when {both[p]} then {p}_m / {p}_h else 0.0 end" for p in names)
+    sr = " + ".join(f"case when {both[p]} then {p}_m / {p}_r else 0.0 end" for p in names)
+    k = " + ".join(f"case when {both[p]} then 1 else 0 end" for p in names)
+    ap = f"(case when ({k}) > 0 then ({sp}) / ({k}) else 0.0 end)"
+    ar = f"(case when ({k}) > 0 then ({sr}) / ({k}) else 0.0 end)"
+    return f"round(case when {ap} + {ar} > 0 then 5.0 * {ap} * {ar} / (4.0 * {ap} + {ar}) else 0.0 end, 4)"
