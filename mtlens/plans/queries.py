@@ -488,3 +488,198 @@ select 'segment' as level, metric, 'human_score' as human, n, pearson, kendall_t
 union all select 'system', metric, 'human_score', n, pearson, kendall_tau from sys""")
 def q_corr_table(spark, sf_dir):
     return round_doubles(C.corr_table(fx.scores(spark, sf_dir), SC_METRICS, "human_score"))
+
+
+# ---------------------------------------------------------------- pair features
+from ..operators import corpus as CO  # noqa: E402
+from ..operators import features as FE  # noqa: E402
+from ..operators import folds as FO  # noqa: E402
+from ..operators import learn as LE  # noqa: E402
+from ..operators import sets as SE  # noqa: E402
+from ..operators import vectors as VE  # noqa: E402
+from ..sources import io as IO  # noqa: E402
+
+
+def _ints(c: Column) -> Column:
+    return F.array_join(F.transform(c, lambda x: x.cast("string")), " ")
+
+
+OVERLAP_SQL = f"""with {S.FX_PAIRS},
+tk as (select row_id, {S.tokens_word('mt')} as t1, {S.tokens_word('ref')} as t2 from fx_pairs),
+cm as (select *, list_distinct(list_filter(t1, lambda t: list_contains(t2, t))) as common from tk),
+ov as (select row_id, t1, t2, common,
+  list_filter(list_transform(generate_series(1, len(t1)), lambda i: case when list_contains(common, t1[i]) then i - 1 else -1 end), lambda x: x >= 0) as pos1,
+  list_filter(list_transform(generate_series(1, len(t2)), lambda i: case when list_contains(common, t2[i]) then i - 1 else -1 end), lambda x: x >= 0) as pos2,
+  list_filter(t1, lambda t: not list_contains(common, t)) as un1,
+  list_filter(t2, lambda t: not list_contains(common, t)) as un2 from cm)"""
+
+
+@register("token_overlap", OVERLAP_SQL + """
+select row_id, cast(len(common) as bigint) as n_common, array_to_string(pos1, ' ') as pos1, array_to_string(pos2, ' ') as pos2,
+  array_to_string(un1, ' ') as un1, array_to_string(un2, ' ') as un2 from ov""")
+def q_token_overlap(spark, sf_dir):
+    p = fx.pairs(spark, sf_dir).select("row_id", T.tokens_word("mt").alias("t1"), T.tokens_word("ref").alias("t2"))
+    o = FE.token_overlap(p, "t1", "t2")
+    return o.select("row_id", F.size("common").cast("bigint").alias("n_common"), _ints(F.col("pos1")).alias("pos1"),
+                    _ints(F.col("pos2")).alias("pos2"), F.array_join("un1", " ").alias("un1"),
+                    F.array_join("un2", " ").alias("un2"))
+
+
+@register("contra_features", OVERLAP_SQL + f"""
+select row_id, cast(({S.neg_count('t1')} + {S.neg_count('t2')}) % 2 as double) as f_neg,
+  round(case when len(pos1) > 0 and len(pos1) = len(pos2) then
+     list_sum(list_transform(generate_series(1, len(pos1)), lambda i: abs(pos1[i] - pos2[i]))) / len(pos1) else 0.0 end, 6) as f_wod,
+  round((len(un1) + len(un2)) / 2.0, 6) as f_unaligned from ov""")
+def q_contra_features(spark, sf_dir):
+    p = FE.contra_features(fx.pairs(spark, sf_dir), negations=fx.FX_NEG)
+    f = F.col("contra_f")
+    return round_doubles(p.select("row_id", f[0].alias("f_neg"), f[1].alias("f_wod"), f[2].alias("f_unaligned")))
+
+
+@register("para_features", f"""with {S.FX_PAIRS}, {S.FX_LEX},
+tk as (select row_id, {S.tokens_ws('mt')} as t1, {S.tokens_ws('ref')} as t2 from fx_pairs),
+am as (select word, list(antonym) as antos from fx_lex group by word),
+j as (select row_id, t1, t2, array_to_string(t1, ' ') as j1, array_to_string(t2, ' ') as j2 from tk),
+an as (select u.row_id, count(*) as hits from (select row_id, t2, unnest(t1) as w from j) u
+       join am on am.word = u.w where len(list_filter(am.antos, lambda a: list_contains(u.t2, a))) > 0 group by u.row_id)
+select j.row_id,
+  round(len(list_distinct(list_filter(t1, lambda t: list_contains(t2, t)))) / greatest(len(t1), len(t2), 1), 6) as overlap,
+  round(1.0 - levenshtein(j1, j2) / greatest(length(j1), length(j2), 1), 6) as ed_sim,
+  cast((len(list_filter(t1, lambda t: list_contains({S.str_list(fx.FX_NEG)}, t))) > 0)
+       <> (len(list_filter(t2, lambda t: list_contains({S.str_list(fx.FX_NEG)}, t))) > 0) as double) as neg_diff,
+  round(coalesce(an.hits, 0) / greatest(len(t1), 1), 6) as ant_ratio
+from j left join an using (row_id)""")
+def q_para_features(spark, sf_dir):
+    p = FE.para_features(fx.pairs(spark, sf_dir), fx_lexicon(spark), negations=fx.FX_NEG)
+    f = F.col("para_f")
+    return round_doubles(p.select("row_id", f[0].alias("overlap"), f[1].alias("ed_sim"), f[2].alias("neg_diff"),
+                                  f[3].alias("ant_ratio")))
+
+
+@register("score_with_model", f"""with {S.FX_PAIRS}
+select row_id, round(greatest(0.0, least(1.0,
+  len(list_distinct(list_filter(list_distinct({S.tokens_ws('mt')}), lambda t: list_contains({S.tokens_ws('ref')}, t))))
+  / greatest(len(list_distinct({S.tokens_ws('mt')})), len(list_distinct({S.tokens_ws('ref')})), 1))), 4) as score from fx_pairs""")
+def q_score_with_model(spark, sf_dir):
+    p = fx.pairs(spark, sf_dir)
+    return p.select("row_id", LE.score_with_model(LE.overlap_scorer, "mt", "ref").alias("score"))
+
+
+# ---------------------------------------------------------------- corpus / vocabulary
+
+def corpus(spark, sf_dir) -> DataFrame:
+    lp = fx.line_pairs(spark, sf_dir)
+    return lp.select((F.col("doc_id") * fx.ROW_STRIDE + F.col("i")).alias("pair_id"),
+                     F.col("ref").alias("s1"), F.col("mt").alias("s2"))
+
+
+CLEAN_SQL = f"""{S.FX_CORPUS},
+ln as (select pair_id, s1 || chr(9) || s2 as line from fx_corpus),
+cl as (select pair_id, string_split({S.strip('line')}, chr(9)) as parts, line from ln
+       where {S.strip('line')} <> '' and len(string_split({S.strip('line')}, chr(9))) >= 2),
+cp as (select pair_id, {S.strip('parts[1]')} as s1, {S.strip('parts[2]')} as s2 from cl),
+pp as (select pair_id, s1, s2 from cp where len({S.tokens_ws('s1')}) <= 7 and len({S.tokens_ws('s2')}) <= 7)"""
+
+
+@register("length_filter", f"""with {S.FX_CORPUS}
+select pair_id, s1, s2 from fx_corpus where len({S.tokens_ws('s1')}) <= 7 and len({S.tokens_ws('s2')}) <= 7""")
+def q_length_filter(spark, sf_dir):
+    return CO.length_filter(corpus(spark, sf_dir))
+
+
+@register("paraphrase_pairs", f"with {CLEAN_SQL}\nselect pair_id, s1, s2, 1 as label from pp")
+def q_paraphrase_pairs(spark, sf_dir):
+    return CO.paraphrase_pairs(CO.pair_lines(corpus(spark, sf_dir))).select(
+        "pair_id", "s1", "s2", F.col("label").cast("int").alias("label"))
+
+
+@register("contradiction_pairs", f"""with {CLEAN_SQL}, {S.FX_LEX},
+best as (select word, min(antonym) as ant from fx_lex group by word),
+tk as (select pair_id, {S.tokens_ws('s1')} as a, {S.tokens_ws('s2')} as b from pp),
+lx as (select list(word) as ws from best),
+ix as (select tk.*,
+  list_position(list_transform(a, lambda t: list_contains(lx.ws, lower(t))), true) as ia,
+  list_position(list_transform(b, lambda t: list_contains(lx.ws, lower(t))), true) as ib from tk, lx)
+select pair_id,
+  case when ia is not null then array_to_string(a[1:ia - 1] || [(select ant from best where word = lower(a[ia]))] || a[ia + 1:], ' ')
+       else array_to_string(b[1:ib - 1] || [(select ant from best where word = lower(b[ib]))] || b[ib + 1:], ' ') end as s1,
+  case when ia is not null then array_to_string(b, ' ') else array_to_string(a, ' ') end as s2,
+  0 as label
+from ix where ia is not null or ib is not null""")
+def q_contradiction_pairs(spark, sf_dir):
+    pp = CO.paraphrase_pairs(CO.pair_lines(corpus(spark, sf_dir)))
+    return CO.contradiction_pairs(pp, fx_lexicon(spark)).select(
+        "pair_id", "s1", "s2", F.col("label").cast("int").alias("label"))
+
+
+VOCAB_SQL = f"""{S.FX_CORPUS},
+words as (select distinct unnest({S.tokens_ws('s1')}) as word from fx_corpus
+          union select distinct unnest({S.tokens_ws('s2')}) from fx_corpus),
+vocab as (select '<PAD>' as word, 0 as idx union all select '<UNK>', 1
+          union all select word, cast(row_number() over (order by word) + 1 as bigint) from words)"""
+
+
+@register("build_vocab", f"with {VOCAB_SQL}\nselect word, cast(idx as bigint) as idx from vocab")
+def q_build_vocab(spark, sf_dir):
+    return CO.build_vocab(corpus(spark, sf_dir))
+
+
+@register("encode_tokens", OVERLAP_SQL + f""",
+words as (select distinct unnest({S.tokens_ws('ref')}) as word from fx_pairs
+          union select distinct unnest({S.tokens_ws('mt')}) from fx_pairs),
+vocab as (select '<PAD>' as word, 0 as idx union all select '<UNK>', 1
+          union all select word, cast(row_number() over (order by word) + 1 as bigint) from words),
+seqs as (select row_id, 't1' as seq, t1 as toks from ov union all select row_id, 't2', t2 from ov
+         union all select row_id, 'u1', un1 from ov union all select row_id, 'u2', un2 from ov),
+ex as (select row_id, seq, unnest(generate_series(1, least(len(toks), 70))) as pos, toks from seqs),
+en as (select ex.row_id, ex.seq, list(coalesce(v.idx, 1) order by ex.pos) as ids
+       from ex left join vocab v on v.word = ex.toks[ex.pos] group by ex.row_id, ex.seq),
+al as (select s.row_id, s.seq, coalesce(en.ids, []) as ids from seqs s left join en using (row_id, seq))
+select row_id, seq, array_to_string(list_concat(ids, list_transform(generate_series(1, 70 - len(ids)), lambda x: 0)), ' ') as ids
+from al""")
+def q_encode_tokens(spark, sf_dir):
+    vocab = CO.build_vocab(corpus(spark, sf_dir))
+    p = fx.pairs(spark, sf_dir).select("row_id", T.tokens_word("mt").alias("t1"), T.tokens_word("ref").alias("t2"))
+    o = FE.token_overlap(p, "t1", "t2")
+    enc = CO.encode_tokens(o, vocab, "row_id", {"t1": F.col("t1"), "t2": F.col("t2"), "u1": F.col("un1"),
+                                                "u2": F.col("un2")})
+    return enc.select("row_id", "seq", _ints(F.col("ids")).alias("ids"))
+
+
+# ---------------------------------------------------------------- vectors
+
+PIECES_SQL = """fx_pieces as (select 'w' || cast(vec_id // 5 as varchar) as word, cast(vec_id % 5 as integer) as pos,
+  embedding as vec from embeddings),
+pool as (select word, d.dim, avg(vec[d.dim]) as value from fx_pieces, (select unnest(generate_series(1, 64)) as dim) d
+  where pos > 0 and pos < 4 group by word, d.dim)"""
+
+
+@register("mean_pool", f"""with {PIECES_SQL}
+select word, cast(dim as bigint) as dim, round(value, 6) as value from pool""")
+def q_mean_pool(spark, sf_dir):
+    pooled = VE.mean_pool(fx.pieces(spark, sf_dir))
+    return round_doubles(pooled.select("word", F.posexplode("vec").alias("dim", "value")).select(
+        "word", (F.col("dim") + 1).cast("bigint").alias("dim"), "value"))
+
+
+@register("reduce_dims")
+def q_reduce_dims(spark, sf_dir):
+    pooled = VE.mean_pool(fx.pieces(spark, sf_dir))
+    red = VE.reduce_dims(pooled, 8)
+    return round_doubles(red.select("word", F.posexplode("vec_k").alias("dim", "value")))
+
+
+@register("embedding_table", f"""with {PIECES_SQL},
+vocab as (select '<PAD>' as word, 0 as idx union all select '<UNK>', 1
+          union all select word, row_number() over (order by word) + 1 from (select distinct word from fx_pieces)),
+unk as (select unnest(generate_series(1, 64)) as dim)
+select cast(0 as bigint) as idx, '<PAD>' as word, cast(dim as bigint) as dim, 0.0 as value from unk
+union all select 1, '<UNK>', dim, round((((1 + dim - 1) * 7919) % 10007) / 10006 * 0.5 - 0.25, 6) from unk
+union all select v.idx, v.word, p.dim, round(p.value, 6) from vocab v join pool p using (word)""")
+def q_embedding_table(spark, sf_dir):
+    pieces = fx.pieces(spark, sf_dir)
+    pooled = VE.mean_pool(pieces)
+    vocab = CO.build_vocab(pieces.select(F.col("word").alias("s1")), cols=("s1",))
+    tab = VE.embedding_table(vocab, pooled, 64)
+    return round_doubles(tab.select("idx", "word", F.posexplode("vec").alias("dim", "value")).select(
+        F.col("idx").cast("bigint").alias("idx"), "word", (F.col("dim") + 1).cast("bigint").alias("dim"), "value"))

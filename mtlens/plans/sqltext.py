@@ -230,3 +230,6 @@ def chrf_sql(word_order: int = 0) -> str:
     ap = f"(case when ({k}) > 0 then ({sp}) / ({k}) else 0.0 end)"
     ar = f"(case when ({k}) > 0 then ({sr}) / ({k}) else 0.0 end)"
     return f"round(case when {ap} + {ar} > 0 then 5.0 * {ap} * {ar} / (4.0 * {ap} + {ar}) else 0.0 end, 4)"
+
+FX_CORPUS = LINE_PAIRS + f""",
+fx_corpus as (select doc_id * {ROW_STRIDE} + i as pair_id, ref as s1, mt as s2 from lp)"""

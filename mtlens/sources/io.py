@@ -12,3 +12,86 @@ def require_columns(df: DataFrame, required: Iterable[str]) -> None:
     missing = [c for c in required if c not in df.columns]
     if missing:
         raise ValueError(f"DataFrame is missing required columns: {missing}")
+
+
+from pyspark.sql import SparkSession  # noqa: E402
+from pyspark.sql import functions as F  # noqa: E402
+from pyspark.sql.types import StringType, StructField, StructType  # noqa: E402
+
+from ..functions.text import strip  # noqa: E402
+
+SAMPLE_SCHEMA = StructType([StructField(c, StringType()) for c in ("src", "ref", "mt", "model", "category", "label")])
+HUMAN_FIELDS = ("src", "translation", "ref", "da_norm_score", "mqm_norm_score", "adequacy_score",
+                "fluency_score", "full_score", "Human_scores", "model", "system")
+HUMAN_SCORES = {"human_da": "da_norm_score", "human_mqm": "mqm_norm_score", "adequacy_score": "adequacy_score",
+                "fluency_score": "fluency_score", "full_score": "full_score", "human_scores": "Human_scores"}
+
+
+def scan_samples(spark: SparkSession, path: str, schema: StructType | None = None) -> DataFrame:
+    """Sample CSV with header; texts may hold quotes and newlines (multiLine files are not
+    splittable: convert large inputs to parquet once)."""
+    return (spark.read.schema(schema or SAMPLE_SCHEMA).option("header", True).option("multiLine", True)
+            .option("escape", '"').csv(path))
+
+
+def scan_human_jsonl(spark: SparkSession, path: str, extra: tuple[str, ...] = (), check: bool = True) -> DataFrame:
+    """Human-score JSONL: strings stripped, scores cast from numbers or numeric strings,
+    ``model`` falls back to ``system`` when missing or empty. Missing or bad required
+    values raise (one count) like the reference's parser."""
+    fields = [*HUMAN_FIELDS, *extra]
+    raw = spark.read.schema(StructType([StructField(f, StringType()) for f in fields])).json(path)
+    out = raw.select(
+        F.col("_metadata.file_name").alias("source_file"),
+        *[strip(F.col(c)).alias(n) for c, n in (("src", "src"), ("translation", "mt"), ("ref", "ref"))],
+        *[F.expr(f"try_cast({src} as double)").alias(n) for n, src in HUMAN_SCORES.items()],
+        F.coalesce(F.nullif(F.col("model"), F.lit("")), F.col("system")).alias("model"),
+        *[F.col(c) for c in extra],
+    )
+    if check:
+        bad = out.where(F.exists(F.array(*[F.col(c).isNull() for c in ("src", "mt", "ref", *HUMAN_SCORES)]),
+                                 lambda b: b)).count()
+        if bad:
+            raise ValueError(f"{bad} JSONL rows miss a required field or hold a non-numeric score")
+    return out
+
+
+def scan_pair_tsv(spark: SparkSession, path: str) -> DataFrame:
+    """(line_no-free) pairs from ``s1 \\t s2 [\\t ...]`` lines: blank, short and undecodable lines dropped."""
+    from ..operators.corpus import clean_pairs
+
+    lines = spark.read.text(path).withColumn("pair_id", F.monotonically_increasing_id())
+    return clean_pairs(lines, "value", "pair_id")
+
+
+def scan_labelled_tsv(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """(pairs, rejects): lines with exactly three tab parts become (s1, s2, label); the rest are rejects."""
+    lines = spark.read.text(path).select(strip(F.col("value")).alias("line"))
+    parts = F.split(F.col("line"), "\t", -1)
+    good = lines.where((F.col("line") != "") & (F.size(parts) == 3)).select(
+        parts[0].alias("s1"), parts[1].alias("s2"), parts[2].alias("label"))
+    rejects = lines.where(~((F.col("line") != "") & (F.size(parts) == 3)))
+    return good, rejects
+
+
+def write_results(df: DataFrame, path: str, fmt: str = "parquet", partition_by: tuple[str, ...] = (),
+                  mode: str = "overwrite") -> None:
+    """Write a result table (parquet, csv with header, or json lines)."""
+    w = df.write.mode(mode)
+    if partition_by:
+        w = w.partitionBy(*partition_by)
+    if fmt == "csv":
+        w.option("header", True).option("escape", '"').csv(path)
+    elif fmt == "json":
+        w.json(path)
+    else:
+        w.parquet(path)
+
+
+def scratch_dir(spark: SparkSession, name: str) -> str:
+    """A fresh folder under the reliable checkpoint directory (shared on a cluster)."""
+    import uuid
+
+    from ..session import ensure_checkpoint_dir
+
+    base = ensure_checkpoint_dir(spark).rstrip("/")
+    return f"{base}/mtlens-{name}-{uuid.uuid4().hex[:12]}"
