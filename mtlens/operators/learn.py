@@ -61,6 +61,7 @@ def train_pair_classifier(df: DataFrame, features: Sequence[str], label: str = "
     total = df.count()
     weighted = df.join(F.broadcast(counts), label).withColumn("__w", F.lit(float(total)) / F.col("__c"))
     vec = VectorAssembler(inputCols=list(features), outputCol="__f", handleInvalid="keep").transform(weighted)
+    vec = vec.persist()  # k fits and k predictions read the same features
     folds = [r[0] for r in vec.select(fold).distinct().collect()]
     parts = []
     for i in sorted(folds):

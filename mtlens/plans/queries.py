@@ -539,12 +539,15 @@ def q_contra_features(spark, sf_dir):
 @register("para_features", f"""with {S.FX_PAIRS}, {S.FX_LEX},
 tk as (select row_id, {S.tokens_ws('mt')} as t1, {S.tokens_ws('ref')} as t2 from fx_pairs),
 am as (select word, list(antonym) as antos from fx_lex group by word),
-j as (select row_id, t1, t2, array_to_string(t1, ' ') as j1, array_to_string(t2, ' ') as j2 from tk),
+j0 as (select row_id, t1, t2, array_to_string(t1, ' ') as j1, array_to_string(t2, ' ') as j2 from tk),
+j1 as (select *, list_distinct(regexp_extract_all(j1 || j2, '(?s).')) as al from j0),
+j as (select *, array_to_string(al, '') as al_from,
+        array_to_string(list_transform(generate_series(1, len(al)), lambda i: chr(cast(i as integer))), '') as al_to from j1),
 an as (select u.row_id, count(*) as hits from (select row_id, t2, unnest(t1) as w from j) u
        join am on am.word = u.w where len(list_filter(am.antos, lambda a: list_contains(u.t2, a))) > 0 group by u.row_id)
 select j.row_id,
   round(len(list_distinct(list_filter(t1, lambda t: list_contains(t2, t)))) / greatest(len(t1), len(t2), 1), 6) as overlap,
-  round(1.0 - levenshtein(j1, j2) / greatest(length(j1), length(j2), 1), 6) as ed_sim,
+  round(1.0 - levenshtein(translate(j1, al_from, al_to), translate(j2, al_from, al_to)) / greatest(length(j1), length(j2), 1), 6) as ed_sim,
   cast((len(list_filter(t1, lambda t: list_contains({S.str_list(fx.FX_NEG)}, t))) > 0)
        <> (len(list_filter(t2, lambda t: list_contains({S.str_list(fx.FX_NEG)}, t))) > 0) as double) as neg_diff,
   round(coalesce(an.hits, 0) / greatest(len(t1), 1), 6) as ant_ratio
@@ -683,3 +686,202 @@ def q_embedding_table(spark, sf_dir):
     tab = VE.embedding_table(vocab, pooled, 64)
     return round_doubles(tab.select("idx", "word", F.posexplode("vec").alias("dim", "value")).select(
         F.col("idx").cast("bigint").alias("idx"), "word", (F.col("dim") + 1).cast("bigint").alias("dim"), "value"))
+
+
+# ---------------------------------------------------------------- folds
+
+def folded(spark, sf_dir) -> DataFrame:
+    return FO.group_kfold(fx.pairs(spark, sf_dir), "src", 3)
+
+
+FOLDS_SQL = f"""{S.FX_PAIRS},
+gs as (select src, count(*) as sz from fx_pairs group by src),
+go as (select src, sz, row_number() over (order by sz desc, src) as rn from gs),
+walk as (
+  select 0::bigint as rn, -1 as f, 0::bigint as l0, 0::bigint as l1, 0::bigint as l2
+  union all
+  select w.rn + 1,
+    case when w.l0 <= w.l1 and w.l0 <= w.l2 then 0 when w.l1 <= w.l2 then 1 else 2 end,
+    w.l0 + case when w.l0 <= w.l1 and w.l0 <= w.l2 then g.sz else 0 end,
+    w.l1 + case when not (w.l0 <= w.l1 and w.l0 <= w.l2) and w.l1 <= w.l2 then g.sz else 0 end,
+    w.l2 + case when not (w.l0 <= w.l1 and w.l0 <= w.l2) and not (w.l1 <= w.l2) then g.sz else 0 end
+  from walk w join go g on g.rn = w.rn + 1),
+gf as (select g.src, w.f + 1 as fold from go g join walk w on w.rn = g.rn),
+fp as (select p.*, gf.fold from fx_pairs p join gf using (src))"""
+
+
+@register("group_kfold", f"with recursive {FOLDS_SQL}\nselect row_id, cast(fold as integer) as fold from fp")
+def q_group_kfold(spark, sf_dir):
+    return folded(spark, sf_dir).select("row_id", F.col("fold").cast("int").alias("fold"))
+
+
+@register("fold_split", f"""with recursive {FOLDS_SQL}
+select cast(s.k as integer) as split_fold, case when s.k = fp.fold then 'val' else 'train' end as role, fp.row_id
+from fp, (select unnest([1, 2, 3]) as k) s""")
+def q_fold_split(spark, sf_dir):
+    return FO.fold_split(folded(spark, sf_dir)).select(F.col("split_fold").cast("int").alias("split_fold"), "role", "row_id")
+
+
+@register("oof_scores", f"""with recursive {FOLDS_SQL},
+best as (select src, mt, ref, arg_max(d_para, fold * 10000000000000 + row_id) as oof_score from fp group by src, mt, ref)
+select p.row_id, round(b.oof_score, 6) as oof_score from fp p join best b
+  on p.src is not distinct from b.src and p.mt is not distinct from b.mt and p.ref is not distinct from b.ref""")
+def q_oof_scores(spark, sf_dir):
+    fp = folded(spark, sf_dir)
+    val = fp.select("src", "mt", "ref", "fold", F.col("row_id").alias("row"), F.col("d_para").alias("score"))
+    return round_doubles(FO.oof_scores(fp, val).select("row_id", "oof_score"))
+
+
+@register("pick_best", f"""with recursive {FOLDS_SQL},
+rm as (select fold, label, (coalesce(m_comet, 0) + coalesce(m_bertscore, 0) + coalesce(m_bleurt, 0))
+          / nullif((m_comet is not null)::int + (m_bertscore is not null)::int + (m_bleurt is not null)::int, 0) as ms
+       from fp),
+runs as (select fold, t.tau, t.ord,
+   (case when count(*) filter (where {S.is_p()}) > 0 then
+     cast(count(*) filter (where {S.is_p()} and ms > t.tau) as double) / count(*) filter (where {S.is_p()}) else 0.0 end +
+    case when count(*) filter (where {S.is_np()}) > 0 then
+     cast(count(*) filter (where {S.is_np()} and ms <= t.tau) as double) / count(*) filter (where {S.is_np()}) else 0.0 end) / 2
+   as bal_acc
+   from rm, (select * from (values (0.5, 0), (0.6, 1), (0.7, 2)) v(tau, ord)) t group by fold, t.tau, t.ord)
+select cast(fold as integer) as fold, cast(arg_max(tau, bal_acc * 10 - ord * 1e-9) as double) as best_tau,
+  round(max(bal_acc), 6) as best_bal_acc from runs group by fold""")
+def q_pick_best(spark, sf_dir):
+    fp = folded(spark, sf_dir).persist()
+    runs = None
+    for i in (1, 2, 3):
+        sw = R.threshold_sweep(FO.val_split(fp, i), fx.FX_METRICS).select(
+            F.lit(i).alias("fold"), "tau", "bal_acc", ((F.col("tau") * 10).cast("int")).alias("ord"))
+        runs = sw if runs is None else runs.unionByName(sw)
+    best = FO.pick_best(runs, "tau", "bal_acc", "ord", ["fold"])
+    return round_doubles(best.select(F.col("fold").cast("int").alias("fold"), F.col("best_tau").cast("double"),
+                                     "best_bal_acc"))
+
+
+@register("train_pair_classifier")
+def q_train_pair_classifier(spark, sf_dir):
+    fp = folded(spark, sf_dir)
+    feats = FE.contra_features(FE.para_features(fp, fx_lexicon(spark), negations=fx.FX_NEG), negations=fx.FX_NEG)
+    y = R.encode_label("label")["y_para"]
+    flat = feats.select("row_id", "fold", y.alias("y"),
+                        *[F.col("para_f")[i].alias(f"p{i}") for i in range(4)],
+                        *[F.col("contra_f")[i].alias(f"c{i}") for i in range(3)])
+    out = LE.train_pair_classifier(flat, [f"p{i}" for i in range(4)] + [f"c{i}" for i in range(3)], "y", "fold",
+                                   "d_para_pred")
+    return round_doubles(out.select("row_id", "fold", "d_para_pred"))
+
+
+# ---------------------------------------------------------------- set operations
+
+def conversation_pairs(spark, sf_dir) -> DataFrame:
+    c = fx.table(spark, sf_dir, "conversations").select("conv_id", "turn", "text")
+    a, b = c.alias("a"), c.alias("b")
+    j = a.join(b, (F.col("a.conv_id") == F.col("b.conv_id")) & (F.col("b.turn") == F.col("a.turn") + 1))
+    return j.select((-(F.col("a.conv_id") * fx.ROW_STRIDE + F.col("a.turn")) - 1).alias("row_id"),
+                    F.concat(F.lit("conv"), F.col("a.conv_id").cast("string")).alias("src"),
+                    F.col("a.text").alias("ref"), F.col("b.text").alias("mt"))
+
+
+@register("union_samples", f"""with {S.FX_PAIRS},
+cv as (select -(a.conv_id * {fx.ROW_STRIDE} + a.turn) - 1 as row_id, 'conv' || cast(a.conv_id as varchar) as src,
+  a.text as ref, b.text as mt from conversations a join conversations b on b.conv_id = a.conv_id and b.turn = a.turn + 1)
+select row_id, src, ref, mt, label, category from fx_pairs
+union all select row_id, src, ref, mt, null, null from cv""")
+def q_union_samples(spark, sf_dir):
+    docs = fx.pairs(spark, sf_dir).select("row_id", "src", "ref", "mt", "label", "category")
+    return SE.union_samples(docs, conversation_pairs(spark, sf_dir))
+
+
+@register("dedup_first", f"""with {S.FX_PAIRS},
+r as (select row_id, src, ref, mt, row_number() over (partition by src, mt, ref order by row_id) as rn from fx_pairs)
+select row_id, src, ref, mt from r where rn = 1""")
+def q_dedup_first(spark, sf_dir):
+    p = fx.pairs(spark, sf_dir).select("row_id", "src", "ref", "mt")
+    return SE.dedup_first(p, ("src", "mt", "ref"), "row_id")
+
+
+# ---------------------------------------------------------------- sources / sinks (round trips)
+
+@register("scan_samples", f"""with {S.FX_PAIRS}
+select src, ref, mt, model, category, label from fx_pairs""")
+def q_scan_samples(spark, sf_dir):
+    path = IO.scratch_dir(spark, "samples")
+    p = fx.pairs(spark, sf_dir).select("src", "ref", "mt", "model", "category", "label")
+    IO.write_results(p, path, "csv")
+    return IO.scan_samples(spark, path)
+
+
+@register("scan_human_jsonl", f"""with {S.FX_PAIRS}
+select {S.strip('src')} as src, {S.strip('mt')} as mt, {S.strip('ref')} as ref,
+  cast(row_id % 101 as double) / 4 as human_da, cast(row_id % 7 as double) as human_mqm,
+  cast(row_id % 5 as double) as adequacy_score, cast(row_id % 3 as double) as fluency_score,
+  cast(row_id % 11 as double) as full_score, cast(row_id % 26 as double) as human_scores,
+  model, row_id from fx_pairs""")
+def q_scan_human_jsonl(spark, sf_dir):
+    path = IO.scratch_dir(spark, "human")
+    p = fx.pairs(spark, sf_dir)
+    rid = F.col("row_id")
+    js = p.select(
+        "src", F.col("mt").alias("translation"), "ref",
+        # numbers as JSON strings on some rows, as numbers on others
+        F.when(rid % 2 == 0, (F.pmod(rid, F.lit(101)) / 4).cast("string")).alias("da_norm_score"),
+        F.when(rid % 2 == 1, (F.pmod(rid, F.lit(101)) / 4).cast("double")).alias("da_num"),
+        F.pmod(rid, F.lit(7)).cast("double").alias("mqm_norm_score"),
+        F.pmod(rid, F.lit(5)).cast("string").alias("adequacy_score"),
+        F.pmod(rid, F.lit(3)).cast("double").alias("fluency_score"),
+        F.pmod(rid, F.lit(11)).cast("double").alias("full_score"),
+        F.pmod(rid, F.lit(26)).cast("double").alias("Human_scores"),
+        # the system name sits in `model` on some rows and only in `system` (model empty or absent) on others
+        F.when(rid % 3 == 0, F.col("model")).when(rid % 3 == 1, F.lit("")).alias("model"),
+        F.when(rid % 3 != 0, F.col("model")).alias("system"),
+        "row_id",
+    ).withColumn("da_norm_score", F.coalesce("da_norm_score", F.col("da_num").cast("string"))).drop("da_num")
+    IO.write_results(js, path, "json")
+    out = IO.scan_human_jsonl(spark, path, extra=("row_id",))
+    return out.select("src", "mt", "ref", "human_da", "human_mqm", "adequacy_score", "fluency_score", "full_score",
+                      "human_scores", "model", F.col("row_id").cast("bigint").alias("row_id"))
+
+
+@register("scan_pair_tsv", f"""with {CLEAN_SQL.replace('pp as (', 'pp_unused as (')}
+select s1, s2 from cp""")
+def q_scan_pair_tsv(spark, sf_dir):
+    path = IO.scratch_dir(spark, "pairs")
+    CO.pair_lines(corpus(spark, sf_dir)).select("line").write.text(path)
+    return IO.scan_pair_tsv(spark, path).select("s1", "s2")
+
+
+@register("scan_labelled_tsv", f"""with {S.FX_CORPUS},
+ln as (select {S.strip("s1 || chr(9) || s2 || chr(9) || cast(pair_id % 2 as varchar)")} as line from fx_corpus)
+select string_split(line, chr(9))[1] as s1, string_split(line, chr(9))[2] as s2, string_split(line, chr(9))[3] as label
+from ln where line <> '' and len(string_split(line, chr(9))) = 3""")
+def q_scan_labelled_tsv(spark, sf_dir):
+    path = IO.scratch_dir(spark, "labelled")
+    c = corpus(spark, sf_dir)
+    c.select(F.concat_ws("\t", "s1", "s2", F.pmod("pair_id", F.lit(2)).cast("string")).alias("line")).write.text(path)
+    good, _rejects = IO.scan_labelled_tsv(spark, path)
+    return good
+
+
+@register("write_results", f"""with {S.EVALUATED}
+select row_id, category, round(d_score, 6) as d_score, round(m_comet_adj, 6) as m_comet_adj from ev""")
+def q_write_results(spark, sf_dir):
+    path = IO.scratch_dir(spark, "results")
+    ev = evaluated(spark, sf_dir).select("row_id", "category", "d_score", "m_comet_adj")
+    IO.write_results(ev, path, "parquet", partition_by=("category",))
+    return round_doubles(spark.read.parquet(path).select("row_id", "category", "d_score", "m_comet_adj"))
+
+
+@register("resumable_map", f"""with {S.FX_CORPUS}
+select pair_id, lower(s1) as s1, lower(s2) as s2 from fx_corpus""")
+def q_resumable_map(spark, sf_dir):
+    from pyspark.sql.types import LongType, StringType, StructField, StructType
+
+    from ..streaming.resumable import resumable_map
+
+    base = IO.scratch_dir(spark, "resumable")
+    src, out, ck = f"{base}/in", f"{base}/out", f"{base}/ck"
+    corpus(spark, sf_dir).write.json(src)
+    schema = StructType([StructField("pair_id", LongType()), StructField("s1", StringType()),
+                         StructField("s2", StringType())])
+    resumable_map(spark, src, schema, ["s1", "s2"], lambda s: s.str.lower(), out, ck)
+    resumable_map(spark, src, schema, ["s1", "s2"], lambda s: s.str.lower(), out, ck)  # a rerun adds nothing
+    return spark.read.schema(schema).json(out)

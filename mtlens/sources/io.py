@@ -31,7 +31,8 @@ def scan_samples(spark: SparkSession, path: str, schema: StructType | None = Non
     """Sample CSV with header; texts may hold quotes and newlines (multiLine files are not
     splittable: convert large inputs to parquet once)."""
     return (spark.read.schema(schema or SAMPLE_SCHEMA).option("header", True).option("multiLine", True)
-            .option("escape", '"').csv(path))
+            .option("escape", '"').option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
+            .csv(path))
 
 
 def scan_human_jsonl(spark: SparkSession, path: str, extra: tuple[str, ...] = (), check: bool = True) -> DataFrame:
@@ -80,7 +81,8 @@ def write_results(df: DataFrame, path: str, fmt: str = "parquet", partition_by:
     if partition_by:
         w = w.partitionBy(*partition_by)
     if fmt == "csv":
-        w.option("header", True).option("escape", '"').csv(path)
+        (w.option("header", True).option("escape", '"').option("ignoreLeadingWhiteSpace", False)
+         .option("ignoreTrailingWhiteSpace", False).csv(path))
     elif fmt == "json":
         w.json(path)
     else:
