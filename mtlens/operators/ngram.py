@@ -69,26 +69,19 @@ def chrf_words(c: Column) -> Column:
     return F.flatten(F.transform(tokens_ws(c), split_one))
 
 
-def _chars(s: Column) -> Column:
-    """Code points of a string as an array."""
-    return F.regexp_extract_all(s, F.lit("(?s)."), 0)
+def _char_ngrams(s: Column, n: int) -> Column:
+    """All overlapping n-character substrings (code points), in one regex pass:
+    a lookahead capture matches at every position."""
+    return F.regexp_extract_all(s, F.lit("(?s)(?=(.{%d}))" % n), 1)
 
 
-def _with_ngrams(df: DataFrame, col: str, top: int) -> tuple[DataFrame, list[str]]:
-    """Add ``{col}_{n}`` = all contiguous n-grams (space-joined) for n = 2..top.
-
-    ``pyspark.ml.feature.NGram`` slides over the array in compiled JVM code,
-    one pass per order; n = 1 is the array itself. Characters and tokens
-    contain no space, so the joined string identifies the gram exactly.
-    """
-    from pyspark.ml.feature import NGram
-
-    names = [col]
-    for n in range(2, top + 1):
-        out = f"{col}_{n}"
-        df = NGram(n=n, inputCol=col, outputCol=out).transform(df)
-        names.append(out)
-    return df, names
+def _word_ngrams(toks: Column, n: int) -> Column:
+    """All contiguous n-token grams joined by one space, from the space-joined tokens:
+    a capture that starts at every token start (tokens hold no whitespace)."""
+    joined = F.array_join(toks, " ")
+    tail = "(?: \\S+){%d}" % (n - 1) if n > 1 else ""
+    return F.when(F.size(toks) >= n, F.regexp_extract_all(joined, F.lit("(?<!\\S)(?=(\\S+%s))" % tail), 1)).otherwise(
+        F.array().cast("array<string>"))
 
 
 def ngram_stats(df: DataFrame, key: str, hyp: str, ref: str, kinds: str = "bcw") -> DataFrame:
@@ -98,24 +91,24 @@ def ngram_stats(df: DataFrame, key: str, hyp: str, ref: str, kinds: str = "bcw")
     otherwise the first aggregation adds the exchange itself.
     """
     h, r = F.col(hyp), F.col(ref)
-    nows = lambda c: _chars(F.regexp_replace(c, WS_RUN, ""))
+    nows = lambda c: F.regexp_replace(c, WS_RUN, "")
     empty = F.array().cast("array<string>")
-    # Token arrays are projected once; the gram builders below reference them many times.
+    # Token arrays / stripped strings are projected once; the gram builders reference them.
     staged = df.select(
         key,
         (tok13a(h) if "b" in kinds else empty).alias("_hb"), (tok13a(r) if "b" in kinds else empty).alias("_rb"),
-        (nows(h) if "c" in kinds else empty).alias("_hc"), (nows(r) if "c" in kinds else empty).alias("_rc"),
+        (nows(h) if "c" in kinds else F.lit("")).alias("_hc"), (nows(r) if "c" in kinds else F.lit("")).alias("_rc"),
         (chrf_words(h) if "w" in kinds else empty).alias("_hw"), (chrf_words(r) if "w" in kinds else empty).alias("_rw"),
     )
-    spec = {"b": (BLEU_ORDER, "_hb", "_rb"), "c": (CHAR_ORDER, "_hc", "_rc"), "w": (WORD_ORDER, "_hw", "_rw")}
+    spec = {"b": (BLEU_ORDER, "_hb", "_rb", _word_ngrams), "c": (CHAR_ORDER, "_hc", "_rc", _char_ngrams),
+            "w": (WORD_ORDER, "_hw", "_rw", _word_ngrams)}
     items = [F.struct(F.lit("_").alias("kind"), F.lit(0).alias("n"), F.lit(0).alias("side"),
                       F.array(F.lit("")).alias("grams"))]  # sentinel: every key survives
     for kind in kinds:
-        top, hcol, rcol = spec[kind]
+        top, hcol, rcol, make = spec[kind]
         for side, col in ((0, hcol), (1, rcol)):
-            staged, names = _with_ngrams(staged, col, top)
             items += [F.struct(F.lit(kind).alias("kind"), F.lit(n).alias("n"), F.lit(side).alias("side"),
-                               F.col(c).alias("grams")) for n, c in enumerate(names, start=1)]
+                               make(F.col(col), n).alias("grams")) for n in range(1, top + 1)]
     per_item = staged.select(key, F.inline(F.array(*items)))
     grams = per_item.select(key, "kind", "n", "side", F.explode("grams").alias("gram"))
     counts = grams.groupBy(key, "kind", "n", "gram").agg(

@@ -45,9 +45,22 @@ def _unit(row_id: Column, mult: int) -> Column:
     return (F.pmod(F.pmod(row_id, F.lit(10007)) * mult, F.lit(10007))).cast("double") / 10006
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Hash-distribute a scan that arrived in fewer partitions than there are cores.
+
+    A large input already arrives in many splits and is left alone (no
+    shuffle); a small file of one row group would otherwise run every
+    per-row text function in a single task.
+    """
+    par = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < par:
+        return df.repartition(par, key)
+    return df
+
+
 def line_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, i, source, lang, ref, mt): consecutive lines of each document."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text")
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text"), "doc_id")
     lines = F.split(F.col("text"), "\n", -1)
     n = F.size(lines)
     zipped = F.zip_with(
