@@ -22,8 +22,10 @@ order 2), divided by 100 and rounded to 4 as the evaluation script stores them.
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.functions import pandas_udf
 
 from ..functions.text import WS_RUN, tokens_ws
 
@@ -165,13 +167,28 @@ def chrf_from_stats(word_order: int = 0) -> Column:
 
 
 def sentence_metrics(df: DataFrame, key: str = "row_id", hyp: str = "mt", ref: str = "ref",
-                     bleu: str | None = "BLEU", chrf: str | None = "ChrF", chrfpp: str | None = "ChrF++") -> DataFrame:
+                     bleu: str | None = "BLEU", chrf: str | None = "ChrF", chrfpp: str | None = "ChrF++",
+                     method: str = "explode") -> DataFrame:
     """Add BLEU / chrF / chrF++ columns (each optional) computed in one n-gram pass.
 
-    ``key`` must be unique. The statistics are joined back on ``key``; both
-    sides are hash-partitioned on it, so the join adds no exchange.
+    ``method="explode"``: grams exploded and counted by Spark aggregations
+    (one exchange on the narrow pair rows; ``key`` must be unique; the
+    statistics join back on the same partitioning without another exchange).
+    ``method="vectorized"``: per-pair counting in an Arrow-batched pandas UDF,
+    no exchange at all; same statistics, same formulas.
     """
     kinds = ("b" if bleu else "") + ("c" if chrf or chrfpp else "") + ("w" if chrfpp else "")
+    if method == "vectorized":
+        stats = ngram_stats_vectorized(df, key, hyp, ref, kinds)
+        cols = {}
+        if bleu:
+            cols[bleu] = bleu_from_stats()
+        if chrf:
+            cols[chrf] = chrf_from_stats(0)
+        if chrfpp:
+            cols[chrfpp] = chrf_from_stats(WORD_ORDER)
+        stat_cols = [c for c in stats.columns if c not in df.columns]
+        return stats.withColumns(cols).drop(*stat_cols)
     staged = df.repartition(key)
     stats = ngram_stats(staged, key, hyp, ref, kinds)
     cols = {}
@@ -183,3 +200,60 @@ def sentence_metrics(df: DataFrame, key: str = "row_id", hyp: str = "mt", ref: s
         cols[chrfpp] = chrf_from_stats(WORD_ORDER)
     scored = stats.select(key, *[v.alias(k) for k, v in cols.items()])
     return staged.join(scored, key, "left")
+
+
+def _count_stats(hb, rb, hc, rc, hw, rw, kinds: str) -> list[int]:
+    """Per-order [hyp total, ref total, clipped matches] for one pair (plain Python counters)."""
+    from collections import Counter
+
+    out: list[int] = []
+
+    def add(a: Counter, b: Counter) -> None:
+        out.extend((sum(a.values()), sum(b.values()), sum((a & b).values())))
+
+    def words(t, n):
+        t = list(t) if t is not None else []
+        return Counter(tuple(t[i:i + n]) for i in range(len(t) - n + 1))
+
+    def chars(s, n):
+        s = s or ""
+        return Counter(s[i:i + n] for i in range(len(s) - n + 1))
+
+    if "b" in kinds:
+        for n in range(1, BLEU_ORDER + 1):
+            add(words(hb, n), words(rb, n))
+    if "c" in kinds:
+        for n in range(1, CHAR_ORDER + 1):
+            add(chars(hc, n), chars(rc, n))
+    if "w" in kinds:
+        for n in range(1, WORD_ORDER + 1):
+            add(words(hw, n), words(rw, n))
+    return out
+
+
+def ngram_stats_vectorized(df: DataFrame, key: str, hyp: str, ref: str, kinds: str = "bcw") -> DataFrame:
+    """``df`` plus the ``ngram_stats`` columns, without any exchange: tokens and
+    stripped strings are built by JVM built-ins, then an Arrow-batched pandas UDF
+    counts the grams of each pair with hash counters (O(L) per pair)."""
+    h, r = F.col(hyp), F.col(ref)
+    empty = F.array().cast("array<string>")
+    staged = df.select(
+        "*",
+        (tok13a(h) if "b" in kinds else empty).alias("_hb"), (tok13a(r) if "b" in kinds else empty).alias("_rb"),
+        (F.regexp_replace(h, WS_RUN, "") if "c" in kinds else F.lit("")).alias("_hc"),
+        (F.regexp_replace(r, WS_RUN, "") if "c" in kinds else F.lit("")).alias("_rc"),
+        (chrf_words(h) if "w" in kinds else empty).alias("_hw"), (chrf_words(r) if "w" in kinds else empty).alias("_rw"),
+    )
+
+    @pandas_udf("array<long>")
+    def count(hb: pd.Series, rb: pd.Series, hc: pd.Series, rc: pd.Series, hw: pd.Series, rw: pd.Series) -> pd.Series:
+        return pd.Series([_count_stats(*row, kinds) for row in zip(hb, rb, hc, rc, hw, rw)])
+
+    tmp = ["_hb", "_rb", "_hc", "_rc", "_hw", "_rw"]
+    st = staged.withColumn("__st", count(*[F.col(c) for c in tmp])).drop(*tmp)
+    names = []
+    spec = [("b", BLEU_ORDER), ("c", CHAR_ORDER), ("w", WORD_ORDER)]
+    for kind, top in spec:
+        if kind in kinds:
+            names += [f"{kind}{n}_{s}" for n in range(1, top + 1) for s in ("h", "r", "m")]
+    return st.withColumns({nm: F.col("__st")[i] for i, nm in enumerate(names)}).drop("__st")

@@ -388,10 +388,13 @@ def q_class_weights(spark, sf_dir):
 from ..operators import ngram as NG  # noqa: E402
 
 
+NGRAM_METHOD = "vectorized"
+
+
 def _metric_query(col: str, **kw):
     def run(spark, sf_dir):
         p = fx.pairs(spark, sf_dir).select("row_id", "ref", "mt")
-        return NG.sentence_metrics(p, "row_id", "mt", "ref", **kw).select("row_id", col)
+        return NG.sentence_metrics(p, "row_id", "mt", "ref", method=NGRAM_METHOD, **kw).select("row_id", col)
 
     return run
 

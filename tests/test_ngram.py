@@ -86,7 +86,12 @@ CASES = [
 
 def test_against_brute_force(spark):
     df = spark.createDataFrame([(i, h, r) for i, (h, r) in enumerate(CASES)], "row_id long, mt string, ref string")
-    got = {r.row_id: r for r in NG.sentence_metrics(df).collect()}
+    for method in ("explode", "vectorized"):
+        _check(NG.sentence_metrics(df, method=method).collect())
+
+
+def _check(rows):
+    got = {r.row_id: r for r in rows}
     for i, (h, r) in enumerate(CASES):
         assert got[i]["BLEU"] == bleu(h, r), (h, r)
         assert got[i]["ChrF"] == chrf(h, r), (h, r)
