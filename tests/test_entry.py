@@ -6,4 +6,4 @@ def test_entry_and_registry(spark):
     assert {"d_rule", "d_score", "stage_resolved"} <= set(df.columns)
     qs, orc = E.queries(), E.oracle_sql()
     assert set(orc) <= set(qs)
-    assert len(qs) >= 55
+    assert len(qs) >= 55  # 58 registered, 56 with oracle SQL
