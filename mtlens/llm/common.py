@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from ..session import ensure_checkpoint_dir
 
 WORD = r"[^\x20\x09-\x0D]+"
-SLICE_BYTES = 8 << 20  # text per numpy step; a longer single text is one step of its own
+SLICE_BYTES = 4 << 20  # text per numpy step; a longer single text is one step of its own
 
 
 def fold(col: str, buckets: int) -> Column:
@@ -41,6 +41,14 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+BROADCAST_ROWS = 1_000_000  # of narrow rows (ids), some 16 MB
+
+
+def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """``df`` marked for broadcast if it has at most ``rows`` rows (counted), else as it is: a shuffle join then."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut Arrow batches into runs of whole rows with at most ``limit`` bytes of text (one row at least)."""
     for batch in batches:

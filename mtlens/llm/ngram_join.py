@@ -15,8 +15,10 @@ of the tokens, so any order may generate candidates and others may veto them:
 3. Every node of a list is paired with the list's hub (smallest set that the
    size filter still allows), if the size and position filters pass: rows
    linear in the lists, not quadratic.
-4. Pairs whose prefixes under two further orders (seeded permutations) do not
-   intersect are dropped; the rest are verified on the whole sets.
+4. Pairs are first held against the whole prefixes under the first order (number
+   and last position of shared tokens); those whose prefixes under two further
+   orders (seeded permutations) do not intersect are dropped too; the rest are
+   verified on the whole sets.
 5. Components of the links (min-label propagation). Then the lists are read
    again: pairs of nodes that are still in *different* components and were not
    verified are candidates too (filters as before), are verified and added.
@@ -37,11 +39,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_long, materialize, mix, shingle_sets, slices
+from .common import as_long, materialize, mix, shingle_sets, slices, small
 
-FREQUENT_IN_TASK = 8  # a shingle in so many documents of a task's chunk is reported
-FREQUENT_KEPT = 100_000  # the most frequent ones that the first order knows
-CHUNK = 4_000_000  # shingles that a task counts at once
+FREQUENT_IN_CHUNK = 2  # a shingle in so many different sets of a chunk is reported
+FREQUENT_IN_ALL = 4  # and known to the first order if the reports come to so many
+FREQUENT_KEPT = 500_000  # at most; the most frequent ones
+CHUNK = 2_000_000  # shingles that a task counts at once
 FILTER_BITS = 1 << 27  # bound of the bitmap that spares the set pass most documents
 ORDERS = (np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F))  # seeds of the vetoing orders
 
@@ -60,24 +63,26 @@ def _survey(width: int):
 
     def frequent(held: list[np.ndarray]) -> pa.RecordBatch:
         tokens, counts = np.unique(np.concatenate(held), return_counts=True)
-        tokens, counts = tokens[counts >= FREQUENT_IN_TASK], counts[counts >= FREQUENT_IN_TASK]
+        tokens, counts = tokens[counts >= FREQUENT_IN_CHUNK], counts[counts >= FREQUENT_IN_CHUNK]
         none = pa.nulls(len(tokens), pa.int64())
         return pa.RecordBatch.from_arrays([none, none, none, as_long(tokens), pa.array(counts, pa.int64())], schema=schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
+        held, size, seen = [], 0, set()
         for batch in slices(batches):
             ns, nodes = [], []
             for tokens in shingle_sets(batch.column("text"), width):
                 ns.append(len(tokens))
                 nodes.append(set_key(tokens) if len(tokens) else None)
-                held.append(tokens)
-                size += len(tokens)
+                if len(tokens) and nodes[-1] not in seen:
+                    seen.add(nodes[-1])
+                    held.append(tokens)
+                    size += len(tokens)
             none = pa.nulls(len(ns), pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(ns, pa.int64()), pa.array(nodes, pa.int64()), none, none], schema=schema)
             if size >= CHUNK:
                 yield frequent(held)
-                held, size = [], 0
+                held, size, seen = [], 0, set()
         if held:
             yield frequent(held)
 
@@ -164,7 +169,7 @@ def _bitmap(ids: DataFrame, bits: int) -> np.ndarray:
 
 
 def _sets(width: int, bitmap: np.ndarray):
-    schema = pa.schema([("node", pa.int64()), ("tokens", pa.binary())])
+    schema = pa.schema([("doc_id", pa.int64()), ("node", pa.int64()), ("short", pa.binary()), ("tokens", pa.binary())])
     bits = np.uint64(len(bitmap) * 32)
 
     def wanted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -176,13 +181,15 @@ def _sets(width: int, bitmap: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = set()
         for batch in slices(wanted(batches)):
-            nodes, sets = [], []
-            for tokens in shingle_sets(batch.column("text"), width):
-                if len(tokens) and (node := set_key(tokens)) not in seen:
-                    seen.add(node)
+            ids, nodes, shorts, sets = [], [], [], []
+            for doc_id, tokens in zip(batch.column("doc_id").to_pylist(), shingle_sets(batch.column("text"), width), strict=True):
+                if len(tokens) and (doc_id, node := set_key(tokens)) not in seen:
+                    seen.add((doc_id, node))
+                    ids.append(doc_id)
                     nodes.append(node)
+                    shorts.append(tokens.astype(np.uint16).tobytes())
                     sets.append(tokens.tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(sets, pa.binary())], schema=schema)
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip((ids, nodes, shorts, sets), schema, strict=True)], schema=schema)
 
     return run
 
@@ -194,25 +201,38 @@ def _smallest(tokens: np.ndarray, seed: np.uint64, percent: int) -> np.ndarray:
     return np.partition(keys, p - 1)[:p]
 
 
-def _verify(percent: int):
+def _enough(both: int, n1: int, n2: int, percent: int) -> bool:
+    return 100 * both >= percent * (n1 + n2 - both)
+
+
+def _may_link(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    """On the tokens' low 16 bits: tokens that meet in full meet here too, so no link is lost."""
+    x, y = x.view(np.uint16), y.view(np.uint16)
+    there = np.zeros(1 << 16, bool)
+    there[y] = True
+    return _enough(min(int(there[x].sum()), len(y)), len(x), len(y), percent)
+
+
+def _links_exactly(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    x, y = x.view(np.uint64), y.view(np.uint64)
+    for seed in ORDERS:
+        if not len(np.intersect1d(_smallest(x, seed, percent), _smallest(y, seed, percent))):
+            return False
+    return _enough(len(np.intersect1d(x, y, assume_unique=True)), len(x), len(y), percent)
+
+
+def _kept(test, percent: int):
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = []
-            for x, y in zip(batch.column("tokens_a"), batch.column("tokens_b"), strict=True):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                keep.append(all(len(np.intersect1d(_smallest(x, s, percent), _smallest(y, s, percent))) for s in ORDERS) and _linked(x, y, percent))
+            pairs = zip(batch.column("set_a"), batch.column("set_b"), strict=True)
+            keep = [test(np.frombuffer(x.as_buffer(), np.uint8), np.frombuffer(y.as_buffer(), np.uint8), percent) for x, y in pairs]
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], schema=schema).filter(pa.array(keep, pa.bool_()))
 
     return run
 
 
-def _linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
-    both = len(np.intersect1d(x, y, assume_unique=True))
-    return 100 * both >= percent * (len(x) + len(y) - both)
-
-
 def components(links: DataFrame) -> DataFrame:
     """(node, label): the smallest node reachable over ``links`` (a, b), for every node that has a link.
 
@@ -238,6 +258,37 @@ def _passes(percent: int, n1: str, p1: str, n2: str, p2: str):
     return (100 * F.least(a, b) >= percent * F.greatest(a, b)) & ((100 + percent) * most >= percent * (a + b))
 
 
+def _links(docs: DataFrame, nodes: DataFrame, lists: DataFrame, pairs: DataFrame, width: int, percent: int) -> DataFrame:
+    """The pairs (a, b) that link.
+
+    First by the whole prefixes under the first order: k shared tokens, the last at positions i, j, leave room for
+    k + min(n1 - i - 1, n2 - j - 1) shared tokens in all. Only the sets of pairs that can still link are fetched:
+    one pass over the texts, spared most of them by a bitmap of ids, no text moves.
+    """
+    x = lists.select("token", F.col("node").alias("a"), F.col("n").alias("n1"), F.col("pos").alias("p1"))
+    y = lists.select("token", F.col("node").alias("b"), F.col("n").alias("n2"), F.col("pos").alias("p2"))
+    met = pairs.join(x, "a").join(y, ["b", "token"]).groupBy("a", "b").agg(F.count(F.lit(1)).alias("k"), F.max("p1").alias("p1"), F.max("p2").alias("p2"), F.max("n1").alias("n1"), F.max("n2").alias("n2"))
+    room = F.col("k") + F.least(F.col("n1") - F.col("p1"), F.col("n2") - F.col("p2")) - 1
+    pairs = materialize(met.where((100 + percent) * room >= percent * (F.col("n1") + F.col("n2"))).select("a", "b"), "pairs")
+
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    involved = materialize(nodes.join(ends, "node", "left_semi"), "involved")
+    bits = min(FILTER_BITS, max(1 << 20, 1 << int(16 * involved.count()).bit_length()))
+    slot = F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS))
+    sets = docs.select("doc_id", "text", slot.alias("slot")).mapInArrow(_sets(width, _bitmap(involved, bits)), "doc_id long, node long, short binary, tokens binary")
+    chosen = small(involved.select(F.col("doc_id").alias("id"), F.col("node").alias("of")))
+    sets = materialize(sets.join(chosen, (F.col("node") == F.col("of")) & F.col("doc_id").eqNullSafe(F.col("id"))).select("node", "short", "tokens"), "sets")
+
+    def met_by(pairs: DataFrame, sets: DataFrame, column: str, test) -> DataFrame:
+        a = sets.select(F.col("node").alias("a"), F.col(column).alias("set_a"))
+        b = sets.select(F.col("node").alias("b"), F.col(column).alias("set_b"))
+        return materialize(pairs.join(a, "a").join(b, "b").select("a", "b", "set_a", "set_b").mapInArrow(_kept(test, percent), "a long, b long").distinct(), "met")
+
+    pairs = met_by(pairs, sets, "short", _may_link)
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    return met_by(pairs, sets.join(small(ends), "node", "left_semi"), "tokens", _links_exactly)
+
+
 def link_documents(docs: DataFrame, percent: int = 75, width: int = 5) -> DataFrame:
     """(doc_id, n_shingles, component_id) for every row of ``docs`` (doc_id, text; other columns are ignored).
 
@@ -250,7 +301,7 @@ def link_documents(docs: DataFrame, percent: int = 75, width: int = 5) -> DataFr
     rows = survey.where(F.col("n").isNotNull()).select("doc_id", "n", "node")
     top = (
         survey.where(F.col("token").isNotNull()).groupBy("token").agg(F.sum("count").alias("count"))
-        .orderBy(F.desc("count"), "token").limit(FREQUENT_KEPT).toArrow()
+        .where(F.col("count") >= FREQUENT_IN_ALL).orderBy(F.desc("count"), "token").limit(FREQUENT_KEPT).toArrow()
     )
     frequent = top.column("token").to_numpy().view(np.uint64)
     rank = np.argsort(np.argsort(top.column("count").to_numpy(), kind="stable"), kind="stable")
@@ -276,18 +327,7 @@ def link_documents(docs: DataFrame, percent: int = 75, width: int = 5) -> DataFr
     )
 
     nodes = rows.where(F.col("node").isNotNull()).groupBy("node").agg(F.min("doc_id").alias("doc_id"))
-    involved = materialize(nodes.join(lists.select("node").distinct(), "node", "left_semi"), "involved")
-    bits = min(FILTER_BITS, max(1 << 20, 1 << int(16 * involved.count()).bit_length()))
-    slot = F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS))
-    sets = docs.select("text", slot.alias("slot")).mapInArrow(_sets(width, _bitmap(involved, bits)), "node long, tokens binary")
-    sets = materialize(sets.join(involved, "node", "left_semi").dropDuplicates(["node"]), "sets")
-
-    def verified(candidates: DataFrame) -> DataFrame:
-        a = sets.select(F.col("node").alias("a"), F.col("tokens").alias("tokens_a"))
-        b = sets.select(F.col("node").alias("b"), F.col("tokens").alias("tokens_b"))
-        return candidates.join(a, "a").join(b, "b").select("a", "b", "tokens_a", "tokens_b").mapInArrow(_verify(percent), "a long, b long")
-
-    links = materialize(verified(first), "links")
+    links = _links(docs, nodes, lists, first, width, percent)
     labels = components(links)
 
     # what the hubs left: nodes of one list in different components
@@ -300,7 +340,7 @@ def link_documents(docs: DataFrame, percent: int = 75, width: int = 5) -> DataFr
         x.join(y, "token").where((F.col("a") < F.col("b")) & (F.col("l1") != F.col("l2")) & _passes(percent, "n1", "p1", "n2", "p2"))
         .select("a", "b").distinct().join(first, ["a", "b"], "left_anti")
     )
-    more = materialize(verified(rest), "more")
+    more = _links(docs, nodes, lists, rest, width, percent)
     if not more.isEmpty():
         labels = components(links.unionAll(more))
 
