@@ -12,16 +12,16 @@ of the tokens, so any order may generate candidates and others may veto them:
 2. First order: shingles not known to be frequent by hash, then the frequent
    ones by count. A second pass emits each set's prefix under it; one shuffle
    by token brings the posting lists together. Lists of one node end there.
-3. Every node of a list is paired with the list's hub (smallest set that the
-   size filter still allows), if the size and position filters pass: rows
-   linear in the lists, not quadratic.
+3. Every node of a list is paired with the list's hub, if the size and position
+   filters pass: rows linear in the lists, not quadratic. The first hub is the node
+   with the fewest tokens of its own, in a second round a random one a list.
 4. Pairs are first held against the whole prefixes under the first order (number
    and last position of shared tokens); those whose prefixes under two further
    orders (seeded permutations) do not intersect are dropped too; the rest are
    verified on the whole sets.
 5. Components of the links (min-label propagation). Then the lists are read
    again: pairs of nodes that are still in *different* components and were not
-   verified are candidates too (filters as before), are verified and added.
+   tried are candidates too (filters as before), are verified and added.
    Pairs within one component need no check, so groups of copies are never
    expanded into all pairs, and no link between components is lost.
 
@@ -36,7 +36,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import as_long, materialize, mix, shingle_sets, slices, small
@@ -251,25 +251,59 @@ def components(links: DataFrame) -> DataFrame:
         now = step.join(became, "label").select("node", F.col("to").alias("label"))
 
 
-def _passes(percent: int, n1: str, p1: str, n2: str, p2: str):
-    """Size and position filters for nodes that share a token at positions p1, p2 of sets of n1, n2."""
-    a, b, i, j = (F.col(c).cast("long") for c in (n1, n2, p1, p2))
-    most = F.least(i, j) + 1 + F.least(a - i - 1, b - j - 1)
-    return (100 * F.least(a, b) >= percent * F.greatest(a, b)) & ((100 + percent) * most >= percent * (a + b))
+KEPT = ("node", "n", "rank", "alone")
+
+
+def _room(shared):
+    """The tokens two nodes can share, if ``shared`` are at most those up to the tokens of rank1 and rank2.
+
+    Only tokens in lists can be: after the r-th of them a set of n with u prefix tokens of its own has n - u - r left.
+    """
+    left = [F.col(f"n{i}").cast("long") - F.col(f"alone{i}") - F.col(f"rank{i}") for i in (1, 2)]
+    return shared + F.least(*left)
+
+
+def _passes(percent: int, shared=None):
+    """Size and position filters for two nodes that share a token."""
+    n1, n2 = F.col("n1").cast("long"), F.col("n2").cast("long")
+    room = _room(F.least("rank1", "rank2") if shared is None else shared)
+    return (100 * F.least(n1, n2) >= percent * F.greatest(n1, n2)) & ((100 + percent) * room >= percent * (n1 + n2))
+
+
+def _hub_pairs(marked: DataFrame, percent: int) -> DataFrame:
+    """(a, b): each node of a list with the list's hub, if they are in different components.
+
+    The hub is the node with the smallest share of tokens of its own: of a group of edited copies, the least edited. There is
+    one per size class; a node stands in two classes, so that any two sizes within the threshold share one.
+    """
+    size = F.floor(F.log(F.col("n").cast("double")) / float(np.log(100 / percent)))
+    classes = marked.withColumn("class", F.explode(F.array(size, size + 1)))
+    columns = (*KEPT, "label")
+    first = F.struct((F.col("alone") / F.col("n")).alias("order"), *columns)
+    hub = classes.groupBy("token", "class").agg(F.min(first).alias("hub"), F.count(F.lit(1)).alias("k")).where("k > 1")
+    met = classes.join(hub, ["token", "class"]).select(*[F.col(c).alias(f"{c}1") for c in columns], *[F.col(f"hub.{c}").alias(f"{c}2") for c in columns])
+    met = met.where((F.col("label1") != F.col("label2")) & _passes(percent))
+    return met.select(F.least("node1", "node2").alias("a"), F.greatest("node1", "node2").alias("b")).distinct()
+
+
+def _apart(lists: DataFrame, labels: DataFrame) -> DataFrame:
+    """The lists that hold nodes of different components, with the nodes' components."""
+    marked = lists.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    apart = marked.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("token")
+    return materialize(marked.join(apart, "token", "left_semi"), "apart")
 
 
 def _links(docs: DataFrame, nodes: DataFrame, lists: DataFrame, pairs: DataFrame, width: int, percent: int) -> DataFrame:
     """The pairs (a, b) that link.
 
-    First by the whole prefixes under the first order: k shared tokens, the last at positions i, j, leave room for
-    k + min(n1 - i - 1, n2 - j - 1) shared tokens in all. Only the sets of pairs that can still link are fetched:
+    First by the whole prefixes under the first order: k shared tokens, the last of ranks r1, r2, and what is left after them. Only the sets of pairs that can still link are fetched:
     one pass over the texts, spared most of them by a bitmap of ids, no text moves.
     """
-    x = lists.select("token", F.col("node").alias("a"), F.col("n").alias("n1"), F.col("pos").alias("p1"))
-    y = lists.select("token", F.col("node").alias("b"), F.col("n").alias("n2"), F.col("pos").alias("p2"))
-    met = pairs.join(x, "a").join(y, ["b", "token"]).groupBy("a", "b").agg(F.count(F.lit(1)).alias("k"), F.max("p1").alias("p1"), F.max("p2").alias("p2"), F.max("n1").alias("n1"), F.max("n2").alias("n2"))
-    room = F.col("k") + F.least(F.col("n1") - F.col("p1"), F.col("n2") - F.col("p2")) - 1
-    pairs = materialize(met.where((100 + percent) * room >= percent * (F.col("n1") + F.col("n2"))).select("a", "b"), "pairs")
+    x = lists.select("token", F.col("node").alias("a"), *[F.col(c).alias(f"{c}1") for c in KEPT[1:]])
+    y = lists.select("token", F.col("node").alias("b"), *[F.col(c).alias(f"{c}2") for c in KEPT[1:]])
+    last = [F.max(c).alias(c) for i in (1, 2) for c in (f"n{i}", f"rank{i}", f"alone{i}")]
+    met = pairs.join(x, "a").join(y, ["b", "token"]).groupBy("a", "b").agg(F.count(F.lit(1)).alias("k"), *last)
+    pairs = materialize(met.where(_passes(percent, F.col("k"))).select("a", "b"), "pairs")
 
     ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     involved = materialize(nodes.join(ends, "node", "left_semi"), "involved")
@@ -312,34 +346,24 @@ def link_documents(docs: DataFrame, percent: int = 75, width: int = 5) -> DataFr
     lists = materialize(
         postings.repartition("token").sortWithinPartitions("token", "n", "node").mapInArrow(_lists, "token long, node long, n int, pos int"), "lists"
     )
-
-    # hubs: per token and size class, so that a hub's size suits its whole class; 2 classes per node meet all sizes in reach
-    size = F.floor(F.log(F.col("n").cast("double")) / float(np.log(100 / percent)))
-    classes = lists.withColumn("class", F.explode(F.array(size, size + 1)))
-    hub = classes.groupBy("token", "class").agg(F.min(F.struct("n", "node", "pos")).alias("hub"), F.count(F.lit(1)).alias("k")).where("k > 1").drop("k")
-    first = materialize(
-        classes.join(hub, ["token", "class"])
-        .select("node", "n", "pos", F.col("hub.node").alias("other"), F.col("hub.n").alias("n2"), F.col("hub.pos").alias("p2"))
-        .where((F.col("node") != F.col("other")) & _passes(percent, "n", "pos", "n2", "p2"))
-        .select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b"))
-        .distinct(),
-        "pairs",
-    )
-
+    # the number of a node's tokens up to this one that are in lists, and of its prefix tokens that are in none
+    own = Window.partitionBy("node")
+    prefix = F.col("n") - F.ceil(F.col("n") * percent / F.lit(100)) + 1
+    lists = lists.withColumn("rank", F.row_number().over(own.orderBy("pos")))
+    lists = lists.withColumn("alone", prefix - F.count(F.lit(1)).over(own)).drop("pos")
+    lists = materialize(lists, "ranked")
     nodes = rows.where(F.col("node").isNotNull()).groupBy("node").agg(F.min("doc_id").alias("doc_id"))
-    links = _links(docs, nodes, lists, first, width, percent)
+
+    tried = materialize(_hub_pairs(lists.withColumn("label", F.col("node")), percent), "tried")
+    links = _links(docs, nodes, lists, tried, width, percent)
     labels = components(links)
 
-    # what the hubs left: nodes of one list in different components
-    marked = lists.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    apart = marked.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("token")
-    marked = materialize(marked.join(apart, "token", "left_semi"), "apart")
-    x = marked.select("token", F.col("node").alias("a"), F.col("n").alias("n1"), F.col("pos").alias("p1"), F.col("label").alias("l1"))
-    y = marked.select("token", F.col("node").alias("b"), F.col("n").alias("n2"), F.col("pos").alias("p2"), F.col("label").alias("l2"))
-    rest = (
-        x.join(y, "token").where((F.col("a") < F.col("b")) & (F.col("l1") != F.col("l2")) & _passes(percent, "n1", "p1", "n2", "p2"))
-        .select("a", "b").distinct().join(first, ["a", "b"], "left_anti")
-    )
+    # what hubs left: all nodes of one list in different components
+    marked = _apart(lists, labels)
+    x = marked.select("token", *[F.col(c).alias(f"{c}1") for c in (*KEPT, "label")])
+    y = marked.select("token", *[F.col(c).alias(f"{c}2") for c in (*KEPT, "label")])
+    rest = x.join(y, "token").where((F.col("node1") < F.col("node2")) & (F.col("label1") != F.col("label2")) & _passes(percent))
+    rest = rest.select(F.col("node1").alias("a"), F.col("node2").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
     more = _links(docs, nodes, lists, rest, width, percent)
     if not more.isEmpty():
         labels = components(links.unionAll(more))

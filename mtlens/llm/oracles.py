@@ -34,8 +34,8 @@ def _secrets() -> str:
     return f"""
 with d as (select doc_id, source, coalesce(text, '') as t from documents),
 c as ({" union all ".join(parts)}),
-at as (select *, sum(length(p) + length(m)) over (partition by doc_id, kind order by i) as e from c),
-spans as (select doc_id, source, kind, v, e - length(m) as s, e from at where kind <> 0 or length(v) >= 8),
+placed as (select *, sum(length(p) + length(m)) over (partition by doc_id, kind order by i) as e from c),
+spans as (select doc_id, source, kind, v, e - length(m) as s, e from placed where kind <> 0 or length(v) >= 8),
 owners as (select v, count(distinct coalesce(source, chr(1))) as n from spans group by v),
 judged as (select x.*, n, n < {OWNERS} and regexp_matches(x.v, '[0-9]') and regexp_matches(x.v, '[A-Za-z]')
   and len(list_distinct(string_split(x.v, ''))) >= 8 and not regexp_matches(x.v, {_quoted(PLACEHOLDER)}) as live from spans x join owners using (v)),
