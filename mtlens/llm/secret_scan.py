@@ -114,7 +114,10 @@ def digests(docs: DataFrame, owner: str = "source", repo: str = "doc_id") -> Dat
     def number(test) -> Column:
         return F.size(F.filter("all", test)).cast("long")
 
-    counts = [number(lambda s, k=k: s["kind"] == k).alias(f"n_{KINDS[k][0]}") for k in range(BASE)]
+    def of_kind(k: int):
+        return lambda s: s["kind"] == k
+
+    counts = [number(of_kind(k)).alias(f"n_{KINDS[k][0]}") for k in range(BASE)]
     base = F.filter("all", lambda s: s["kind"] < BASE)
     return rows.select(
         "doc_id", *counts, F.sha2(written(base), 256).alias("base_sha256"), written(F.col("all")).alias("spans"),
