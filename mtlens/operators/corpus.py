@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import strip, tokens_ws
+from .lexmap import embedded, text_key
 from .rank import dense_rank
 
 MAX_TOKENS = 7
@@ -45,54 +46,57 @@ def paraphrase_pairs(lines: DataFrame, line: str = "line", key: str = "pair_id",
 
 
 def contradiction_pairs(pairs: DataFrame, lexicon: DataFrame, key: str = "pair_id", s1: str = "s1", s2: str = "s2",
-                        limit: int = 200_000) -> DataFrame:
+                        limit: int | None = None) -> DataFrame:
     """(key, s1, s2, label=0): replace the first token (lowercased lookup) that has an antonym,
-    trying s1 then s2; emit (changed side, other side). At most one row per pair.
+    trying s1 then s2; emit (changed side, other side as it is). At most one row per pair.
 
     The antonym is chosen deterministically: the smallest one (the reference
-    draws at random from an unordered set). The lexicon (word -> antonyms)
-    is embedded as a literal map after a size check.
+    draws at random from an unordered set). The lexicon is embedded up to ``limit`` rows and
+    joined on the tokens beyond; the answer is the same.
     """
-    from .rules import _collect_checked
-
-    rows = _collect_checked(lexicon.select("word", "antonym"), limit)
-    if rows is None:
-        raise ValueError(f"antonym lexicon larger than {limit} entries")
-    best: dict[str, str] = {}
-    for r in rows:
-        if r.word not in best or r.antonym < best[r.word]:
-            best[r.word] = r.antonym
-    keys = sorted(best)
-    amap = F.map_from_arrays(F.array(*[F.lit(k) for k in keys]).cast("array<string>"),
-                             F.array(*[F.lit(best[k]) for k in keys]).cast("array<string>"))
-    staged = pairs.select(key, tokens_ws(s1).alias("__a"), tokens_ws(s2).alias("__b"))
-
-    def first_hit(toks: Column) -> Column:
-        flags = F.transform(toks, lambda t: F.lower(t).isin(keys))
-        return F.array_position(flags, F.lit(True)).cast("int")
-
-    staged = staged.withColumns({"__ia": first_hit(F.col("__a")), "__ib": first_hit(F.col("__b"))})
-
-    def substituted(toks: Column, i: Column) -> Column:
-        ant = F.element_at(amap, F.lower(F.element_at(toks, i)))
-        return F.array_join(F.concat(F.slice(toks, 1, i - 1), F.array(ant), F.slice(toks, i + 1, F.greatest(F.size(toks) - i, F.lit(0)))), " ")
-
-    a, b, ia, ib = F.col("__a"), F.col("__b"), F.col("__ia"), F.col("__ib")
-    return staged.where((ia > 0) | (ib > 0)).select(
+    best = lexicon.where(F.col("word").isNotNull()).groupBy("word").agg(F.min("antonym").alias("antonym"))
+    staged = pairs.select(key, F.col(s1).alias("__s1"), F.col(s2).alias("__s2"), tokens_ws(s1).alias("__a"), tokens_ws(s2).alias("__b"))
+    lookup = embedded(best, "word", [("antonym", "string")], [], limit)
+    if lookup is not None:
+
+        def first_hit(toks: str) -> Column:
+            found = F.transform(toks, lambda t: lookup(F.lower(t)))
+            i = F.array_position(F.transform(found, lambda f: f.isNotNull()), F.lit(True)).cast("int")
+            return F.when(i > 0, F.struct(i.alias("i"), F.element_at(F.element_at(found, i), 1)["antonym"].alias("antonym")))
+
+        staged = staged.withColumns({"__ha": first_hit("__a"), "__hb": first_hit("__b")})
+    else:
+        staged = staged.withColumn("__t", text_key("__s1", "__s2"))
+        texts = staged.dropDuplicates(["__t"])
+        hits = None
+        for side, toks in (("__ha", "__a"), ("__hb", "__b")):
+            spots = texts.select("__t", F.posexplode(F.transform(toks, lambda t: F.lower(t))).alias("pos", "word")).join(best, "word")
+            one = spots.groupBy("__t").agg(F.min(F.struct((F.col("pos") + 1).alias("i"), "antonym")).alias(side))
+            hits = one if hits is None else hits.join(one, "__t", "full")
+        staged = staged.join(hits.withColumnRenamed("__t", "__t2"), F.col("__t") == F.col("__t2"), "left")
+
+    def substituted(toks: str, hit: str) -> Column:
+        i = F.col(hit)["i"]
+        rest = F.slice(toks, i + 1, F.greatest(F.size(toks) - i, F.lit(0)))
+        return F.array_join(F.concat(F.slice(toks, F.lit(1), i - 1), F.array(F.col(hit)["antonym"]), rest), " ")
+
+    ha, hb = F.col("__ha").isNotNull(), F.col("__hb").isNotNull()
+    return staged.where(ha | hb).select(
         key,
-        F.when(ia > 0, substituted(a, ia)).otherwise(substituted(b, ib)).alias("s1"),
-        F.when(ia > 0, F.array_join(b, " ")).otherwise(F.array_join(a, " ")).alias("s2"),
+        F.when(ha, substituted("__a", "__ha")).otherwise(substituted("__b", "__hb")).alias("s1"),
+        F.when(ha, F.col("__s2")).otherwise(F.col("__s1")).alias("s2"),
         F.lit(0).alias("label"),
     )
 
 
 def build_vocab(*tables: DataFrame, cols=("s1", "s2")) -> DataFrame:
-    """(word, idx): distinct whitespace tokens in code-point order, ids from 2; <PAD>=0, <UNK>=1."""
+    """(word, idx): distinct whitespace tokens in code-point order, ids from 2; <PAD>=0, <UNK>=1
+    (also where a text holds these words). One pass per table."""
     toks = None
     for t in tables:
-        for c in cols:
-            part = t.select(F.explode(tokens_ws(c)).alias("word"))
-            toks = part if toks is None else toks.unionByName(part)
+        part = t.select(F.explode(F.concat(*[F.coalesce(tokens_ws(c), F.array().cast("array<string>")) for c in cols])).alias("word"))
+        toks = part if toks is None else toks.unionByName(part)
+    toks = toks.where(~F.col("word").isin(PAD, UNK))
     ranked = dense_rank(toks, "word", (), "r").select("word", (F.col("r") + 2).alias("idx"))
     spark = ranked.sparkSession
     specials = spark.createDataFrame([(PAD, PAD_ID), (UNK, UNK_ID)], "word string, idx long")

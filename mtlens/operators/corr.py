@@ -9,10 +9,12 @@ Kendall tau-b (with ties, the scipy default) without the O(n^2) self join:
   whose y order is decided by b. In (x, y) order, each bit-0 cell adds
   w * (weight of earlier bit-1 cells in its prefix group). Same-x cells
   sorted by y add nothing, so only strict discordance counts.
-* the top bits' prefix groups hold every cell, so x is cut into range
-  buckets (from the dense rank of x): a small table gives the bit-1 weight
-  of all lower buckets, and the running sum only spans one bucket. No window
-  partition grows beyond about cells / buckets.
+* the top bits' prefix groups hold every cell, so the cells are range partitioned by
+  (x, y) and each partition is a bucket: a small table gives the bit-1 weight
+  of all lower buckets, and the running sum only spans one bucket. A cut may fall between
+  cells of equal x, so a tied x is no hot bucket, and the number of buckets follows the session's partitions.
+
+Groups travel as one struct, so a null group is a group.
 
 tau_b = (n0 - n1 - n2 + n3 - 2 D) / sqrt((n0 - n1)(n0 - n2)), sums in decimal(38,0).
 """
@@ -24,11 +26,11 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import ensure_checkpoint_dir
 from .rank import dense_rank
 from .stats import pair_count, safe_pearson
 
 DEC = "decimal(38,0)"
-BUCKETS = 64
 
 
 def _pairs(c: Column) -> Column:
@@ -36,16 +38,16 @@ def _pairs(c: Column) -> Column:
     return c * (c - 1) / 2
 
 
-def kendall_tau_b(df: DataFrame, x: str, y: str, groups: Sequence[str] = (), out: str = "kendall_tau",
-                  buckets: int = BUCKETS) -> DataFrame:
+def kendall_tau_b(df: DataFrame, x: str, y: str, groups: Sequence[str] = (), out: str = "kendall_tau") -> DataFrame:
     """(groups..., out, n): Kendall tau-b per group over pairwise-complete rows;
     null when n < 2 or either side is constant."""
-    g = list(groups)
-    if not g:
-        res = kendall_tau_b(df.withColumn("__g", F.lit(0)), x, y, ["__g"], out, buckets)
-        return res.drop("__g")
-    clean = df.where(F.col(x).isNotNull() & F.col(y).isNotNull() & ~F.isnan(x) & ~F.isnan(y))
-    cells = clean.groupBy(*g, x, y).agg(F.count(F.lit(1)).alias("w")).persist()
+    ensure_checkpoint_dir(df.sparkSession)
+    names = list(groups)
+    key_ = F.struct(*[F.col(c).alias(f"g{i}") for i, c in enumerate(names)]) if names else F.struct(F.lit(0).alias("g0"))
+    rows = df.select(key_.alias("__g"), F.col(x).alias("__x"), F.col(y).alias("__y"))
+    x, y, g = "__x", "__y", ["__g"]
+    clean = rows.where(F.col(x).isNotNull() & F.col(y).isNotNull() & ~F.isnan(x) & ~F.isnan(y))
+    cells = clean.groupBy(*g, x, y).agg(F.count(F.lit(1)).alias("w")).checkpoint()
     tx = cells.groupBy(*g, x).agg(F.sum("w").alias("t")).groupBy(*g).agg(
         F.sum(_pairs(F.col("t"))).alias("n1"), F.count(F.lit(1)).alias("nx"))
     ty = cells.groupBy(*g, y).agg(F.sum("w").alias("t")).groupBy(*g).agg(
@@ -53,9 +55,8 @@ def kendall_tau_b(df: DataFrame, x: str, y: str, groups: Sequence[str] = (), out
     tot = cells.groupBy(*g).agg(F.sum("w").alias("n"), F.sum(_pairs(F.col("w"))).alias("n3"))
 
     ry = dense_rank(cells, y, g, "ry")
-    rx = dense_rank(cells, x, g, "rx")
-    ranked = cells.join(ry, [*g, y]).join(rx, [*g, x]).join(tx.select(*g, "nx"), g)
-    ranked = ranked.withColumn("bucket", (F.col("rx") * buckets / F.col("nx")).cast("long"))
+    # the partitions of the checkpoint are the buckets
+    ranked = cells.join(ry, [*g, y]).repartitionByRange(*g, x, y).checkpoint().withColumn("bucket", F.spark_partition_id())
     top = ranked.agg(F.max("ry")).first()[0]
     nbits = max(1, int(top or 0).bit_length())
     exploded = ranked.select(
@@ -83,7 +84,7 @@ def kendall_tau_b(df: DataFrame, x: str, y: str, groups: Sequence[str] = (), out
     den = F.sqrt((n0 - F.col("n1")).cast("double") * (n0 - F.col("n2")).cast("double"))
     ok = (F.col("n") >= 2) & (F.col("nx") > 1) & (F.col("ny") > 1)
     tau = F.when(ok, F.least(F.lit(1.0), F.greatest(F.lit(-1.0), num / den)))
-    return stats.select(*g, tau.alias(out), F.col("n").cast("bigint").alias("n"))
+    return stats.select(*[F.col(f"__g.g{i}").alias(c) for i, c in enumerate(names)], tau.alias(out), F.col("n").cast("bigint").alias("n"))
 
 
 def long_pairs(df: DataFrame, metrics: Sequence[str], human: str, keep: Sequence[str] = ()) -> DataFrame:
@@ -100,7 +101,11 @@ def correlate(long: DataFrame, groups: Sequence[str] = ("metric",), digits: int
     g = list(groups)
     pear = long.groupBy(*g).agg(safe_pearson("x", "y").alias("pearson"), pair_count("x", "y").cast("bigint").alias("n"))
     kend = kendall_tau_b(long, "x", "y", g).drop("n")
-    res = pear.join(kend, g, "left")
+    kend = kend.select(*[F.col(c).alias(f"__{c}") for c in g], "kendall_tau")
+    same = F.lit(True)
+    for c in g:
+        same = same & F.col(c).eqNullSafe(F.col(f"__{c}"))
+    res = pear.join(kend, same, "left")
     ok = F.col("pearson").isNotNull()
     p, k = F.col("pearson"), F.when(ok, F.col("kendall_tau"))
     if digits is not None:
@@ -131,13 +136,10 @@ def system_corr(df: DataFrame, metrics: Sequence[str], human: str, model: str =
 def corr_table(df: DataFrame, metrics: Sequence[str], human: str, model: str = "model", digits: int = 4) -> DataFrame:
     """(level, metric, human, n, pearson, kendall_tau): segment rows, plus system rows
     when some row has a system."""
-    seg = correlate(long_pairs(df, metrics, human), ["metric"], digits).select(
-        F.lit("segment").alias("level"), "metric", F.lit(human).alias("human"), "n", "pearson", "kendall_tau")
-    if model not in df.columns:
-        return seg
-    means = system_means(df, metrics, human, model)
-    sysl = correlate(long_pairs(means, metrics, human), ["metric"], digits).select(
-        F.lit("system").alias("level"), "metric", F.lit(human).alias("human"), "n", "pearson", "kendall_tau")
-    # system rows only when some system is non-null: an empty means table gives n = 0 rows
-    has_model = means.limit(1).count() > 0
-    return seg.unionByName(sysl) if has_model else seg
+    levels = long_pairs(df, metrics, human).withColumn("level", F.lit("segment"))
+    if model in df.columns:
+        # without any system the means are empty and give no row
+        means = long_pairs(system_means(df, metrics, human, model), metrics, human)
+        levels = levels.unionByName(means.withColumn("level", F.lit("system")))
+    out = correlate(levels, ["level", "metric"], digits)
+    return out.select("level", "metric", F.lit(human).alias("human"), "n", "pearson", "kendall_tau")

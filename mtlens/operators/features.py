@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import NEG_CONTRA, NEG_PARA, has_negation, neg_count, tokens_word, tokens_ws
+from .lexmap import embedded, text_key
 
 
 def _positions_in(toks: Column, common: Column) -> Column:
@@ -53,16 +54,15 @@ def contra_features(df: DataFrame, mt: str = "mt", ref: str = "ref", negations:
 
 
 def para_features(df: DataFrame, lexicon: DataFrame | None, mt: str = "mt", ref: str = "ref",
-                  negations: Iterable[str] = NEG_PARA, out: str = "para_f") -> DataFrame:
+                  negations: Iterable[str] = NEG_PARA, out: str = "para_f", limit: int | None = None) -> DataFrame:
     """Add ``out`` = [distinct shared tokens / max(len1, len2, 1),
     1 - levenshtein(joined) / max(joined lengths, 1), negation presence mismatch,
     share of mt tokens (with repeats) having an antonym among the ref tokens].
 
     Tokens are whitespace tokens, case kept. Levenshtein is the JVM built-in
-    over code points on the whole joined strings.
+    over code points on the whole joined strings. A lexicon beyond ``limit`` rows is
+    joined on the tokens instead of embedded; the answer is the same.
     """
-    from .rules import LITERAL_LEXICON_LIMIT, _collect_checked
-
     negations = list(negations)
     df = df.withColumns({"__s1": tokens_ws(mt), "__s2": tokens_ws(ref)})
     t1, t2 = F.col("__s1"), F.col("__s2")
@@ -70,21 +70,20 @@ def para_features(df: DataFrame, lexicon: DataFrame | None, mt: str = "mt", ref:
     overlap = F.size(F.array_intersect(t1, t2)) / F.greatest(F.size(t1), F.size(t2), F.lit(1))
     ed = 1.0 - F.levenshtein(j1, j2) / F.greatest(F.length(j1), F.length(j2), F.lit(1))
     neg = (has_negation(t1, negations) != has_negation(t2, negations)).cast("double")
+    lookup = None if lexicon is None else embedded(lexicon, "word", [("antonym", "string")], ["word_pos", "anto_pos"], limit)
     if lexicon is None:
         ant = F.lit(0.0)
-    else:
-        rows = _collect_checked(lexicon.select("word", "antonym", "word_pos", "anto_pos"), LITERAL_LEXICON_LIMIT)
-        if rows is None:
-            raise ValueError("antonym lexicon too large to embed; use rules.antonym_hits for the join path")
-        by_word: dict[str, list[str]] = {}
-        for r in sorted(rows, key=lambda r: (r.word_pos, r.anto_pos)):
-            by_word.setdefault(r.word, []).append(r.antonym)
-        keys = sorted(by_word)
-        amap = F.map_from_arrays(
-            F.array(*[F.lit(k) for k in keys]).cast("array<string>"),
-            F.array(*[F.array(*[F.lit(a) for a in by_word[k]]) for k in keys]).cast("array<array<string>>"),
-        )
-        hit = F.filter(t1, lambda w: w.isin(keys) & F.exists(F.element_at(amap, w), lambda a: F.array_contains(t2, a)))
+    elif lookup is not None:
+        hit = F.filter(t1, lambda w: F.coalesce(F.exists(lookup(w), lambda e: F.array_contains(t2, e["antonym"])), F.lit(False)))
         ant = F.size(hit) / F.greatest(F.size(t1), F.lit(1))
+    else:
+        df = df.withColumn("__k", text_key(mt, ref))
+        texts = df.select("__k", "__s1", "__s2").dropDuplicates(["__k"])
+        mine = texts.select("__k", F.explode("__s1").alias("word")).groupBy("__k", "word").agg(F.count(F.lit(1)).alias("c"))
+        theirs = texts.select("__k", F.explode(F.array_distinct("__s2")).alias("antonym"))
+        met = mine.join(lexicon.select("word", "antonym").distinct(), "word").join(theirs, ["__k", "antonym"], "left_semi")
+        hits = met.select("__k", "word", "c").distinct().groupBy("__k").agg(F.sum("c").alias("__hits"))
+        df = df.join(hits.withColumnRenamed("__k", "__k2"), F.col("__k") == F.col("__k2"), "left")
+        ant = F.coalesce("__hits", F.lit(0)) / F.greatest(F.size(t1), F.lit(1))
     return df.withColumn(out, F.array(overlap.cast("double"), ed.cast("double"), neg, ant.cast("double"))).drop(
-        "__s1", "__s2")
+        "__s1", "__s2", "__k", "__k2", "__hits")

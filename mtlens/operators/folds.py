@@ -88,8 +88,8 @@ def group_kfold(df: DataFrame, group: str = "src", k: int = N_SPLITS, out: str =
     ranked = row_number(sizes, [group], ["__size"], "__r")
     assigned = ranked.join(run_df, "__size").where((F.col("__r") >= F.col("__lo")) & (F.col("__r") < F.col("__hi")))
     fold = F.element_at(F.col("__folds"), (F.pmod(F.col("__r") - F.col("__lo"), F.size("__folds")) + 1).cast("int")) + 1
-    per_group = assigned.select(group, fold.cast("int").alias(out))
-    return df.join(per_group, group, "inner")
+    per_group = assigned.select(F.col(group).alias("__group"), fold.cast("int").alias(out))
+    return df.join(per_group, F.col(group).eqNullSafe(F.col("__group"))).drop("__group")  # null is a group
 
 
 def fold_split(df: DataFrame, k: int = N_SPLITS, fold: str = "fold") -> DataFrame:

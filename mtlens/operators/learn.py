@@ -28,8 +28,9 @@ def score_with_model(load: Callable[[], Callable[[pd.Series, pd.Series], pd.Seri
             yield model(x, y).astype("float64")
 
     c = score(F.col(a) if isinstance(a, str) else a, F.col(b) if isinstance(b, str) else b)
+    c = F.when(c.isNotNull() & ~F.isnan(c), c)  # a failed score stays missing
     if clip:
-        c = F.greatest(F.lit(0.0), F.least(F.lit(1.0), c))
+        c = F.when(c.isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(1.0), c)))
     return F.round(c, digits) if digits is not None else c
 
 
@@ -50,26 +51,40 @@ def train_pair_classifier(df: DataFrame, features: Sequence[str], label: str = "
                           out: str = "prob", max_iter: int = 50) -> DataFrame:
     """Out-of-fold P(label = 1) from a class-weighted logistic regression per fold.
 
-    Weights are N / count(class) as in the reference trainers; every row is
-    scored by the model that did not see its fold.
+    A fold's model learns from the labelled rows of the other folds alone, with weights N / count(class)
+    over those rows; every row, labelled or not, is scored by the model that did not see its fold. A
+    fold whose training rows hold fewer than two classes gets the share of positives there (null if there are none).
     """
     from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.functions import vector_to_array
 
-    counts = df.groupBy(label).agg(F.count(F.lit(1)).alias("__c"))
-    total = df.count()
-    weighted = df.join(F.broadcast(counts), label).withColumn("__w", F.lit(float(total)) / F.col("__c"))
-    vec = VectorAssembler(inputCols=list(features), outputCol="__f", handleInvalid="keep").transform(weighted)
-    vec = vec.persist()  # k fits and k predictions read the same features
-    folds = [r[0] for r in vec.select(fold).distinct().collect()]
-    parts = []
-    for i in sorted(folds):
-        lr = LogisticRegression(featuresCol="__f", labelCol=label, weightCol="__w", maxIter=max_iter)
-        model = lr.fit(vec.where(F.col(fold) != i).withColumn(label, F.col(label).cast("double")))
-        pred = model.transform(vec.where(F.col(fold) == i))
-        parts.append(pred.withColumn(out, vector_to_array("probability")[1]))
-    res = parts[0]
-    for p in parts[1:]:
-        res = res.unionByName(p)
-    return res.drop("__f", "__w", "__c", "rawPrediction", "probability", "prediction")
+    vec = VectorAssembler(inputCols=list(features), outputCol="__f", handleInvalid="keep").transform(df)
+    weights = fold_class_weights(df, label, fold).collect()  # folds x classes
+    res = None
+    for i in sorted({r["fold"] for r in weights}):
+        mine = {r["y"]: r["weight"] for r in weights if r["fold"] == i and r["weight"] is not None}
+        part = vec.where(F.col(fold) == i)
+        if len(mine) < 2:
+            part = part.withColumn(out, F.lit(float(next(iter(mine))) if mine else None).cast("double"))
+        else:
+            w = F.when(F.col(label) == 1, float(mine[1])).otherwise(float(mine[0]))
+            train = vec.where((F.col(fold) != i) & F.col(label).isNotNull()).withColumn(label, F.col(label).cast("double")).withColumn("__w", w)
+            lr = LogisticRegression(featuresCol="__f", labelCol=label, weightCol="__w", maxIter=max_iter)
+            part = lr.fit(train).transform(part).withColumn(out, vector_to_array("probability")[1])
+        part = part.select(*df.columns, out)
+        res = part if res is None else res.unionByName(part)
+    return df.withColumn(out, F.lit(None).cast("double")) if res is None else res
+
+
+def fold_class_weights(df: DataFrame, label: str = "y", fold: str = "fold") -> DataFrame:
+    """(fold, y, n_train, weight): per fold the labelled rows of the other folds by class, and N / count(class).
+
+    A fold without training rows of any class stands with null class and weight.
+    """
+    counts = df.groupBy(F.col(fold).alias("fold"), F.col(label).cast("int").alias("y")).agg(F.count(F.lit(1)).alias("n"))
+    known = counts.where(F.col("y").isNotNull()).select(F.col("fold").alias("other"), "y", "n")
+    pairs = counts.select("fold").distinct().join(F.broadcast(known), F.col("fold") != F.col("other"), "left")
+    per = pairs.groupBy("fold", "y").agg(F.sum("n").alias("n_train"))
+    total = per.groupBy(F.col("fold").alias("f2")).agg(F.sum("n_train").alias("total"))
+    return per.join(total, F.col("fold") == F.col("f2")).select("fold", "y", "n_train", (F.col("total") / F.col("n_train")).alias("weight"))

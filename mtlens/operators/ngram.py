@@ -22,6 +22,7 @@ order 2), divided by 100 and rounded to 4 as the evaluation script stores them.
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -202,39 +203,68 @@ def sentence_metrics(df: DataFrame, key: str = "row_id", hyp: str = "mt", ref: s
     return staged.join(scored, key, "left")
 
 
-def _count_stats(hb, rb, hc, rc, hw, rw, kinds: str) -> list[int]:
-    """Per-order [hyp total, ref total, clipped matches] for one pair (plain Python counters)."""
-    from collections import Counter
+BLOCK_SYMBOLS = 400_000  # characters or words in one numpy step; a longer pair is a step of its own
 
-    out: list[int] = []
 
-    def add(a: Counter, b: Counter) -> None:
-        out.extend((sum(a.values()), sum(b.values()), sum((a & b).values())))
+def _chars(texts: pd.Series) -> tuple[np.ndarray, np.ndarray]:
+    """(code points one after another, number per text)."""
+    parts = [t if isinstance(t, str) else "" for t in texts]
+    flat = np.frombuffer("".join(parts).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+    return flat, np.fromiter(map(len, parts), np.int64, len(parts))
 
-    def words(t, n):
-        t = list(t) if t is not None else []
-        return Counter(tuple(t[i:i + n]) for i in range(len(t) - n + 1))
 
-    def chars(s, n):
-        s = s or ""
-        return Counter(s[i:i + n] for i in range(len(s) - n + 1))
+def _words(tokens: pd.Series, other: pd.Series) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Both sides' words as numbers of one numbering, and their counts."""
+    sides = [[t if t is not None else () for t in side] for side in (tokens, other)]
+    lengths = [np.fromiter(map(len, side), np.int64, len(side)) for side in sides]
+    codes = pd.factorize(np.array([w for side in sides for t in side for w in t], object))[0].astype(np.int64)
+    cut = int(lengths[0].sum())
+    return codes[:cut], lengths[0], codes[cut:], lengths[1]
 
-    if "b" in kinds:
-        for n in range(1, BLEU_ORDER + 1):
-            add(words(hb, n), words(rb, n))
-    if "c" in kinds:
-        for n in range(1, CHAR_ORDER + 1):
-            add(chars(hc, n), chars(rc, n))
-    if "w" in kinds:
-        for n in range(1, WORD_ORDER + 1):
-            add(words(hw, n), words(rw, n))
+
+def _order_counts(hyp: np.ndarray, hyp_n: np.ndarray, ref: np.ndarray, ref_n: np.ndarray, top: int) -> np.ndarray:
+    """(pairs, top, 3): hypothesis total, reference total and clipped matches of each order.
+
+    A gram's number comes from its prefix's number and its next symbol; order 0 is the pair
+    itself, so numbers are exact and never shared by two pairs.
+    """
+    n = len(hyp_n)
+    flat, lengths = np.concatenate([hyp, ref]), np.concatenate([hyp_n, ref_n])
+    pair = np.repeat(np.tile(np.arange(n), 2), lengths)
+    left = np.repeat(np.cumsum(lengths), lengths) - np.arange(len(flat))
+    of_hyp = np.arange(len(flat)) < len(hyp)
+    base = int(flat.max()) + 1 if len(flat) else 1
+    out, number = np.zeros((n, top, 3), np.int64), pair.copy()
+    for k in range(1, top + 1):
+        at = np.flatnonzero(left >= k)
+        if not len(at):
+            break
+        grams, gram = np.unique(number[at] * base + flat[at + k - 1], return_inverse=True)
+        owner = np.empty(len(grams), np.int64)
+        owner[gram] = pair[at]
+        h = np.bincount(gram[of_hyp[at]], minlength=len(grams))
+        r = np.bincount(gram[~of_hyp[at]], minlength=len(grams))
+        for j, c in enumerate((h, r, np.minimum(h, r))):
+            out[:, k - 1, j] = np.bincount(owner, weights=c, minlength=n)
+        number[at] = gram
     return out
 
 
+def _in_blocks(hyp, hyp_n, ref, ref_n, top: int) -> np.ndarray:
+    """``_order_counts`` over runs of whole pairs of at most ``BLOCK_SYMBOLS`` symbols."""
+    h, r = np.concatenate([[0], np.cumsum(hyp_n)]), np.concatenate([[0], np.cumsum(ref_n)])
+    out, a, n = [], 0, len(hyp_n)
+    while a < n:
+        b = max(a + 1, int(np.searchsorted(h + r, h[a] + r[a] + BLOCK_SYMBOLS, side="right")) - 1)
+        out.append(_order_counts(hyp[h[a] : h[b]], hyp_n[a:b], ref[r[a] : r[b]], ref_n[a:b], top))
+        a = b
+    return np.concatenate(out) if out else np.zeros((0, top, 3), np.int64)
+
+
 def ngram_stats_vectorized(df: DataFrame, key: str, hyp: str, ref: str, kinds: str = "bcw") -> DataFrame:
     """``df`` plus the ``ngram_stats`` columns, without any exchange: tokens and
     stripped strings are built by JVM built-ins, then an Arrow-batched pandas UDF
-    counts the grams of each pair with hash counters (O(L) per pair)."""
+    numbers and counts the grams of whole blocks of pairs in numpy (no loop over rows)."""
     h, r = F.col(hyp), F.col(ref)
     empty = F.array().cast("array<string>")
     staged = df.select(
@@ -247,7 +277,14 @@ def ngram_stats_vectorized(df: DataFrame, key: str, hyp: str, ref: str, kinds: s
 
     @pandas_udf("array<long>")
     def count(hb: pd.Series, rb: pd.Series, hc: pd.Series, rc: pd.Series, hw: pd.Series, rw: pd.Series) -> pd.Series:
-        return pd.Series([_count_stats(*row, kinds) for row in zip(hb, rb, hc, rc, hw, rw)])
+        parts = []
+        if "b" in kinds:
+            parts.append(_in_blocks(*_words(hb, rb), BLEU_ORDER))
+        if "c" in kinds:
+            parts.append(_in_blocks(*_chars(hc), *_chars(rc), CHAR_ORDER))
+        if "w" in kinds:
+            parts.append(_in_blocks(*_words(hw, rw), WORD_ORDER))
+        return pd.Series(list(np.concatenate([p.reshape(len(hb), -1) for p in parts], axis=1)))
 
     tmp = ["_hb", "_rb", "_hc", "_rc", "_hw", "_rw"]
     st = staged.withColumn("__st", count(*[F.col(c) for c in tmp])).drop(*tmp)

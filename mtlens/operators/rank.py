@@ -20,6 +20,18 @@ from ..session import ensure_checkpoint_dir
 _LOW33 = (1 << 33) - 1
 
 
+def _with_offsets(indexed: DataFrame, groups: Sequence[str]) -> DataFrame:
+    """``indexed`` with the number of rows of its group in lower partitions (__off) and its first index here (__start); a null group is a group."""
+    counts = indexed.groupBy("__pid", *groups).agg(F.count(F.lit(1)).alias("__n"), F.min("__idx").alias("__start"))
+    w = Window.partitionBy(*groups).orderBy("__pid").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.withColumn("__off", F.coalesce(F.sum("__n").over(w), F.lit(0))).withColumnRenamed("__pid", "__p")
+    offsets = offsets.select("__p", "__start", "__off", *[F.col(g).alias(f"__g{i}") for i, g in enumerate(groups)])
+    same = F.col("__pid") == F.col("__p")
+    for i, g in enumerate(groups):
+        same = same & F.col(g).eqNullSafe(F.col(f"__g{i}"))
+    return indexed.join(offsets, same).drop("__p", *[f"__g{i}" for i in range(len(groups))])
+
+
 def dense_rank(df: DataFrame, value: str, groups: Sequence[str] = (), out: str = "rank") -> DataFrame:
     """(groups..., value, out): 0-based dense rank of ``value`` within each group."""
     spark = df.sparkSession
@@ -33,10 +45,7 @@ def dense_rank(df: DataFrame, value: str, groups: Sequence[str] = (), out: str =
         F.spark_partition_id().alias("__pid"),
         F.expr(f"monotonically_increasing_id() & {_LOW33}").alias("__idx"),
     )
-    counts = indexed.groupBy("__pid", *groups).agg(F.count(F.lit(1)).alias("__n"), F.min("__idx").alias("__start"))
-    w = Window.partitionBy(*groups).orderBy("__pid").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.withColumn("__off", F.coalesce(F.sum("__n").over(w), F.lit(0)))
-    return indexed.join(offsets, ["__pid", *groups]).select(
+    return _with_offsets(indexed, groups).select(
         *keys, (F.col("__off") + F.col("__idx") - F.col("__start")).alias(out)
     )
 
@@ -53,9 +62,6 @@ def row_number(df: DataFrame, order: Sequence[str], groups: Sequence[str] = (),
         F.spark_partition_id().alias("__pid"),
         F.expr(f"monotonically_increasing_id() & {_LOW33}").alias("__idx"),
     )
-    counts = indexed.groupBy("__pid", *groups).agg(F.count(F.lit(1)).alias("__n"), F.min("__idx").alias("__start"))
-    w = Window.partitionBy(*groups).orderBy("__pid").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.withColumn("__off", F.coalesce(F.sum("__n").over(w), F.lit(0)))
-    return indexed.join(offsets, ["__pid", *groups]).withColumn(
+    return _with_offsets(indexed, groups).withColumn(
         out, F.col("__off") + F.col("__idx") - F.col("__start")
-    ).drop("__pid", "__idx", "__n", "__start", "__off")
+    ).drop("__pid", "__idx", "__start", "__off")

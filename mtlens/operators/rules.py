@@ -16,14 +16,15 @@ The start value is 0 when the negation counts differ, else null.
 
 Two physical plans:
 
-* ``rule_decision`` embeds a lexicon of checked size as a literal map and
+* ``rule_decision`` embeds a lexicon of checked size as one constant (``lexmap``) and
   evaluates every hit inside the row with higher-order functions: no
   shuffle, no join, one pass.
-* ``antonym_hits`` explodes the distinct reference tokens, joins the lexicon
-  (broadcast behind a size check, shuffle join beyond it) and keeps hits
-  whose antonym is in the MT tokens. ``rule_decision`` falls back to it for
-  lexicons above the literal limit (one shuffle of the few hit rows, one
-  join back).
+* ``antonym_hits`` reduces both sides to their lexicon tokens first, each with
+  the flag of its first occurrence, and joins those few rows; no token array
+  crosses an explode. ``rule_decision`` takes this path for larger lexicons:
+  a decision depends on the two texts alone, so hits are found per
+  distinct pair of texts and joined back by their hashes. Both paths give the same
+  answers, with or without a row id and with repeated ones.
 """
 
 from __future__ import annotations
@@ -34,9 +35,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import NEG_RULE, lexicon_array, neg_count, strip, tokens_word
+from .lexmap import embedded, text_key
 
-# Lexicons up to this many entries are embedded in the plan as literals.
-LITERAL_LEXICON_LIMIT = 20_000
 # Lexicon tables up to this many rows are broadcast in the join path.
 BROADCAST_LEXICON_LIMIT = 2_000_000
 
@@ -66,12 +66,6 @@ def antonym_lexicon(rows: DataFrame, seq: str = "seq", word: str = "word", anton
     return both.join(first, "word").select("word", "antonym", "word_pos", "anto_pos")
 
 
-def _collect_checked(df: DataFrame, limit: int) -> list | None:
-    """Collect a lexicon only when its size is proven below ``limit``."""
-    rows = df.limit(limit + 1).collect()
-    return None if len(rows) > limit else rows
-
-
 def _adjacent_neg(target: Column, toks: Column, neg: Column, window: int = 2) -> Column:
     """Negation within ``window`` tokens of the first occurrence of target."""
     p = F.array_position(toks, target).cast("int")
@@ -81,11 +75,6 @@ def _adjacent_neg(target: Column, toks: Column, neg: Column, window: int = 2) ->
     return (p > 0) & F.exists(F.concat(left, right), lambda t: F.array_contains(neg, t))
 
 
-def _side_info(toks: Column, cand: Column, neg: Column) -> Column:
-    """array<struct<tok, adj>> for the distinct lexicon tokens of one side."""
-    return F.transform(cand, lambda t: F.struct(t.alias("tok"), _adjacent_neg(t, toks, neg).alias("adj")))
-
-
 def _info_has(info: Column, t: Column) -> Column:
     return F.exists(info, lambda x: x["tok"] == t)
 
@@ -115,66 +104,64 @@ def rule_decision(
     mt: str = "mt",
     out: str = "d_rule",
     split_danda: bool = False,
+    limit: int | None = None,
 ) -> DataFrame:
-    """Add ``out`` (int, nullable): 0 penalty, 1 reward, null no trigger."""
-    entries = _collect_checked(lexicon.select("word", "antonym", "word_pos", "anto_pos"), LITERAL_LEXICON_LIMIT)
-    if entries is None:
+    """Add ``out`` (int, nullable): 0 penalty, 1 reward, null no trigger.
+
+    ``limit``: the most lexicon rows that are embedded; it picks the plan, never the answer.
+    """
+    lookup = embedded(lexicon, "word", [("antonym", "string"), ("word_pos", "bigint"), ("anto_pos", "bigint")], ["word_pos", "anto_pos"], limit)
+    if lookup is None:
         return _rule_decision_join(df, lexicon, negations, ref, mt, out, split_danda)
     neg = lexicon_array(negations)
-    by_word: dict[str, list] = {}
-    for r in sorted(entries, key=lambda r: (r.word_pos, r.anto_pos)):
-        by_word.setdefault(r.word, []).append((r.antonym, r.word_pos, r.anto_pos))
-    keys = sorted(by_word)
-    lex_words = list(by_word)
-    entry_t = "array<struct<antonym:string,word_pos:bigint,anto_pos:bigint>>"
-    lex_map = F.map_from_arrays(
-        F.array(*[F.lit(k) for k in keys]).cast("array<string>"),
-        F.array(
-            *[
-                F.array(*[F.struct(F.lit(a).alias("antonym"), F.lit(wp).cast("bigint").alias("word_pos"),
-                                   F.lit(ap).cast("bigint").alias("anto_pos")) for a, wp, ap in by_word[k]])
-                for k in keys
-            ]
-        ).cast(f"array<{entry_t}>"),
-    )
     ref_t, mt_t = F.col("__ref_t"), F.col("__mt_t")
     n_ref, n_mt = F.col("__n_ref"), F.col("__n_mt")
 
-    def cand(toks: Column) -> Column:
-        return F.filter(F.array_distinct(toks), lambda t: t.isin(lex_words))
-
-    staged = df.withColumns(
-        {
-            "__ref_t": tokens_word(ref, split_danda),
-            "__mt_t": tokens_word(mt, split_danda),
-        }
-    ).withColumns({"__n_ref": neg_count(ref_t, negations), "__n_mt": neg_count(mt_t, negations)})
-    staged = staged.withColumns(
-        {"__ref_i": _side_info(ref_t, cand(ref_t), neg), "__mt_i": _side_info(mt_t, cand(mt_t), neg)}
-    )
+    def known(toks: Column) -> Column:
+        """The distinct lexicon tokens of a side with their entries."""
+        found = F.transform(F.array_distinct(toks), lambda t: F.struct(t.alias("tok"), lookup(t).alias("entries")))
+        return F.filter(found, lambda x: x["entries"].isNotNull())
+
+    def with_flags(found: Column, toks: Column) -> Column:
+        return F.transform(found, lambda x: F.struct(x["tok"].alias("tok"), x["entries"].alias("entries"), _adjacent_neg(x["tok"], toks, neg).alias("adj")))
+
+    staged = df.withColumns({"__ref_t": tokens_word(ref, split_danda), "__mt_t": tokens_word(mt, split_danda)})
+    staged = staged.withColumns({"__n_ref": neg_count(ref_t, negations), "__n_mt": neg_count(mt_t, negations), "__ref_k": known(ref_t), "__mt_k": known(mt_t)})
+    staged = staged.withColumns({"__ref_i": with_flags(F.col("__ref_k"), ref_t), "__mt_i": with_flags(F.col("__mt_k"), mt_t)})
     ref_i, mt_i = F.col("__ref_i"), F.col("__mt_i")
     hits = F.flatten(
         F.transform(
             ref_i,
             lambda r: F.transform(
-                F.filter(F.element_at(lex_map, r["tok"]), lambda e: _info_has(mt_i, e["antonym"])),
+                F.filter(r["entries"], lambda e: _info_has(mt_i, e["antonym"])),
                 lambda e: F.struct(
                     e["word_pos"].alias("word_pos"),
                     e["anto_pos"].alias("anto_pos"),
-                    _hit_value(
-                        r["tok"], e["antonym"],
-                        F.transform(F.element_at(lex_map, r["tok"]), lambda x: x["antonym"]),
-                        ref_i, mt_i, n_ref, n_mt,
-                    ).alias("v"),
+                    _hit_value(r["tok"], e["antonym"], F.transform(r["entries"], lambda x: x["antonym"]), ref_i, mt_i, n_ref, n_mt).alias("v"),
                 ),
             ),
         )
     )
-    written = F.array_sort(F.filter(hits, lambda h: h["v"].isNotNull()))
-    last = F.element_at(written, -1)["v"]
+    # the written hits are a column of their own: they are read twice
+    staged = staged.withColumn("__w", F.array_sort(F.filter(hits, lambda h: h["v"].isNotNull())))
     start = F.when(n_mt != n_ref, F.lit(0))
-    result = F.when(F.size(written) > 0, last).otherwise(start).cast("int")
-    return staged.withColumn(out, result).drop("__ref_t", "__mt_t", "__n_ref", "__n_mt", "__ref_i", "__mt_i")
+    result = F.when(F.size("__w") > 0, F.element_at(F.col("__w"), -1)["v"]).otherwise(start).cast("int")
+    return staged.withColumn(out, result).drop("__ref_t", "__mt_t", "__n_ref", "__n_mt", "__ref_k", "__mt_k", "__ref_i", "__mt_i", "__w")
+
+
+def _side_rows(staged: DataFrame, toks: str, negations: Iterable[str], lex_words: DataFrame, carry: list[str]) -> DataFrame:
+    """(carry..., tok, adj): the lexicon tokens of one side; adj: a negation within two tokens of the first occurrence."""
+    neg = lexicon_array(negations)
+    flags = F.transform(toks, lambda t: F.array_contains(neg, t))
+    rows = staged.select(*carry, toks, flags.alias("__neg"))
+
+    def at(i: Column) -> Column:
+        return F.coalesce(F.get("__neg", i.cast("int")), F.lit(False))
+
+    near = F.transform("__neg", lambda _, i: at(i - 2) | at(i - 1) | at(i + 1) | at(i + 2))
+    rows = rows.select(*carry, toks, near.alias("__near")).select(*carry, F.posexplode(F.arrays_zip(F.col(toks).alias("tok"), F.col("__near").alias("near"))).alias("pos", "x"))
+    rows = rows.select(*carry, "pos", F.col("x.tok").alias("tok"), F.col("x.near").alias("near")).join(lex_words, F.col("tok") == F.col("__word"), "left_semi")
+    return rows.groupBy(*carry, "tok").agg(F.min_by("near", "pos").alias("adj"))
 
 
 def antonym_hits(
@@ -187,37 +174,37 @@ def antonym_hits(
     split_danda: bool = False,
 ) -> DataFrame:
     """One row per hit: key, word, antonym, word_pos, anto_pos, n_ref, n_mt,
-    neg_adjacent, cross_antonym, v (the value the hit writes, or null)."""
-    neg = lexicon_array(negations)
+    neg_adjacent, cross_antonym, v (the value the hit writes, or null).
+
+    Rows equal in key and texts give their hits once."""
     lex = lexicon.select("word", "antonym", "word_pos", "anto_pos")
-    antos = lex.groupBy("word").agg(F.collect_list("antonym").alias("antos"))
-    lex = lex.join(antos, "word")
-    n = lexicon.count()
-    if n <= BROADCAST_LEXICON_LIMIT:
-        lex = F.broadcast(lex)
-    ref_t, mt_t = F.col("__ref_t"), F.col("__mt_t")
+    lex_words = lex.select(F.col("word").alias("__word")).distinct()
+    if lex.limit(BROADCAST_LEXICON_LIMIT + 1).count() <= BROADCAST_LEXICON_LIMIT:
+        lex, lex_words = F.broadcast(lex), F.broadcast(lex_words)
     staged = df.select(
-        F.col(key).alias(key), tokens_word(ref, split_danda).alias("__ref_t"), tokens_word(mt, split_danda).alias("__mt_t")
-    ).select(
-        key, "__ref_t", "__mt_t",
-        neg_count(ref_t, negations).alias("n_ref"),
-        neg_count(mt_t, negations).alias("n_mt"),
-    )
-    # Only the distinct tokens travel through the join, with their own
-    # adjacency flags; the MT side is reduced the same way below.
-    exploded = staged.select(
-        key, "n_ref", "n_mt", "__ref_t", "__mt_t", F.explode(F.array_distinct(ref_t)).alias("word")
+        F.struct(F.col(key).alias("key"), text_key(ref, mt).alias("text")).alias("__k"),
+        tokens_word(ref, split_danda).alias("__ref_t"), tokens_word(mt, split_danda).alias("__mt_t"),
     )
-    joined = exploded.join(lex, "word").where(F.array_contains(mt_t, F.col("antonym")))
-    w, a = F.col("word"), F.col("antonym")
-    adj_mt = _adjacent_neg(a, mt_t, neg) | _adjacent_neg(w, mt_t, neg)
-    adj_ref = _adjacent_neg(w, ref_t, neg) | _adjacent_neg(a, ref_t, neg)
-    cross = F.exists(F.col("antos"), lambda x: F.array_contains(mt_t, x) & F.array_contains(ref_t, x))
-    return joined.select(
-        key, "word", "antonym", "word_pos", "anto_pos", "n_ref", "n_mt",
+    staged = staged.withColumns({"n_ref": neg_count(F.col("__ref_t"), negations), "n_mt": neg_count(F.col("__mt_t"), negations)})
+    ref_rows = _side_rows(staged, "__ref_t", negations, lex_words, ["__k", "n_ref", "n_mt"])
+    mt_rows = _side_rows(staged, "__mt_t", negations, lex_words, ["__k"])
+
+    def side(rows: DataFrame, tok: str, adj: str) -> DataFrame:
+        return rows.select("__k", F.col("tok").alias(tok), F.col("adj").alias(adj))
+
+    hits = ref_rows.withColumnRenamed("tok", "word").withColumnRenamed("adj", "ref_w").join(lex, "word")
+    hits = hits.join(side(mt_rows, "antonym", "mt_a"), ["__k", "antonym"])
+    hits = hits.join(side(mt_rows, "word", "mt_w"), ["__k", "word"], "left").join(side(ref_rows, "antonym", "ref_a"), ["__k", "antonym"], "left")
+    # an antonym of the word that both sides hold is itself one of the word's hits
+    crossed = hits.groupBy("__k", "word").agg(F.max(F.col("ref_a").isNotNull()).alias("cross"))
+    hits = hits.join(crossed, ["__k", "word"])
+    adj_mt = F.col("mt_a") | F.coalesce("mt_w", F.lit(False))
+    adj_ref = F.col("ref_w") | F.coalesce("ref_a", F.lit(False))
+    return hits.select(
+        F.col("__k.key").alias(key), "word", "antonym", "word_pos", "anto_pos", "n_ref", "n_mt",
         (adj_mt != adj_ref).alias("neg_adjacent"),
-        cross.alias("cross_antonym"),
-        F.when(cross, F.lit(1))
+        F.col("cross").alias("cross_antonym"),
+        F.when(F.col("cross"), F.lit(1))
         .when(F.col("n_mt") == F.col("n_ref"), F.lit(0))
         .when(adj_mt != adj_ref, F.lit(1))
         .cast("int")
@@ -225,17 +212,10 @@ def antonym_hits(
     )
 
 
-def _rule_decision_join(df, lexicon, negations, ref, mt, out, split_danda, key="row_id"):
-    hits = antonym_hits(df, lexicon, negations, key, ref, mt, split_danda)
-    per_row = (
-        hits.where(F.col("v").isNotNull())
-        .groupBy(key)
-        .agg(F.max_by("v", F.struct("word_pos", "anto_pos")).alias("__hit_v"))
-    )
-    ref_t, mt_t = tokens_word(ref, split_danda), tokens_word(mt, split_danda)
-    start = F.when(neg_count(ref_t, negations) != neg_count(mt_t, negations), F.lit(0))
-    return (
-        df.join(per_row, key, "left")
-        .withColumn(out, F.coalesce(F.col("__hit_v"), start).cast("int"))
-        .drop("__hit_v")
-    )
+def _rule_decision_join(df, lexicon, negations, ref, mt, out, split_danda):
+    pairs = df.select(text_key(ref, mt).alias("__t"), F.col(ref).alias("__ref"), F.col(mt).alias("__mt")).dropDuplicates(["__t"])
+    hits = antonym_hits(pairs, lexicon, negations, "__t", "__ref", "__mt", split_danda)
+    per_text = hits.where(F.col("v").isNotNull()).groupBy("__t").agg(F.max_by("v", F.struct("word_pos", "anto_pos")).alias("__hit_v"))
+    start = F.when(neg_count(tokens_word(ref, split_danda), negations) != neg_count(tokens_word(mt, split_danda), negations), F.lit(0))
+    keyed = df.withColumn("__key", text_key(ref, mt))
+    return keyed.join(per_text, F.col("__key") == F.col("__t"), "left").withColumn(out, F.coalesce(F.col("__hit_v"), start).cast("int")).drop("__hit_v", "__key", "__t")

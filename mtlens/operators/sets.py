@@ -17,11 +17,11 @@ def union_samples(*tables: DataFrame) -> DataFrame:
 
 
 def dedup_first(df: DataFrame, keys: Sequence[str] = ("src", "mt", "ref"), order: str = "row_id") -> DataFrame:
-    """Keep the first row (smallest ``order``) per key; null keys group together.
+    """Keep the first row (smallest ``order``, null last) per key; null keys group together.
 
     ``min_by`` aggregates partially on the map side, so a hot key costs one
     partial row per task, not a skewed shuffle.
     """
     cols = [c for c in df.columns]
-    kept = df.groupBy(*keys).agg(F.min_by(F.struct(*cols), F.col(order)).alias("__r"))
+    kept = df.groupBy(*keys).agg(F.min_by(F.struct(*cols), F.struct(F.col(order).isNull().alias("n"), F.col(order).alias("o"))).alias("__r"))
     return kept.select("__r.*")

@@ -19,7 +19,7 @@ def safe_pearson(x: Column | str, y: Column | str) -> Column:
     n = F.count(xx)
     ok = (n >= 2) & (F.min(xx) < F.max(xx)) & (F.min(yy) < F.max(yy))
     r = F.try_divide(F.covar_pop(xx, yy), F.stddev_pop(xx) * F.stddev_pop(yy))
-    return F.when(ok, F.least(F.lit(1.0), F.greatest(F.lit(-1.0), r)))
+    return F.when(ok & r.isNotNull(), F.least(F.lit(1.0), F.greatest(F.lit(-1.0), r)))
 
 
 def pair_count(x: Column | str, y: Column | str) -> Column:

@@ -11,23 +11,20 @@ from .corpus import PAD, PAD_ID, UNK, UNK_ID
 def mean_pool(pieces: DataFrame, word: str = "word", pos: str = "pos", vec: str = "vec", seed: int = 0) -> DataFrame:
     """(word, vec array<double>): mean of the piece vectors leaving out the first and last position.
 
-    One groupBy(word); the pieces of one word are few, so collecting them per
-    word is bounded. Words with at most two pieces get a seeded
-    pseudo-random uniform(-0.25, 0.25) vector.
+    Both aggregations are partial on the map side (first the range of positions, then one sum
+    per word and dimension), so a word with any number of pieces is collected nowhere. Words with at most
+    two pieces get a seeded pseudo-random uniform(-0.25, 0.25) vector.
     """
-    g = pieces.groupBy(word).agg(
-        F.collect_list(F.struct(F.col(pos).alias("p"), F.col(vec).cast("array<double>").alias("v"))).alias("__pc"),
-        F.min(pos).alias("__lo"), F.max(pos).alias("__hi"), F.count(F.lit(1)).alias("__n"),
-    )
-    inner = F.transform(F.filter("__pc", lambda s: (s["p"] > F.col("__lo")) & (s["p"] < F.col("__hi"))),
-                        lambda s: s["v"])
-    dim = F.size(F.element_at(F.col("__pc"), 1)["v"])
-    zero = F.array_repeat(F.lit(0.0), dim)
-    total = F.aggregate(inner, zero, lambda acc, v: F.zip_with(acc, v, lambda a, b: a + b))
-    mean = F.transform(total, lambda x: x / F.size(inner))
-    rnd = F.transform(F.sequence(F.lit(1), dim),
+    rows = pieces.select(F.col(word).alias(word), F.col(pos).alias("p"), F.col(vec).cast("array<double>").alias("v"))
+    g = rows.groupBy(word).agg(F.min("p").alias("lo"), F.max("p").alias("hi"), F.count(F.lit(1)).alias("n"), F.max(F.size("v")).alias("dim"))
+    inner = rows.join(g.select(F.col(word).alias("__w"), "lo", "hi"), F.col(word).eqNullSafe(F.col("__w"))).where((F.col("p") > F.col("lo")) & (F.col("p") < F.col("hi")))
+    means = inner.select(word, F.posexplode("v").alias("i", "x")).groupBy(word, "i").agg(F.avg("x").alias("x"))
+    mean = means.groupBy(F.col(word).alias("__w")).agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "x"))), lambda s: s["x"]).alias("mean"))
+    rnd = F.transform(F.sequence(F.lit(1), F.col("dim")),
                       lambda i: (F.pmod(F.xxhash64(F.col(word), i, F.lit(seed)), F.lit(1_000_003)) / 1_000_002.0) * 0.5 - 0.25)
-    return g.select(word, F.when(F.col("__n") > 2, mean).otherwise(rnd).alias("vec"))
+    zero = F.array_repeat(F.lit(0.0), F.col("dim"))
+    joined = g.join(mean, F.col(word).eqNullSafe(F.col("__w")), "left")
+    return joined.select(word, F.when(F.col("n") > 2, F.coalesce("mean", zero)).otherwise(rnd).alias("vec"))
 
 
 def reduce_dims(df: DataFrame, k: int, vec: str = "vec", out: str = "vec_k") -> DataFrame:

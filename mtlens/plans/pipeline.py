@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import NEG_RULE
@@ -30,19 +30,24 @@ def refine(
     d_contra: str = "d_contra",
     d_para: str = "d_para",
     lean: bool = False,
+    scorers: dict[str, Column] | None = None,
 ) -> DataFrame:
     """Add d_rule, d_contra, d_para, d_score (rounded to 4), stage_resolved and <metric>_adj.
 
     The adjustment uses the unrounded decision; only stored columns are rounded.
-    ``lean=True`` nulls the neural signals on rows the rule already decided
-    (the short-circuit the cascade describes) so a scorer behind them is
-    only evaluated where needed.
+    ``scorers`` compute ``d_contra`` / ``d_para`` (columns such as ``score_with_model`` gives) where the table
+    does not hold them. With ``lean=True`` they run on the rows that the rule left open alone (the
+    short-circuit of the cascade): decided rows are split off first and keep null there.
     """
-    require_columns(df, [*REQUIRED, d_contra, d_para])
+    scorers = scorers or {}
+    require_columns(df, [*REQUIRED, *[c for c in (d_contra, d_para) if c not in scorers]])
     out = rules.rule_decision(df, lexicon, negations)
-    if lean:
-        out = out.withColumns({d_contra: F.when(F.col("d_rule").isNull(), F.col(d_contra)),
-                               d_para: F.when(F.col("d_rule").isNull(), F.col(d_para))})
+    if scorers and lean:
+        nothing = {name: F.lit(None).cast("double") for name in scorers}
+        undecided = F.col("d_rule").isNull()
+        out = out.where(undecided).withColumns(scorers).unionByName(out.where(~undecided).withColumns(nothing))
+    elif scorers:
+        out = out.withColumns(scorers)
     out = out.withColumn("__d", A.select_decision("d_rule", d_contra, d_para))
     out = A.adjust_all(out, metrics, d="__d", tau=tau)
     return out.withColumns(

@@ -165,7 +165,7 @@ def q_cross_antonym(spark, sf_dir):
 
 
 RULE_SQL = HITS_SQL + """,
-last_hit as (select row_id, arg_max(v, word_pos * 1000000 + anto_pos) as hv from hv where v is not null group by row_id),
+last_hit as (select row_id, list(v order by word_pos, anto_pos)[-1] as hv from hv where v is not null group by row_id),
 rule as (select t.row_id, cast(coalesce(lh.hv, case when t.n_mt <> t.n_ref then 0 end) as integer) as d_rule
          from tn t left join last_hit lh using (row_id))"""
 
@@ -601,7 +601,7 @@ def q_paraphrase_pairs(spark, sf_dir):
 
 @register("contradiction_pairs", f"""with {CLEAN_SQL}, {S.FX_LEX},
 best as (select word, min(antonym) as ant from fx_lex group by word),
-tk as (select pair_id, {S.tokens_ws('s1')} as a, {S.tokens_ws('s2')} as b from pp),
+tk as (select pair_id, s1, s2, {S.tokens_ws('s1')} as a, {S.tokens_ws('s2')} as b from pp),
 lx as (select list(word) as ws from best),
 ix as (select tk.*,
   list_position(list_transform(a, lambda t: list_contains(lx.ws, lower(t))), true) as ia,
@@ -609,7 +609,7 @@ ix as (select tk.*,
 select pair_id,
   case when ia is not null then array_to_string(a[1:ia - 1] || [(select ant from best where word = lower(a[ia]))] || a[ia + 1:], ' ')
        else array_to_string(b[1:ib - 1] || [(select ant from best where word = lower(b[ib]))] || b[ib + 1:], ' ') end as s1,
-  case when ia is not null then array_to_string(b, ' ') else array_to_string(a, ' ') end as s2,
+  case when ia is not null then s2 else s1 end as s2,
   0 as label
 from ix where ia is not null or ib is not null""")
 def q_contradiction_pairs(spark, sf_dir):
@@ -619,8 +619,8 @@ def q_contradiction_pairs(spark, sf_dir):
 
 
 VOCAB_SQL = f"""{S.FX_CORPUS},
-words as (select distinct unnest({S.tokens_ws('s1')}) as word from fx_corpus
-          union select distinct unnest({S.tokens_ws('s2')}) from fx_corpus),
+words as (select word from (select distinct unnest({S.tokens_ws('s1')}) as word from fx_corpus
+          union select distinct unnest({S.tokens_ws('s2')}) from fx_corpus) where word not in ('<PAD>', '<UNK>')),
 vocab as (select '<PAD>' as word, 0 as idx union all select '<UNK>', 1
           union all select word, cast(row_number() over (order by word) + 1 as bigint) from words)"""
 
@@ -631,8 +631,8 @@ def q_build_vocab(spark, sf_dir):
 
 
 @register("encode_tokens", OVERLAP_SQL + f""",
-words as (select distinct unnest({S.tokens_ws('ref')}) as word from fx_pairs
-          union select distinct unnest({S.tokens_ws('mt')}) from fx_pairs),
+words as (select word from (select distinct unnest({S.tokens_ws('ref')}) as word from fx_pairs
+          union select distinct unnest({S.tokens_ws('mt')}) from fx_pairs) where word not in ('<PAD>', '<UNK>')),
 vocab as (select '<PAD>' as word, 0 as idx union all select '<UNK>', 1
           union all select word, cast(row_number() over (order by word) + 1 as bigint) from words),
 seqs as (select row_id, 't1' as seq, t1 as toks from ov union all select row_id, 't2', t2 from ov
@@ -726,7 +726,7 @@ def q_fold_split(spark, sf_dir):
 
 
 @register("oof_scores", f"""with recursive {FOLDS_SQL},
-best as (select src, mt, ref, arg_max(d_para, fold * 10000000000000 + row_id) as oof_score from fp group by src, mt, ref)
+best as (select src, mt, ref, list(d_para order by fold, row_id)[-1] as oof_score from fp group by src, mt, ref)
 select p.row_id, round(b.oof_score, 6) as oof_score from fp p join best b
   on p.src is not distinct from b.src and p.mt is not distinct from b.mt and p.ref is not distinct from b.ref""")
 def q_oof_scores(spark, sf_dir):
@@ -760,11 +760,33 @@ def q_pick_best(spark, sf_dir):
                                      "best_bal_acc"))
 
 
+@register("reduce_dims_norms", f"""with {PIECES_SQL},
+mu as (select dim, avg(value) as m from pool group by dim)
+select word, round(sum((value - m) * (value - m)), 6) as norm2 from pool join mu using (dim) group by word""")
+def q_reduce_dims_norms(spark, sf_dir):
+    """At full rank the projection keeps the length of every centred vector, whatever the signs."""
+    red = VE.reduce_dims(VE.mean_pool(fx.pieces(spark, sf_dir)), 64)
+    norm = F.aggregate("vec_k", F.lit(0.0), lambda acc, v: acc + v * v)
+    return round_doubles(red.select("word", norm.alias("norm2")))
+
+
+@register("fold_class_weights", f"""with recursive {FOLDS_SQL},
+lab as (select fold, case when {S.is_p()} then 1 when {S.is_np()} then 0 end as y from fp),
+per as (select f.fold, l.y, count(*) as n_train from (select distinct fold from lab) f join lab l on l.fold <> f.fold where l.y is not null group by f.fold, l.y)
+select cast(fold as integer) as fold, cast(y as integer) as y, cast(n_train as bigint) as n_train,
+  round(sum(n_train) over (partition by fold) / n_train, 6) as weight from per""")
+def q_fold_class_weights(spark, sf_dir):
+    label = T.strip("label")
+    y = F.when(label == "P", 1).when(label == "NP", 0)
+    return round_doubles(LE.fold_class_weights(folded(spark, sf_dir).withColumn("y", y)).select("fold", "y", F.col("n_train").cast("bigint"), "weight"))
+
+
 @register("train_pair_classifier")
 def q_train_pair_classifier(spark, sf_dir):
     fp = folded(spark, sf_dir)
     feats = FE.contra_features(FE.para_features(fp, fx_lexicon(spark), negations=fx.FX_NEG), negations=fx.FX_NEG)
-    y = R.encode_label("label")["y_para"]
+    label = T.strip("label")
+    y = F.when(label == "P", 1).when(label == "NP", 0)  # unlabelled rows are scored, not learnt from
     flat = feats.select("row_id", "fold", y.alias("y"),
                         *[F.col("para_f")[i].alias(f"p{i}") for i in range(4)],
                         *[F.col("contra_f")[i].alias(f"c{i}") for i in range(3)])

@@ -60,9 +60,9 @@ def unit(row_id: str, mult: int) -> str:
 CAT_LIST = str_list(CATEGORIES)
 
 LINE_PAIRS = f"""
-lp0 as (select doc_id, source, lang, string_split(text, chr(10)) as ls from documents),
-lp1 as (select doc_id, source, lang, ls, unnest(generate_series(0, len(ls) - 2)) as i from lp0),
-lp as (select doc_id, source, lang, i, ls[i + 1] as ref, ls[i + 2] as mt from lp1)"""
+lp0 as (select doc_id, source, lang, string_split(coalesce(text, ''), chr(10)) as ls from documents),
+lp1 as (select doc_id, source, lang, ls, unnest(generate_series(0, greatest(len(ls) - 2, 0))) as i from lp0),
+lp as (select doc_id, source, lang, i, ls[i + 1] as ref, ls[least(i + 2, len(ls))] as mt from lp1)"""
 
 FX_PAIRS = LINE_PAIRS + f""",
 fx_pairs as (

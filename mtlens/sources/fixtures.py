@@ -5,8 +5,8 @@ sample-shaped DataFrames; all work grows with the input tables (no subsets,
 no prefixes, no row caps).
 
 * ``pairs``   -- one row per pair of consecutive lines of a document
-  (``ref`` = line i, ``mt`` = line i+1). Built inside each row with
-  ``zip_with`` on the split lines: no shuffle, no window.
+  (``ref`` = line i, ``mt`` = line i+1), the line with itself if there is only one.
+  Built inside each row with ``zip_with`` on the split lines: no shuffle, no window.
 * ``human``   -- human scores keyed by (ref, mt), unique per key.
 * ``scores``  -- one row per lineitem with three metric-like columns.
 * ``events``  -- continuous scores for Kendall.
@@ -20,12 +20,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import DISSIMILAR_CATEGORIES, SIMILAR_CATEGORIES
 
-CATEGORIES = (
-    "Word_synm", "Mixd_lang", "Negt_anto", "Identical", "Fluent", "Default_similar",
-    "Anto_flip", "Negt_flip", "Gend_flip", "Sing_plul", "Tens_chng",
-    "Word_ordr", "Word_rplc", "Add_extra", "Omission", "Neutral", "Default_dissimilar",
-)
-assert set(CATEGORIES) == set(SIMILAR_CATEGORIES) | set(DISSIMILAR_CATEGORIES)
+CATEGORIES = SIMILAR_CATEGORIES + DISSIMILAR_CATEGORIES
 
 # Fixture lexicons for the invented en/fr/de/es prose (fixed values).
 FX_NEG = ("nicht", "pas", "no", "with")
@@ -33,7 +28,7 @@ FX_ANTO = (("le", "la"), ("der", "die"), ("el", "los"), ("the", "that"), ("and",
 
 FX_METRICS = ("m_comet", "m_bertscore", "m_bleurt")
 
-ROW_STRIDE = 1_000_000  # row_id = doc_id * ROW_STRIDE + line index
+ROW_STRIDE = 1 << 31  # row_id = doc_id * ROW_STRIDE + line index; an array has fewer lines, an id too large raises
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -45,27 +40,24 @@ def _unit(row_id: Column, mult: int) -> Column:
     return (F.pmod(F.pmod(row_id, F.lit(10007)) * mult, F.lit(10007))).cast("double") / 10006
 
 
-def spread(df: DataFrame, key: str) -> DataFrame:
-    """Hash-distribute a scan that arrived in fewer partitions than there are cores.
+def spread(df: DataFrame, key: str, partitions: int | None) -> DataFrame:
+    """Hash-distribute a scan over ``partitions`` (None or 0: leave it as it is).
 
-    A large input already arrives in many splits and is left alone (no
-    shuffle); a small file of one row group would otherwise run every
-    per-row text function in a single task.
+    For small files of one row group, which would run every per-row text function in a single task;
+    it shuffles the whole input, so it is asked for (``spark.mtlens.spread``), never inferred.
     """
-    par = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < par:
-        return df.repartition(par, key)
-    return df
+    return df.repartition(partitions, key) if partitions else df
 
 
 def line_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, i, source, lang, ref, mt): consecutive lines of each document."""
-    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text"), "doc_id")
-    lines = F.split(F.col("text"), "\n", -1)
+    partitions = int(spark.conf.get("spark.mtlens.spread", "0"))
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text"), "doc_id", partitions)
+    lines = F.split(F.coalesce("text", F.lit("")), "\n", -1)
     n = F.size(lines)
     zipped = F.zip_with(
-        F.slice(lines, 1, F.greatest(n - 1, F.lit(0))),
-        F.slice(lines, 2, F.greatest(n - 1, F.lit(0))),
+        F.slice(lines, 1, F.greatest(n - 1, F.lit(1))),
+        F.slice(lines, F.least(n, F.lit(2)), F.greatest(n - 1, F.lit(1))),
         lambda a, b: F.struct(a.alias("ref"), b.alias("mt")),
     )
     return docs.select("doc_id", "source", "lang", F.posexplode(zipped).alias("i", "p")).select(

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 
 
 def require_columns(df: DataFrame, required: Iterable[str]) -> None:
@@ -56,6 +56,35 @@ def scan_human_jsonl(spark: SparkSession, path: str, extra: tuple[str, ...] = ()
     return out
 
 
+def row_order() -> Column:
+    """File, block and position of a row of a file scan, in reading order: the order key for "keep the first"."""
+    return F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"))
+
+
+def scan_train_jsonl(spark: SparkSession, path: str, score: str) -> DataFrame:
+    """(src, mt, ref, score, row_order) from training JSONL with the keys Source, Translation, Reference and the chosen score field."""
+    names = {"src": "Source", "mt": "Translation", "ref": "Reference"}
+    raw = spark.read.schema(StructType([StructField(f, StringType()) for f in (*names.values(), score)])).json(path)
+    return raw.select(*[strip(F.col(c)).alias(n) for n, c in names.items()], F.expr(f"try_cast(`{score}` as double)").alias("score"), row_order().alias("row_order"))
+
+
+def scan_antonyms(spark: SparkSession, path: str, word: str = "word_hi", antonym: str = "antonym_hi") -> DataFrame:
+    """(seq, word, antonym) from an antonym CSV with header; ``seq`` numbers the rows in file order from 0."""
+    from ..operators.rank import row_number
+
+    schema = StructType([StructField(c, StringType()) for c in (word, antonym)])
+    rows = spark.read.schema(schema).option("header", True).option("escape", '"').csv(path)
+    rows = rows.select(F.col(word).alias("word"), F.col(antonym).alias("antonym"), row_order().alias("o"))
+    return row_number(rows, ["o"], (), "seq").select("seq", "word", "antonym")
+
+
+def scan_human_csv(spark: SparkSession, path: str) -> DataFrame:
+    """(ref, mt, human_score) from a CSV with header; texts stripped, a score that is no number is null."""
+    schema = StructType([StructField(c, StringType()) for c in ("ref", "mt", "human_score")])
+    raw = spark.read.schema(schema).option("header", True).option("escape", '"').option("multiLine", True).csv(path)
+    return raw.select(strip(F.col("ref")).alias("ref"), strip(F.col("mt")).alias("mt"), F.expr("try_cast(human_score as double)").alias("human_score"))
+
+
 def scan_pair_tsv(spark: SparkSession, path: str) -> DataFrame:
     """(line_no-free) pairs from ``s1 \\t s2 [\\t ...]`` lines: blank, short and undecodable lines dropped."""
     from ..operators.corpus import clean_pairs
@@ -76,13 +105,16 @@ def scan_labelled_tsv(spark: SparkSession, path: str) -> tuple[DataFrame, DataFr
 
 def write_results(df: DataFrame, path: str, fmt: str = "parquet", partition_by: tuple[str, ...] = (),
                   mode: str = "overwrite") -> None:
-    """Write a result table (parquet, csv with header, or json lines)."""
+    """Write a result table (parquet, csv with header, tsv without, or json lines)."""
     w = df.write.mode(mode)
     if partition_by:
         w = w.partitionBy(*partition_by)
     if fmt == "csv":
         (w.option("header", True).option("escape", '"').option("ignoreLeadingWhiteSpace", False)
          .option("ignoreTrailingWhiteSpace", False).csv(path))
+    elif fmt == "tsv":
+        (w.option("header", False).option("sep", "\t").option("quote", "").option("ignoreLeadingWhiteSpace", False)
+         .option("ignoreTrailingWhiteSpace", False).csv(path))
     elif fmt == "json":
         w.json(path)
     else:

@@ -9,7 +9,7 @@ def _decide(spark, pairs, lex_rows, negations=None, join_path=False):
     df = spark.createDataFrame([(i, r, m) for i, (r, m) in enumerate(pairs)], "row_id long, ref string, mt string")
     kw = {} if negations is None else {"negations": negations}
     if join_path:
-        out = rules._rule_decision_join(df, lex, kw.get("negations", rules.NEG_RULE), "ref", "mt", "d_rule", False)
+        out = rules.rule_decision(df, lex, **kw, limit=0)
     else:
         out = rules.rule_decision(df, lex, **kw)
     return [r.d_rule for r in out.orderBy("row_id").collect()]
@@ -58,3 +58,40 @@ def test_lexicon_positions(spark):
     assert rows[("a", "c")] == (0, 2)
     assert rows[("b", "d")] == (1, 4)   # stripped, same key as before
     assert rows[("d", "b")] == (5, 5)
+
+
+def test_plans_agree_without_and_with_repeated_ids(spark):
+    """The size of the lexicon picks the plan, never the answer."""
+    import random
+
+    from mtlens.operators import corpus, features
+
+    rng = random.Random(4)
+    vocabulary = [f"w{i}" for i in range(30)] + ["not"] * 3
+    lex = rules.antonym_lexicon(antonym_table(spark, [(f"w{i}", f"w{(i * 7 + 1) % 30}") for i in range(25)]))
+    rows = [(i // 2, " ".join(rng.choices(vocabulary, k=rng.randint(0, 9))), " ".join(rng.choices(vocabulary, k=rng.randint(0, 9)))) for i in range(120)]
+    rows += [rows[0], (7, None, "w1"), (7, "w1  w2", "x   y")]
+    df = spark.createDataFrame(rows, "row_id long, ref string, mt string")
+
+    def same(f):
+        a, b = (sorted(map(str, f(limit).collect())) for limit in (None, 0))
+        assert a == b and a
+
+    for frame in (df, df.drop("row_id")):
+        same(lambda limit, frame=frame: rules.rule_decision(frame, lex, ["not"], limit=limit))
+        same(lambda limit, frame=frame: features.para_features(frame.dropna(), lex, negations=["not"], limit=limit))
+    pairs = df.select(df.row_id.alias("pair_id"), df.ref.alias("s1"), df.mt.alias("s2"))
+    same(lambda limit: corpus.contradiction_pairs(pairs, lex, limit=limit))
+    got = corpus.contradiction_pairs(spark.createDataFrame([(1, "a w1", "x   y")], "pair_id long, s1 string, s2 string"), lex).first()
+    assert got.s2 == "x   y"
+
+
+def test_large_lexicon_plans_quickly(spark):
+    import time
+
+    rows = [(f"a{i}", f"b{i}") for i in range(4000)]
+    lex = rules.antonym_lexicon(antonym_table(spark, rows))
+    df = spark.createDataFrame([("a7 x", "b7 y"), ("a1", "c")], "ref string, mt string")
+    start = time.time()
+    out = rules.rule_decision(df, lex, ["not"])
+    assert [r.d_rule for r in out.collect()] == [0, None] and time.time() - start < 30
