@@ -117,7 +117,9 @@ def _leaks(docs: DataFrame, items: DataFrame, percent: int, width: int, radius:
     # 1. positions that occur in the benchmark
     hashed = docs.select("row_key", "doc_id", split_words(F.col("text")).alias("ws"))
     hashed = hashed.select("row_key", "doc_id", F.size("ws").alias("n"), shingles(F.col("ws"), width).alias("hs"))
-    spots = hashed.select("row_key", "doc_id", "n", F.posexplode("hs").alias("pos", "h"))
+    # outer: else the optimizer infers a filter on the array's size, below the projection that splits the text,
+    # where each shingle would split it again; rows without shingles have no hash and meet nothing
+    spots = hashed.select("row_key", "doc_id", "n", F.posexplode_outer("hs").alias("pos", "h"))
     hits = materialize(spots.join(small(spread.select("h")), "h", "left_semi").distinct(), "hits")
 
     # 2. windows of an item's words with enough of its positions

@@ -49,9 +49,9 @@ def candidates(docs: DataFrame, owner: str, repo: str) -> DataFrame:
         empty = F.array().cast("array<struct<gap:int,size:int,value:string>>")
         per_kind.append(F.when(F.col("t").rlike(pattern), rows).otherwise(empty).alias(f"k{k}"))
     arrays = keyed.select("row_key", "owner", "repo", *per_kind)
-    any_ = " or ".join(f"size(k{k}) > 0" for k in range(len(KINDS)))
     kinds = F.array(*[F.struct(F.lit(k).alias("kind"), F.col(f"k{k}").alias("found")) for k in range(len(KINDS))])
-    stacked = arrays.where(any_).select("row_key", "owner", "repo", F.explode(kinds).alias("x")).select("row_key", "owner", "repo", "x.kind", F.posexplode("x.found").alias("i", "m"))
+    # outer: an inferred filter on the arrays' sizes would run the patterns twice
+    stacked = arrays.select("row_key", "owner", "repo", F.explode_outer(kinds).alias("x")).where("size(x.found) > 0").select("row_key", "owner", "repo", "x.kind", F.posexplode("x.found").alias("i", "m"))
     one = materialize(stacked.select("row_key", "owner", "repo", "kind", "i", "m.gap", "m.size", "m.value").distinct(), "candidates")
     upto = Window.partitionBy("row_key", "kind").orderBy("i")
     end = F.sum(F.col("gap") + F.col("size")).over(upto)
