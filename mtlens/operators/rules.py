@@ -159,7 +159,8 @@ def _side_rows(staged: DataFrame, toks: str, negations: Iterable[str], lex_words
         return F.coalesce(F.get("__neg", i.cast("int")), F.lit(False))
 
     near = F.transform("__neg", lambda _, i: at(i - 2) | at(i - 1) | at(i + 1) | at(i + 2))
-    rows = rows.select(*carry, toks, near.alias("__near")).select(*carry, F.posexplode(F.arrays_zip(F.col(toks).alias("tok"), F.col("__near").alias("near"))).alias("pos", "x"))
+    # outer: an inferred filter on the array's size would evaluate the tokens once per element
+    rows = rows.select(*carry, toks, near.alias("__near")).select(*carry, F.posexplode_outer(F.arrays_zip(F.col(toks).alias("tok"), F.col("__near").alias("near"))).alias("pos", "x"))
     rows = rows.select(*carry, "pos", F.col("x.tok").alias("tok"), F.col("x.near").alias("near")).join(lex_words, F.col("tok") == F.col("__word"), "left_semi")
     return rows.groupBy(*carry, "tok").agg(F.min_by("near", "pos").alias("adj"))
 
