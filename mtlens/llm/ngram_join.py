@@ -358,11 +358,12 @@ def link_documents(docs: DataFrame, percent: int = 75, width: int = 5) -> DataFr
     links = _links(docs, nodes, lists, tried, width, percent)
     labels = components(links)
 
-    # what hubs left: all nodes of one list in different components
-    marked = _apart(lists, labels)
+    # what hubs left: all nodes of one list in different components. Both stand in the list of the first token they share,
+    # where nothing is shared before; a pair that could link by its first token alone is met there, in the others it is not repeated
+    marked = _apart(lists, labels).where(100 * (1 + F.col("n") - F.col("alone") - F.col("rank")) >= percent * F.col("n"))
     x = marked.select("token", *[F.col(c).alias(f"{c}1") for c in (*KEPT, "label")])
     y = marked.select("token", *[F.col(c).alias(f"{c}2") for c in (*KEPT, "label")])
-    rest = x.join(y, "token").where((F.col("node1") < F.col("node2")) & (F.col("label1") != F.col("label2")) & _passes(percent))
+    rest = x.join(y, "token").where((F.col("node1") < F.col("node2")) & (F.col("label1") != F.col("label2")) & _passes(percent, F.lit(1)))
     rest = rest.select(F.col("node1").alias("a"), F.col("node2").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
     more = _links(docs, nodes, lists, rest, width, percent)
     if not more.isEmpty():
