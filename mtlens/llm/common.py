@@ -49,6 +49,19 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+BATCH_BYTES = 4 << 20
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Let no Arrow batch between the JVM and Python hold much more than ``BATCH_BYTES`` (one row at least).
+
+    Texts are long, so a bound in rows alone is none. A session setting that stays; one made elsewhere is kept.
+    """
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if key not in spark.conf.getAll:
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut Arrow batches into runs of whole rows with at most ``limit`` bytes of text (one row at least)."""
     for batch in batches:

@@ -39,7 +39,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import as_long, materialize, mix, shingle_sets, slices, small
+from .common import as_long, bound_batches, materialize, mix, shingle_sets, slices, small
 
 FREQUENT_IN_CHUNK = 2  # a shingle in so many different sets of a chunk is reported
 FREQUENT_IN_ALL = 4  # and known to the first order if the reports come to so many
@@ -330,6 +330,7 @@ def link_documents(docs: DataFrame, percent: int = 75, width: int = 5) -> DataFr
     Rows with equal sets link whatever their ids; a repeated doc_id gives a row each time. A row
     without id takes part in no link of different texts and gets the smallest id of its equal texts, or null.
     """
+    bound_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     survey = materialize(docs.mapInArrow(_survey(width), "doc_id long, n long, node long, token long, count long"), "survey")
     rows = survey.where(F.col("n").isNotNull()).select("doc_id", "n", "node")
