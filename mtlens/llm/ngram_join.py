@@ -36,7 +36,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import as_long, bound_batches, materialize, mix, shingle_sets, slices, small
@@ -251,23 +251,34 @@ def components(links: DataFrame) -> DataFrame:
         now = step.join(became, "label").select("node", F.col("to").alias("label"))
 
 
-KEPT = ("node", "n", "rank", "alone")
+KEPT = ("node", "n", "rank", "pos", "alone")
 
 
-def _room(shared):
-    """The tokens two nodes can share, if ``shared`` are at most those up to the tokens of rank1 and rank2.
+def _ranked(lists: DataFrame, percent: int) -> DataFrame:
+    """``lists`` with rank, the number of a node's tokens up to this one that are in lists, and alone, that of its prefix tokens in none.
 
-    Only tokens in lists can be: after the r-th of them a set of n with u prefix tokens of its own has n - u - r left.
+    A token in no list may still be shared: the other node can hold it behind its prefix. Only those before a token that two
+    nodes meet on are not, as the other one would have them before it too. So ``alone`` steers and bounds nothing.
     """
-    left = [F.col(f"n{i}").cast("long") - F.col(f"alone{i}") - F.col(f"rank{i}") for i in (1, 2)]
-    return shared + F.least(*left)
+    own = Window.partitionBy("node")
+    lists = lists.withColumn("rank", F.row_number().over(own.orderBy("pos")))
+    return lists.withColumn("alone", _prefix(F.col("n"), percent) - F.count(F.lit(1)).over(own))
+
 
+def _prefix(n: Column, percent: int) -> Column:
+    n = n.cast("long")
+    return n - F.ceil(n * percent / F.lit(100)) + 1
 
-def _passes(percent: int, shared=None):
-    """Size and position filters for two nodes that share a token."""
+
+def _passes(percent: int, shared: Column, left: Column):
+    """Size filter, and whether ``shared`` tokens and ``left`` more can be enough."""
     n1, n2 = F.col("n1").cast("long"), F.col("n2").cast("long")
-    room = _room(F.least("rank1", "rank2") if shared is None else shared)
-    return (100 * F.least(n1, n2) >= percent * F.greatest(n1, n2)) & ((100 + percent) * room >= percent * (n1 + n2))
+    return (100 * F.least(n1, n2) >= percent * F.greatest(n1, n2)) & ((100 + percent) * (shared + left) >= percent * (n1 + n2))
+
+
+def _behind() -> Column:
+    """The tokens two nodes can share behind those of pos1 and pos2."""
+    return F.least(F.col("n1") - F.col("pos1") - 1, F.col("n2") - F.col("pos2") - 1).cast("long")
 
 
 def _hub_pairs(marked: DataFrame, percent: int) -> DataFrame:
@@ -282,7 +293,7 @@ def _hub_pairs(marked: DataFrame, percent: int) -> DataFrame:
     first = F.struct((F.col("alone") / F.col("n")).alias("order"), *columns)
     hub = classes.groupBy("token", "class").agg(F.min(first).alias("hub"), F.count(F.lit(1)).alias("k")).where("k > 1")
     met = classes.join(hub, ["token", "class"]).select(*[F.col(c).alias(f"{c}1") for c in columns], *[F.col(f"hub.{c}").alias(f"{c}2") for c in columns])
-    met = met.where((F.col("label1") != F.col("label2")) & _passes(percent))
+    met = met.where((F.col("label1") != F.col("label2")) & _passes(percent, F.least("rank1", "rank2"), _behind()))
     return met.select(F.least("node1", "node2").alias("a"), F.greatest("node1", "node2").alias("b")).distinct()
 
 
@@ -293,17 +304,40 @@ def _apart(lists: DataFrame, labels: DataFrame) -> DataFrame:
     return materialize(marked.join(apart, "token", "left_semi"), "apart")
 
 
+def _met_first(marked: DataFrame, percent: int) -> DataFrame:
+    """(a, b): all nodes of one list in different components that can link if it is the list of the first token they share.
+
+    Two nodes that link both stand in that list, and nothing is shared before it; in the others the pair is not repeated.
+    """
+    x = marked.select("token", *[F.col(c).alias(f"{c}1") for c in ("node", "n", "pos", "label")])
+    y = marked.select("token", *[F.col(c).alias(f"{c}2") for c in ("node", "n", "pos", "label")])
+    met = x.join(y, "token").where((F.col("node1") < F.col("node2")) & (F.col("label1") != F.col("label2")) & _passes(percent, F.lit(1), _behind()))
+    return met.select(F.col("node1").alias("a"), F.col("node2").alias("b")).distinct()
+
+
+def _may_link_by_prefix(pairs: DataFrame, lists: DataFrame, percent: int) -> DataFrame:
+    """Those of ``pairs`` that can link by their whole prefixes under the first order: k shared tokens, the last at pos1, pos2.
+
+    Of all other shared tokens none is in both prefixes, so all lie behind the prefix that ends first in the order. Which one
+    that is is not known here: the larger of both bounds holds.
+    """
+    x = lists.select("token", F.col("node").alias("a"), F.col("n").alias("n1"), F.col("pos").alias("pos1"))
+    y = lists.select("token", F.col("node").alias("b"), F.col("n").alias("n2"), F.col("pos").alias("pos2"))
+    last = [F.max(c).alias(c) for c in ("n1", "n2", "pos1", "pos2")]
+    met = pairs.join(x, "a").join(y, ["b", "token"]).groupBy("a", "b").agg(F.count(F.lit(1)).alias("k"), *last)
+    behind = [F.col(f"n{i}") - F.col(f"pos{i}") - 1 for i in (1, 2)]
+    beyond = [F.col(f"n{i}") - _prefix(F.col(f"n{i}"), percent) for i in (1, 2)]
+    left = F.greatest(F.least(beyond[0], behind[1]), F.least(behind[0], beyond[1]))
+    return met.where(_passes(percent, F.col("k"), left)).select("a", "b")
+
+
 def _links(docs: DataFrame, nodes: DataFrame, lists: DataFrame, pairs: DataFrame, width: int, percent: int) -> DataFrame:
     """The pairs (a, b) that link.
 
-    First by the whole prefixes under the first order: k shared tokens, the last of ranks r1, r2, and what is left after them. Only the sets of pairs that can still link are fetched:
+    First by the whole prefixes under the first order. Only the sets of pairs that can still link are fetched:
     one pass over the texts, spared most of them by a bitmap of ids, no text moves.
     """
-    x = lists.select("token", F.col("node").alias("a"), *[F.col(c).alias(f"{c}1") for c in KEPT[1:]])
-    y = lists.select("token", F.col("node").alias("b"), *[F.col(c).alias(f"{c}2") for c in KEPT[1:]])
-    last = [F.max(c).alias(c) for i in (1, 2) for c in (f"n{i}", f"rank{i}", f"alone{i}")]
-    met = pairs.join(x, "a").join(y, ["b", "token"]).groupBy("a", "b").agg(F.count(F.lit(1)).alias("k"), *last)
-    pairs = materialize(met.where(_passes(percent, F.col("k"))).select("a", "b"), "pairs")
+    pairs = materialize(_may_link_by_prefix(pairs, lists, percent), "pairs")
 
     ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     involved = materialize(nodes.join(ends, "node", "left_semi"), "involved")
@@ -347,25 +381,15 @@ def link_documents(docs: DataFrame, percent: int = 75, width: int = 5) -> DataFr
     lists = materialize(
         postings.repartition("token").sortWithinPartitions("token", "n", "node").mapInArrow(_lists, "token long, node long, n int, pos int"), "lists"
     )
-    # the number of a node's tokens up to this one that are in lists, and of its prefix tokens that are in none
-    own = Window.partitionBy("node")
-    prefix = F.col("n") - F.ceil(F.col("n") * percent / F.lit(100)) + 1
-    lists = lists.withColumn("rank", F.row_number().over(own.orderBy("pos")))
-    lists = lists.withColumn("alone", prefix - F.count(F.lit(1)).over(own)).drop("pos")
-    lists = materialize(lists, "ranked")
+    lists = materialize(_ranked(lists, percent), "ranked")
     nodes = rows.where(F.col("node").isNotNull()).groupBy("node").agg(F.min("doc_id").alias("doc_id"))
 
     tried = materialize(_hub_pairs(lists.withColumn("label", F.col("node")), percent), "tried")
     links = _links(docs, nodes, lists, tried, width, percent)
     labels = components(links)
 
-    # what hubs left: all nodes of one list in different components. Both stand in the list of the first token they share,
-    # where nothing is shared before; a pair that could link by its first token alone is met there, in the others it is not repeated
-    marked = _apart(lists, labels).where(100 * (1 + F.col("n") - F.col("alone") - F.col("rank")) >= percent * F.col("n"))
-    x = marked.select("token", *[F.col(c).alias(f"{c}1") for c in (*KEPT, "label")])
-    y = marked.select("token", *[F.col(c).alias(f"{c}2") for c in (*KEPT, "label")])
-    rest = x.join(y, "token").where((F.col("node1") < F.col("node2")) & (F.col("label1") != F.col("label2")) & _passes(percent, F.lit(1)))
-    rest = rest.select(F.col("node1").alias("a"), F.col("node2").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
+    # what hubs left
+    rest = _met_first(_apart(lists, labels), percent).join(tried, ["a", "b"], "left_anti")
     more = _links(docs, nodes, lists, rest, width, percent)
     if not more.isEmpty():
         labels = components(links.unionAll(more))

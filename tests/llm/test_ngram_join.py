@@ -81,6 +81,51 @@ def test_components_equal_brute_force(spark, prose, edge_rows, monkeypatch):
     assert got == brute_force(rows)
 
 
+def subset_pairs(prose, n=60):
+    """Texts and their copies cut off, or extended, to 4:3 to 5:4 of the size, around the threshold; some cuts in a group of three."""
+    rng = random.Random(11)
+    rows = []
+    for i in range(n):
+        whole = prose(rng.randint(60, 240)).split()
+        cut = -(-(len(whole) - 4) * rng.randint(74, 81) // 100) + 4
+        rows += [(1000 + 10 * i, " ".join(whole)), (1001 + 10 * i, " ".join(whole[:cut]))]
+        if i % 3 == 0:
+            rows.append((1002 + 10 * i, " ".join(whole[len(whole) - cut :])))
+        if i % 3 == 1:
+            rows.append((1003 + 10 * i, " ".join(whole) + " " + prose(len(whole) * rng.randint(26, 34) // 100)))
+    return rows
+
+
+def test_copies_cut_off_or_extended_equal_brute_force(spark, prose):
+    rows = subset_pairs(prose)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = sorted((tuple(r) for r in ngram_join.link_documents(docs).collect()), key=str)
+    expected = brute_force(rows)
+    assert got == expected and sum(d != c for d, _, c in expected) > 50
+
+
+def test_filters_keep_every_pair_that_links(spark):
+    """Random sets of 2 to 40 tokens, posted as the join does: all pairs within the threshold pass each filter."""
+    rng = random.Random(13)
+    sets = []
+    for _ in range(60):
+        x = rng.sample(range(400), rng.randint(4, 40))
+        sets.append(sorted(x))
+        sets.append(sorted(x[: -(-len(x) * rng.randint(70, 100) // 100)]))  # a part of it
+        sets.append(sorted({*x, *rng.sample(range(400), len(x) * rng.randint(0, 40) // 100)}))  # and more than it
+    sets = sorted({tuple(x) for x in sets})
+    posted = [(t, i, len(x), p) for i, x in enumerate(sets) for p, t in enumerate(x[: ngram_join.prefix_length(len(x), 75)])]
+    many = Counter(t for t, *_ in posted)
+    lists = spark.createDataFrame([r for r in posted if many[r[0]] > 1], "token long, node long, n int, pos int")
+    lists = ngram_join._ranked(lists, 75).cache()
+    linked = {(i, j) for i, x in enumerate(sets) for j in range(i + 1, len(sets)) if 100 * (k := len({*x} & {*sets[j]})) >= 75 * (len(x) + len(sets[j]) - k)}
+    assert len(linked) > 60
+    first = {(r.a, r.b) for r in ngram_join._met_first(lists.withColumn("label", F.col("node")), 75).collect()}
+    assert linked <= first
+    pairs = spark.createDataFrame(sorted(linked), "a long, b long")
+    assert {(r.a, r.b) for r in ngram_join._may_link_by_prefix(pairs, lists, 75).collect()} == linked
+
+
 def test_no_rows(spark):
     assert ngram_join.link_documents(spark.createDataFrame([], DOCS)).collect() == []
 
