@@ -38,3 +38,18 @@ def test_stages_on_a_small_corpus(spark, prose, edge_rows, tmp_path):
     assert set(mixed) <= set(clean) and all(mixed.count(i) <= 2 for i in mixed) and len(mixed) > len(clean) / 2
     assert sorted(tokens) == sorted(mixed)
     assert docs.columns == ["doc_id", "start", "n_tokens", "ids_crc32"]
+
+
+def test_copies_cut_off_or_extended_go_once(spark, prose):
+    """Of a text of 200 shingles and its copy the second goes, down to 150 of them and up to 266; beyond that both stay."""
+    rows, gone = [], set()
+    for i in range(40):
+        whole = prose(204)
+        for k, shingles in enumerate((160, 150, 149, 264, 267)):
+            mine = " ".join([f"d{i}k{k}w{j}-{w}" for j, w in enumerate(whole.split())])
+            other = " ".join(mine.split()[: shingles + 4]) + (" " + prose(shingles - 200) if shingles > 200 else "")
+            rows += [(100 * i + 10 * k, mine, "en", "s", 0), (100 * i + 10 * k + 1, other, "en", "s", 0)]
+            gone |= {100 * i + 10 * k + 1} if shingles in (160, 150, 264) else set()
+    docs = spark.createDataFrame(rows, DOCS).repartition(4)
+    left = {r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, docs, "").select("doc_id").collect()}
+    assert left == {r[0] for r in rows} - gone
