@@ -152,3 +152,12 @@ def shingle_sets(text: pa.Array, width: int = 5) -> Iterator[np.ndarray]:
 
 def as_long(x: np.ndarray) -> pa.Array:
     return pa.array(x.view(np.int64), pa.int64())
+
+
+def free(df: DataFrame) -> None:
+    """Delete the files of a table that ``materialize`` wrote and that nothing reads any more."""
+    spark = df.sparkSession
+    for folder in {name.rsplit("/", 1)[0] for name in df.inputFiles()}:
+        if "/mtlens-llm-" in folder:
+            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

@@ -1,6 +1,6 @@
 """DuckDB SQL of the queries that SQL can express.
 
-The language, toxicity and language-model scores, the sampling keys and the token ids have none: they are
+The language, toxicity and language-model scores, the sampling keys, the token ids and the periodic runs have none: they are
 tested against brute force, an exact round trip or held-out rows.
 """
 
@@ -9,6 +9,7 @@ from __future__ import annotations
 from .chat import CONTROL
 from .host_rules import LIMIT, RULES
 from .secret_scan import ACCESS, ASSIGN, BASE, HEX, KINDS, OPAQUE, OWNERS, PLACEHOLDER, VENDOR
+from .vector_codes import ENTRIES, ROUNDS
 
 
 def _quoted(s: str) -> str:
@@ -102,9 +103,41 @@ edges as (select a, b from links union select b, a from links),
 reach(a, b) as (select a, b from edges union select r.a, e.b from reach r join edges e on r.b = e.a)
 select doc_id, len(sh) as n_shingles, least(doc_id, coalesce((select min(b) from reach where a = doc_id), doc_id)) as component_id from s"""
 
+
+def _codes(rounds: int, entries: int) -> str:
+    def nearest(t: int) -> str:
+        return f"""
+a{t} as materialized (select r, k, min((list_inner_product(c, c) - 2 * list_inner_product(x, c))::bigint * {entries} + e) as best from p join b{t} using (k) group by r, k),
+n{t} as materialized (select r, k, x, pmod_e as e, ((best - pmod_e) // {entries} + list_inner_product(x, x))::bigint as d
+  from (select *, ((best % {entries}) + {entries}) % {entries} as pmod_e from a{t}) join p using (r, k))"""
+
+    steps = [nearest(0)]
+    for t in range(1, rounds + 1):
+        steps.append(f"""
+m{t} as (select k, e, i, floor(sum(x[i]) / count(*)) as y from n{t - 1}, (select unnest(range(1, 1 + (select max(len(x)) from p))) as i) group by k, e, i),
+b{t} as materialized (select k, e, coalesce(y, c) as c from b{t - 1} left join (select k, e, list(y order by i) as y from m{t} group by k, e) using (k, e))""")
+        steps.append(nearest(t))
+    last = f"{rounds}"
+    return f"""
+with v as materialized (select row_number() over (order by vec_id nulls last, embedding) as r, vec_id, label, list_transform(embedding, lambda x: floor(1024 * x::double)) as z
+  from embeddings where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+p as materialized (select r, k, z[k * (len(z) // 4) + 1:(k + 1) * (len(z) // 4)] as x from v, (select unnest(range(4)) as k)),
+b0 as (select k, r - 1 as e, x as c from p where r <= {entries}),{",".join(steps)},
+coded as (select r, string_agg(printf('%02x', e), '' order by k) as code, sum(d)::bigint as error from n{last} group by r),
+out as (select vec_id, label, code, error from coded join v using (r)),
+book as (select sha256(string_agg(array_to_string(list_transform(c, lambda x: x::bigint::varchar), ','), ',' order by k, e)) as h from b{last})
+select vec_id, code, error, sum(error) over (partition by label)::bigint as label_error, h as codebooks_sha256 from out, book"""
+
+
+_COPIES = """
+select doc_id, max(doc_id) over c as keep_id, count(*) over c as group_size, doc_id = max(doc_id) over c as kept, sha256(coalesce(text, '')) as text_sha256
+from documents window c as (partition by coalesce(text, ''))"""
+
 ORACLE = {
     "op2_secret_scan": _secrets(),
     "op6_chat_formatting": _chat(),
     "op7_host_rules": _rules(),
     "op9_ngram_jaccard_join": _JOIN,
+    "op12_vector_codes": _codes(ROUNDS, ENTRIES),
+    "op13_radix_dedup": _COPIES,
 }

@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bitplane, brown, chat, decontam, host_rules, langid, mixing, secret_scan, toxicity
+from . import bitplane, brown, chat, decontam, host_rules, langid, mixing, periodic_runs, radix_dedup, secret_scan, toxicity, vector_codes
 from .common import fold, scratch_path
 from .ngram_join import link_documents
 from .oracles import ORACLE  # noqa: F401
@@ -93,10 +93,25 @@ def written_tokens(spark: SparkSession, docs: DataFrame) -> DataFrame:
     return bitplane.read_digests(spark, path)
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs.periodic_runs(table(spark, sf_dir, "documents"), periodic_runs.planted_words)
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded, books = vector_codes.compress(table(spark, sf_dir, "embeddings"))
+    digest = F.lit(vector_codes.codebooks_digest(books)).alias("codebooks_sha256")
+    return vector_codes.with_label_errors(coded).select("vec_id", "code", "error", "label_error", digest)
+
+
+def op13_radix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return radix_dedup.classes(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_language_id, op2_secret_scan, op3_benchmark_decontamination, op4_toxicity, op5_brown_lm,
         op6_chat_formatting, op7_host_rules, op8_source_mixing, op9_ngram_jaccard_join, op10_bitplane_tokens,
+        op11_periodic_runs, op12_vector_codes, op13_radix_dedup,
     )
 }
