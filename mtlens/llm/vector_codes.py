@@ -106,6 +106,8 @@ class Codebooks:
             first = d.argmin(1)
             least = np.take_along_axis(d, first[:, None], 1)[:, 0]
             scans.append((g, rows, d, members))
+            if d.dtype == object:
+                best = best.astype(object)
             index = members[first]
             wins = (least < best[rows]) | ((least == best[rows]) & (index < winner[rows]))
             best[rows[wins]], winner[rows[wins]] = least[wins], index[wins]

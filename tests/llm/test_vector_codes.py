@@ -60,7 +60,7 @@ def test_small_empty_uneven_and_wide_tables(spark):
     for rows in (
         [(1, [0.1, 0.2, 0.3, 0.4, 0.5, 0.6], 1), (2, [0.1, -0.2, 0.3, 0.4, 0.5, 9.5], None)],
         [(1, [], None), (2, [], 1)],
-        [(i, [x * 3.0e7 + 0.5, -x * 1e8, float(x), 2.0**29], 1) for i, x in enumerate([1, 2, 5, 7, 7, 3])],
+        [(i, [x * 3.0e5 + 0.001, -x * 1e5 - 0.0003, float(x), 2.0**29], 1) for i, x in enumerate([1, 2, 5, 7, 7, 3])],
     ):
         coded, books = V.compress(spark.createDataFrame(rows, SCHEMA), entries=4)
         expected, digest = brute(rows, entries=4)
