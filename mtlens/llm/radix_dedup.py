@@ -70,7 +70,8 @@ def classes(docs: DataFrame, keep: list[str] | None = None, first: int = FIRST_D
         groups = materialize(groups.withColumn("next", F.monotonically_increasing_id()), "groups")
         left, right = _salted(rows, groups, key, hot_rows)
         ended = F.col("n").isNull() | (F.length("digit") < width)
-        split = left.join(right, [*key, "salt"], "left").select(
+        # never a broadcast: the groups grow with the table
+        split = left.join(right.hint("merge"), [*key, "salt"], "left").select(
             "doc_id", "text_sha256", *extra, F.lit(len(closed)).alias("round"), F.col("next").alias("group"), "n", "keep_id",
             F.when(~ended, F.expr(f"substring(rest, {width + 1})")).alias("rest"), F.monotonically_increasing_id().alias("place"),
         )
