@@ -14,14 +14,18 @@ write a value and the last writing hit wins:
 
 The start value is 0 when the negation counts differ, else null.
 
-Two physical plans:
+With a lemma table, a word or antonym is also met by its lemma: a hit needs a form of the word among the
+reference tokens and a form of the antonym among the MT tokens. Adjacency and the cross check look at surface
+forms alone, and the cross check then also needs one of the antonym's own antonyms in the reference (without lemmas
+the word itself is one). The lexicon is keyed on forms: each word's entries stand under the word and under its lemma.
+
+Two physical plans find, per pair, each side's few lexicon tokens with their entries and
+the negation flag of their first occurrence; one expression turns these into hits:
 
 * ``rule_decision`` embeds a lexicon of checked size as one constant (``lexmap``) and
-  evaluates every hit inside the row with higher-order functions: no
-  shuffle, no join, one pass.
-* ``antonym_hits`` reduces both sides to their lexicon tokens first, each with
-  the flag of its first occurrence, and joins those few rows; no token array
-  crosses an explode. ``rule_decision`` takes this path for larger lexicons:
+  looks every token up inside the row: no shuffle, no join, one pass.
+* ``antonym_hits`` explodes both sides once, keeps the lexicon tokens, joins their entries and
+  groups them by pair again. ``rule_decision`` takes this path for larger lexicons:
   a decision depends on the two texts alone, so hits are found per
   distinct pair of texts and joined back by their hashes. Both paths give the same
   answers, with or without a row id and with repeated ones.
@@ -83,17 +87,65 @@ def _info_adj(info: Column, t: Column) -> Column:
     return F.exists(info, lambda x: (x["tok"] == t) & x["adj"])
 
 
-def _hit_value(word: Column, antonym: Column, antos: Column, ref_info: Column, mt_info: Column,
-               n_ref: Column, n_mt: Column) -> Column:
-    mt_has = _info_adj(mt_info, antonym) | _info_adj(mt_info, word)
-    ref_has = _info_adj(ref_info, word) | _info_adj(ref_info, antonym)
-    cross = F.exists(antos, lambda a: _info_has(mt_info, a) & _info_has(ref_info, a))
-    return (
-        F.when(cross, F.lit(1))
-        .when(n_mt == n_ref, F.lit(0))
-        .when(mt_has != ref_has, F.lit(1))
-        .cast("int")
-    )
+ENTRY = ("word", "antonym", "anto_lemma", "word_pos", "anto_pos")
+
+
+def lexicon_forms(lexicon: DataFrame, lemmas: DataFrame | None = None) -> DataFrame:
+    """(form, word, antonym, anto_lemma, word_pos, anto_pos): each entry once per form of its word.
+
+    ``lemmas`` has (word, lemma), of any size; a word without a lemma is its own, of several the smallest counts.
+    """
+    if lemmas is None:
+        return lexicon.select(F.col("word").alias("form"), "word", "antonym", F.col("antonym").alias("anto_lemma"), "word_pos", "anto_pos")
+    one = lemmas.groupBy(F.col("word").alias("__of")).agg(F.min("lemma").alias("__lemma"))
+
+    def with_lemma(df: DataFrame, word: str, out: str) -> DataFrame:
+        return df.join(one, F.col(word) == F.col("__of"), "left").withColumn(out, F.coalesce("__lemma", word)).drop("__of", "__lemma")
+
+    entries = lexicon.select("word", "antonym", "word_pos", "anto_pos")
+    entries = with_lemma(with_lemma(entries, "word", "__word_lemma"), "antonym", "anto_lemma")
+    return entries.select(F.explode(F.array_distinct(F.array("word", "__word_lemma"))).alias("form"), *ENTRY)
+
+
+def _pair_hits(ref_i: Column, mt_i: Column, n_ref: Column, n_mt: Column, by_lemma: bool) -> Column:
+    """The hits of a pair from both sides' lexicon tokens (array<struct<tok, entries, adj>>)."""
+
+    def in_mt(e: Column) -> Column:
+        surface = _info_has(mt_i, e["antonym"])
+        return surface | _info_has(mt_i, e["anto_lemma"]) if by_lemma else surface
+
+    def own(r: Column, e: Column) -> Column:
+        """An entry under the lemma counts there only if the word itself is not in the reference."""
+        return (r["tok"] == e["word"]) | ~_info_has(ref_i, e["word"])
+
+    def answered(antonym: Column) -> Column:
+        return F.exists(ref_i, lambda x: (x["tok"] == antonym) & F.exists(x["entries"], lambda y: (y["word"] == antonym) & _info_has(ref_i, y["antonym"])))
+
+    def crossed(r: Column, e: Column) -> Column:
+        def both(x: Column) -> Column:
+            held = _info_has(mt_i, x["antonym"]) & _info_has(ref_i, x["antonym"])
+            return (x["word"] == e["word"]) & held & answered(x["antonym"]) if by_lemma else held
+
+        return F.exists(r["entries"], both)
+
+    def flags(r: Column, e: Column) -> Column:
+        mt_has = _info_adj(mt_i, e["antonym"]) | _info_adj(mt_i, e["word"])
+        ref_has = _info_adj(ref_i, e["word"]) | _info_adj(ref_i, e["antonym"])
+        return F.struct(
+            e["word"].alias("word"), e["antonym"].alias("antonym"), e["word_pos"].alias("word_pos"), e["anto_pos"].alias("anto_pos"),
+            (mt_has != ref_has).alias("adjacent"), crossed(r, e).alias("cross"),
+        )
+
+    def value(h: Column) -> Column:
+        return F.when(h["cross"], F.lit(1)).when(n_mt == n_ref, F.lit(0)).when(h["adjacent"], F.lit(1)).cast("int")
+
+    def of_token(r: Column) -> Column:
+        met = F.filter(r["entries"], lambda e: in_mt(e) & own(r, e) if by_lemma else in_mt(e))
+        return F.transform(F.transform(met, lambda e: flags(r, e)), lambda h: F.struct(
+            h["word_pos"].alias("word_pos"), h["anto_pos"].alias("anto_pos"), value(h).alias("v"), h["word"].alias("word"),
+            h["antonym"].alias("antonym"), h["adjacent"].alias("adjacent"), h["cross"].alias("cross")))
+
+    return F.flatten(F.transform(ref_i, of_token))
 
 
 def rule_decision(
@@ -105,14 +157,17 @@ def rule_decision(
     out: str = "d_rule",
     split_danda: bool = False,
     limit: int | None = None,
+    lemmas: DataFrame | None = None,
 ) -> DataFrame:
     """Add ``out`` (int, nullable): 0 penalty, 1 reward, null no trigger.
 
-    ``limit``: the most lexicon rows that are embedded; it picks the plan, never the answer.
+    ``limit``: the most lexicon rows (by form) that are embedded; it picks the plan, never the answer.
+    ``lemmas``: (word, lemma); hits are then found by lemma too.
     """
-    lookup = embedded(lexicon, "word", [("antonym", "string"), ("word_pos", "bigint"), ("anto_pos", "bigint")], ["word_pos", "anto_pos"], limit)
+    fields = [(name, "bigint" if name.endswith("_pos") else "string") for name in ENTRY]
+    lookup = embedded(lexicon_forms(lexicon, lemmas), "form", fields, ["word_pos", "anto_pos"], limit)
     if lookup is None:
-        return _rule_decision_join(df, lexicon, negations, ref, mt, out, split_danda)
+        return _rule_decision_join(df, lexicon, negations, ref, mt, out, split_danda, lemmas)
     neg = lexicon_array(negations)
     ref_t, mt_t = F.col("__ref_t"), F.col("__mt_t")
     n_ref, n_mt = F.col("__n_ref"), F.col("__n_mt")
@@ -128,20 +183,7 @@ def rule_decision(
     staged = df.withColumns({"__ref_t": tokens_word(ref, split_danda), "__mt_t": tokens_word(mt, split_danda)})
     staged = staged.withColumns({"__n_ref": neg_count(ref_t, negations), "__n_mt": neg_count(mt_t, negations), "__ref_k": known(ref_t), "__mt_k": known(mt_t)})
     staged = staged.withColumns({"__ref_i": with_flags(F.col("__ref_k"), ref_t), "__mt_i": with_flags(F.col("__mt_k"), mt_t)})
-    ref_i, mt_i = F.col("__ref_i"), F.col("__mt_i")
-    hits = F.flatten(
-        F.transform(
-            ref_i,
-            lambda r: F.transform(
-                F.filter(r["entries"], lambda e: _info_has(mt_i, e["antonym"])),
-                lambda e: F.struct(
-                    e["word_pos"].alias("word_pos"),
-                    e["anto_pos"].alias("anto_pos"),
-                    _hit_value(r["tok"], e["antonym"], F.transform(r["entries"], lambda x: x["antonym"]), ref_i, mt_i, n_ref, n_mt).alias("v"),
-                ),
-            ),
-        )
-    )
+    hits = _pair_hits(F.col("__ref_i"), F.col("__mt_i"), n_ref, n_mt, lemmas is not None)
     # the written hits are a column of their own: they are read twice
     staged = staged.withColumn("__w", F.array_sort(F.filter(hits, lambda h: h["v"].isNotNull())))
     start = F.when(n_mt != n_ref, F.lit(0))
@@ -149,20 +191,13 @@ def rule_decision(
     return staged.withColumn(out, result).drop("__ref_t", "__mt_t", "__n_ref", "__n_mt", "__ref_k", "__mt_k", "__ref_i", "__mt_i", "__w")
 
 
-def _side_rows(staged: DataFrame, toks: str, negations: Iterable[str], lex_words: DataFrame, carry: list[str]) -> DataFrame:
-    """(carry..., tok, adj): the lexicon tokens of one side; adj: a negation within two tokens of the first occurrence."""
+def _near_negation(toks: str, negations: Iterable[str]) -> Column:
+    """Per position whether a negation stands within two tokens of it."""
     neg = lexicon_array(negations)
-    flags = F.transform(toks, lambda t: F.array_contains(neg, t))
-    rows = staged.select(*carry, toks, flags.alias("__neg"))
-
-    def at(i: Column) -> Column:
-        return F.coalesce(F.get("__neg", i.cast("int")), F.lit(False))
-
-    near = F.transform("__neg", lambda _, i: at(i - 2) | at(i - 1) | at(i + 1) | at(i + 2))
-    # outer: an inferred filter on the array's size would evaluate the tokens once per element
-    rows = rows.select(*carry, toks, near.alias("__near")).select(*carry, F.posexplode_outer(F.arrays_zip(F.col(toks).alias("tok"), F.col("__near").alias("near"))).alias("pos", "x"))
-    rows = rows.select(*carry, "pos", F.col("x.tok").alias("tok"), F.col("x.near").alias("near")).join(lex_words, F.col("tok") == F.col("__word"), "left_semi")
-    return rows.groupBy(*carry, "tok").agg(F.min_by("near", "pos").alias("adj"))
+    around = [F.lit(False), F.lit(False)]
+    padded = F.concat(F.array(*around), F.transform(toks, lambda t: F.array_contains(neg, t)), F.array(*around))
+    shifted = [F.slice(padded, k, F.size(toks)) for k in (1, 2, 4, 5)]
+    return F.transform(F.arrays_zip(*[x.alias(f"n{k}") for k, x in enumerate(shifted)]), lambda x: x["n0"] | x["n1"] | x["n2"] | x["n3"])
 
 
 def antonym_hits(
@@ -173,49 +208,44 @@ def antonym_hits(
     ref: str = "ref",
     mt: str = "mt",
     split_danda: bool = False,
+    lemmas: DataFrame | None = None,
 ) -> DataFrame:
     """One row per hit: key, word, antonym, word_pos, anto_pos, n_ref, n_mt,
     neg_adjacent, cross_antonym, v (the value the hit writes, or null).
 
     Rows equal in key and texts give their hits once."""
-    lex = lexicon.select("word", "antonym", "word_pos", "anto_pos")
-    lex_words = lex.select(F.col("word").alias("__word")).distinct()
-    if lex.limit(BROADCAST_LEXICON_LIMIT + 1).count() <= BROADCAST_LEXICON_LIMIT:
-        lex, lex_words = F.broadcast(lex), F.broadcast(lex_words)
+    forms = lexicon_forms(lexicon, lemmas)
+    entries = forms.groupBy("form").agg(F.collect_list(F.struct(*ENTRY)).alias("entries"))
+    if forms.limit(BROADCAST_LEXICON_LIMIT + 1).count() <= BROADCAST_LEXICON_LIMIT:
+        entries = F.broadcast(entries)
     staged = df.select(
         F.struct(F.col(key).alias("key"), text_key(ref, mt).alias("text")).alias("__k"),
         tokens_word(ref, split_danda).alias("__ref_t"), tokens_word(mt, split_danda).alias("__mt_t"),
     )
-    staged = staged.withColumns({"n_ref": neg_count(F.col("__ref_t"), negations), "n_mt": neg_count(F.col("__mt_t"), negations)})
-    ref_rows = _side_rows(staged, "__ref_t", negations, lex_words, ["__k", "n_ref", "n_mt"])
-    mt_rows = _side_rows(staged, "__mt_t", negations, lex_words, ["__k"])
-
-    def side(rows: DataFrame, tok: str, adj: str) -> DataFrame:
-        return rows.select("__k", F.col("tok").alias(tok), F.col("adj").alias(adj))
-
-    hits = ref_rows.withColumnRenamed("tok", "word").withColumnRenamed("adj", "ref_w").join(lex, "word")
-    hits = hits.join(side(mt_rows, "antonym", "mt_a"), ["__k", "antonym"])
-    hits = hits.join(side(mt_rows, "word", "mt_w"), ["__k", "word"], "left").join(side(ref_rows, "antonym", "ref_a"), ["__k", "antonym"], "left")
-    # an antonym of the word that both sides hold is itself one of the word's hits
-    crossed = hits.groupBy("__k", "word").agg(F.max(F.col("ref_a").isNotNull()).alias("cross"))
-    hits = hits.join(crossed, ["__k", "word"])
-    adj_mt = F.col("mt_a") | F.coalesce("mt_w", F.lit(False))
-    adj_ref = F.col("ref_w") | F.coalesce("ref_a", F.lit(False))
-    return hits.select(
-        F.col("__k.key").alias(key), "word", "antonym", "word_pos", "anto_pos", "n_ref", "n_mt",
-        (adj_mt != adj_ref).alias("neg_adjacent"),
-        F.col("cross").alias("cross_antonym"),
-        F.when(F.col("cross"), F.lit(1))
-        .when(F.col("n_mt") == F.col("n_ref"), F.lit(0))
-        .when(adj_mt != adj_ref, F.lit(1))
-        .cast("int")
-        .alias("v"),
+    near = {"__ref_n": _near_negation("__ref_t", negations), "__mt_n": _near_negation("__mt_t", negations)}
+    staged = staged.withColumns({"n_ref": neg_count(F.col("__ref_t"), negations), "n_mt": neg_count(F.col("__mt_t"), negations), **near})
+
+    def placed(side: str) -> Column:
+        return F.zip_with(f"__{side}_t", f"__{side}_n", lambda t, n: F.struct(F.lit(side).alias("side"), t.alias("tok"), n.alias("near")))
+
+    pair = ["__k", "n_ref", "n_mt"]
+    # outer: an inferred filter on the array's size would evaluate the tokens once per element
+    rows = staged.select(*pair, F.posexplode_outer(F.concat(placed("ref"), placed("mt"))).alias("pos", "x"))
+    rows = rows.select(*pair, "pos", "x.side", F.col("x.tok").alias("form"), "x.near")
+    first = rows.join(entries.select("form"), "form", "left_semi").groupBy(*pair, "side", "form").agg(F.min_by("near", "pos").alias("adj"))
+    info = F.struct(F.col("form").alias("tok"), "entries", "adj")
+    sides = first.join(entries, "form").groupBy(*pair).agg(*(F.collect_list(F.when(F.col("side") == s, info)).alias(f"__{s}_i") for s in ("ref", "mt")))
+    hits = _pair_hits(F.col("__ref_i"), F.col("__mt_i"), F.col("n_ref"), F.col("n_mt"), lemmas is not None)
+    h = sides.select(*pair, F.explode(hits).alias("h"))
+    return h.select(
+        F.col("__k.key").alias(key), "h.word", "h.antonym", "h.word_pos", "h.anto_pos", "n_ref", "n_mt",
+        F.col("h.adjacent").alias("neg_adjacent"), F.col("h.cross").alias("cross_antonym"), "h.v",
     )
 
 
-def _rule_decision_join(df, lexicon, negations, ref, mt, out, split_danda):
+def _rule_decision_join(df, lexicon, negations, ref, mt, out, split_danda, lemmas):
     pairs = df.select(text_key(ref, mt).alias("__t"), F.col(ref).alias("__ref"), F.col(mt).alias("__mt")).dropDuplicates(["__t"])
-    hits = antonym_hits(pairs, lexicon, negations, "__t", "__ref", "__mt", split_danda)
+    hits = antonym_hits(pairs, lexicon, negations, "__t", "__ref", "__mt", split_danda, lemmas)
     per_text = hits.where(F.col("v").isNotNull()).groupBy("__t").agg(F.max_by("v", F.struct("word_pos", "anto_pos")).alias("__hit_v"))
     start = F.when(neg_count(tokens_word(ref, split_danda), negations) != neg_count(tokens_word(mt, split_danda), negations), F.lit(0))
     keyed = df.withColumn("__key", text_key(ref, mt))

@@ -143,6 +143,16 @@ hv as (select *, mt_has <> ref_has as neg_adjacent,
          cast(case when cross_antonym then 1 when n_mt = n_ref then 0 when mt_has <> ref_has then 1 end as integer) as v
        from adj)"""
 
+# the same, words and antonyms also met by their lemmas
+LEMMA_HITS_SQL = HITS_SQL.replace("tk as (", """dw as (select distinct w from (select unnest(""" + S.tokens_word("text") + """) as w from documents where text is not null) where length(w) >= 2),
+lem as (select w as word, min(w) over (partition by left(w, 2)) as lemma from dw),
+lx as (select l.*, coalesce(a.lemma, l.word) as wl, coalesce(b.lemma, l.antonym) as al
+  from fx_lex l left join lem a on a.word = l.word left join lem b on b.word = l.antonym),
+tk as (""", 1).replace("""  from rw join fx_lex l on l.word = rw.word where list_contains(rw.mtk, l.antonym)),""", """  from tn rw join lx l on (list_contains(rw.rt, l.word) or list_contains(rw.rt, l.wl)) and (list_contains(rw.mtk, l.antonym) or list_contains(rw.mtk, l.al))),""").replace(
+    "select rw.row_id, rw.word, l.antonym", "select rw.row_id, l.word, l.antonym").replace(
+    "and list_contains(h.mtk, x.antonym) and list_contains(h.rt, x.antonym))",
+    "and list_contains(h.mtk, x.antonym) and list_contains(h.rt, x.antonym)\n            and len(list_filter((select list(y.antonym) from fx_lex y where y.word = x.antonym), lambda r: list_contains(h.rt, r))) > 0)")
+
 
 def _hits(spark, sf_dir):
     return rules.antonym_hits(fx.pairs(spark, sf_dir), fx_lexicon(spark), fx.FX_NEG)
@@ -164,10 +174,11 @@ def q_cross_antonym(spark, sf_dir):
     return _hits(spark, sf_dir).select("row_id", "word", "antonym", "cross_antonym")
 
 
-RULE_SQL = HITS_SQL + """,
+LAST_HIT_SQL = """,
 last_hit as (select row_id, list(v order by word_pos, anto_pos)[-1] as hv from hv where v is not null group by row_id),
 rule as (select t.row_id, cast(coalesce(lh.hv, case when t.n_mt <> t.n_ref then 0 end) as integer) as d_rule
          from tn t left join last_hit lh using (row_id))"""
+RULE_SQL = HITS_SQL + LAST_HIT_SQL
 
 
 @register("rule_decision", RULE_SQL + "\nselect row_id, d_rule from rule")
@@ -176,6 +187,12 @@ def q_rule_decision(spark, sf_dir):
     return rules.rule_decision(p, fx_lexicon(spark), fx.FX_NEG).select("row_id", "d_rule")
 
 
+@register("rule_decision_lemma", LEMMA_HITS_SQL + LAST_HIT_SQL + "\nselect row_id, d_rule from rule")
+def q_rule_decision_lemma(spark, sf_dir):
+    p = fx.pairs(spark, sf_dir).drop("d_rule")
+    return rules.rule_decision(p, fx_lexicon(spark), fx.FX_NEG, lemmas=fx.lemma_table(spark, sf_dir)).select("row_id", "d_rule")
+
+
 # ---------------------------------------------------------------- cascade / adjust
 
 @register("select_decision", f"""with {S.FX_PAIRS}

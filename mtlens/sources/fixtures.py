@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import DISSIMILAR_CATEGORIES, SIMILAR_CATEGORIES
+from ..functions.text import DISSIMILAR_CATEGORIES, SIMILAR_CATEGORIES, tokens_word
 
 CATEGORIES = SIMILAR_CATEGORIES + DISSIMILAR_CATEGORIES
 
@@ -144,3 +144,10 @@ def antonym_table(spark: SparkSession, rows=FX_ANTO) -> DataFrame:
     return spark.createDataFrame(
         [(i, w, a) for i, (w, a) in enumerate(rows)], "seq long, word string, antonym string"
     )
+
+
+def lemma_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(word, lemma) of the words of all documents: the smallest word with the same first two letters."""
+    words = table(spark, sf_dir, "documents").select(F.explode(F.array_distinct(tokens_word("text"))).alias("word")).distinct()
+    words = words.where(F.length("word") >= 2).withColumn("stem", F.substring("word", 1, 2))
+    return words.join(words.groupBy("stem").agg(F.min("word").alias("lemma")), "stem").select("word", "lemma")

@@ -95,3 +95,54 @@ def test_large_lexicon_plans_quickly(spark):
     start = time.time()
     out = rules.rule_decision(df, lex, ["not"])
     assert [r.d_rule for r in out.collect()] == [0, None] and time.time() - start < 30
+
+
+def brute_decision(ref, mt, antonyms, lemma, negations):
+    """The rule over a dictionary, forms and lemmas, read off its definition."""
+    r, m = ref.split(), mt.split()
+    n_ref, n_mt = (sum(t in negations for t in x) for x in (r, m))
+    decision = 0 if n_ref != n_mt else None
+
+    def near(word, tokens):
+        if word not in tokens:
+            return False
+        i = tokens.index(word)
+        return any(t in negations for t in tokens[max(0, i - 2) : i] + tokens[i + 1 : i + 3])
+
+    for word, others in antonyms.items():
+        for other in others:
+            if not ((word in r or lemma.get(word, word) in r) and (other in m or lemma.get(other, other) in m)):
+                continue
+            if n_ref == n_mt:
+                decision = 0
+            elif (near(other, m) or near(word, m)) != (near(word, r) or near(other, r)):
+                decision = 1
+            if any(a in m and a in r and any(b in r for b in antonyms[a]) for a in others):
+                decision = 1
+    return decision
+
+
+def test_lemmas_meet_forms_in_both_plans(spark):
+    import random
+
+    rng = random.Random(6)
+    words = [f"{stem}{end}" for stem in "abcdefgh" for end in ("", "s", "t")]
+    lemma = {w: w[0] for w in words if len(w) == 2 and w != "gs"}
+    csv = [(rng.choice(words), rng.choice(words)) for _ in range(14)]
+    antonyms = {}
+    for w, a in csv:
+        antonyms.setdefault(w, []).append(a)
+        antonyms.setdefault(a, []).append(w)
+    lex = rules.antonym_lexicon(antonym_table(spark, csv))
+    lemmas = spark.createDataFrame([*lemma.items(), ("as", "z"), (None, "x"), ("bs", None)], "word string, lemma string")
+    text = lambda: " ".join(rng.choices([*words, "not", "x", "y"], k=rng.randint(0, 8)))
+    rows = [(i, text(), text()) for i in range(400)]
+    df = spark.createDataFrame(rows, "row_id long, ref string, mt string")
+    expected = {i: brute_decision(r, m, antonyms, lemma, ["not"]) for i, r, m in rows}
+    surface = {i: brute_decision(r, m, antonyms, {}, ["not"]) for i, r, m in rows}
+    assert expected != surface
+    for limit in (None, 1):
+        got = rules.rule_decision(df, lex, ["not"], limit=limit, lemmas=lemmas).collect()
+        assert {r.row_id: r.d_rule for r in got} == expected
+        got = rules.rule_decision(df, lex, ["not"], limit=limit).collect()
+        assert {r.row_id: r.d_rule for r in got} == surface
