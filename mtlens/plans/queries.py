@@ -515,6 +515,7 @@ from ..operators import corpus as CO  # noqa: E402
 from ..operators import features as FE  # noqa: E402
 from ..operators import folds as FO  # noqa: E402
 from ..operators import learn as LE  # noqa: E402
+from ..operators import selection as SL  # noqa: E402
 from ..operators import sets as SE  # noqa: E402
 from ..operators import vectors as VE  # noqa: E402
 from ..sources import io as IO  # noqa: E402
@@ -798,20 +799,36 @@ def q_fold_class_weights(spark, sf_dir):
     return round_doubles(LE.fold_class_weights(folded(spark, sf_dir).withColumn("y", y)).select("fold", "y", F.col("n_train").cast("bigint"), "weight"))
 
 
-@register("train_pair_classifier")
-def q_train_pair_classifier(spark, sf_dir):
+def pair_features(spark, sf_dir) -> DataFrame:
+    """row_id, fold, the labels of both targets (null where unlabelled) and p0..p3, c0..c2."""
     fp = folded(spark, sf_dir)
     feats = FE.contra_features(FE.para_features(fp, fx_lexicon(spark), negations=fx.FX_NEG), negations=fx.FX_NEG)
     label = T.strip("label")
-    y = F.when(label == "P", 1).when(label == "NP", 0)  # unlabelled rows are scored, not learnt from
-    flat = feats.select("row_id", "fold", y.alias("y"),
+    return feats.select("row_id", "fold",
+                        F.when(label == "P", 1).when(label == "NP", 0).alias("y"), F.when(label == "NP", 1).when(label == "P", 0).alias("y_contra"),
                         *[F.col("para_f")[i].alias(f"p{i}") for i in range(4)],
                         *[F.col("contra_f")[i].alias(f"c{i}") for i in range(3)])
-    out = LE.train_pair_classifier(flat, [f"p{i}" for i in range(4)] + [f"c{i}" for i in range(3)], "y", "fold",
-                                   "d_para_pred")
+
+
+PAIR_FEATURES = tuple(f"p{i}" for i in range(4)) + tuple(f"c{i}" for i in range(3))
+#: the contradiction model keeps its best accuracy, the paraphrase model its best macro F1
+TARGETS = (SL.Target("contradiction", ("c0", "c1", "c2"), "y_contra", "accuracy"), SL.Target("paraphrase", ("p0", "p1", "p2", "p3"), "y", "macro_f1"))
+
+
+@register("train_pair_classifier")
+def q_train_pair_classifier(spark, sf_dir):
+    flat = pair_features(spark, sf_dir).drop("y_contra")  # unlabelled rows are scored, not learnt from
+    out = LE.train_pair_classifier(flat, list(PAIR_FEATURES), "y", "fold", "d_para_pred")
     return round_doubles(out.select("row_id", "fold", "d_para_pred"))
 
 
+@register("select_pair_classifier")
+def q_select_pair_classifier(spark, sf_dir):
+    """Scores of every (target, fold, penalty), the chosen penalty marked."""
+    features = pair_features(spark, sf_dir).checkpoint()  # read by the fits and the scores of both targets
+    return round_doubles(SL.select_classifiers(features, TARGETS)[0])
+
+
 # ---------------------------------------------------------------- set operations
 
 def conversation_pairs(spark, sf_dir) -> DataFrame:
