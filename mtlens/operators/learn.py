@@ -12,6 +12,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -19,15 +20,35 @@ from pyspark.sql.functions import pandas_udf
 
 
 def score_with_model(load: Callable[[], Callable[[pd.Series, pd.Series], pd.Series]], a: Column | str,
-                     b: Column | str, clip: bool = True, digits: int | None = 4) -> Column:
-    """A double column from ``load()(a, b)``; ``load`` runs once per worker process."""
-    @pandas_udf("double")
-    def score(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        model = load()
-        for x, y in batches:
-            yield model(x, y).astype("float64")
-
-    c = score(F.col(a) if isinstance(a, str) else a, F.col(b) if isinstance(b, str) else b)
+                     b: Column | str, clip: bool = True, digits: int | None = 4, only: Column | None = None) -> Column:
+    """A double column from ``load()(a, b)``; ``load`` runs once per worker process.
+
+    With ``only`` the model sees the rows for which it is true, packed together within each batch; the others get
+    null and their texts never leave the JVM. All in the one pass over the table.
+    """
+    x, y = (F.col(c) if isinstance(c, str) else c for c in (a, b))
+    if only is None:
+        @pandas_udf("double")
+        def score(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+            model = load()
+            for x, y in batches:
+                yield model(x, y).astype("float64")
+
+        c = score(x, y)
+    else:
+        @pandas_udf("double")
+        def score_some(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+            model = None
+            for x, y, flag in batches:
+                at = flag.to_numpy(dtype=bool).nonzero()[0]
+                out = np.full(len(flag), np.nan)
+                if len(at):
+                    model = model or load()
+                    out[at] = model(x.iloc[at].reset_index(drop=True), y.iloc[at].reset_index(drop=True)).to_numpy("float64", na_value=np.nan)
+                yield pd.Series(out)
+
+        only = F.coalesce(only, F.lit(False))
+        c = score_some(F.when(only, x), F.when(only, y), only)
     c = F.when(c.isNotNull() & ~F.isnan(c), c)  # a failed score stays missing
     if clip:
         c = F.when(c.isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(1.0), c)))

@@ -8,7 +8,7 @@ reports prune what they do not read.
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Sequence
+from collections.abc import Callable, Iterable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -30,24 +30,23 @@ def refine(
     d_contra: str = "d_contra",
     d_para: str = "d_para",
     lean: bool = False,
-    scorers: dict[str, Column] | None = None,
+    scorers: dict[str, Column | Callable[[Column], Column]] | None = None,
 ) -> DataFrame:
     """Add d_rule, d_contra, d_para, d_score (rounded to 4), stage_resolved and <metric>_adj.
 
     The adjustment uses the unrounded decision; only stored columns are rounded.
-    ``scorers`` compute ``d_contra`` / ``d_para`` (columns such as ``score_with_model`` gives) where the table
-    does not hold them. With ``lean=True`` they run on the rows that the rule left open alone (the
-    short-circuit of the cascade): decided rows are split off first and keep null there.
+    ``scorers`` compute ``d_contra`` / ``d_para`` where the table does not hold them: a column, or a function from a
+    flag to a column (``lambda open: score_with_model(load, "mt", "ref", only=open)``). With ``lean=True`` the flag
+    marks the rows that the rule left open (the short-circuit of the cascade), so that models see those alone, in the
+    same pass over the table; decided rows hold null. A plain column is masked: its own Python code would see all rows.
     """
     scorers = scorers or {}
     require_columns(df, [*REQUIRED, *[c for c in (d_contra, d_para) if c not in scorers]])
     out = rules.rule_decision(df, lexicon, negations)
-    if scorers and lean:
-        nothing = {name: F.lit(None).cast("double") for name in scorers}
-        undecided = F.col("d_rule").isNull()
-        out = out.where(undecided).withColumns(scorers).unionByName(out.where(~undecided).withColumns(nothing))
-    elif scorers:
-        out = out.withColumns(scorers)
+    if scorers:
+        undecided = F.col("d_rule").isNull() if lean else F.lit(True)
+        made = {name: s(undecided) if callable(s) else F.when(undecided, s) for name, s in scorers.items()}
+        out = out.withColumns(made)
     out = out.withColumn("__d", A.select_decision("d_rule", d_contra, d_para))
     out = A.adjust_all(out, metrics, d="__d", tau=tau)
     return out.withColumns(

@@ -402,6 +402,7 @@ def q_class_weights(spark, sf_dir):
 
 
 # ---------------------------------------------------------------- n-gram metrics
+from ..operators import learn as LE  # noqa: E402
 from ..operators import ngram as NG  # noqa: E402
 
 
@@ -424,6 +425,39 @@ register("sentence_chrfpp", f"""with {S.FX_PAIRS}, {S.ngram_stats_sql('fx_pairs'
 select k as row_id, {S.chrf_sql(2)} as "ChrF++" from st""")(_metric_query("ChrF++", bleu=None, chrf=None, chrfpp="ChrF++"))
 
 
+OVERLAP_SCORE_SQL = f"""round(greatest(0.0, least(1.0,
+  len(list_distinct(list_filter(list_distinct({S.tokens_ws('mt')}), lambda t: list_contains({S.tokens_ws('ref')}, t))))
+  / greatest(len(list_distinct({S.tokens_ws('mt')})), len(list_distinct({S.tokens_ws('ref')})), 1))), 4)"""
+
+COMPUTED = ("BLEU", "ChrF", "ChrF++")
+# the SQL rounds decimals: a double such as 0.83234999 must not round up on its way through a product with 10,000
+
+
+@register("refine_metrics", RULE_SQL + ",\n" + S.ngram_stats_sql("fx_pairs", "row_id", "mt", "ref", "bcw") + f""",
+sc as (select k as row_id, {S.bleu_sql()} as "BLEU", {S.chrf_sql(0)} as "ChrF", {S.chrf_sql(2)} as "ChrF++" from st),
+ov as (select row_id, {OVERLAP_SCORE_SQL} as score from fx_pairs),
+ref0 as (select p.row_id, r.d_rule, case when r.d_rule is null then 1 - ov.score end as d_contra, case when r.d_rule is null then ov.score end as d_para, sc.* exclude (row_id)
+  from fx_pairs p join rule r using (row_id) join sc using (row_id) join ov using (row_id)),
+ref1 as (select *, {S.select_decision()} as d_score from ref0)
+select row_id, d_rule, round(d_contra, 4) as d_contra, round(d_para, 4) as d_para, round(d_score, 4) as d_score,
+  case when d_rule is not null then 'rule' when d_contra > 0.5 then 'paraphrase' else 'contradiction' end as stage_resolved,
+  """ + ",\n  ".join(f'"{m}", cast(round(cast(' + S.adjust(f'"{m}"', "d_score") + f' as decimal(30, 17)), 4) as double) as "{m}_adj"' for m in COMPUTED) + " from ref1")
+def q_refine_metrics(spark, sf_dir):
+    """The whole evaluation in one run: computed metrics, models on the rows that the rule leaves open, refined scores."""
+    from .pipeline import refine
+
+    pairs = fx.pairs(spark, sf_dir).select("row_id", "ref", "mt")
+    scored = NG.sentence_metrics(pairs, "row_id", "mt", "ref", *COMPUTED, method=NGRAM_METHOD)
+
+    def overlap(still: Column) -> Column:
+        return LE.score_with_model(LE.overlap_scorer, "mt", "ref", only=still)
+
+    scorers = {"d_contra": lambda still: 1 - overlap(still), "d_para": overlap}
+    out = refine(scored, fx_lexicon(spark), COMPUTED, fx.FX_NEG, lean=True, scorers=scorers)
+    columns = [c for m in COMPUTED for c in (m, f"{m}_adj")]
+    return round_doubles(out.select("row_id", "d_rule", "d_contra", "d_para", "d_score", "stage_resolved", *columns))
+
+
 # ---------------------------------------------------------------- correlation
 from ..operators import corr as C  # noqa: E402
 
@@ -514,7 +548,6 @@ def q_corr_table(spark, sf_dir):
 from ..operators import corpus as CO  # noqa: E402
 from ..operators import features as FE  # noqa: E402
 from ..operators import folds as FO  # noqa: E402
-from ..operators import learn as LE  # noqa: E402
 from ..operators import selection as SL  # noqa: E402
 from ..operators import sets as SE  # noqa: E402
 from ..operators import vectors as VE  # noqa: E402
@@ -580,10 +613,7 @@ def q_para_features(spark, sf_dir):
                                   f[3].alias("ant_ratio")))
 
 
-@register("score_with_model", f"""with {S.FX_PAIRS}
-select row_id, round(greatest(0.0, least(1.0,
-  len(list_distinct(list_filter(list_distinct({S.tokens_ws('mt')}), lambda t: list_contains({S.tokens_ws('ref')}, t))))
-  / greatest(len(list_distinct({S.tokens_ws('mt')})), len(list_distinct({S.tokens_ws('ref')})), 1))), 4) as score from fx_pairs""")
+@register("score_with_model", f"with {S.FX_PAIRS}\nselect row_id, {OVERLAP_SCORE_SQL} as score from fx_pairs")
 def q_score_with_model(spark, sf_dir):
     p = fx.pairs(spark, sf_dir)
     return p.select("row_id", LE.score_with_model(LE.overlap_scorer, "mt", "ref").alias("score"))

@@ -180,7 +180,7 @@ def chrf_words(x: str) -> str:
 def ngram_stats_sql(src: str, key: str, hyp: str, ref: str, kinds: str) -> str:
     """CTEs ending in ``st``: one row per key with {kind}{n}_{h,r,m} columns."""
     nows = lambda x: f"regexp_replace({x}, '{WS}+', '', 'g')"
-    toks = (f"tk as (select {key} as k, {tok13a(hyp)} as hb, {tok13a(ref)} as rb, {nows(hyp)} as hc, {nows(ref)} as rc, "
+    toks = (f"gtk as (select {key} as k, {tok13a(hyp)} as hb, {tok13a(ref)} as rb, {nows(hyp)} as hc, {nows(ref)} as rc, "
             f"{chrf_words(hyp)} as hw, {chrf_words(ref)} as rw from {src})")
     parts = []
     spec = {"b": (4, "hb", "rb", "w"), "c": (6, "hc", "rc", "c"), "w": (2, "hw", "rw", "w")}
@@ -192,7 +192,7 @@ def ngram_stats_sql(src: str, key: str, hyp: str, ref: str, kinds: str) -> str:
             else:
                 expr = f"list_transform(generate_series(1, length({col}) - o.n + 1), lambda i: substring({col}, i, o.n))"
             parts.append(f"select k, '{kind}' as kind, o.n, {side} as side, unnest({expr}) as gram "
-                         f"from tk, (select unnest(generate_series(1, {top})) as n) o")
+                         f"from gtk, (select unnest(generate_series(1, {top})) as n) o")
     grams = "gr as (" + " union all ".join(parts) + ")"
     cnt = ("gc as (select k, kind, n, gram, count(*) filter (where side = 0) as hc, "
            "count(*) filter (where side = 1) as rc from gr group by all)")
@@ -203,7 +203,7 @@ def ngram_stats_sql(src: str, key: str, hyp: str, ref: str, kinds: str) -> str:
         for n in range(1, top + 1):
             for s in ("h", "r", "m"):
                 cols.append(f"cast(coalesce(sum({s}) filter (where kind = '{kind}' and n = {n}), 0) as bigint) as {kind}{n}_{s}")
-    st = f"st as (select t.k, {', '.join(cols)} from tk t left join go using (k) group by t.k)"
+    st = f"st as (select t.k, {', '.join(cols)} from gtk t left join go using (k) group by t.k)"
     return ",\n".join([toks, grams, cnt, ordc, st])
 
 

@@ -56,13 +56,34 @@ def test_lean_scores_undecided_rows_alone(spark):
     from mtlens.operators.rules import antonym_lexicon
 
     lex = antonym_lexicon(fixtures.antonym_table(spark, [("good", "bad")]))
-    scorer = learn.score_with_model(load, "mt", "ref")
+    scorer = lambda still: learn.score_with_model(load, "mt", "ref", only=still)
     out = refine(df, lex, ["m"], ["not"], lean=True, scorers={"d_contra": scorer, "d_para": F.lit(0.9)}).collect()
     assert len(out) == 50 and count.value == 10
+    assert all((r.d_contra is None) == (r.d_rule is not None) for r in out)
     full = refine(df, lex, ["m"], ["not"], scorers={"d_contra": scorer, "d_para": F.lit(0.9)}).collect()
     assert sorted((r.row_id, r.d_score) for r in out) == sorted((r.row_id, r.d_score) for r in full)
 
 
+def test_lean_reads_its_input_once(spark, tmp_path):
+    spark.createDataFrame([(i, "good x", "bad" if i % 2 else "x") for i in range(40)], "row_id long, ref string, mt string").write.parquet(str(tmp_path / "t"))
+    from mtlens.operators.rules import antonym_lexicon
+
+    lex = antonym_lexicon(fixtures.antonym_table(spark, [("good", "bad")]))
+    scorers = {"d_contra": lambda still: learn.score_with_model(learn.overlap_scorer, "mt", "ref", only=still), "d_para": F.lit(0.4)}
+    out = refine(spark.read.parquet(str(tmp_path / "t")), lex, [], ["not"], lean=True, scorers=scorers)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan parquet") == 1 and plan.count("ArrowEvalPython") == 1
+    assert {(r.d_rule, r.d_contra, r.d_score) for r in out.collect()} == {(0, None, 0.0), (None, 0.5, 0.5)}
+
+
+def test_failed_and_missing_scores_in_a_masked_batch(spark):
+    def load():
+        return lambda a, b: pd.Series([float("nan") if x == "bad" else 2.0 for x in a])
+
+    df = spark.createDataFrame([("bad", True), ("ok", True), ("ok", False), (None, None)], "a string, f boolean")
+    assert [r.s for r in df.select(learn.score_with_model(load, "a", "a", only=F.col("f")).alias("s")).collect()] == [None, 1.0, None, None]
+
+
 def test_special_words_and_null_order(spark):
     t = spark.createDataFrame([("<UNK> a", "b <PAD>")], "s1 string, s2 string")
     assert sorted((r.idx, r.word) for r in corpus.build_vocab(t).collect()) == [(0, "<PAD>"), (1, "<UNK>"), (2, "a"), (3, "b")]
