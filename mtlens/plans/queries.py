@@ -430,7 +430,12 @@ OVERLAP_SCORE_SQL = f"""round(greatest(0.0, least(1.0,
   / greatest(len(list_distinct({S.tokens_ws('mt')})), len(list_distinct({S.tokens_ws('ref')})), 1))), 4)"""
 
 COMPUTED = ("BLEU", "ChrF", "ChrF++")
-# the SQL rounds decimals: a double such as 0.83234999 must not round up on its way through a product with 10,000
+# the SQL rounds a double's shortest digits, as Spark does; a product with 10,000 would move some across the half
+
+
+def _adjusted(m: str) -> str:
+    adjusted = S.adjust(f'"{m}"', "d_score")
+    return f"""\"{m}\", cast(round(cast(cast({adjusted} as varchar) as decimal(30, 22)), 4) as double) as \"{m}_adj\" """
 
 
 @register("refine_metrics", RULE_SQL + ",\n" + S.ngram_stats_sql("fx_pairs", "row_id", "mt", "ref", "bcw") + f""",
@@ -441,7 +446,7 @@ ref0 as (select p.row_id, r.d_rule, case when r.d_rule is null then 1 - ov.score
 ref1 as (select *, {S.select_decision()} as d_score from ref0)
 select row_id, d_rule, round(d_contra, 4) as d_contra, round(d_para, 4) as d_para, round(d_score, 4) as d_score,
   case when d_rule is not null then 'rule' when d_contra > 0.5 then 'paraphrase' else 'contradiction' end as stage_resolved,
-  """ + ",\n  ".join(f'"{m}", cast(round(cast(' + S.adjust(f'"{m}"', "d_score") + f' as decimal(30, 17)), 4) as double) as "{m}_adj"' for m in COMPUTED) + " from ref1")
+  """ + ",\n  ".join(map(_adjusted, COMPUTED)) + " from ref1")
 def q_refine_metrics(spark, sf_dir):
     """The whole evaluation in one run: computed metrics, models on the rows that the rule leaves open, refined scores."""
     from .pipeline import refine
