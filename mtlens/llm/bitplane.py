@@ -19,6 +19,7 @@ from __future__ import annotations
 import os
 import zlib
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -28,13 +29,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import slices, words
+from .common import bound_batches, slices, words
 
 BLOCK = 1 << 16
 END = 1
-SLICE = 8 << 20
-ROWS_A_SHARD = 1 << 16
-CACHED_STEMS = 150_000
+SLICE = 2 << 20
+SHARD_BYTES = 64 << 20  # of text
+KNOWN_BYTES = 48 << 20  # of the table of known words in a worker, with
+WORD_COST = 200  # bytes of Python objects and table rows a word
 PUNCTUATION = "!\"#$%&'()*+,-./:;=?@[\\]^_`{}~"
 CHUNK_SCHEMA = "shard int, block int, first long, n int, planes array<binary>, doc array<struct<id: long, first: long, n: long>>"
 
@@ -94,13 +96,21 @@ def crc_join(first: int, second: int, length: int) -> int:
 # ---- encoding
 
 
+def _strings(column: pa.Array) -> list[str]:
+    """``to_pylist`` without a scalar object per value."""
+    return column.to_numpy(zero_copy_only=False).tolist()
+
+
 class Encoder:
-    """Token ids of whole texts with the tokenizers library, each distinct word encoded once per step.
+    """Token ids of whole texts with the tokenizers library, each distinct word encoded once.
 
     The tokenizer drops white space and never merges across it, nor between a letter and the
     ASCII punctuation after it, so a text's ids are those of its words one after another. Words that may hold a
     special token (``<|``) go to the library as they are; letter words go to it many at a
     time and are told apart by their last token (the one that ends a word).
+
+    The ids of known words lie in one array; a table of at most ``KNOWN_BYTES`` tells their places. Words beyond it are
+    encoded again in each step.
     """
 
     def __init__(self, path: str):
@@ -111,75 +121,92 @@ class Encoder:
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for w, i in vocabulary.items() if w.endswith("</w>")]] = True
-        self.cache: dict[str, bytes] = {}
+        self.place: dict[str, int] = {}  # word -> its row in the two tables below
+        self.room = KNOWN_BYTES
+        self.start, self.length = np.empty(0, np.int64), np.empty(0, np.int64)
+        self.flat = np.empty(0, np.uint32)
 
     def _encode(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def pieces(self, stems: list[str]) -> list[bytes]:
         """The ids of each string, as bytes of uint32."""
-        got = [self.cache.get(s) for s in stems]
-        missing = [i for i, g in enumerate(got) if g is None]
-        joined = [i for i in missing if stems[i].isalpha()]
+        got: list[bytes | None] = [None] * len(stems)
+        joined = [i for i, s in enumerate(stems) if s.isalpha()]
         for a in range(0, len(joined), 256 * 64):
             part = joined[a : a + 256 * 64]
             groups = [part[g : g + 256] for g in range(0, len(part), 256)]
-            for group, ids in zip(groups, self._encode([" ".join(stems[i] for i in g) for g in groups]), strict=True):
+            for group, ids in zip(groups, self._encode([" ".join([stems[i] for i in g]) for g in groups]), strict=True):
                 cuts = np.flatnonzero(self.ends[ids]) + 1
                 if len(cuts) == len(group) and cuts[-1] == len(ids):
                     raw, at = ids.tobytes(), 0
                     for i, cut in zip(group, (4 * cuts).tolist(), strict=True):
                         got[i], at = raw[at:cut], cut
-        single = [i for i in missing if got[i] is None]
+        single = [i for i, g in enumerate(got) if g is None]
         for a in range(0, len(single), 4096):
             part = single[a : a + 4096]
             for i, ids in zip(part, self._encode([stems[i] for i in part]), strict=True):
                 got[i] = ids.tobytes()
-        if len(self.cache) < CACHED_STEMS:
-            self.cache.update((stems[i], got[i]) for i in missing[: CACHED_STEMS - len(self.cache)])
         return got
 
+    def _distinct(self, whole: pa.Array) -> list[bytes]:
+        """The ids of distinct lower-cased words: those before their ASCII punctuation, and those of the punctuation."""
+        stem = pc.if_else(pc.match_substring(whole, "<|"), whole, pc.ascii_rtrim(whole, characters=PUNCTUATION))
+        names, stems = _strings(whole), _strings(stem)
+        tail = [""] * len(names)
+        for i in np.flatnonzero(pc.not_equal(pc.binary_length(stem), pc.binary_length(whole)).to_numpy(zero_copy_only=False)).tolist():
+            s = stems[i]
+            if s[-1:].lower()[-1:].isalpha():  # a letter that stays one when lower-cased
+                tail[i] = names[i][len(s) :]
+            else:
+                stems[i] = names[i]
+        coded, tails = pa.array(stems, pa.string()).dictionary_encode(), sorted(set(tail) - {""})
+        ids = self.pieces(_strings(coded.dictionary))
+        tail_ids = {"": b"", **dict(zip(tails, self.pieces(tails), strict=True))}
+        return [ids[c] + tail_ids[t] for c, t in zip(coded.indices.to_numpy().tolist(), tail, strict=True)]
+
+    def _places(self, vocabulary: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(start, length, ids): the ids of word i are ids[start[i] : start[i] + length[i]]."""
+        lowered = pc.if_else(pc.match_substring(vocabulary, "<|"), vocabulary, pc.ascii_lower(vocabulary))
+        names = _strings(lowered)
+        at = np.fromiter(map(self.place.get, names, repeat(-1)), np.int64, len(names))
+        new = np.flatnonzero(at < 0)
+        if not len(new):
+            return self.start[at], self.length[at], self.flat
+        coded = lowered.take(pa.array(new)).dictionary_encode()
+        words_ = coded.dictionary
+        ids = self._distinct(words_)
+        length = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        start = len(self.flat) + np.cumsum(length) - length
+        flat = np.concatenate([self.flat, np.frombuffer(b"".join(ids), np.uint32)])
+        starts, lengths = np.concatenate([self.start, start]), np.concatenate([self.length, length])
+        at[new] = len(self.start) + coded.indices.to_numpy()
+        if self.room > 0:
+            cost = np.cumsum(pc.binary_length(words_).to_numpy() + 4 * length + WORD_COST)
+            k = int(np.searchsorted(cost, self.room, side="right"))
+            self.place.update(zip(_strings(words_.slice(0, k)), range(len(self.start), len(self.start) + k), strict=True))
+            self.room = 0 if k < len(cost) else self.room - int(cost[-1])
+            self.start, self.length = starts[: len(self.start) + k], lengths[: len(self.length) + k]
+            self.flat = flat[: int(start[k])] if k < len(start) else flat
+        return starts[at], lengths[at], flat
+
     def __call__(self, text: pa.Array, end: int = END) -> tuple[np.ndarray, np.ndarray]:
         """(ids, offsets): all rows' ids, ``end`` after each row."""
         offsets, codes, vocabulary = words(text, lower=False)
-        special = pc.match_substring(vocabulary, "<|")
-        lowered = pc.if_else(special, vocabulary, pc.ascii_lower(vocabulary))
-        stems = pc.ascii_rtrim(lowered, characters=PUNCTUATION)
-        stems = pc.if_else(special, lowered, stems)
-        whole, stem = lowered.to_pylist(), stems.to_pylist()
-        tails = []
-        for i, (w, s) in enumerate(zip(whole, stem, strict=True)):
-            if len(w) != len(s) and s[-1:].lower()[-1:].isalpha():  # (a letter that stays one when lower-cased)
-                tails.append(w[len(s) :])
-            else:
-                stem[i] = w
-                tails.append("")
-        ids = self._distinct(stem, tails)
-        lengths = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
-        flat = np.frombuffer(b"".join(ids), np.uint32)
-        starts = np.cumsum(lengths) - lengths
-
+        starts, lengths, flat = self._places(vocabulary)
         # word lengths in reading order, with the end of each row as one more word
         n_rows = len(offsets) - 1
-        sizes = np.concatenate([[0], np.cumsum(lengths[codes])])
+        run = lengths[codes]
+        sizes = np.concatenate([[0], np.cumsum(run)])
         out_offsets = sizes[offsets] + np.arange(n_rows + 1)
+        take = np.repeat(starts[codes] - sizes[:-1], run)
+        take += np.arange(len(take))
         out = np.full(out_offsets[-1], end, np.uint32)
-        per_row = np.diff(sizes[offsets])
         where = np.ones(len(out), bool)
         where[out_offsets[1:] - 1] = False
-        run = lengths[codes]
-        take = np.repeat(starts[codes] - sizes[:-1], run) + np.arange(per_row.sum())
         out[where] = flat[take]
         return out, out_offsets
 
-    def _distinct(self, stems: list[str], tails: list[str]) -> list[bytes]:
-        coded = pa.array(stems, pa.string()).dictionary_encode()
-        stem_ids = self.pieces(coded.dictionary.to_pylist())
-        tail_of = {t: b"" for t in set(tails)}
-        known = [t for t in tail_of if t]
-        tail_of.update(zip(known, self.pieces(known), strict=True))
-        return [stem_ids[c] + tail_of[t] for c, t in zip(coded.indices.to_pylist(), tails, strict=True)]
-
 
 _encoders: dict[str, Encoder] = {}
 
@@ -231,10 +258,14 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end: int = END, blo
     """Encode ``docs`` (doc_id, text) and write them under ``path`` in ascending doc_id order.
 
     Null texts are empty and hold the end id alone. Rows that repeat an id stand together, by text; null ids come first.
+    Long texts run over as many blocks as they need; other columns of ``docs``, whatever their names, are not read. A
+    shard holds about ``SHARD_BYTES`` of text, so that a task's work does not grow with the table.
     """
     spark = docs.sparkSession
+    bound_batches(spark)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows.count() // ROWS_A_SHARD))
+    size = rows.agg(F.sum(F.octet_length("text") + 16).alias("bytes")).first()["bytes"] or 0
+    shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // SHARD_BYTES))
     ordered = rows.repartitionByRange(shards, "doc_id").sortWithinPartitions("doc_id", "text")
     ordered.mapInArrow(_blocks(tokenizer, block, bits, end), CHUNK_SCHEMA).write.option("compression", "none").parquet(f"{path}/chunks")
     chunks = spark.read.schema(CHUNK_SCHEMA).parquet(f"{path}/chunks")
