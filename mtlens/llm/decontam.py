@@ -88,19 +88,23 @@ def leaks(docs: DataFrame, benchmark: DataFrame, percent: int = 75, width: int =
     """(row_key, doc_id, item_id, start, words, similarity, distance): the best window of every leaked item in every document.
 
     Null, empty and white-space texts leak nothing, such items are never leaked. An item of fewer than ``width``
-    words has its whole sequence as its only shingle. Repeated document rows give one row, equal items one
-    each. ``row_key`` hashes id and text and tells rows that share an id apart; a null id stays null.
-    Other columns are ignored. ``start`` counts words from 0, ``distance`` is the Hamming distance.
+    words has its whole sequence as its only shingle. Repeated document rows give one row, repeated item rows one
+    each. ``row_key`` hashes id and text and tells rows that share an id apart; a null id stays null. Items that share
+    an id, or have none, are told apart by their texts: each leaked text gives its own row with that id. Texts
+    may be of any length; of equally similar windows the first counts. Other columns, whatever their names, are ignored. ``start`` counts words from 0, ``distance`` is the Hamming distance.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     docs = docs.withColumn("row_key", F.xxhash64("doc_id", "text"))
-    items = materialize(items_of(benchmark, width), "items")
+    benchmark = benchmark.select("item_id", "text").withColumn("key", F.xxhash64(F.col("item_id"), F.col("text").cast("string")))
+    names = benchmark.select("key", "item_id").distinct()
+    items = materialize(items_of(benchmark.select(F.col("key").alias("item_id"), "text").dropDuplicates(["item_id"]), width), "items")
     widths = sorted(r.w for r in items.select("w").distinct().collect())  # at most ``width`` values
     found = [_leaks(docs, items.where(F.col("w") == w), percent, w, radius) for w in widths]
     if not found:
         empty = "row_key long, doc_id long, item_id long, start int, words int, similarity double, distance int"
         return docs.sparkSession.createDataFrame([], empty)
-    return reduce(DataFrame.unionAll, found)
+    found = reduce(DataFrame.unionAll, found).withColumnRenamed("item_id", "key")
+    return found.join(small(names), "key").select("row_key", "doc_id", "item_id", "start", "words", "similarity", "distance")
 
 
 def _leaks(docs: DataFrame, items: DataFrame, percent: int, width: int, radius: int) -> DataFrame:

@@ -98,3 +98,13 @@ def test_simhash_is_the_majority_of_bits(spark):
     for k, b in enumerate(bags):
         bits = sum(1 << i for i in range(64) if 2 * sum((x >> i) & 1 for x in b) > len(b))
         assert got[k] & ((1 << 64) - 1) == bits
+
+
+def test_items_without_and_with_a_shared_id(spark, prose):
+    """A null item_id leaks like any other; two texts of equal length under one id are found apart."""
+    texts = [prose(30), prose(30), prose(30)]
+    bench = spark.createDataFrame([(None, texts[0]), (7, texts[1]), (7, texts[2]), (7, texts[2])], "item_id long, text string")
+    docs = spark.createDataFrame([(i, f"{prose(9)} {t} {prose(9)}", "", "", 1) for i, t in enumerate([*texts, prose(40)])], DOCS)
+    got = sorted((r.doc_id, r.item_id, r.start, r.similarity) for r in decontam.leaks(docs, bench).collect())
+    assert got == [(0, None, 9, 1.0), (1, 7, 9, 1.0), (2, 7, 9, 1.0)]
+    assert [r.doc_id for r in decontam.decontaminate(docs, bench).collect()] == [3]

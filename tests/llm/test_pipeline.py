@@ -1,4 +1,5 @@
 import random
+from collections import Counter
 
 import corpus_pipeline
 
@@ -53,3 +54,28 @@ def test_copies_cut_off_or_extended_go_once(spark, prose):
     docs = spark.createDataFrame(rows, DOCS).repartition(4)
     left = {r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, docs, "").select("doc_id").collect()}
     assert left == {r[0] for r in rows} - gone
+
+
+def test_repeated_and_missing_ids_lose_no_other_text(spark, prose):
+    """One row of each group stays, whatever its ids; compared as a multiset of whole rows."""
+    a, b, c, d = (prose(60) for _ in range(4))
+    rows = [
+        (1, a, "en", "s", 0), (2, a + " more", "en", "s", 0), (2, b, "en", "s", 0),  # id 2: a near copy and a clean text
+        (3, c, "en", "s", 0), (3, c, "en", "s", 0), (3, c, "fr", "s", 0),  # one row three times
+        (None, d, "en", "s", 0), (None, d, "en", "s", 0), (9, d, "en", "s", 0), (None, prose(30), "en", "s", 0),
+        (4, "", "en", "s", 0), (4, "", "en", "s", 0), (None, None, "en", "s", 0), (5, " \n", "en", "s", 0),
+    ]
+    docs = spark.createDataFrame([(*r, "clash") for r in rows], DOCS + ", component string").repartition(4)
+    left = corpus_pipeline.drop_near_duplicates(spark, docs, "")
+    assert left.columns == docs.columns
+    got = Counter((r.doc_id, r.text) for r in left.collect())
+    assert got == Counter([(1, a), (2, b), (3, c), (9, d), (None, rows[9][1]), (4, ""), (4, ""), (None, None), (5, " \n")])
+
+
+def test_every_stage_takes_an_empty_table(spark, tmp_path):
+    spark.createDataFrame([], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    docs = spark.createDataFrame([], DOCS)
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, str(tmp_path))
+        assert out.count() == 0 and (name == corpus_pipeline.STAGES[-1][0] or out.columns == docs.columns)
