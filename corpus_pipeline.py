@@ -22,10 +22,24 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked documents the one with the smallest id. Rows that repeat an id stay or go together."""
-    linked = ngram_join.link_documents(docs.select("doc_id", "text"))
-    gone = linked.where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(small(materialize(gone, "duplicates")), docs.doc_id == F.col("__gone"), "left_anti")
+    """Of each group of linked documents one row: that with the smallest id (nulls last), then the smallest hash of its text.
+
+    Rows are told apart by a hash of id and text, so an id on several texts makes no text go with another. Of rows
+    equal in both one stays. Documents without words are linked with nothing: all of them stay.
+    """
+    key = F.xxhash64("doc_id", F.coalesce("text", F.lit("")))
+    linked = ngram_join.link_documents(docs.select(key.alias("doc_id"), "text")).where(F.col("n_shingles") > 0)
+    linked = materialize(linked.select(F.col("doc_id").alias("__key"), F.col("component_id").alias("component")), "linked")
+    members = linked.groupBy("__key").agg(F.min("component").alias("component"), F.count(F.lit(1)).alias("rows"))
+    ids = docs.select(key.alias("__key"), "doc_id").dropDuplicates(["__key"])
+    first = members.join(ids, "__key").groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "__key"))["__key"].alias("__key"))
+    gone = materialize(members.join(first, "__key", "left_anti").select("__key"), "duplicates")
+    left = docs.withColumn("__key", key).join(small(gone), "__key", "left_anti")
+    repeated = materialize(members.where(F.col("rows") > 1).select("__key"), "repeated")
+    if repeated.isEmpty():
+        return left.select(*docs.columns)
+    once = left.join(small(repeated), "__key", "left_semi").dropDuplicates(["__key"])
+    return left.join(small(repeated), "__key", "left_anti").unionByName(once).select(*docs.columns)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
