@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from .chat import CONTROL
 from .host_rules import LIMIT, RULES
-from .secret_scan import ACCESS, ASSIGN, BASE, HEX, KINDS, OPAQUE, OWNERS, PLACEHOLDER, VENDOR
+from .secret_scan import ACCESS, ASSIGN, BASE, HEX, KINDS, OPAQUE, OWNERS, PLACEHOLDER, REPOS, VENDOR
 from .vector_codes import ENTRIES, ROUNDS
 
 
@@ -37,13 +37,13 @@ with d as (select doc_id, source, coalesce(text, '') as t from documents),
 c as ({" union all ".join(parts)}),
 placed as (select *, sum(length(p) + length(m)) over (partition by doc_id, kind order by i) as e from c),
 spans as (select doc_id, source, kind, v, e - length(m) as s, e from placed where kind <> 0 or length(v) >= 8),
-owners as (select v, count(distinct coalesce(source, chr(1))) as n from spans group by v),
-judged as (select x.*, n, n < {OWNERS} and regexp_matches(x.v, '[0-9]') and regexp_matches(x.v, '[A-Za-z]')
+owners as (select v, count(distinct coalesce(source, chr(1))) as n, count(distinct (coalesce(source, chr(1)), coalesce(doc_id, -1))) as repos from spans group by v),
+judged as (select x.*, n >= {OWNERS} or repos >= {REPOS} as copied, not copied and regexp_matches(x.v, '[0-9]') and regexp_matches(x.v, '[A-Za-z]')
   and len(list_distinct(string_split(x.v, ''))) >= 8 and not regexp_matches(x.v, {_quoted(PLACEHOLDER)}) as live from spans x join owners using (v)),
 kept as (select * from judged a where kind < {last} or (live and not exists (
   select 1 from judged b where b.doc_id = a.doc_id and b.kind < {last} and b.s < a.e and a.s < b.e))),
 per as (select doc_id, {", ".join(f"count(*) filter (where kind = {k}) as n_{KINDS[k][0]}" for k in range(BASE))},
-  {joined(f"kind < {BASE}")} as base, {joined("true")} as spans, count(*) filter (where n >= {OWNERS}) as n_example, count(*) filter (where live) as n_live from kept group by doc_id)
+  {joined(f"kind < {BASE}")} as base, {joined("true")} as spans, count(*) filter (where copied) as n_example, count(*) filter (where live) as n_live from kept group by doc_id)
 select d.doc_id, {", ".join(f"coalesce(n_{KINDS[k][0]}, 0) as n_{KINDS[k][0]}" for k in range(BASE))}, sha256(coalesce(base, '')) as base_sha256,
   coalesce(spans, '') as spans, coalesce(n_example, 0) as n_example, coalesce(n_live, 0) as n_live
 from d left join per using (doc_id)"""

@@ -30,7 +30,8 @@ VENDOR = r"gh[pousr]_[A-Za-z0-9]{36,}|xox[abprs]-[A-Za-z0-9-]{10,}|sk_(?:live|te
 OPAQUE = r"[A-Za-z0-9+/_-]{24,}"
 KINDS = (("assign", ASSIGN), ("access", ACCESS), ("hex", HEX), ("vendor", VENDOR), ("opaque", OPAQUE))
 BASE = 3  # the first kinds are the base
-OWNERS = 3  # so many owners make a value a copied example
+OWNERS = 3  # so many owners make a value a copied example,
+REPOS = 10  # and so do so many repositories, whoever owns them
 PLACEHOLDER = r"(?i)example|changeme|placeholder|your|dummy|sample|xxxx|1234567|abcdef0|0{8}"
 
 
@@ -75,16 +76,17 @@ def live_looking(value: Column) -> Column:
     return value.rlike("[0-9]") & value.rlike("[A-Za-z]") & (kinds >= 8) & ~value.rlike(PLACEHOLDER)
 
 
-def scan(docs: DataFrame, owner: str = "source", repo: str = "doc_id", owners: int = OWNERS) -> DataFrame:
+def scan(docs: DataFrame, owner: str = "source", repo: str = "doc_id", owners: int = OWNERS, repos: int = REPOS) -> DataFrame:
     """(row_key, spans): spans per row with any, an array of (start, kind, end, verdict, n_owners, n_repos), sorted.
 
-    ``verdict``: example (``owners`` or more owners have the value), live (fewer, and it looks random), unclear. Null and empty texts
-    have no spans; rows equal in id, text, owner and repository share a key and count once.
+    ``verdict``: example (``owners`` or more owners or ``repos`` or more repositories have the value), live (fewer, and it
+    looks random), unclear. Null and empty texts have no spans, texts may be of any length; rows equal in id, text, owner
+    and repository share a key and count once. Other columns, whatever their names, are not read.
     """
     found = candidates(docs, owner, repo).withColumn("hash", F.sha2("value", 256))
     found = materialize(found, "spans")
     asked = found.join(ownership(found), "hash")
-    verdict = F.when(F.col("n_owners") >= owners, "example").when(live_looking(F.col("value")), "live").otherwise("unclear")
+    verdict = F.when((F.col("n_owners") >= owners) | (F.col("n_repos") >= repos), "example").when(live_looking(F.col("value")), "live").otherwise("unclear")
     asked = asked.withColumn("verdict", verdict)
     # opaque spans stand alone: no other span reaches in from before, none starts before their end
     row = Window.partitionBy("row_key").orderBy("start", "end", "kind")

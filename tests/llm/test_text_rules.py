@@ -46,6 +46,10 @@ def test_secret_spans(spark, prose, edge_rows):
     few = spark.createDataFrame([(i, f"token={shared}", "en", f"s{i}", 0) for i in range(3)] + [(9, 'token="Kq8w7e6r5t4zz"', "en", "s1", 0)], DOCS)
     verdicts = {r.doc_id: (r.n_example, r.n_live) for r in secret_scan.digests(few).collect()}
     assert verdicts == {0: (2, 0), 1: (2, 0), 2: (2, 0), 9: (0, 1)}
+    # one owner's value in many repositories is copied too
+    for repos, expected in ((secret_scan.REPOS - 1, (0, 1)), (secret_scan.REPOS, (1, 0))):
+        one = spark.createDataFrame([(i, 'token="Kq8w7e6r5t4zz"', "en", "s1", 0) for i in range(repos)], DOCS)
+        assert {(r.n_example, r.n_live) for r in secret_scan.digests(one).collect()} == {expected}
     assert secret_scan.digests(docs.limit(0)).collect() == []
 
 
