@@ -17,6 +17,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .adjust import clean_score
 from .rank import row_number
 
 N_SPLITS = 3
@@ -77,7 +78,7 @@ def group_kfold(df: DataFrame, group: str = "src", k: int = N_SPLITS, out: str =
     hist = [(r["__size"], r["n"]) for r in sizes.groupBy("__size").agg(F.count(F.lit(1)).alias("n")).collect()]
     n_groups = sum(n for _, n in hist)
     if n_groups < k:
-        raise ValueError(f"Need at least {k} unique groups for GroupKFold, found {n_groups}.")
+        raise ValueError(f"{n_groups} distinct groups cannot fill {k} folds")
     runs = fold_runs(hist, k)
     spark = df.sparkSession
     run_df = spark.createDataFrame(
@@ -111,7 +112,7 @@ def oof_scores(df: DataFrame, val_scores: DataFrame, keys: Sequence[str] = ("src
                score: str = "score", order: Sequence[str] = ("fold", "row"), out: str = "oof_score",
                check: bool = True) -> DataFrame:
     """Attach out-of-fold scores by key: the later fold wins, then the later row.
-    Raises if some row gets no score (the check is one count)."""
+    A row without a score is an error of the job that reads the column (the check is part of the plan, not a pass of its own)."""
     best = val_scores.groupBy(*keys).agg(F.max_by(score, F.struct(*order)).alias(out))
     cond = None
     renamed = best.select(*[F.col(k).alias(f"__k_{k}") for k in keys], out)
@@ -120,15 +121,18 @@ def oof_scores(df: DataFrame, val_scores: DataFrame, keys: Sequence[str] = ("src
         cond = c if cond is None else cond & c
     res = df.join(renamed, cond, "left").drop(*[f"__k_{k}" for k in keys])
     if check:
-        missing = res.where(F.col(out).isNull()).count()
-        if missing:
-            raise ValueError(f"{missing} rows did not receive out-of-fold scores.")
+        failed = F.raise_error(F.lit("a row did not receive an out-of-fold score")).cast("double")
+        res = res.withColumn(out, F.when(F.col(out).isNull(), failed).otherwise(F.col(out).cast("double")))
     return res
 
 
 def pick_best(runs: DataFrame, run: str, score: str, order: str, groups: Sequence[str] = ()) -> DataFrame:
-    """The run with the highest score per group; the first (lowest ``order``) wins ties."""
+    """The run with the highest score per group; the first (lowest ``order``) wins ties.
+
+    A failed run (null or NaN score) never wins; a group in which all failed has null in both columns.
+    """
+    s = clean_score(score)
     return runs.groupBy(*groups).agg(
-        F.max_by(run, F.struct(F.col(score), (-F.col(order)).alias("o"))).alias(f"best_{run}"),
-        F.max(score).alias(f"best_{score}"),
+        F.max_by(run, F.when(s.isNotNull(), F.struct(s.alias("s"), (-F.col(order)).alias("o")))).alias(f"best_{run}"),
+        F.max(s).alias(f"best_{score}"),
     )

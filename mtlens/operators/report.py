@@ -56,7 +56,7 @@ def threshold_sweep(df: DataFrame, metrics: Sequence[str], taus: Sequence[float]
     """(tau, p_acc, np_acc, bal_acc, best) in one pass; best = max balanced, lowest tau on ties."""
     present = _present(df, metrics)
     if not present:
-        raise ValueError(f"No metric columns found. Expected one of: {list(metrics)}")
+        raise ValueError(f"none of the metric columns {list(metrics)} is in the table")
     mean = row_mean(present)
     is_p, is_np = label_is_p(label), label_is_np(label)
     aggs = [F.sum(is_p.cast("int")).alias("n_p"), F.sum(is_np.cast("int")).alias("n_np")]

@@ -11,7 +11,7 @@ def require_columns(df: DataFrame, required: Iterable[str]) -> None:
     """Raise ValueError naming every required column that is missing (checked on the driver, before planning)."""
     missing = [c for c in required if c not in df.columns]
     if missing:
-        raise ValueError(f"DataFrame is missing required columns: {missing}")
+        raise ValueError(f"columns not in the table: {missing}")
 
 
 from pyspark.sql import SparkSession  # noqa: E402

@@ -43,3 +43,22 @@ def test_group_kfold_disjoint(spark):
     sizes = {r.src: r.n for r in df.groupBy("src").agg(F.count("*").alias("n")).collect()}
     expect = naive(sizes)
     assert {r.src: r.fold for r in out.select("src", "fold").distinct().collect()} == expect
+
+
+def test_failed_runs_never_win(spark):
+    nan = float("nan")
+    rows = [(1, "a", 0.5, 0), (1, "b", nan, 1), (1, "c", 0.9, 2), (1, "d", 0.9, 3), (2, "a", nan, 0), (2, "b", -1.0, 1), (3, "a", None, 0), (3, "b", nan, 1)]
+    got = FO.pick_best(spark.createDataFrame(rows, "g int, run string, score double, o int"), "run", "score", "o", ["g"])
+    assert {(r.g, r.best_run, r.best_score) for r in got.collect()} == {(1, "c", 0.9), (2, "b", -1.0), (3, None, None)}
+
+
+def test_out_of_fold_scores_by_key(spark):
+    import pytest
+
+    df = spark.createDataFrame([(1, "s", "m", None), (2, "s", "m", "r"), (3, "s", "m", "r")], "row_id int, src string, mt string, ref string")
+    val = spark.createDataFrame([("s", "m", None, 1, 1, 0.1), ("s", "m", "r", 1, 9, 0.2), ("s", "m", "r", 2, 1, 0.3), ("s", "m", "r", 2, 0, 0.4)],
+                                "src string, mt string, ref string, fold int, row int, score double")
+    assert {r.row_id: r.oof_score for r in FO.oof_scores(df, val).collect()} == {1: 0.1, 2: 0.3, 3: 0.3}
+    with pytest.raises(Exception, match="out-of-fold"):
+        FO.oof_scores(df, val.where("ref is not null")).collect()
+    assert FO.oof_scores(df, val.where("ref is not null"), check=False).where("oof_score is null").count() == 1
