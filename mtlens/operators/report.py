@@ -4,6 +4,7 @@ returns a small table; nothing is collected to the driver."""
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -53,37 +54,51 @@ def row_mean(metrics: Sequence[str]) -> Column:
 
 def threshold_sweep(df: DataFrame, metrics: Sequence[str], taus: Sequence[float] = DEFAULT_TAUS,
                     label: str = "label") -> DataFrame:
-    """(tau, p_acc, np_acc, bal_acc, best) in one pass; best = max balanced, lowest tau on ties."""
+    """(tau, p_acc, np_acc, bal_acc, best) in one pass; best = max balanced, the earliest in ``taus`` on ties.
+
+    Rows fall into the interval of their mean score (a binary search in the sorted thresholds), one
+    histogram by interval is shuffled, and sums over it give every threshold: the work per row
+    hardly depends on the number of thresholds. Means that are null or NaN count in neither hit.
+    """
+    from pyspark.ml.feature import Bucketizer
+
     present = _present(df, metrics)
     if not present:
         raise ValueError(f"none of the metric columns {list(metrics)} is in the table")
+    taus = [float(t) for t in taus]
+    if not taus or not all(map(math.isfinite, taus)):
+        raise ValueError("thresholds must be finite numbers, one at least")
+    # Intervals are closed below, a score at the threshold counts as below it: both are mirrored.
+    cuts = sorted({0.0 - t for t in taus})
     mean = row_mean(present)
-    is_p, is_np = label_is_p(label), label_is_np(label)
-    aggs = [F.sum(is_p.cast("int")).alias("n_p"), F.sum(is_np.cast("int")).alias("n_np")]
-    for i, t in enumerate(taus):
-        aggs.append(F.sum((is_p & (mean > t)).cast("int")).alias(f"p_{i}"))
-        aggs.append(F.sum((is_np & (mean <= t)).cast("int")).alias(f"np_{i}"))
-    counts = df.agg(*aggs)
-
-    def acc(k: str, n: str) -> Column:
-        return F.when(F.col(n) > 0, F.col(k).cast("double") / F.col(n)).otherwise(F.lit(0.0))
-
-    rows = counts.select(
-        F.inline(
-            F.array(
-                *[
-                    F.struct(
-                        F.lit(float(t)).alias("tau"),
-                        F.lit(i).alias("ord"),
-                        acc(f"p_{i}", "n_p").alias("p_acc"),
-                        acc(f"np_{i}", "n_np").alias("np_acc"),
-                    )
-                    for i, t in enumerate(taus)
-                ]
-            )
-        )
+    scored = df.select((F.lit(0.0) - F.when(~F.isnan(mean), mean)).alias("__m"), label_is_p(label).alias("__p"), label_is_np(label).alias("__np"))
+    binned = Bucketizer(splits=[-math.inf, *cuts, math.inf], inputCol="__m", outputCol="__b", handleInvalid="keep").transform(scored)
+    hist = binned.groupBy(F.col("__b").cast("int").alias("at")).agg(F.sum(F.col("__p").cast("long")).alias("p"), F.sum(F.col("__np").cast("long")).alias("np"))
+
+    # The thresholds as rows: as many as the caller listed, beside as many rows of the histogram.
+    rank = {c: i + 1 for i, c in enumerate(cuts)}
+    listed = F.split(F.lit(",".join(f"{t!r};{rank[0.0 - t]}" for t in taus)), ",")
+    given = df.sparkSession.range(1).select(F.posexplode(listed).alias("ord", "x")).select(
+        "ord", F.split("x", ";")[0].cast("double").alias("tau"), F.split("x", ";")[1].cast("int").alias("at"))
+    zero = F.lit(0).cast("long")
+    cells = hist.select("at", "p", "np", F.lit(None).cast("int").alias("ord"), F.lit(None).cast("double").alias("tau")).unionByName(
+        given.select("at", zero.alias("p"), zero.alias("np"), "ord", "tau"))
+    every = Window.partitionBy()
+    below = Window.orderBy("at").rangeBetween(Window.unboundedPreceding, -1)
+    seen = F.col("at").isNotNull()
+
+    def total(c: str, on: Column | None = None) -> Column:
+        return F.coalesce(F.sum(F.col(c) if on is None else F.when(on, F.col(c))).over(every), zero)
+
+    def acc(hits: Column, n: Column) -> Column:
+        return F.when(n > 0, hits.cast("double") / n).otherwise(F.lit(0.0))
+
+    sums = cells.select(
+        "ord", "tau", total("p").alias("n_p"), total("np").alias("n_np"), total("np", seen).alias("np_scored"),
+        F.coalesce(F.sum(F.when(seen, F.col("p"))).over(below), zero).alias("p_over"), F.coalesce(F.sum(F.when(seen, F.col("np"))).over(below), zero).alias("np_over"))
+    rows = sums.where(F.col("ord").isNotNull()).select(
+        "tau", "ord", acc(F.col("p_over"), F.col("n_p")).alias("p_acc"), acc(F.col("np_scored") - F.col("np_over"), F.col("n_np")).alias("np_acc"),
     ).withColumn("bal_acc", (F.col("p_acc") + F.col("np_acc")) / 2.0)
-    # A three-row table: a global window here is trivially small.
     w = Window.orderBy(F.col("bal_acc").desc(), F.col("ord").asc())
     return rows.withColumn("best", F.row_number().over(w) == 1).drop("ord")
 
