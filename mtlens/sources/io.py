@@ -37,22 +37,24 @@ def scan_samples(spark: SparkSession, path: str, schema: StructType | None = Non
 
 def scan_human_jsonl(spark: SparkSession, path: str, extra: tuple[str, ...] = (), check: bool = True) -> DataFrame:
     """Human-score JSONL: strings stripped, scores cast from numbers or numeric strings,
-    ``model`` falls back to ``system`` when missing or empty. Missing or bad required
-    values raise (one count) like the reference's parser."""
+    ``model`` falls back to ``system`` when missing or empty; ``row_order`` tells rows of several
+    files apart in reading order (for "keep the first"). A row without a required value, or with a score that is no
+    number, fails the job that reads it: the check is a filter of the plan, whichever columns are asked for."""
     fields = [*HUMAN_FIELDS, *extra]
     raw = spark.read.schema(StructType([StructField(f, StringType()) for f in fields])).json(path)
     out = raw.select(
         F.col("_metadata.file_name").alias("source_file"),
+        row_order().alias("row_order"),
         *[strip(F.col(c)).alias(n) for c, n in (("src", "src"), ("translation", "mt"), ("ref", "ref"))],
         *[F.expr(f"try_cast({src} as double)").alias(n) for n, src in HUMAN_SCORES.items()],
         F.coalesce(F.nullif(F.col("model"), F.lit("")), F.col("system")).alias("model"),
         *[F.col(c) for c in extra],
     )
     if check:
-        bad = out.where(F.exists(F.array(*[F.col(c).isNull() for c in ("src", "mt", "ref", *HUMAN_SCORES)]),
-                                 lambda b: b)).count()
-        if bad:
-            raise ValueError(f"{bad} JSONL rows miss a required field or hold a non-numeric score")
+        required = ("src", "mt", "ref", *HUMAN_SCORES)
+        lacking = F.array_compact(F.array(*[F.when(F.col(c).isNull(), F.lit(c)) for c in required]))
+        told = F.concat_ws(" ", F.lit("a JSONL row of"), F.col("source_file"), F.lit("has no valid value in:"), F.concat_ws(", ", lacking))
+        out = out.where(F.when(F.size(lacking) > 0, F.raise_error(told).cast("boolean")).otherwise(F.lit(True)))
     return out
 
 
