@@ -1,7 +1,7 @@
 """Pair-corpus building, vocabulary and token encoding.
 
-The corpus jobs are narrow (scan, split, filter, in-row substitution): no
-shuffle except the one ``distinct`` of the vocabulary.
+The corpus jobs are narrow (scan, split, filter, in-row substitution); shuffles are the
+``distinct`` of the vocabulary and the regrouping of encoded tokens.
 """
 
 from __future__ import annotations
@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import strip, tokens_ws
+from ..session import ensure_checkpoint_dir
 from .lexmap import embedded, text_key
 from .rank import dense_rank
 
@@ -103,21 +104,41 @@ def build_vocab(*tables: DataFrame, cols=("s1", "s2")) -> DataFrame:
     return specials.unionByName(ranked)
 
 
+KEY_BYTES = 64
+SHARE = 20_000  # a word is frequent from one token in so many on: there cannot be more such words
+
+
+def word_key(word: Column) -> Column:
+    """A word as a join key of at most 65 bytes: itself, or its SHA-256 if it is longer than ``KEY_BYTES``."""
+    return F.when(F.octet_length(word) <= KEY_BYTES, F.concat(F.lit("w"), word)).otherwise(F.concat(F.lit("h"), F.sha2(word, 256)))
+
+
 def encode_tokens(df: DataFrame, vocab: DataFrame, key: str, arrays: dict[str, Column], max_len: int = MAX_LEN,
-                  broadcast_limit: int = 1_000_000) -> DataFrame:
+                  broadcast_limit: int = 1_000_000, share: int = SHARE) -> DataFrame:
     """(key, seq, ids): token -> index (UNK for unknown), truncated / padded with PAD to ``max_len``.
 
-    Only the first ``max_len`` tokens are exploded (that is the encoder's
-    truncation); the vocabulary join is broadcast when its size is proven
-    small, a shuffle join otherwise.
+    Only the first ``max_len`` tokens are exploded (that is the encoder's truncation). A vocabulary of at most
+    ``broadcast_limit`` words travels to the tasks; its keys are bounded in bytes, so the rows bound its size.
+    Beyond it the words that are one token in ``share`` or more travel, no more than ``share`` of them
+    whatever the data, and only the others meet the vocabulary in a shuffle, where none of them is hot.
     """
     items = F.array(*[F.struct(F.lit(k).alias("seq"), F.slice(v, 1, max_len).alias("toks")) for k, v in arrays.items()])
     ex = df.select(key, F.inline(items)).select(key, "seq", F.posexplode_outer("toks").alias("pos", "word"))
-    voc = vocab.select("word", "idx")
-    n = voc.limit(broadcast_limit + 1).count()
-    if n <= broadcast_limit:
-        voc = F.broadcast(voc)
-    joined = ex.join(voc, "word", "left")
+    ex = ex.select(key, "seq", "pos", word_key(F.col("word")).alias("__w"))
+    voc = vocab.select(word_key(F.col("word")).alias("__w"), "idx")
+    if voc.limit(broadcast_limit + 1).count() <= broadcast_limit:
+        joined = ex.join(F.broadcast(voc), "__w", "left")
+    else:
+        ensure_checkpoint_dir(df.sparkSession)
+        counts = ex.where(F.col("__w").isNotNull()).groupBy("__w").agg(F.count(F.lit(1)).alias("c")).checkpoint()
+        total = counts.agg(F.coalesce(F.sum("c"), F.lit(0))).first()[0]
+        often = counts.where(F.col("c") * share >= total).select(F.col("__w").alias("__often"))
+        hot = F.broadcast(often.join(voc, F.col("__often") == F.col("__w"), "left").select("__often", F.col("idx").alias("__idx")))
+        met = ex.join(hot, F.col("__w") == F.col("__often"), "left")
+        # A frequent or absent token needs no partner any more; its key matches none and lies anywhere.
+        done = F.col("__often").isNotNull() | F.col("__w").isNull()
+        met = met.withColumn("__w", F.when(done, F.concat(F.lit("-"), F.xxhash64(key, "seq", "pos").cast("string"))).otherwise(F.col("__w")))
+        joined = met.join(voc, "__w", "left").withColumn("idx", F.coalesce("__idx", "idx"))
     grouped = joined.groupBy(key, "seq").agg(
         F.array_sort(F.collect_list(F.when(F.col("pos").isNotNull(),
                                            F.struct("pos", F.coalesce("idx", F.lit(UNK_ID)).alias("idx"))))).alias("__p"),
