@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.functions import pandas_udf
 
 from .corpus import PAD, PAD_ID, UNK, UNK_ID
 
@@ -27,15 +33,86 @@ def mean_pool(pieces: DataFrame, word: str = "word", pos: str = "pos", vec: str
     return joined.select(word, F.when(F.col("n") > 2, F.coalesce("mean", zero)).otherwise(rnd).alias("vec"))
 
 
-def reduce_dims(df: DataFrame, k: int, vec: str = "vec", out: str = "vec_k") -> DataFrame:
-    """PCA to ``k`` dimensions on mean-centred vectors (Spark ML PCA projects without centring)."""
-    from pyspark.ml.feature import PCA, StandardScaler
+def _moments(shift: np.ndarray):
+    """Per task: the number of vectors, and sums and products about ``shift`` as one row a dimension (upper triangle)."""
+    d = len(shift)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, first, second = 0, np.zeros(d), np.zeros((d, d))
+        for batch in batches:
+            x = _matrix(batch.column("v"), d) - shift
+            n += len(x)
+            first += x.sum(axis=0)
+            second += x.T @ x
+        if n:
+            rows = [np.concatenate([[float(n), first[i]], second[i, i:]]) for i in range(d)]
+            yield pa.RecordBatch.from_pydict({"i": pa.array(range(d), pa.int32()), "v": pa.array(rows, pa.list_(pa.float64()))})
+
+    return run
+
+
+def _matrix(column: pa.Array, d: int) -> np.ndarray:
+    if len(column) and not bool((np.diff(column.offsets.to_numpy()) == d).all()):
+        raise ValueError(f"all vectors must have {d} components")
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, d)
+
+
+def principal_axes(vectors: DataFrame, k: int, vec: str = "vec") -> tuple[np.ndarray, np.ndarray]:
+    """(mean, k x d axes) of the usable vectors, largest variance first.
+
+    Mean and covariance come from one pass of sums about the first vector; only the d x d result reaches the driver.
+    Of each axis the loading of largest size is positive (the first one of equal ones), so the axes are a function of the data
+    wherever variances differ.
+    """
     from pyspark.ml.functions import array_to_vector, vector_to_array
+    from pyspark.ml.stat import Summarizer
+
+    v = vectors.select(F.col(vec).cast("array<double>").alias("v")).where(usable("v"))
+    pilot = v.first()
+    if pilot is None:
+        return np.zeros(0), np.zeros((k, 0))
+    shift = np.asarray(pilot["v"])
+    d = len(shift)
+    if not 1 <= k <= d:
+        raise ValueError(f"cannot reduce {d} dimensions to {k}")
+    sums = v.mapInArrow(_moments(shift), "i int, v array<double>").groupBy("i").agg(Summarizer.sum(array_to_vector("v")).alias("s"))
+    first, second, n = np.zeros(d), np.zeros((d, d)), 1.0
+    for r in sums.select("i", vector_to_array("s").alias("s")).toLocalIterator():
+        n, first[r["i"]] = r["s"][0], r["s"][1]
+        second[r["i"], r["i"]:] = second[r["i"]:, r["i"]] = r["s"][2:]
+    off = first / n
+    _, axes = np.linalg.eigh(second / n - np.outer(off, off))
+    axes = axes[:, ::-1].T[:k]
+    size = np.abs(axes)
+    lead = np.argmax(size >= size.max(axis=1, keepdims=True) - 1e-9, axis=1)
+    return shift + off, axes * np.where(axes[np.arange(k), lead] < 0, -1.0, 1.0)[:, None]
+
+
+def usable(vec: str) -> Column:
+    """The vector and all its components are there and finite, and it has some."""
+    bad = F.exists(F.col(vec), lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
+    return F.coalesce((F.size(vec) > 0) & ~bad, F.lit(False))
+
+
+def reduce_dims(df: DataFrame, k: int, vec: str = "vec", out: str = "vec_k") -> DataFrame:
+    """``df`` with ``out``: PCA to ``k`` dimensions of the mean-centred vectors, axes signed as in ``principal_axes``.
+
+    A vector that is null or empty or holds a null or non-finite component takes no part in the fit and has null in ``out``;
+    usable vectors of different lengths fail the job.
+    """
+    mean, axes = principal_axes(df, k, vec)
+
+    @pandas_udf("array<double>")
+    def project(v: pd.Series) -> pd.Series:
+        res = np.full(len(v), None, dtype=object)
+        there = np.flatnonzero(v.notna())
+        if len(there):
+            for i, x in zip(there, (np.stack(v.iloc[there].to_list()) - mean) @ axes.T, strict=True):
+                res[i] = x
+        return pd.Series(res)
 
-    v = df.withColumn("__v", array_to_vector(F.col(vec)))
-    centred = StandardScaler(inputCol="__v", outputCol="__c", withMean=True, withStd=False).fit(v).transform(v)
-    model = PCA(k=k, inputCol="__c", outputCol="__p").fit(centred)
-    return model.transform(centred).withColumn(out, vector_to_array("__p")).drop("__v", "__c", "__p")
+    staged = F.when(usable("__v"), F.col("__v"))
+    return df.withColumn("__v", F.col(vec).cast("array<double>")).withColumn("__v", staged).withColumn(out, project("__v")).drop("__v")
 
 
 def seeded_uniform(dim: int, seed: int = 1) -> Column:
