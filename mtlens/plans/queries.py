@@ -969,7 +969,7 @@ select pair_id, lower(s1) as s1, lower(s2) as s2 from fx_corpus""")
 def q_resumable_map(spark, sf_dir):
     from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-    from ..streaming.resumable import resumable_map
+    from ..streaming.resumable import read_batches, resumable_map
 
     base = IO.scratch_dir(spark, "resumable")
     src, out, ck = f"{base}/in", f"{base}/out", f"{base}/ck"
@@ -978,4 +978,31 @@ def q_resumable_map(spark, sf_dir):
                          StructField("s2", StringType())])
     resumable_map(spark, src, schema, ["s1", "s2"], lambda s: s.str.lower(), out, ck)
     resumable_map(spark, src, schema, ["s1", "s2"], lambda s: s.str.lower(), out, ck)  # a rerun adds nothing
-    return spark.read.schema(schema).json(out)
+    return read_batches(spark, out, schema)
+
+
+@register("resumable_rejects", f"""with {S.FX_CORPUS},
+ln as (select pair_id, s1 || chr(9) || s2 || case when pair_id % 3 = 0 then '' else chr(9) || cast(pair_id % 2 as varchar) end as line from fx_corpus),
+st as (select pair_id, {S.strip('line')} as line from ln),
+pt as (select pair_id, line, string_split(line, chr(9)) as parts from st where line <> '')
+select pair_id, case when len(parts) = 3 then lower(parts[1]) else parts[1] end as first_part, len(parts) = 3 as done from pt""")
+def q_resumable_rejects(spark, sf_dir):
+    """Lines of three parts are mapped; the others, a third of the pairs among them, are found in the reject folder."""
+    from pyspark.sql.types import IntegerType, LongType, StringType, StructField, StructType
+
+    from ..streaming.resumable import read_batches, resumable_map
+
+    base = IO.scratch_dir(spark, "rejects")
+    line = F.concat_ws("\t", "s1", "s2", F.when(F.col("pair_id") % 3 != 0, (F.col("pair_id") % 2).cast("string")))
+    corpus(spark, sf_dir).select("pair_id", line.alias("line")).write.json(f"{base}/in")
+
+    def parts(rows):
+        rows = rows.select("pair_id", F.split(T.strip("line"), "\t", -1).alias("p")).where(F.array_join("p", "") != "")
+        return rows.select("pair_id", F.col("p")[0].alias("first_part"), F.size("p").alias("n_parts"))
+
+    read = StructType([StructField("pair_id", LongType()), StructField("line", StringType())])
+    wrote = StructType([StructField("pair_id", LongType()), StructField("first_part", StringType()), StructField("n_parts", IntegerType())])
+    resumable_map(spark, f"{base}/in", read, ["first_part"], lambda s: s.str.lower(), f"{base}/out", f"{base}/ck",
+                  valid=F.col("n_parts") == 3, rejects=f"{base}/bad", files_per_batch=4, prepare=parts)
+    done, bad = read_batches(spark, f"{base}/out", wrote), read_batches(spark, f"{base}/bad", wrote)
+    return done.select("pair_id", "first_part", F.lit(True).alias("done")).unionByName(bad.select("pair_id", "first_part", F.lit(False).alias("done")))
