@@ -1,16 +1,18 @@
 """Language-model scores from Brown classes.
 
 Words (A-Z lower-cased) and one end mark a text are grouped into classes by exchange
-clustering: the most frequent ``words`` and, for all others, one bundle of words per
-hash of the last two letters are moved between classes as long as the likelihood of the class
-bigrams rises. A text's probability is the product of smoothed class transitions and word
-emissions within the class.
+clustering in two steps. A seed on the driver moves the most frequent ``words_`` and, for all others, one bundle of
+words per hash of the last two letters between classes as long as the likelihood of the class bigrams
+rises. Then every word that occurs ``LEAST`` times or more moves by its own contexts: each round
+counts (word, class of the neighbour) by a shuffle, moves all words in Spark against the grid of class bigrams, and is
+kept only if the likelihood rose. Only the grid and the words' classes reach the driver. Rarer and unseen words keep their
+bundle. A text's probability is the product of smoothed class transitions and word emissions within the class.
 
 All counts cover the whole training corpus: word counts are a distributed table as
-large as the vocabulary, class bigrams a table of bounded size. For scoring, the most frequent
-``KNOWN`` counts travel to the tasks (a bound in rows), the counts of all
+large as the vocabulary. The classes of at most ``LEARNT`` words (18 bytes each; of a larger vocabulary the most frequent)
+and the ``KNOWN`` most frequent counts travel to the tasks (bounds in rows); the counts of all
 other words are met by a shuffle join on the word's 64-bit hash; no frequent word is among
-them, so no key is hot.
+them, so no key is hot. Both bounds are found from the histogram of counts, so no task sorts the vocabulary.
 """
 
 from __future__ import annotations
@@ -23,15 +25,18 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialize, slices, word_hashes, words
+from .common import free, materialize, slices, word_hashes, words
 
 WORDS = 511
 SHAPES = 128
-CLASSES = 48
+CLASSES = 64
+LEAST = 3  # a word that occurs so often has a class of its own contexts
+LEARNT = 2_000_000
+ROUNDS = 2
 KNOWN = 400_000
 HELD = 1_500_000  # distinct words a task counts before it hands them on
 SMOOTH = 20.0  # weight of the class unigram in a transition
@@ -74,26 +79,127 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield put()
 
 
-def _items(hashes: np.ndarray, shapes: np.ndarray, top: np.ndarray, number: np.ndarray) -> np.ndarray:
-    """Clustering item of each word: 0 the end, then the frequent words, then the shapes."""
-    if not len(top):
-        return np.where(hashes == END_WORD, 0, 1 + shapes)
-    at = np.minimum(np.searchsorted(top, hashes), len(top) - 1)
-    return np.where(hashes == END_WORD, 0, np.where(top[at] == hashes, number[at], 1 + len(top) + shapes))
+def _place(hashes: np.ndarray, lexicon: np.ndarray) -> np.ndarray:
+    """Index of each hash in the sorted ``lexicon``, -1 if it is not there."""
+    if not len(lexicon):
+        return np.full(len(hashes), -1, np.int64)
+    at = np.minimum(np.searchsorted(lexicon, hashes), len(lexicon) - 1)
+    return np.where(lexicon[at] == hashes, at, -1)
 
 
-def _bigrams(top: np.ndarray, number: np.ndarray):
-    size = 1 + len(top) + SHAPES
+def _items(hashes: np.ndarray, shapes: np.ndarray, lexicon: np.ndarray) -> np.ndarray:
+    """Item of each word: 0 the end, then the words of the lexicon, then the bundles."""
+    at = _place(hashes, lexicon)
+    return np.where(hashes == END_WORD, 0, np.where(at >= 0, 1 + at, 1 + len(lexicon) + shapes))
+
+
+def _coder(lexicon):
+    """Each slice of texts as one row of items; a text starts where the one before has its end mark."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(size * size, np.int64)
         for batch in slices(batches):
             _, codes, hashes, shapes = coded(batch.column("text"))
-            seq = _items(hashes, shapes, top, number)[codes]
-            before = np.concatenate([[0], seq[:-1]])  # each row ends with the end mark, so the next starts after one
-            total += np.bincount(before * size + seq, minlength=size * size)
-        cells = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(cells), pa.array(total[cells])], names=["cell", "c"])
+            seq = _items(hashes, shapes, lexicon.value)[codes].astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array([0, len(seq)], pa.int32()), pa.array(seq))], names=["seq"])
+
+    return run
+
+
+def _sequences(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    for batch in batches:
+        for row in batch.column("seq"):
+            seq = row.values.to_numpy(zero_copy_only=False)
+            yield np.concatenate([[0], seq[:-1]]).astype(np.int64), seq.astype(np.int64)
+
+
+def _bigrams(classes, k: int, contexts: int):
+    """Class bigrams as (0, class before * k + class, count) and, for the items 1 to ``contexts``, the classes of their neighbours as
+    (item, cell, count): cell c a follower of class c, k + c a word before, 2 * k a follower that is the item itself."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cls, width = classes.value, 2 * k + 1
+        grid, held, size = np.zeros(k * k, np.int64), [], 0
+
+        def put() -> pa.RecordBatch:
+            keys, at = np.unique(np.concatenate([x for x, _ in held]), return_inverse=True)
+            total = np.bincount(at, weights=np.concatenate([c for _, c in held])).astype(np.int64)
+            return pa.RecordBatch.from_arrays([pa.array((keys // width).astype(np.int32)), pa.array((keys % width).astype(np.int32)), pa.array(total)], names=["item", "cell", "c"])
+
+        for before, seq in _sequences(batches):
+            left, right = cls[before].astype(np.int64), cls[seq].astype(np.int64)
+            grid += np.bincount(left * k + right, minlength=k * k)
+            if not contexts:
+                continue
+            same = before == seq
+            follows = before * width + np.where(same, 2 * k, right)
+            precedes = (seq * width + k + left)[~same]
+            keys = np.concatenate([follows, precedes])
+            keys = keys[(keys >= width) & (keys < (contexts + 1) * width)]
+            held.append(np.unique(keys, return_counts=True))
+            size += len(held[-1][0])
+            if size >= HELD:
+                yield put()
+                held, size = [], 0
+        if held:
+            yield put()
+        cells = np.flatnonzero(grid)
+        yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(cells), np.int32)), pa.array(cells.astype(np.int32)), pa.array(grid[cells])], names=["item", "cell", "c"])
+
+    return run
+
+
+def _xlogx(x):
+    return x * np.log(np.maximum(x, 1e-300))
+
+
+def likelihood(grid: np.ndarray) -> float:
+    """Log-likelihood of the class bigrams, but for what no class changes."""
+    return float(_xlogx(grid).sum() - _xlogx(grid.sum(axis=1)).sum() - _xlogx(grid.sum(axis=0)).sum())
+
+
+def gains(grid: np.ndarray, out: np.ndarray, into: np.ndarray, self_: float) -> np.ndarray:
+    """Likelihood for each class that takes an item, which ``grid`` lacks, up to a constant.
+
+    ``out``, ``into``: counts of the item before and after each class, ``self_`` before itself.
+    """
+    f, diag = _xlogx, np.arange(len(grid))
+    rows, cols = grid.sum(axis=1) + into, grid.sum(axis=0) + out  # whichever class takes the item
+    r, c = out.sum() + self_, into.sum() + self_
+    o, i = np.flatnonzero(out), np.flatnonzero(into)  # no other cell changes
+    a = (f(grid[:, o] + out[o]) - f(grid[:, o])).sum(axis=1) - (f(grid[diag, diag] + out) - f(grid[diag, diag]))
+    b = (f(grid[i] + into[i, None]) - f(grid[i])).sum(axis=0) - (f(grid[diag, diag] + into) - f(grid[diag, diag]))
+    corner = f(grid[diag, diag] + out + into + self_) - f(grid[diag, diag])
+    gain = a + b + corner - (f(rows + r) - f(rows)) - (f(cols + c) - f(cols))
+    gain[0] = -np.inf  # the end mark's own class
+    return gain
+
+
+def best_class(gain: np.ndarray, own: int) -> int:
+    """The class of the highest gain, the lower one of equals; ``own`` unless another is better."""
+    best = int(np.argmax(gain > gain.max() - 1e-9 * max(1.0, abs(gain.max()))))
+    return best if gain[best] > gain[own] + 1e-9 * max(1.0, abs(gain[own])) else int(own)
+
+
+def _moves(shared):
+    """Each item's best class against the shared grid, all others staying."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cls, grid = shared.value
+        k = len(grid)
+        for batch in batches:
+            items, cells = batch.column("item").to_numpy(), batch.column("cells")
+            to = np.empty(len(items), np.int32)
+            for j, item in enumerate(items.tolist()):
+                fields = cells[j].values
+                counts = np.zeros(2 * k + 1)
+                counts[fields.field("cell").to_numpy()] = fields.field("c").to_numpy()
+                out, into, self_, own = counts[:k], counts[k : 2 * k], counts[2 * k], int(cls[item])
+                bare = grid.copy()
+                bare[own, :] -= out
+                bare[:, own] -= into
+                bare[own, own] -= self_
+                to[j] = best_class(gains(bare, out, into, self_), own)
+            yield pa.RecordBatch.from_arrays([pa.array(items), pa.array(to)], names=["item", "class"])
 
     return run
 
@@ -107,9 +213,6 @@ def exchange(n: np.ndarray, classes: int, rounds: int = 12) -> np.ndarray:
     size = len(n)
     k = max(2, min(classes, size))
 
-    def f(x):
-        return x * np.log(np.maximum(x, 1e-300))
-
     n = n.astype(np.float64)
     order = [i for i in np.argsort(-n.sum(axis=1), kind="stable") if i]
     cls = np.zeros(size, np.int64)
@@ -128,17 +231,7 @@ def exchange(n: np.ndarray, classes: int, rounds: int = 12) -> np.ndarray:
             grid[own, :] -= out
             grid[:, own] -= into
             grid[own, own] -= self_
-            rows, cols = grid.sum(axis=1) + into, grid.sum(axis=0) + out  # whichever class takes the item
-            r, c = out.sum() + self_, into.sum() + self_
-            a = f(grid + out[None, :]) - f(grid)  # row of each candidate class
-            b = f(grid + into[:, None]) - f(grid)  # its column
-            diag = np.arange(k)
-            corner = f(grid[diag, diag] + out + into + self_) - f(grid[diag, diag])
-            gain = a.sum(axis=1) - a[diag, diag] + b.sum(axis=0) - b[diag, diag] + corner - (f(rows + r) - f(rows)) - (f(cols + c) - f(cols))
-            gain[0] = -np.inf
-            best = int(np.argmax(gain > gain.max() - 1e-9 * max(1.0, abs(gain.max()))))
-            if gain[best] <= gain[own] + 1e-9 * max(1.0, abs(gain[own])):
-                best = int(own)
+            best = best_class(gains(grid, out, into, self_), own)
             grid[best, :] += out
             grid[:, best] += into
             grid[best, best] += self_
@@ -152,72 +245,113 @@ def exchange(n: np.ndarray, classes: int, rounds: int = 12) -> np.ndarray:
 
 @dataclass
 class BrownModel:
-    """``known``, ``known_counts``: the most frequent words; ``transition`` and ``denominator`` are log10."""
+    """``classes`` of the items (see ``_items``); ``known``, ``known_counts``: the most frequent words; ``transition`` and
+    ``denominator`` are log10."""
 
     counts: DataFrame  # (word, shape, c), the whole vocabulary
     total: int
     distinct: int
-    top: np.ndarray
-    number: np.ndarray
-    classes: np.ndarray  # of the items
+    lexicon: np.ndarray
+    classes: np.ndarray
     transition: np.ndarray
     denominator: np.ndarray
     known: np.ndarray
     known_counts: np.ndarray
-    least: tuple[int, int] | None  # (count, word) of the last known one
+    cut: int  # every word that occurs so often is known
+
+
+def _cut(counts: DataFrame, rows: int) -> int:
+    """The least count that at most ``rows`` words reach."""
+    sizes = counts.groupBy("c").agg(F.count(F.lit(1)).alias("n"))  # at most some sqrt(2 * tokens) rows
+    upto = sizes.select("c", F.sum("n").over(Window.orderBy(F.desc("c"))).alias("upto"))
+    least, most = upto.agg(F.min(F.when(F.col("upto") <= rows, F.col("c"))), F.max("c")).first()
+    return int(least) if least is not None else int(most or 0) + 1
+
 
+def train(docs: DataFrame, words_: int = WORDS, classes: int = CLASSES, rounds: int = ROUNDS) -> BrownModel:
+    """Counts, classes and transitions of ``docs`` (text); null texts are empty: one end mark.
 
-def train(docs: DataFrame, words_: int = WORDS, classes: int = CLASSES) -> BrownModel:
-    """Counts, classes and transitions of ``docs`` (text); null texts are empty: one end mark."""
+    Words of equal count are told apart by their hash, equal classes by their number: reruns agree.
+    """
+    sc = docs.sparkSession.sparkContext
     texts = docs.select(F.col("text").cast("string").alias("text"))
     counts = texts.mapInArrow(_count, "word long, shape int, c long").groupBy("word").agg(F.first("shape").alias("shape"), F.sum("c").alias("c"))
     counts = materialize(counts, "counts")
     total, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
-    frequent = counts.orderBy(F.desc("c"), "word").limit(KNOWN).toArrow()
-    hashes, cs = frequent.column("word").to_numpy().view(np.uint64), frequent.column("c").to_numpy()
-    least = (int(cs[-1]), int(frequent.column("word")[-1].as_py())) if len(cs) == KNOWN else None
-    top = hashes[hashes != END_WORD][:words_]
-    order = np.argsort(top)
-    top, number = top[order], 1 + order
-    size = 1 + len(top) + SHAPES
-    got = texts.mapInArrow(_bigrams(top, number), "cell long, c long").groupBy("cell").agg(F.sum("c").alias("c")).toArrow()
-    grid = np.zeros(size * size)
-    grid[got.column("cell").to_numpy()] = got.column("c").to_numpy()
-    cls = exchange(grid.reshape(size, size), classes)
+    cut, least = _cut(counts, KNOWN), max(LEAST, _cut(counts, LEARNT))
+    frequent = counts.where(F.col("c") >= min(cut, least)).toArrow()
+    hashes, cs, shapes = frequent.column("word").to_numpy().view(np.uint64), frequent.column("c").to_numpy(), frequent.column("shape").to_numpy()
+    order = np.argsort(hashes)
+    hashes, cs, shapes = hashes[order], cs[order], shapes[order]
+    own = (cs >= least) & (hashes != END_WORD)
+    lexicon, lex_counts, lex_shapes = hashes[own], cs[own], shapes[own]
+
+    shared = sc.broadcast(lexicon)
+    codes = materialize(texts.mapInArrow(_coder(shared), "seq array<int>"), "codes")
+
+    def bigrams(cls: np.ndarray, k: int, contexts: int = 0) -> tuple[np.ndarray, DataFrame]:
+        """Grid of class bigrams; contexts of the items."""
+        cells = codes.mapInArrow(_bigrams(sc.broadcast(cls.astype(np.int32)), k, contexts), "item int, cell int, c long").groupBy("item", "cell").agg(F.sum("c").alias("c"))
+        cells = materialize(cells, "cells")
+        got = cells.where("item = 0").toArrow()
+        grid = np.zeros(k * k)
+        grid[got.column("cell").to_numpy()] = got.column("c").to_numpy()
+        return grid.reshape(k, k), cells
+
+    # the seed: the most frequent words and the bundles, all rarer words in theirs
+    top = np.lexsort((lexicon.view(np.int64), -lex_counts))[:words_]
+    seed = np.concatenate([[0], 1 + len(top) + lex_shapes, 1 + len(top) + np.arange(SHAPES)])
+    seed[1 + top] = 1 + np.arange(len(top))
+    grid, cells = bigrams(seed, 1 + len(top) + SHAPES)
+    free(cells)
+    cls = exchange(grid, classes)[seed]
+
+    # every word of the lexicon by its own contexts
+    k = int(cls.max()) + 1
+    kept = None
+    for r in range(rounds + 1):
+        grid, cells = bigrams(cls, k, len(lexicon) if r < rounds else 0)
+        if kept is not None and likelihood(grid) <= likelihood(kept[1]):
+            free(cells)
+            break
+        kept = cls, grid
+        if r < rounds and len(lexicon):
+            found = cells.where("item > 0").groupBy("item").agg(F.collect_list(F.struct("cell", "c")).alias("cells"))  # 2 k + 1 cells at most
+            moved = found.mapInArrow(_moves(sc.broadcast((cls, grid))), "item int, class int").toArrow()
+            cls = cls.copy()
+            cls[moved.column("item").to_numpy()] = moved.column("class").to_numpy()
+        free(cells)
+    free(codes)
+    cls, pair = kept
 
     # smoothed transitions and the emissions' denominators
-    k = int(cls.max()) + 1
-    member = np.eye(k)[cls]
-    pair = member.T @ grid.reshape(size, size) @ member
     seen = pair.sum(axis=0)
     unigram = (seen + 0.5) / (seen.sum() + 0.5 * k)
     transition = np.log10((pair + SMOOTH * unigram) / (pair.sum(axis=1, keepdims=True) + SMOOTH))
-    shapes = counts.groupBy("shape").agg(F.sum("c").alias("c"), F.count(F.lit(1)).alias("v")).collect()
-    mass, kinds = np.zeros(size), np.zeros(size)
-    for r in shapes:
-        mass[1 + len(top) + r["shape"]], kinds[1 + len(top) + r["shape"]] = r["c"], r["v"]
-    special = np.isin(hashes, top) | (hashes == END_WORD)
-    items = _items(hashes[special], np.zeros(special.sum(), np.int64), top, number)
-    special_shape = frequent.column("shape").to_numpy()[special]
-    for item, shape, c in zip(items.tolist(), special_shape.tolist(), cs[special].tolist(), strict=True):
-        mass[item], kinds[item] = c, 1
-        mass[1 + len(top) + shape] -= c
-        kinds[1 + len(top) + shape] -= 1
-    denominator = np.log10(member.T @ mass + 0.5 * (member.T @ kinds + 1))
-    by = np.argsort(hashes)
-    return BrownModel(counts, int(total), int(distinct), top, number, cls, transition, denominator, hashes[by], cs[by], least)
+    mass, kinds = np.zeros(len(cls)), np.zeros(len(cls))
+    bundles = 1 + len(lexicon)
+    for row in counts.where(F.col("word") != int(END_WORD.astype(np.int64))).groupBy("shape").agg(F.sum("c").alias("c"), F.count(F.lit(1)).alias("v")).collect():
+        mass[bundles + row["shape"]], kinds[bundles + row["shape"]] = row["c"], row["v"]
+    mass[bundles:] -= np.bincount(lex_shapes, weights=lex_counts, minlength=SHAPES)
+    kinds[bundles:] -= np.bincount(lex_shapes, minlength=SHAPES)
+    mass[1:bundles], kinds[1:bundles] = lex_counts, 1
+    if total:
+        mass[0], kinds[0] = pair.sum(axis=0)[0], 1
+    denominator = np.log10(np.bincount(cls, mass, k) + 0.5 * (np.bincount(cls, kinds, k) + 1))
+    known = (cs >= cut) | (hashes == END_WORD)
+    return BrownModel(counts, int(total), int(distinct), lexicon, cls, transition, denominator, hashes[known], cs[known], cut)
 
 
 def score(docs: DataFrame, model: BrownModel, keep: list[str]) -> DataFrame:
     """``docs`` (columns ``keep``, text) with n_tokens, n_known, base_score and score.
 
     ``base_score`` is the smoothed unigram log10 probability, ``score`` the class model's. Null and empty texts are one end mark.
-    Repeated rows stay apart. Columns of ``docs`` with these names are replaced.
+    Repeated rows stay apart, texts of any length are one sequence each. Columns of ``docs`` with these names are replaced.
     """
     made = ("n_tokens", "n_known", "base_score", "score")
     keep = [c for c in keep if c not in made]
     shared = docs.sparkSession.sparkContext.broadcast(
-        {"top": model.top, "number": model.number, "cls": model.classes, "transition": model.transition, "denominator": model.denominator, "known": model.known, "counts": model.known_counts, "all": model.least is None}
+        {"lexicon": model.lexicon, "cls": model.classes, "transition": model.transition, "denominator": model.denominator, "known": model.known, "counts": model.known_counts, "all": model.cut <= 1}
     )
     rows = docs.select(*keep, F.col("text").cast("string").alias("__text"))
     schema = rows.drop("__text").schema
@@ -230,13 +364,11 @@ def score(docs: DataFrame, model: BrownModel, keep: list[str]) -> DataFrame:
         known, known_counts = m["known"], m["counts"]
         for batch in slices(batches, "__text"):
             offsets, codes, hashes, shapes = coded(batch.column("__text"))
-            if len(known):
-                at = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
-                c = np.where(known[at] == hashes, known_counts[at], 0)
-            else:
-                c = np.zeros(len(hashes), np.int64)
+            at = _place(hashes, known)
+            c = np.zeros(len(hashes), np.int64)
+            c[at >= 0] = known_counts[at[at >= 0]]
             open_ = (c == 0) & (not m["all"])  # in the distributed table, or nowhere
-            cls = m["cls"][_items(hashes, shapes, m["top"], m["number"])]
+            cls = m["cls"][_items(hashes, shapes, m["lexicon"])]
             seq = cls[codes]
             before = np.concatenate([[0], seq[:-1]])
             first, last = offsets[:-1], offsets[1:]
@@ -266,11 +398,10 @@ def score(docs: DataFrame, model: BrownModel, keep: list[str]) -> DataFrame:
             )
 
     rows = materialize(rows.mapInArrow(run, schema), "scored")
-    if model.least is None:  # every count was known to the tasks
+    if model.cut <= 1:  # every count was known to the tasks
         out = rows.select(*keep, "n_tokens", F.col("__known").alias("n_known"), F.col("__counts").alias("logs"), "__model")
     else:
-        c, w = model.least
-        other = model.counts.where((F.col("c") < c) | ((F.col("c") == c) & (F.col("word") > w))).select("word", "c")
+        other = model.counts.where(F.col("c") < model.cut).select("word", "c")
         words_ = rows.select("__row", F.explode(F.arrays_zip("__rare", "__times")).alias("x")).select("__row", F.col("x.__rare").alias("word"), F.col("x.__times").alias("k"))
         met = words_.join(other, "word", "left").groupBy("__row").agg(
             F.sum(F.when(F.col("c").isNotNull(), F.col("k"))).alias("more"), F.sum(F.col("k") * F.log10(F.coalesce("c", F.lit(0)) + 0.5)).alias("logs")

@@ -7,6 +7,7 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 
 from mtlens.llm import brown, langid, toxicity
 
@@ -127,12 +128,82 @@ def test_class_model(spark, prose, edge_rows, monkeypatch):
     k = len(model.transition)
     mass, kinds = np.zeros(k), np.zeros(k)
     for r in model.counts.collect():
-        c = model.classes[brown._items(np.array([r.word], np.int64).view(np.uint64), np.array([r["shape"]]), model.top, model.number)[0]]
+        c = model.classes[brown._items(np.array([r.word], np.int64).view(np.uint64), np.array([r["shape"]]), model.lexicon)[0]]
         mass[c] += r.c + 0.5
         kinds[c] += 1
     assert np.allclose(mass + 0.5, 10**model.denominator)
 
 
+def test_class_score_is_the_sum_over_tokens(spark, prose):
+    rows = [(i, prose(i % 40), "en", "s", 0) for i in range(80)] + [(900, None, "", "", 0), (901, "never seen wordzz prose", "", "", 0)]
+    docs = spark.createDataFrame(rows, DOCS).repartition(3)
+    model = brown.train(docs.where("doc_id < 60"), words_=10, classes=6)
+    counts = {r.word: (r["shape"], r.c) for r in model.counts.collect()}
+    tokens = {i: [*re.findall(r"[^\x20\x09-\x0D]+", (t or "").lower()), ""] for i, t, *_ in rows}
+    lexicon = {int(h): 1 + i for i, h in enumerate(model.lexicon.tolist())}
+    seen = Counter(x for i, t in tokens.items() if i < 60 for x in t)
+    assert len(lexicon) == sum(c >= brown.LEAST for w, c in seen.items() if w)  # every word above the count, however many
+
+    def class_of(word):
+        if word == "":
+            return 0
+        h = xxhash.xxh64_intdigest(word, 0)
+        return int(model.classes[lexicon.get(h, 1 + len(lexicon) + xxhash.xxh32_intdigest(word[-2:]) % brown.SHAPES)])
+
+    pair = Counter()
+    for i in range(60):
+        classes = [0, *map(class_of, tokens[i])]
+        pair.update(zip(classes, classes[1:], strict=False))
+    k = len(model.transition)
+    grid = np.array([[pair[a, b] for b in range(k)] for a in range(k)], float)
+    unigram = (grid.sum(axis=0) + 0.5) / (grid.sum() + 0.5 * k)
+    mass, kinds = np.zeros(k), np.zeros(k)
+    for w, c in seen.items():
+        mass[class_of(w)] += c
+        kinds[class_of(w)] += 1
+    for r in brown.score(docs, model, ["doc_id"]).collect():
+        classes = [0, *map(class_of, tokens[r.doc_id])]
+        total = 0.0
+        for w, a, b in zip(tokens[r.doc_id], classes, classes[1:], strict=False):
+            total += math.log10((grid[a, b] + brown.SMOOTH * unigram[b]) / (grid[a].sum() + brown.SMOOTH))
+            total += math.log10((seen[w] + 0.5) / (mass[b] + 0.5 * (kinds[b] + 1)))
+        assert math.isclose(r.score, total, rel_tol=1e-9)
+    assert len(counts) == len(seen)
+
+
+def test_words_beyond_the_bound_on_classes_keep_their_bundle(spark, prose, monkeypatch):
+    docs = spark.createDataFrame([(i, prose(i), "en", "s", 0) for i in range(50)], DOCS)
+    whole = brown.train(docs, classes=6)
+    bound = len(whole.lexicon) - 1
+    monkeypatch.setattr(brown, "LEARNT", bound)
+    few = brown.train(docs, classes=6)
+    assert len(few.lexicon) <= bound and set(few.lexicon.tolist()) < set(whole.lexicon.tolist()) and few.total == whole.total
+    assert all(math.isfinite(r.score) for r in brown.score(docs, few, ["doc_id"]).collect())
+
+
+def test_gain_is_the_change_of_the_likelihood():
+    rng = np.random.default_rng(4)
+    cls = rng.integers(1, 5, 12)
+    cls[0] = 0
+    n = rng.integers(0, 9, (12, 12)).astype(float)
+    member = lambda c: np.eye(5)[c]
+    for item in range(1, 12):
+        rest = n.copy()
+        rest[item, :] = rest[:, item] = 0
+        m = member(cls)
+        out, into = n[item] @ m, m.T @ n[:, item]
+        out[cls[item]] -= n[item, item]
+        into[cls[item]] -= n[item, item]
+        gain = brown.gains(m.T @ rest @ m, out, into, n[item, item])
+        whole = []
+        for to in range(1, 5):
+            moved = cls.copy()
+            moved[item] = to
+            m2 = member(moved)
+            whole.append(brown.likelihood(m2.T @ n @ m2))
+        assert np.allclose(gain[1:] - gain[1], np.array(whole) - whole[0])
+
+
 def test_class_model_without_rows(spark):
     docs = spark.createDataFrame([], DOCS)
     model = brown.train(docs)
