@@ -180,26 +180,63 @@ def best_class(gain: np.ndarray, own: int) -> int:
     return best if gain[best] > gain[own] + 1e-9 * max(1.0, abs(gain[own])) else int(own)
 
 
+ENTRIES = 20_000  # cells of contexts that one numpy step holds against all classes
+
+
+def _side(grid, w, j, count, own, other, self_):
+    """Sums over the contexts ``j`` (class bigrams of the item with class ``j``) of the change of x log x, per item and class that
+    takes it; cells of a class with itself are left out. ``grid[c, j]`` is the cell of class ``c``, ``other`` the item's counts on its other side."""
+    cells = grid[:, j].T.copy()
+    home = j == own[w]
+    cells[home] -= other[w[home]]  # the item itself still lies in these cells
+    at = np.arange(len(j))
+    cells[at, own[w]] -= count + home * self_[w]
+    change = _xlogx(cells + count[:, None]) - _xlogx(cells)
+    change[at, j] = 0
+    total = np.zeros(other.shape)
+    first = np.flatnonzero(np.diff(w, prepend=-1))
+    if len(first):
+        total[w[first]] = np.add.reduceat(change, first)
+    return total
+
+
+def batch_gains(grid: np.ndarray, own: np.ndarray, out: np.ndarray, into: np.ndarray, self_: np.ndarray) -> np.ndarray:
+    """``gains`` of many items (rows of ``out`` and ``into``) at once, each against the others, from the grid that holds them all in their classes ``own``."""
+    f, at = _xlogx, np.arange(len(own))
+    diag = np.repeat(grid.diagonal()[None, :], len(own), axis=0)
+    diag[at, own] -= out[at, own] + into[at, own] + self_
+    gain = f(diag + out + into + self_[:, None]) - f(diag)
+    for cells, here, other in ((grid, out, into), (grid.T, into, out)):
+        w, j = np.nonzero(here)
+        gain += _side(cells, w, j, here[w, j], own, other, self_)
+        sums = np.repeat(cells.sum(axis=1)[None, :], len(own), axis=0)
+        mine = here.sum(axis=1) + self_
+        sums[at, own] -= mine
+        gain -= f(sums + mine[:, None]) - f(sums)
+    gain[:, 0] = -np.inf  # the end mark's own class
+    return gain
+
+
 def _moves(shared):
     """Each item's best class against the shared grid, all others staying."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cls, grid = shared.value
         k = len(grid)
-        for batch in batches:
-            items, cells = batch.column("item").to_numpy(), batch.column("cells")
-            to = np.empty(len(items), np.int32)
-            for j, item in enumerate(items.tolist()):
-                fields = cells[j].values
-                counts = np.zeros(2 * k + 1)
-                counts[fields.field("cell").to_numpy()] = fields.field("c").to_numpy()
-                out, into, self_, own = counts[:k], counts[k : 2 * k], counts[2 * k], int(cls[item])
-                bare = grid.copy()
-                bare[own, :] -= out
-                bare[:, own] -= into
-                bare[own, own] -= self_
-                to[j] = best_class(gains(bare, out, into, self_), own)
-            yield pa.RecordBatch.from_arrays([pa.array(items), pa.array(to)], names=["item", "class"])
+        step = max(1, ENTRIES // (2 * k))
+        for whole in batches:
+            for start in range(0, whole.num_rows, step):
+                batch = whole.slice(start, step)
+                items, cells = batch.column("item").to_numpy(), batch.column("cells")
+                fields, size = cells.flatten(), cells.value_lengths().to_numpy()
+                counts = np.zeros((len(items), 2 * k + 1))
+                counts[np.repeat(np.arange(len(items)), size), fields.field("cell").to_numpy()] = fields.field("c").to_numpy()
+                own = cls[items]
+                gain = batch_gains(grid, own, counts[:, :k], counts[:, k : 2 * k], counts[:, 2 * k])
+                top, mine = gain.max(axis=1, keepdims=True), gain[np.arange(len(own)), own]
+                best = np.argmax(gain > top - 1e-9 * np.maximum(1.0, np.abs(top)), axis=1)
+                better = gain[np.arange(len(own)), best] > mine + 1e-9 * np.maximum(1.0, np.abs(mine))
+                yield pa.RecordBatch.from_arrays([pa.array(items), pa.array(np.where(better, best, own).astype(np.int32))], names=["item", "class"])
 
     return run
 

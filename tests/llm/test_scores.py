@@ -204,6 +204,27 @@ def test_gain_is_the_change_of_the_likelihood():
         assert np.allclose(gain[1:] - gain[1], np.array(whole) - whole[0])
 
 
+def test_gains_of_many_items_equal_those_of_each():
+    rng = np.random.default_rng(8)
+    n = rng.integers(0, 4, (60, 60)).astype(float) * (rng.random((60, 60)) < 0.3)
+    cls = rng.integers(1, 7, 60)
+    cls[0] = 0
+    m = np.eye(7)[cls]
+    grid = m.T @ n @ m
+    items = np.arange(1, 60)
+    out, into, self_ = (n @ m)[items], (m.T @ n).T[items], n.diagonal()[items]
+    out[np.arange(59), cls[items]] -= self_
+    into[np.arange(59), cls[items]] -= self_
+    got = brown.batch_gains(grid, cls[items], out, into, self_)
+    for w, own in enumerate(cls[items]):
+        bare = grid.copy()
+        bare[own, :] -= out[w]
+        bare[:, own] -= into[w]
+        bare[own, own] -= self_[w]
+        expected = brown.gains(bare, out[w], into[w], self_[w])
+        assert np.allclose(got[w], expected)
+
+
 def test_class_model_without_rows(spark):
     docs = spark.createDataFrame([], DOCS)
     model = brown.train(docs)
