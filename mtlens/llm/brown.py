@@ -4,7 +4,7 @@ Words (A-Z lower-cased) and one end mark a text are grouped into classes by exch
 clustering in two steps. A seed on the driver moves the most frequent ``words_`` and, for all others, one bundle of
 words per hash of the last two letters between classes as long as the likelihood of the class bigrams
 rises. Then every word that occurs ``LEAST`` times or more moves by its own contexts: each round
-counts (word, class of the neighbour) by a shuffle, moves all words in Spark against the grid of class bigrams, and is
+counts (word, class of the neighbour) by a shuffle of one packed row a word and step, moves all words in Spark against the grid of class bigrams, and is
 kept only if the likelihood rose. Only the grid and the words' classes reach the driver. Rarer and unseen words keep their
 bundle. A text's probability is the product of smoothed class transitions and word emissions within the class.
 
@@ -23,6 +23,7 @@ from itertools import count as counter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
@@ -38,7 +39,8 @@ LEAST = 3  # a word that occurs so often has a class of its own contexts
 LEARNT = 2_000_000
 ROUNDS = 2
 KNOWN = 400_000
-HELD = 1_500_000  # distinct words a task counts before it hands them on
+HELD = 1_500_000  # words (distinct ones) or contexts a task holds before it counts them and hands them on
+OFTEN = 4096  # words whose contexts a task counts in one table, handed on once
 SMOOTH = 20.0  # weight of the class unigram in a transition
 END_WORD = np.uint64(xxhash.xxh64_intdigest("", 0))  # no word is empty
 
@@ -47,7 +49,8 @@ def coded(text: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarra
     """(offsets, codes, hashes, shapes): each row's words and its end mark, as codes of distinct words."""
     offsets, codes, vocabulary = words(text)
     hashes = np.append(word_hashes(vocabulary), END_WORD)
-    shapes = np.fromiter((xxhash.xxh32_intdigest(w[-2:]) % SHAPES for w in vocabulary.to_pylist()), np.int32, len(vocabulary))
+    tails = pc.utf8_slice_codeunits(vocabulary, -2).dictionary_encode()
+    shapes = np.fromiter((xxhash.xxh32_intdigest(w) % SHAPES for w in tails.dictionary.to_pylist()), np.int32, len(tails.dictionary))[tails.indices.to_numpy()]
     n = len(offsets) - 1
     out = np.full(len(codes) + n, len(vocabulary), np.int64)
     ends = offsets[1:] + np.arange(n)
@@ -100,7 +103,7 @@ def _coder(lexicon):
         for batch in slices(batches):
             _, codes, hashes, shapes = coded(batch.column("text"))
             seq = _items(hashes, shapes, lexicon.value)[codes].astype(np.int32)
-            yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array([0, len(seq)], pa.int32()), pa.array(seq))], names=["seq"])
+            yield pa.RecordBatch.from_arrays([pa.array([seq.tobytes()], pa.binary())], names=["seq"])
 
     return run
 
@@ -108,22 +111,48 @@ def _coder(lexicon):
 def _sequences(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     for batch in batches:
         for row in batch.column("seq"):
-            seq = row.values.to_numpy(zero_copy_only=False)
+            seq = np.frombuffer(row.as_buffer(), np.int32)
             yield np.concatenate([[0], seq[:-1]]).astype(np.int64), seq.astype(np.int64)
 
 
-def _bigrams(classes, k: int, contexts: int):
-    """Class bigrams as (0, class before * k + class, count) and, for the items 1 to ``contexts``, the classes of their neighbours as
-    (item, cell, count): cell c a follower of class c, k + c a word before, 2 * k a follower that is the item itself."""
+CELL = np.dtype([("cell", "<i4"), ("c", "<i8")])  # a row of counts is stored as its cells that are not 0
+CELLS = "item int, cells binary"
+
+
+def _packed(items: np.ndarray, cell: np.ndarray, c: np.ndarray) -> pa.RecordBatch:
+    """A row per item with its cells; the cells of an item are consecutive."""
+    cells = np.empty(len(items), CELL)
+    cells["cell"], cells["c"] = cell, c
+    first = np.flatnonzero(np.diff(items, prepend=items[:1] - 1))
+    offsets = (np.append(first, len(items)) * CELL.itemsize).astype(np.int32)
+    packed = pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(offsets), pa.py_buffer(cells.tobytes())])
+    return pa.RecordBatch.from_arrays([pa.array(items[first].astype(np.int32)), packed], names=["item", "cells"])
+
+
+def _dense(packed: pa.Array, rows: np.ndarray, width: int) -> np.ndarray:
+    """Counts of ``packed`` as a table, summed over the values that share a row of it; ``rows`` ascend from 0."""
+    size = pc.binary_length(packed).to_numpy() // CELL.itemsize
+    start = np.frombuffer(packed.buffers()[1], np.int32)[packed.offset]
+    cells = np.frombuffer(packed.buffers()[2] or b"", np.uint8)[start : start + size.sum() * CELL.itemsize].view(CELL)
+    at = np.repeat(rows * width, size) + cells["cell"]
+    return np.bincount(at, weights=cells["c"], minlength=(int(rows[-1]) + 1) * width).reshape(-1, width)
+
+
+def _bigrams(shared, k: int, contexts: int):
+    """Packed rows of counts. Item -1 - c: the classes after class c. Items 1 to ``contexts``: the classes of the item's neighbours;
+    cell c a follower of class c, k + c a word before, 2 * k a follower that is the item itself. An item may have several rows;
+    those that ``shared`` numbers as the most frequent have one a task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cls, width = classes.value, 2 * k + 1
-        grid, held, size = np.zeros(k * k, np.int64), [], 0
+        (cls, top), width = shared.value, 2 * k + 1
+        ranked = np.flatnonzero(top >= 0)
+        ranked = ranked[np.argsort(top[ranked])]
+        grid, often = np.zeros(k * k, np.int64), np.zeros(len(ranked) * width, np.int64)
+        held, size = [], 0
 
         def put() -> pa.RecordBatch:
-            keys, at = np.unique(np.concatenate([x for x, _ in held]), return_inverse=True)
-            total = np.bincount(at, weights=np.concatenate([c for _, c in held])).astype(np.int64)
-            return pa.RecordBatch.from_arrays([pa.array((keys // width).astype(np.int32)), pa.array((keys % width).astype(np.int32)), pa.array(total)], names=["item", "cell", "c"])
+            keys, c = np.unique(np.concatenate(held), return_counts=True)
+            return _packed(keys // width, keys % width, c)
 
         for before, seq in _sequences(batches):
             left, right = cls[before].astype(np.int64), cls[seq].astype(np.int64)
@@ -131,19 +160,51 @@ def _bigrams(classes, k: int, contexts: int):
             if not contexts:
                 continue
             same = before == seq
-            follows = before * width + np.where(same, 2 * k, right)
-            precedes = (seq * width + k + left)[~same]
-            keys = np.concatenate([follows, precedes])
-            keys = keys[(keys >= width) & (keys < (contexts + 1) * width)]
-            held.append(np.unique(keys, return_counts=True))
-            size += len(held[-1][0])
+            for items, cells in ((before, np.where(same, 2 * k, right)), (seq[~same], k + left[~same])):
+                rank = top[items]
+                hot = rank >= 0
+                often += np.bincount(rank[hot] * width + cells[hot], minlength=len(often))
+                rest = ~hot & (items > 0) & (items <= contexts)
+                held.append(items[rest] * width + cells[rest])
+                size += len(held[-1])
             if size >= HELD:
                 yield put()
                 held, size = [], 0
-        if held:
+        if size:
             yield put()
-        cells = np.flatnonzero(grid)
-        yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(cells), np.int32)), pa.array(cells.astype(np.int32)), pa.array(grid[cells])], names=["item", "cell", "c"])
+        for counts, step, items in ((often, width, ranked), (grid, k, -1 - np.arange(k))):
+            cells = np.flatnonzero(counts)
+            if len(cells):
+                yield _packed(items[cells // step], cells % step, counts[cells])
+
+    return run
+
+
+def _added(width: int):
+    """Sums of the packed rows of each item, from rows sorted by item: streams, an item may have rows in any number of batches."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def put(items: np.ndarray, table: np.ndarray) -> pa.RecordBatch:
+            row, cell = np.nonzero(table)
+            return _packed(items[row], cell, table[row, cell])
+
+        last, held = None, None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            items = batch.column("item").to_numpy()
+            new = np.concatenate([[False], items[1:] != items[:-1]])
+            table = _dense(batch.column("cells"), np.cumsum(new), width)
+            items = items[np.concatenate([[0], np.flatnonzero(new)])]
+            if last == items[0]:
+                table[0] += held
+            elif last is not None:
+                yield put(np.array([last]), held[None, :])
+            last, held = items[-1], table[-1].copy()
+            if len(items) > 1:
+                yield put(items[:-1], table[:-1])
+        if last is not None:
+            yield put(np.array([last]), held[None, :])
 
     return run
 
@@ -227,10 +288,8 @@ def _moves(shared):
         for whole in batches:
             for start in range(0, whole.num_rows, step):
                 batch = whole.slice(start, step)
-                items, cells = batch.column("item").to_numpy(), batch.column("cells")
-                fields, size = cells.flatten(), cells.value_lengths().to_numpy()
-                counts = np.zeros((len(items), 2 * k + 1))
-                counts[np.repeat(np.arange(len(items)), size), fields.field("cell").to_numpy()] = fields.field("c").to_numpy()
+                items = batch.column("item").to_numpy()
+                counts = _dense(batch.column("cells"), np.arange(len(items)), 2 * k + 1)
                 own = cls[items]
                 gain = batch_gains(grid, own, counts[:, :k], counts[:, k : 2 * k], counts[:, 2 * k])
                 top, mine = gain.max(axis=1, keepdims=True), gain[np.arange(len(own)), own]
@@ -324,19 +383,26 @@ def train(docs: DataFrame, words_: int = WORDS, classes: int = CLASSES, rounds:
     lexicon, lex_counts, lex_shapes = hashes[own], cs[own], shapes[own]
 
     shared = sc.broadcast(lexicon)
-    codes = materialize(texts.mapInArrow(_coder(shared), "seq array<int>"), "codes")
+    codes = materialize(texts.mapInArrow(_coder(shared), "seq binary"), "codes")
+
+    order = np.lexsort((lexicon.view(np.int64), -lex_counts))
+    often = np.full(1 + len(lexicon) + SHAPES, -1, np.int32)
+    often[1 + order[:OFTEN]] = np.arange(len(order[:OFTEN]))
 
     def bigrams(cls: np.ndarray, k: int, contexts: int = 0) -> tuple[np.ndarray, DataFrame]:
         """Grid of class bigrams; contexts of the items."""
-        cells = codes.mapInArrow(_bigrams(sc.broadcast(cls.astype(np.int32)), k, contexts), "item int, cell int, c long").groupBy("item", "cell").agg(F.sum("c").alias("c"))
-        cells = materialize(cells, "cells")
-        got = cells.where("item = 0").toArrow()
-        grid = np.zeros(k * k)
-        grid[got.column("cell").to_numpy()] = got.column("c").to_numpy()
-        return grid.reshape(k, k), cells
+        top = often if contexts else np.full(len(often), -1, np.int32)
+        cells = codes.mapInArrow(_bigrams(sc.broadcast((cls.astype(np.int32), top)), k, contexts), CELLS)
+        cells = materialize(cells.repartition("item").sortWithinPartitions("item").mapInArrow(_added(2 * k + 1), CELLS), "cells")
+        got = cells.where("item < 0").toArrow().combine_chunks()
+        grid = np.zeros((k, k))
+        if got.num_rows:
+            packed = got.column("cells").chunk(0)
+            grid[-1 - got.column("item").to_numpy()] = _dense(packed, np.arange(len(packed)), k)
+        return grid, cells
 
     # the seed: the most frequent words and the bundles, all rarer words in theirs
-    top = np.lexsort((lexicon.view(np.int64), -lex_counts))[:words_]
+    top = order[:words_]
     seed = np.concatenate([[0], 1 + len(top) + lex_shapes, 1 + len(top) + np.arange(SHAPES)])
     seed[1 + top] = 1 + np.arange(len(top))
     grid, cells = bigrams(seed, 1 + len(top) + SHAPES)
@@ -353,8 +419,7 @@ def train(docs: DataFrame, words_: int = WORDS, classes: int = CLASSES, rounds:
             break
         kept = cls, grid
         if r < rounds and len(lexicon):
-            found = cells.where("item > 0").groupBy("item").agg(F.collect_list(F.struct("cell", "c")).alias("cells"))  # 2 k + 1 cells at most
-            moved = found.mapInArrow(_moves(sc.broadcast((cls, grid))), "item int, class int").toArrow()
+            moved = cells.where("item > 0").mapInArrow(_moves(sc.broadcast((cls, grid))), "item int, class int").toArrow()
             cls = cls.copy()
             cls[moved.column("item").to_numpy()] = moved.column("class").to_numpy()
         free(cells)

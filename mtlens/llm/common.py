@@ -106,9 +106,45 @@ def words(text: pa.Array, lower: bool = True) -> tuple[np.ndarray, np.ndarray, p
     return offsets, codes, vocabulary
 
 
+_X = [np.uint64(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5)]  # fixed values of XXH64
+
+
+def _turn(x: np.ndarray, by: int) -> np.ndarray:
+    return (x << np.uint64(by)) | (x >> np.uint64(64 - by))
+
+
 def word_hashes(vocabulary: pa.Array, seed: int = 0) -> np.ndarray:
-    """64-bit hashes of distinct words."""
-    return np.fromiter((xxhash.xxh64_intdigest(w, seed) for w in vocabulary.to_pylist()), np.uint64, len(vocabulary))
+    """XXH64 of distinct words, for all words below 32 bytes at once in numpy."""
+    n = len(vocabulary)
+    if not n:
+        return np.empty(0, np.uint64)
+    raw = vocabulary.cast(pa.binary())
+    offsets = np.frombuffer(raw.buffers()[1], np.int32)[raw.offset : raw.offset + n + 1].astype(np.int64)
+    data = np.concatenate([np.frombuffer(raw.buffers()[2] or b"", np.uint8)[: offsets[-1]], np.zeros(8, np.uint8)])
+    size, at = np.diff(offsets), offsets[:-1].copy()
+    eight = np.ndarray(len(data) - 7, "<u8", data, strides=(1,))  # the eight bytes from any byte on
+    a, b, c, d, e = _X
+    with np.errstate(over="ignore"):
+        h = np.uint64(seed) + e + size.astype(np.uint64)
+        for step in range(3):
+            w = np.flatnonzero(size >= 8 * step + 8)
+            if not len(w):
+                break
+            h[w] = _turn(h[w] ^ (_turn(eight[at[w]] * b, 31) * a), 27) * a + d
+            at[w] += 8
+        w = np.flatnonzero(size & 4)
+        h[w] = _turn(h[w] ^ ((eight[at[w]] & np.uint64(0xFFFFFFFF)) * a), 23) * b + c
+        at[w] += 4
+        for step in range(3):
+            w = np.flatnonzero((size & 3) > step)
+            h[w] = _turn(h[w] ^ (data[at[w]] * e), 11) * a
+            at[w] += 1
+        h = (h ^ (h >> np.uint64(33))) * b
+        h = (h ^ (h >> np.uint64(29))) * c
+        h ^= h >> np.uint64(32)
+    for w in np.flatnonzero(size >= 32):
+        h[w] = xxhash.xxh64_intdigest(raw[int(w)].as_py(), seed)
+    return h
 
 
 def mix(x: np.ndarray) -> np.ndarray:

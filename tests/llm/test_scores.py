@@ -10,6 +10,7 @@ import pyarrow as pa
 import xxhash
 
 from mtlens.llm import brown, langid, toxicity
+from mtlens.llm.common import word_hashes
 
 from .conftest import DOCS
 
@@ -242,3 +243,45 @@ def test_exchange_finds_planted_classes():
     n[0, 1:] = n[1:, 0] = 5
     cls = brown.exchange(n, 3)
     assert cls[0] == 0 and len(set(cls[1::2])) == 1 and len(set(cls[2::2])) == 1 and cls[1] != cls[2]
+
+
+def test_word_hashes_are_those_of_the_library():
+    rng = random.Random(3)
+    some = ["".join(rng.choice("abcé😀ß z") for _ in range(rng.randint(0, 40))) for _ in range(3000)]
+    for array in (pa.array(some), pa.array(some).slice(7, 900), pa.array([""]), pa.array([], pa.string())):
+        for seed in (0, 7):
+            assert word_hashes(array, seed).tolist() == [xxhash.xxh64_intdigest(w, seed) for w in array.to_pylist()]
+
+
+def test_contexts_are_counted_once_however_they_are_held(monkeypatch):
+    class Shared:
+        pass
+
+    rng = np.random.default_rng(6)
+    k, items = 5, 40
+    cls = rng.integers(1, k, 1 + items).astype(np.int32)
+    cls[0] = 0
+    seqs = [np.append(rng.integers(1, 1 + items, n), 0).astype(np.int32) for n in (0, 1, 300, 50, 700)]
+    batches = [pa.RecordBatch.from_arrays([pa.array([s.tobytes()], pa.binary())], names=["seq"]) for s in seqs]
+    expected, grid = np.zeros((1 + items, 2 * k + 1)), np.zeros((k, k))
+    for s in seqs:
+        for x, y in zip([0, *s.tolist()], s.tolist(), strict=False):
+            grid[cls[x], cls[y]] += 1
+            expected[x, 2 * k if x == y else cls[y]] += 1
+            if x != y:
+                expected[y, k + cls[x]] += 1
+    for held, often in ((1, 0), (10**6, 0), (100, 7), (10**6, items)):
+        monkeypatch.setattr(brown, "HELD", held)
+        shared = Shared()
+        top = np.full(1 + items, -1, np.int32)
+        top[1 + rng.permutation(items)[:often]] = np.arange(often)
+        shared.value = (cls, top)
+        rows = pa.Table.from_batches(brown._bigrams(shared, k, items)(iter(batches))).sort_by("item")
+        for size in (1, 3, 1000):
+            got, seen = np.zeros((1 + items, 2 * k + 1)), np.zeros((k, k))
+            for batch in brown._added(2 * k + 1)(iter(rows.combine_chunks().to_batches(max_chunksize=size))):
+                for item, row in zip(batch.column("item").to_pylist(), brown._dense(batch.column("cells"), np.arange(batch.num_rows), 2 * k + 1), strict=True):
+                    table, at = (seen, -1 - item) if item < 0 else (got, item)
+                    assert not table[at].any()  # one row an item
+                    table[at] = row[: table.shape[1]]
+            assert np.array_equal(got[1:], expected[1:]) and np.array_equal(seen, grid)
