@@ -4,7 +4,7 @@ Two documents link when their sets of distinct word shingles have a Jaccard
 similarity of ``percent`` or more (100 * intersection >= percent * union, in whole numbers).
 
 A pair that links must share a token in its prefixes under *every* total order
-of the tokens, so any order may generate candidates and others may veto them:
+of the tokens, so a candidate must be one under each of three orders before its sets are read:
 
 1. One pass gives each document its set size and a 64-bit key of its set;
    equal sets share a key and are one node from here on. The same pass counts
@@ -15,10 +15,11 @@ of the tokens, so any order may generate candidates and others may veto them:
 3. Every node of a list is paired with the list's hub, if the size and position
    filters pass: rows linear in the lists, not quadratic. The first hub is the node
    with the fewest tokens of its own, in a second round a random one a list.
-4. Pairs are first held against the whole prefixes under the first order (number
-   and last position of shared tokens); those whose prefixes under two further
-   orders (seeded permutations) do not intersect are dropped too; the rest are
-   verified on the whole sets.
+4. Of the pairs that the lists give, those stay whose whole prefixes under the
+   first order can belong to a link (number and last position of shared tokens), and
+   of these those whose prefixes meet under the second and the third order too (seeded
+   permutations; the number of shared tokens is bounded likewise). Only then whole sets are
+   compared: on 16 bits a token, then in full.
 5. Components of the links (min-label propagation). Then the lists are read
    again: pairs of nodes that are still in *different* components and were not
    tried are candidates too (filters as before), are verified and added.
@@ -46,7 +47,7 @@ FREQUENT_IN_ALL = 4  # and known to the first order if the reports come to so ma
 FREQUENT_KEPT = 500_000  # at most; the most frequent ones
 CHUNK = 2_000_000  # shingles that a task counts at once
 FILTER_BITS = 1 << 27  # bound of the bitmap that spares the set pass most documents
-ORDERS = (np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F))  # seeds of the vetoing orders
+ORDERS = (np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F))  # seeds of the second and the third order
 
 
 def prefix_length(n: int, percent: int) -> int:
@@ -168,8 +169,8 @@ def _bitmap(ids: DataFrame, bits: int) -> np.ndarray:
     return out
 
 
-def _sets(width: int, bitmap: np.ndarray):
-    schema = pa.schema([("doc_id", pa.int64()), ("node", pa.int64()), ("short", pa.binary()), ("tokens", pa.binary())])
+def _sets(width: int, percent: int, bitmap: np.ndarray):
+    schema = pa.schema([("doc_id", pa.int64()), ("node", pa.int64()), ("orders", pa.binary()), ("short", pa.binary()), ("tokens", pa.binary())])
     bits = np.uint64(len(bitmap) * 32)
 
     def wanted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -181,30 +182,50 @@ def _sets(width: int, bitmap: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = set()
         for batch in slices(wanted(batches)):
-            ids, nodes, shorts, sets = [], [], [], []
+            ids, nodes, orders, shorts, sets = [], [], [], [], []
             for doc_id, tokens in zip(batch.column("doc_id").to_pylist(), shingle_sets(batch.column("text"), width), strict=True):
                 if len(tokens) and (doc_id, node := set_key(tokens)) not in seen:
                     seen.add((doc_id, node))
                     ids.append(doc_id)
                     nodes.append(node)
+                    orders.append(order_prefixes(tokens, percent).tobytes())
                     shorts.append(tokens.astype(np.uint16).tobytes())
                     sets.append(tokens.tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip((ids, nodes, shorts, sets), schema, strict=True)], schema=schema)
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip((ids, nodes, orders, shorts, sets), schema, strict=True)], schema=schema)
 
     return run
 
 
-def _smallest(tokens: np.ndarray, seed: np.uint64, percent: int) -> np.ndarray:
-    """The prefix under the order that ``seed`` gives, as order keys."""
-    keys = mix(tokens ^ seed)
+def order_prefixes(tokens: np.ndarray, percent: int) -> np.ndarray:
+    """The set's size, then its prefix under each further order: the upper halves of the order keys, ascending."""
     p = prefix_length(len(tokens), percent)
-    return np.partition(keys, p - 1)[:p]
+    parts = [np.sort(np.partition(mix(tokens ^ seed), p - 1)[:p]) >> np.uint64(32) for seed in ORDERS]
+    return np.concatenate([[len(tokens)], *parts]).astype(np.uint32)
 
 
 def _enough(both: int, n1: int, n2: int, percent: int) -> bool:
     return 100 * both >= percent * (n1 + n2 - both)
 
 
+def _meet_in_orders(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    """Whether two rows of ``order_prefixes`` can belong to a link under each of the further orders.
+
+    Up to the end of the prefix that ends first both sets lie open: what they share there, and at most the smaller rest behind it,
+    is all they can share. Halves of keys that agree by chance only raise the bound, so no link is lost.
+    """
+    x, y = x.view(np.uint32), y.view(np.uint32)
+    n1, n2 = int(x[0]), int(y[0])
+    for a, b in zip(np.split(x[1:], len(ORDERS)), np.split(y[1:], len(ORDERS)), strict=True):
+        there = b[np.minimum(np.searchsorted(b, a), len(b) - 1)] == a
+        if not there.any():
+            return False
+        end = min(a[-1], b[-1])
+        upto1, upto2 = int(np.searchsorted(a, end)), int(np.searchsorted(b, end))
+        if not _enough(min(int(there[:upto1].sum()) + min(n1 - upto1, n2 - upto2), n1, n2), n1, n2, percent):
+            return False
+    return True
+
+
 def _may_link(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
     """On the tokens' low 16 bits: tokens that meet in full meet here too, so no link is lost."""
     x, y = x.view(np.uint16), y.view(np.uint16)
@@ -215,9 +236,6 @@ def _may_link(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
 
 def _links_exactly(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
     x, y = x.view(np.uint64), y.view(np.uint64)
-    for seed in ORDERS:
-        if not len(np.intersect1d(_smallest(x, seed, percent), _smallest(y, seed, percent))):
-            return False
     return _enough(len(np.intersect1d(x, y, assume_unique=True)), len(x), len(y), percent)
 
 
@@ -334,8 +352,8 @@ def _may_link_by_prefix(pairs: DataFrame, lists: DataFrame, percent: int) -> Dat
 def _links(docs: DataFrame, nodes: DataFrame, lists: DataFrame, pairs: DataFrame, width: int, percent: int) -> DataFrame:
     """The pairs (a, b) that link.
 
-    First by the whole prefixes under the first order. Only the sets of pairs that can still link are fetched:
-    one pass over the texts, spared most of them by a bitmap of ids, no text moves.
+    First by the whole prefixes under the first order, then by those under each further order. One pass over the texts,
+    spared most of them by a bitmap of ids, writes further prefixes and sets; no text moves. The sets are read for pairs only that all orders left.
     """
     pairs = materialize(_may_link_by_prefix(pairs, lists, percent), "pairs")
 
@@ -343,18 +361,18 @@ def _links(docs: DataFrame, nodes: DataFrame, lists: DataFrame, pairs: DataFrame
     involved = materialize(nodes.join(ends, "node", "left_semi"), "involved")
     bits = min(FILTER_BITS, max(1 << 20, 1 << int(16 * involved.count()).bit_length()))
     slot = F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS))
-    sets = docs.select("doc_id", "text", slot.alias("slot")).mapInArrow(_sets(width, _bitmap(involved, bits)), "doc_id long, node long, short binary, tokens binary")
+    sets = docs.select("doc_id", "text", slot.alias("slot")).mapInArrow(_sets(width, percent, _bitmap(involved, bits)), "doc_id long, node long, orders binary, short binary, tokens binary")
     chosen = small(involved.select(F.col("doc_id").alias("id"), F.col("node").alias("of")))
-    sets = materialize(sets.join(chosen, (F.col("node") == F.col("of")) & F.col("doc_id").eqNullSafe(F.col("id"))).select("node", "short", "tokens"), "sets")
-
-    def met_by(pairs: DataFrame, sets: DataFrame, column: str, test) -> DataFrame:
-        a = sets.select(F.col("node").alias("a"), F.col(column).alias("set_a"))
-        b = sets.select(F.col("node").alias("b"), F.col(column).alias("set_b"))
-        return materialize(pairs.join(a, "a").join(b, "b").select("a", "b", "set_a", "set_b").mapInArrow(_kept(test, percent), "a long, b long").distinct(), "met")
-
-    pairs = met_by(pairs, sets, "short", _may_link)
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    return met_by(pairs, sets.join(small(ends), "node", "left_semi"), "tokens", _links_exactly)
+    sets = materialize(sets.join(chosen, (F.col("node") == F.col("of")) & F.col("doc_id").eqNullSafe(F.col("id"))).select("node", "orders", "short", "tokens"), "sets")
+
+    for column, test in (("orders", _meet_in_orders), ("short", _may_link), ("tokens", _links_exactly)):
+        ends = small(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())
+        left = sets.select("node", column).join(ends, "node", "left_semi")
+        a = left.select(F.col("node").alias("a"), F.col(column).alias("set_a"))
+        b = left.select(F.col("node").alias("b"), F.col(column).alias("set_b"))
+        kept = pairs.join(a, "a").join(b, "b").select("a", "b", "set_a", "set_b").mapInArrow(_kept(test, percent), "a long, b long")
+        pairs = materialize(kept.distinct(), column)
+    return pairs
 
 
 def link_documents(docs: DataFrame, percent: int = 75, width: int = 5) -> DataFrame:

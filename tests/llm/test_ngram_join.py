@@ -2,6 +2,7 @@ import random
 import re
 from collections import Counter, defaultdict
 
+import numpy as np
 import pyarrow as pa
 from .conftest import DOCS
 from pyspark.sql import functions as F
@@ -150,3 +151,24 @@ def test_labels_of_a_long_chain(spark):
     links = spark.range(200).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
     got = ngram_join.components(links).collect()
     assert len(got) == 201 and {r.label for r in got} == {0}
+
+
+def test_no_further_order_drops_a_pair_that_links():
+    rng = np.random.default_rng(11)
+    dropped = 0
+    for _ in range(1500):
+        n, percent = int(rng.integers(1, 200)), int(rng.choice([50, 75, 90]))
+        x = rng.integers(0, 2**63, n).astype(np.uint64)
+        y = np.concatenate([x[: int(rng.integers(0, n + 1))], rng.integers(0, 2**63, int(rng.integers(0, n // 2 + 1))).astype(np.uint64)])
+        x, y = np.unique(x), np.unique(y)
+        if not len(y):
+            continue
+        both = len(np.intersect1d(x, y))
+        links = 100 * both >= percent * (len(x) + len(y) - both)
+        rows = [ngram_join.order_prefixes(t, percent).view(np.uint8) for t in (x, y)]
+        met = ngram_join._meet_in_orders(*rows, percent)
+        assert met or not links
+        assert met == ngram_join._meet_in_orders(*rows[::-1], percent)
+        assert ngram_join._links_exactly(x.view(np.uint8), y.view(np.uint8), percent) == links
+        dropped += not met
+    assert dropped > 300  # a filter, not a formality
