@@ -18,6 +18,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
+from ..session import ensure_checkpoint_dir
+
 
 def score_with_model(load: Callable[[], Callable[[pd.Series, pd.Series], pd.Series]], a: Column | str,
                      b: Column | str, clip: bool = True, digits: int | None = 4, only: Column | None = None) -> Column:
@@ -80,6 +82,8 @@ def train_pair_classifier(df: DataFrame, features: Sequence[str], label: str = "
     from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.functions import vector_to_array
 
+    ensure_checkpoint_dir(df.sparkSession)
+    df = df.checkpoint()  # read by the weights, every fold's fit and its scores: what the features cost is paid once
     vec = VectorAssembler(inputCols=list(features), outputCol="__f", handleInvalid="keep").transform(df)
     weights = fold_class_weights(df, label, fold).collect()  # folds x classes
     res = None
