@@ -1,16 +1,23 @@
 """Pair-corpus building, vocabulary and token encoding.
 
 The corpus jobs are narrow (scan, split, filter, in-row substitution); shuffles are the
-``distinct`` of the vocabulary and the regrouping of encoded tokens.
+``distinct`` of the vocabulary and, of encoded tokens, each block's distinct words and its lists as numbers.
 """
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import strip, tokens_ws
-from ..session import ensure_checkpoint_dir
+from ..session import bound_batches, ensure_checkpoint_dir
 from .lexmap import embedded, text_key
 from .rank import dense_rank
 
@@ -105,7 +112,8 @@ def build_vocab(*tables: DataFrame, cols=("s1", "s2")) -> DataFrame:
 
 
 KEY_BYTES = 64
-SHARE = 20_000  # a word is frequent from one token in so many on: there cannot be more such words
+SHARE = 20_000
+BLOCK_TOKENS = 2_000_000  # tokens that share one dictionary
 
 
 def word_key(word: Column) -> Column:
@@ -113,36 +121,103 @@ def word_key(word: Column) -> Column:
     return F.when(F.octet_length(word) <= KEY_BYTES, F.concat(F.lit("w"), word)).otherwise(F.concat(F.lit("h"), F.sha2(word, 256)))
 
 
+def _packed(lists: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Rows (key, lists of tokens) -> blocks (block, words, keys, payload); the payload holds the lists as numbers of the words, row by row."""
+
+    def block(held: list[pa.RecordBatch], number: int) -> pa.RecordBatch:
+        rows = pa.Table.from_batches(held).combine_chunks()
+        keys, *columns = (c.chunk(0) if c.num_chunks else pa.array([], c.type) for c in rows.columns)
+        lengths = np.stack([pc.fill_null(pc.list_value_length(c), 0).to_numpy(zero_copy_only=False) for c in columns], axis=1).astype(np.int64)
+        encoded = pa.concat_arrays([pc.list_flatten(c) for c in columns]).dictionary_encode()
+        codes = pc.fill_null(encoded.indices, len(encoded.dictionary)).to_numpy(zero_copy_only=False).astype(np.int32)  # a null token is no word
+        per_list = lengths.T.ravel()
+        starts = (np.cumsum(per_list) - per_list).reshape(lists, -1).T.ravel()
+        flat = lengths.ravel()
+        ends = np.cumsum(flat)
+        by_row = codes[np.repeat(starts - (ends - flat), flat) + np.arange(len(codes))]
+        cells = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), pa.array(by_row, pa.int32()))
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, pa.schema([("codes", cells.type)]), options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+            out.write_batch(pa.record_batch([cells], ["codes"]))
+        one = [pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x) for x in (encoded.dictionary, keys)]
+        return pa.record_batch([pa.array([number], pa.int64()), *one, pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["block", "words", "keys", "payload"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, tokens, number = [], 0, TaskContext.get().partitionId() << 32
+        for batch in batches:
+            if batch.num_rows:
+                held.append(batch)
+                tokens += batch.num_rows + sum(len(pc.list_flatten(c)) for c in batch.columns[1:])
+            if tokens >= BLOCK_TOKENS:
+                yield block(held, number)
+                held, tokens, number = [], 0, number + 1
+        if held:
+            yield block(held, number)
+
+    return run
+
+
+def _unpacked(seqs: list[str], key: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Blocks (keys, payload, codes and ids of the known words) -> rows (key, seq, ids)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys, payload, known, ids = batch.columns
+            for i in range(batch.num_rows):
+                cells = pa.ipc.open_stream(payload[i].as_py()).read_next_batch().column(0)
+                offsets, codes = cells.offsets.to_numpy(), cells.values.to_numpy()
+                size = int(codes.max()) + 1 if len(codes) else 0
+                at, to = (x[i].values.to_numpy() if x[i].is_valid else np.zeros(0, np.int64) for x in (known, ids))
+                at, to = at[at < size], to[at < size]
+                missing = np.setdiff1d(np.arange(size), at)
+                at, to = np.concatenate([at, missing]), np.concatenate([to, np.full(len(missing), UNK_ID)])
+                order = np.lexsort((to, at))
+                at, to, counts = at[order], to[order], np.bincount(at, minlength=size)
+                many = counts[codes]  # a word that stands in the vocabulary several times has all its ids
+                ends = np.concatenate([[0], np.cumsum(many)])
+                out = to[np.repeat((np.cumsum(counts) - counts)[codes] - ends[:-1], many) + np.arange(ends[-1])]
+                mine = keys[i].values
+                yield pa.record_batch([
+                    mine.take(pa.array(np.repeat(np.arange(len(mine)), len(seqs)))), pa.array(seqs * len(mine), pa.string()),
+                    pa.ListArray.from_arrays(pa.array(ends[offsets], pa.int32()), pa.array(out, pa.int64()))], [key, "seq", "ids"])
+
+    return run
+
+
 def encode_tokens(df: DataFrame, vocab: DataFrame, key: str, arrays: dict[str, Column], max_len: int = MAX_LEN,
                   broadcast_limit: int = 1_000_000, share: int = SHARE) -> DataFrame:
     """(key, seq, ids): token -> index (UNK for unknown), truncated / padded with PAD to ``max_len``.
 
-    Only the first ``max_len`` tokens are exploded (that is the encoder's truncation). A vocabulary of at most
-    ``broadcast_limit`` words travels to the tasks; its keys are bounded in bytes, so the rows bound its size.
-    Beyond it the words that are one token in ``share`` or more travel, no more than ``share`` of them
-    whatever the data, and only the others meet the vocabulary in a shuffle, where none of them is hot.
+    Only the first ``max_len`` tokens count (that is the encoder's truncation). Tokens neither explode nor move as words: each
+    task numbers the words of some ``BLOCK_TOKENS`` tokens and writes the lists as numbers. Each block asks the vocabulary
+    for each of its words once, so that a frequent word has a row a block, whatever its ``share`` of the tokens. The ids go back
+    to their block. A vocabulary of at most ``broadcast_limit`` words travels to the tasks, its keys bounded in bytes;
+    a larger one meets the blocks' words in a shuffle. Rows of one key are merged by position.
     """
-    items = F.array(*[F.struct(F.lit(k).alias("seq"), F.slice(v, 1, max_len).alias("toks")) for k, v in arrays.items()])
-    ex = df.select(key, F.inline(items)).select(key, "seq", F.posexplode_outer("toks").alias("pos", "word"))
-    ex = ex.select(key, "seq", "pos", word_key(F.col("word")).alias("__w"))
-    voc = vocab.select(word_key(F.col("word")).alias("__w"), "idx")
+    spark = df.sparkSession
+    base = ensure_checkpoint_dir(spark).rstrip("/")
+    bound_batches(spark)
+    rows = df.select(F.col(key).alias("key"), *[F.slice(v, 1, max_len).cast("array<string>").alias(f"a{i}") for i, v in enumerate(arrays.values())])
+    kind = df.select(key).schema[0].dataType.simpleString()
+    path = f"{base}/mtlens-blocks-{uuid.uuid4().hex}"
+    packed = rows.mapInArrow(_packed(len(arrays)), f"block long, words array<string>, keys array<{kind}>, payload binary")
+    packed.write.parquet(path)
+    blocks = spark.read.schema(packed.schema).parquet(path)
+
+    def keyed(df: DataFrame, *columns: str) -> DataFrame:
+        named = df.select(word_key(F.col("word")).alias("__w"), *columns)
+        return named.withColumn("__h", F.xxhash64("__w"))  # compared first: a number sorts faster than a word
+
+    voc = keyed(vocab, "idx")
     if voc.limit(broadcast_limit + 1).count() <= broadcast_limit:
-        joined = ex.join(F.broadcast(voc), "__w", "left")
-    else:
-        ensure_checkpoint_dir(df.sparkSession)
-        counts = ex.where(F.col("__w").isNotNull()).groupBy("__w").agg(F.count(F.lit(1)).alias("c")).checkpoint()
-        total = counts.agg(F.coalesce(F.sum("c"), F.lit(0))).first()[0]
-        often = counts.where(F.col("c") * share >= total).select(F.col("__w").alias("__often"))
-        hot = F.broadcast(often.join(voc, F.col("__often") == F.col("__w"), "left").select("__often", F.col("idx").alias("__idx")))
-        met = ex.join(hot, F.col("__w") == F.col("__often"), "left")
-        # A frequent or absent token needs no partner any more; its key matches none and lies anywhere.
-        done = F.col("__often").isNotNull() | F.col("__w").isNull()
-        met = met.withColumn("__w", F.when(done, F.concat(F.lit("-"), F.xxhash64(key, "seq", "pos").cast("string"))).otherwise(F.col("__w")))
-        joined = met.join(voc, "__w", "left").withColumn("idx", F.coalesce("__idx", "idx"))
-    grouped = joined.groupBy(key, "seq").agg(
-        F.array_sort(F.collect_list(F.when(F.col("pos").isNotNull(),
-                                           F.struct("pos", F.coalesce("idx", F.lit(UNK_ID)).alias("idx"))))).alias("__p"),
-    )
-    ids = F.transform(F.col("__p"), lambda s: s["idx"])
-    padded = F.concat(ids, F.array_repeat(F.lit(PAD_ID).cast("long"), F.greatest(F.lit(max_len) - F.size(ids), F.lit(0))))
-    return grouped.select(key, "seq", padded.cast("array<bigint>").alias("ids"))
+        voc = F.broadcast(voc)
+    words = keyed(blocks.select("block", F.posexplode("words").alias("code", "word")), "block", "code")
+    known = words.join(voc, ["__h", "__w"]).groupBy("block").agg(F.sort_array(F.collect_list(F.struct(F.col("code").cast("long").alias("code"), F.col("idx").cast("long").alias("idx")))).alias("known"))
+    met = blocks.select("block", "keys", "payload").join(known, "block", "left").select("keys", "payload", "known.code", "known.idx")
+    out = met.mapInArrow(_unpacked(list(arrays), key), f"{key} {kind}, seq string, ids array<bigint>")
+    if blocks.select(F.explode("keys").alias("k")).groupBy("k").count().where("count > 1").limit(1).count():
+        placed = F.transform("ids", lambda x, i: F.struct(i.alias("pos"), x.alias("idx")))
+        merged = out.groupBy(key, "seq").agg(F.array_sort(F.flatten(F.collect_list(placed))).alias("p"))
+        out = merged.select(key, "seq", F.transform("p", lambda s: s["idx"]).alias("ids"))
+    padding = F.array_repeat(F.lit(PAD_ID).cast("long"), F.greatest(F.lit(max_len) - F.size("ids"), F.lit(0)))
+    return out.select(key, "seq", F.concat("ids", padding).alias("ids"))

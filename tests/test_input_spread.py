@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from mtlens.operators import learn
+from mtlens.operators import corpus, learn
 from mtlens.plans import queries as Q
 from mtlens.sources import fixtures
 
@@ -49,3 +49,16 @@ def test_the_classifier_pins_its_rows(spark):
     out = learn.train_pair_classifier(df, ["f"], out="p")
     assert out.where("p is not null").count() == 90
     assert seen.value <= 180  # a checkpoint may read its rows twice, not once a fold and step
+
+
+def test_encoding_moves_each_word_once_a_block(spark):
+    """Not a row a token; repeated and null keys are merged by position, null tokens and lists are kept apart from words."""
+    rows = [(i, ["the", "the", f"w{i % 3}", None] * 20, None) for i in range(50)] + [(7, ["b", "a"], ["a"]), (None, ["a"], [])]
+    df = spark.createDataFrame(rows, "row_id long, a array<string>, b array<string>")
+    vocab = spark.createDataFrame([("the", 2), ("a", 3), ("w1", 4)], "word string, idx long")
+    for limit in (0, 100):
+        enc = corpus.encode_tokens(df, vocab, "row_id", {"a": F.col("a"), "b": F.col("b")}, 5, limit)
+        got = {(r.row_id, r.seq): r.ids for r in enc.collect()}
+        assert len(got) == 2 * 51 and got[1, "a"] == [2, 2, 4, 1, 2] and got[1, "b"] == [0] * 5
+        assert got[7, "a"] == [1, 2, 2, 3, 4, 1, 2] and got[7, "b"] == [3, 0, 0, 0, 0] and got[None, "a"] == [3, 0, 0, 0, 0]
+    assert "posexplode(words" in enc._jdf.queryExecution().analyzed().toString() and "posexplode_outer" not in enc._jdf.queryExecution().analyzed().toString()
