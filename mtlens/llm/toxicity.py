@@ -3,11 +3,13 @@
 Words (A-Z lower-cased, ASCII punctuation trimmed) are hashed into buckets with
 small embeddings; filters of several widths slide over the whole text, the
 largest response of each filter is kept and a logistic layer turns them into a
-score. The network is trained in numpy on the driver, on at most ``sample``
-labelled rows (a documented bound, taken by hash of the id, so the same at every
-size); scoring runs over all rows in Arrow batches and never moves a text.
+score. The network is trained in numpy on all labelled rows. They are dealt by
+hash of the id into shards of some ``SHARD`` documents; one shard is trained on the driver,
+several in tasks: counts of words are summed over all shards, and in each epoch every shard
+starts from the common weights, whose changes are then averaged (iterative parameter mixing; a
+word's over the shards that moved it). Scoring runs over all rows in Arrow batches and never moves a text.
 
-Scores are put on the probability scale with a held-back part of the sample, and
+Scores are put on the probability scale with a held-back fifth of the labelled rows, and
 a decision threshold is calibrated for each language on the same part. The
 language only selects the threshold, it is no input of the score.
 """
@@ -23,15 +25,19 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches, slices, word_hashes, words
+from .common import bound_batches, materialize, slices, small, word_hashes, words
 
 PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 BUCKETS = 1 << 24
 DIM, FILTERS, WIDTHS = 8, 8, (1, 2, 3)
 MIN_DOCS = 3  # training documents in which a bucket must occur to get an embedding of its own
-SAMPLE = 8_000
+SHARD = 8_000  # documents trained on in one piece, and their words
+SHARD_WORDS = 8_000_000
+LABELS = 8_000_000  # ids that travel to the texts, 16 bytes each; more meet them in a shuffle
+CELL = 256  # parts of a unit of the log-odds in which several shards count their held-back rows
 SLICE = 2 << 20
 STEP = 1 << 20  # words looked up at once
+HELD_STEP = 1 << 17  # words of held-back documents that go through the filters at once
 
 
 @dataclass
@@ -109,21 +115,41 @@ def train(bucket: np.ndarray, offsets: np.ndarray, labels: np.ndarray, langs: li
     Row i has the words ``bucket[offsets[i] : offsets[i + 1]]``, as hash buckets.
     """
     rng = np.random.default_rng(seed)
-    none = np.empty(0, np.uint32)
-    model = TextCnn(none, np.zeros((2, DIM), np.float32), [], np.zeros(0), np.zeros(0), 0.0)
     n = len(labels)
     held = np.arange(n) % 5 == 4
     if n < 10 or len(set(labels[~held].tolist())) < 2:
-        model.constant = float(labels.mean()) if n else 0.0
-        return model
-    # buckets in enough training documents, and how much likelier each is in toxic ones (a warm start)
+        return _constant(float(labels.mean()) if n else 0.0)
+    model = _start(*_word_counts(bucket, offsets, labels, held), labels[~held].sum(), (1 - labels[~held]).sum(), rng)
+    rows = _all_rows(model, bucket)
+    parts = [model.emb, *model.conv, model.bias, model.out]
+    memory = [np.full_like(p, 1e-3) for p in parts]
+    bias_memory = 1e-3
+    order = np.flatnonzero(~held)
+    for _ in range(epochs):
+        rng.shuffle(order)
+        bias_memory = _epoch(model, memory, bias_memory, rows, offsets, labels, order, batch, rate)
+    z = _held_logits(model, rows, offsets, np.flatnonzero(held))
+    _calibrate(model, z, labels[held].astype(np.float64), np.array([langs[i] or "" for i in np.flatnonzero(held)]), np.ones(len(z)))
+    return model
+
+
+def _constant(score: float) -> TextCnn:
+    return TextCnn(np.empty(0, np.uint32), np.zeros((2, DIM), np.float32), [], np.zeros(0), np.zeros(0), 0.0, constant=score)
+
+
+def _word_counts(bucket: np.ndarray, offsets: np.ndarray, labels: np.ndarray, held: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(buckets, toxic training documents that have them, all that have them)."""
     distinct = [np.unique(bucket[offsets[i] : offsets[i + 1]]) for i in np.flatnonzero(~held)]
     toxic = np.repeat(labels[~held], [len(d) for d in distinct])
-    keys, inverse = np.unique(np.concatenate(distinct), return_inverse=True)
-    del distinct
-    pos, all_ = np.bincount(inverse, weights=toxic), np.bincount(inverse)
+    keys, inverse = np.unique(np.concatenate([np.empty(0, np.uint32), *distinct]), return_inverse=True)
+    return keys, np.bincount(inverse, weights=toxic, minlength=len(keys)), np.bincount(inverse, minlength=len(keys))
+
+
+def _start(keys: np.ndarray, pos: np.ndarray, all_: np.ndarray, n_pos: float, n_neg: float, rng: np.random.Generator) -> TextCnn:
+    """Buckets in enough training documents, and how much likelier each is in toxic ones (a warm start)."""
+    model = _constant(0.0)
+    model.constant = None
     known = all_ >= MIN_DOCS
-    n_pos, n_neg = labels[~held].sum(), (1 - labels[~held]).sum()
     odds = np.log((pos + 0.5) / (n_pos + 1)) - np.log((all_ - pos + 0.5) / (n_neg + 1))
     model.keys = keys[known]
     model.emb = np.concatenate([np.zeros((2, DIM)), rng.normal(0, 0.05, (known.sum(), DIM))]).astype(np.float32)
@@ -135,112 +161,222 @@ def train(bucket: np.ndarray, offsets: np.ndarray, labels: np.ndarray, langs: li
     model.bias = np.zeros(size, np.float32)
     model.out = np.full(size, 0.3, np.float32)
     model.out_bias = float(np.log(n_pos / n_neg))
-
-    rows = np.concatenate([model.rows(bucket[a : a + STEP]) for a in range(0, len(bucket), STEP)] or [np.empty(0, np.int32)])
-    parts = [model.emb, *model.conv, model.bias, model.out]
-    memory = [np.full_like(p, 1e-3) for p in parts]
-    bias_memory = 1e-3
-    order = np.flatnonzero(~held)
-    for _ in range(epochs):
-        rng.shuffle(order)
-        for s in range(0, len(order), batch):
-            ids = order[s : s + batch]
-            lengths = offsets[ids + 1] - offsets[ids]
-            local = np.concatenate([[0], np.cumsum(lengths)])
-            grads = [np.zeros_like(p) for p in parts[1:]]
-            flat, starts, first = padded(np.concatenate([rows[offsets[i] : offsets[i + 1]] for i in ids]), local)
-            ends = np.append(first[1:], len(starts))
-            feats, at = [], []
-            for k in range(len(WIDTHS)):
-                act = model.responses(k, flat, starts)
-                best = np.stack([a + act[a:b].argmax(axis=0) for a, b in zip(first, ends, strict=True)])
-                at.append(starts[best])
-                feats.append(np.take_along_axis(act, best, axis=0))
-            pooled = np.concatenate(feats, axis=1) + model.bias
-            live = np.maximum(pooled, 0)
-            z = live @ model.out + model.out_bias
-            err = (1 / (1 + np.exp(-np.clip(z, -40, 40))) - labels[ids]).astype(np.float32) / len(ids)
-            back = err[:, None] * model.out * (pooled > 0)
-            grads[-1] = err @ live + 1e-4 * model.out
-            grads[-2] = back.sum(axis=0)
-            touched, moved = [], []
-            for k, w in enumerate(WIDTHS):
-                mine = back[:, k * FILTERS : (k + 1) * FILTERS]
-                for j in range(w):
-                    word = flat[at[k] + j]  # (documents, filters)
-                    grads[k][j] += np.einsum("df,dfe->ef", mine, model.emb[word])
-                    touched.append(word.ravel())
-                    moved.append((mine[:, :, None] * model.conv[k][j].T[None]).reshape(-1, DIM))
-            touched = np.concatenate(touched)
-            uniq, inv = np.unique(touched, return_inverse=True)
-            g = np.zeros((len(uniq), DIM), np.float32)
-            np.add.at(g, inv, np.concatenate(moved))
-            g[uniq < 2] = 0  # padding and unknown words stay at zero
-            memory[0][uniq] += g * g
-            model.emb[uniq] -= rate * g / np.sqrt(memory[0][uniq])
-            for p, m, g in zip(parts[1:], memory[1:], grads, strict=True):
-                m += g * g
-                p -= rate * g / np.sqrt(m)
-            bias_memory += float(err.sum()) ** 2
-            model.out_bias -= rate * float(err.sum()) / bias_memory**0.5
-
-    _calibrate(model, rows, offsets, labels, langs, np.flatnonzero(held))
     return model
 
 
-def _calibrate(model: TextCnn, rows, offsets, labels, langs, ids) -> None:
-    """Scale of the logits (Newton steps of a two-parameter logistic fit) and a threshold per language."""
-    z = np.concatenate([model.logits(model.pooled(rows[offsets[i] : offsets[i + 1]], np.array([0, offsets[i + 1] - offsets[i]]))) for i in ids]).astype(np.float64)
-    y = labels[ids].astype(np.float64)
+def _all_rows(model: TextCnn, bucket: np.ndarray) -> np.ndarray:
+    return np.concatenate([model.rows(bucket[a : a + STEP]) for a in range(0, len(bucket), STEP)] or [np.empty(0, np.int32)])
+
+
+def _epoch(model: TextCnn, memory: list[np.ndarray], bias_memory: float, rows, offsets, labels, order, batch: int, rate: float) -> float:
+    """One pass over the documents ``order``; the model and the memory of its steps change in place."""
+    parts = [model.emb, *model.conv, model.bias, model.out]
+    for s in range(0, len(order), batch):
+        ids = order[s : s + batch]
+        lengths = offsets[ids + 1] - offsets[ids]
+        local = np.concatenate([[0], np.cumsum(lengths)])
+        grads = [np.zeros_like(p) for p in parts[1:]]
+        flat, starts, first = padded(np.concatenate([rows[offsets[i] : offsets[i + 1]] for i in ids]), local)
+        ends = np.append(first[1:], len(starts))
+        view, at_row = model, flat
+        if len(model.emb) > 4 * len(flat):  # only the batch's words go through the filters
+            used, at_row = np.unique(flat, return_inverse=True)
+            view = TextCnn(model.keys, model.emb[used], model.conv, model.bias, model.out, model.out_bias)
+        feats, at = [], []
+        for k in range(len(WIDTHS)):
+            act = view.responses(k, at_row, starts)
+            best = np.stack([a + act[a:b].argmax(axis=0) for a, b in zip(first, ends, strict=True)])
+            at.append(starts[best])
+            feats.append(np.take_along_axis(act, best, axis=0))
+        pooled = np.concatenate(feats, axis=1) + model.bias
+        live = np.maximum(pooled, 0)
+        z = live @ model.out + model.out_bias
+        err = (1 / (1 + np.exp(-np.clip(z, -40, 40))) - labels[ids]).astype(np.float32) / len(ids)
+        back = err[:, None] * model.out * (pooled > 0)
+        grads[-1] = err @ live + 1e-4 * model.out
+        grads[-2] = back.sum(axis=0)
+        touched, moved = [], []
+        for k, w in enumerate(WIDTHS):
+            mine = back[:, k * FILTERS : (k + 1) * FILTERS]
+            for j in range(w):
+                word = flat[at[k] + j]  # (documents, filters)
+                grads[k][j] += np.einsum("df,dfe->ef", mine, model.emb[word])
+                touched.append(word.ravel())
+                moved.append((mine[:, :, None] * model.conv[k][j].T[None]).reshape(-1, DIM))
+        touched = np.concatenate(touched)
+        uniq, inv = np.unique(touched, return_inverse=True)
+        g = np.zeros((len(uniq), DIM), np.float32)
+        np.add.at(g, inv, np.concatenate(moved))
+        g[uniq < 2] = 0  # padding and unknown words stay at zero
+        memory[0][uniq] += g * g
+        model.emb[uniq] -= rate * g / np.sqrt(memory[0][uniq])
+        for p, m, g in zip(parts[1:], memory[1:], grads, strict=True):
+            m += g * g
+            p -= rate * g / np.sqrt(m)
+        bias_memory += float(err.sum()) ** 2
+        model.out_bias -= rate * float(err.sum()) / bias_memory**0.5
+    return bias_memory
+
+
+def _held_logits(model: TextCnn, rows, offsets, ids) -> np.ndarray:
+    """Logits of the documents ``ids``, whose words go through the filters some ``HELD_STEP`` at a time."""
+    got, lengths = [], offsets[ids + 1] - offsets[ids]
+    for some in np.split(np.arange(len(ids)), np.flatnonzero(np.diff(np.cumsum(lengths) // HELD_STEP)) + 1):
+        if len(some):
+            local = np.concatenate([[0], np.cumsum(lengths[some])])
+            pooled = model.pooled(np.concatenate([rows[offsets[i] : offsets[i + 1]] for i in ids[some]]), local)
+            got += [model.logits(pooled[k : k + 1]) for k in range(len(some))]
+    return np.concatenate([np.zeros(0), *got]).astype(np.float64)
+
+
+def _calibrate(model: TextCnn, z: np.ndarray, y: np.ndarray, names: np.ndarray, n: np.ndarray) -> None:
+    """Scale of the logits (Newton steps of a two-parameter logistic fit) and a threshold per language; ``n`` rows stand for each."""
     a, b = 1.0, 0.0
-    if 0 < y.sum() < len(y):
-        target = np.where(y > 0, (y.sum() + 1) / (y.sum() + 2), 1 / (len(y) - y.sum() + 2))
+    pos, neg = (n * y).sum(), (n * (1 - y)).sum()
+    if pos and neg:
+        target = np.where(y > 0, (pos + 1) / (pos + 2), 1 / (neg + 2))
         for _ in range(30):
             p = 1 / (1 + np.exp(-np.clip(a * z + b, -30, 30)))
-            w = p * (1 - p) + 1e-9
-            grad = np.array([((p - target) * z).sum() + 1e-3 * (a - 1), (p - target).sum() + 1e-3 * b])
+            w = n * (p * (1 - p) + 1e-9)
+            grad = np.array([(n * (p - target) * z).sum() + 1e-3 * (a - 1), (n * (p - target)).sum() + 1e-3 * b])
             hess = np.array([[(w * z * z).sum() + 1e-3, (w * z).sum()], [(w * z).sum(), w.sum() + 1e-3]])
             a, b = np.array([a, b]) - np.clip(np.linalg.solve(hess, grad), -2, 2)
     model.scale = (float(max(a, 1e-3)), float(b))
     p = 1 / (1 + np.exp(-np.clip(model.scale[0] * z + model.scale[1], -40, 40)))
 
     def best(mask: np.ndarray, default: float) -> float:
-        if y[mask].sum() < 5 or (1 - y[mask]).sum() < 5:
+        m, t = n[mask], y[mask]
+        if (m * t).sum() < 5 or (m * (1 - t)).sum() < 5:
             return default
         cuts = np.linspace(0.05, 0.95, 19)
-        f1 = [2 * (y[mask] * (p[mask] >= c)).sum() / max(1, y[mask].sum() + (p[mask] >= c).sum()) for c in cuts]
+        f1 = [2 * (m * t * (p[mask] >= c)).sum() / max(1, (m * t).sum() + (m * (p[mask] >= c)).sum()) for c in cuts]
         top = np.flatnonzero(np.array(f1) >= max(f1) - 1e-12)
         return float(cuts[top[len(top) // 2]])  # the middle of the best range
 
-    model.threshold = best(np.ones(len(ids), bool), 0.3)
-    names = np.array([langs[i] or "" for i in ids])
+    model.threshold = best(np.ones(len(z), bool), 0.3)
     model.thresholds = {str(x): best(names == x, model.threshold) for x in np.unique(names) if x}
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, seed: int = 7) -> TextCnn:
-    """Learn from at most ``sample`` rows of ``labels`` (doc_id, toxic) and their texts.
+def fit(docs: DataFrame, labels: DataFrame, shard: int = SHARD, seed: int = 7) -> TextCnn:
+    """Learn from all rows of ``labels`` (doc_id, toxic) and their texts.
 
-    Labels are chosen by a hash of their id before any text is read; the join back
-    broadcasts those ids alone. Null labels and labels without a text are left out. An id that stands in several rows
+    Null labels and labels without a text are left out. An id that stands in several rows
     of ``docs`` gives one of them (the smallest by the text's hash, then lang). Words are hashed where the
-    texts are, so that the driver holds 4 bytes a word of the sample and no text.
+    texts are, 4 bytes a word. Of several shards only counts, weights and their changes reach the driver (a row a word that
+    occurs in ``MIN_DOCS`` documents, at most ``BUCKETS``), no document.
     """
-    chosen = (
+    known = (
         labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
         .where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-        .orderBy(F.xxhash64("doc_id", F.lit(seed)), "doc_id").limit(sample)
     )
-    met = docs.select("doc_id", "text", "lang").join(F.broadcast(chosen), "doc_id")
-    one = met.groupBy("doc_id", "toxic").agg(F.min_by(F.struct("text", "lang"), F.struct(F.xxhash64("text"), "lang")).alias("x"))
     bound_batches(docs.sparkSession)
-    got = one.select("doc_id", "toxic", "x.text", "x.lang").mapInArrow(_hashed, "doc_id long, toxic int, lang string, words binary").toArrow()
+    met = docs.select("doc_id", "text", "lang").join(small(known, LABELS), "doc_id")
+    hashed = met.select("doc_id", "toxic", "lang", F.xxhash64("text").alias("of"), "text").mapInArrow(_hashed, "doc_id long, toxic int, lang string, of long, words binary")
+    one = hashed.groupBy("doc_id", "toxic").agg(F.min_by(F.struct("lang", "words"), F.struct("of", "lang")).alias("x"))
+    one = materialize(one.select("doc_id", "toxic", "x.lang", "x.words"), "labelled")
+    size = one.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("words")), F.lit(0))).first()
+    shards = max(-(-size[0] // shard), -(-size[1] // (4 * SHARD_WORDS)), 1)
+    if shards == 1:
+        bucket, offsets, toxic, langs = _documents(one.toArrow(), seed)
+        return train(bucket, offsets, toxic, langs, seed=seed)
+    return _train_shards(one, shards, seed)
+
+
+def _documents(got: pa.Table, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, list]:
+    """(words' buckets, offsets, labels, langs) in an order that follows from the ids alone."""
     got = got.take(pc.sort_indices(got, [("doc_id", "ascending")]))
     got = got.take(pa.array(np.argsort(np.random.default_rng(seed).random(got.num_rows))))
     cells = got.column("words").to_pylist()
     offsets = np.concatenate([[0], np.cumsum([len(c) // 4 for c in cells])]).astype(np.int64)
-    bucket = np.frombuffer(b"".join(cells), np.uint32)
-    del cells
-    return train(bucket, offsets, got.column("toxic").to_numpy().astype(np.float32), got.column("lang").to_pylist(), seed=seed)
+    return np.frombuffer(b"".join(cells), np.uint32), offsets, got.column("toxic").to_numpy().astype(np.float32), got.column("lang").to_pylist()
+
+
+def _train_shards(one: DataFrame, shards: int, seed: int, epochs: int = 5, batch: int = 64, rate: float = 0.05) -> TextCnn:
+    """``train`` over documents (doc_id, toxic, lang, words) that stay in the tasks, a shard a row."""
+    sc = one.sparkSession.sparkContext
+    width = 2 * DIM
+
+    def pack(table: pa.Table) -> pa.Table:
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, table.schema) as out:
+            out.write_table(table)
+        return pa.table({"shard": table.column("shard")[:1], "rows": pa.array([sink.getvalue().to_pybytes()], pa.binary())})
+
+    # dealt out once, a file a shard or a few, and then only read
+    dealt = one.withColumn("shard", F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(shards))).repartition(shards, "shard")
+    packed = materialize(dealt.groupBy("shard").applyInArrow(pack, "shard long, rows binary"), "shards")
+
+    def each(work, schema: str) -> DataFrame:
+        """``work(shard, bucket, offsets, labels, langs, held)`` of every shard: tables of ``schema``."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for part in batches:
+                for number, cell in zip(part.column("shard").to_pylist(), part.column("rows"), strict=True):
+                    got = _documents(pa.ipc.open_stream(cell.as_buffer()).read_all(), seed)
+                    yield from pa.table(work(number, *got, np.arange(len(got[2])) % 5 == 4)).to_batches()
+
+        return packed.mapInArrow(run, schema)
+
+    def count(_, bucket, offsets, labels, langs, held) -> dict:
+        keys, pos, all_ = _word_counts(bucket, offsets, labels, held)
+        mine = labels[~held]
+        return {"bucket": np.append(keys.astype(np.int64), -1), "pos": np.append(pos, mine.sum()).astype(np.int64), "n": np.append(all_, len(mine)).astype(np.int64)}
+
+    counts = each(count, "bucket long, pos long, n long").groupBy("bucket").agg(F.sum("pos").alias("pos"), F.sum("n").alias("n"))
+    got = counts.where((F.col("n") >= MIN_DOCS) | (F.col("bucket") < 0)).toArrow().sort_by("bucket")
+    keys, pos, all_ = (got.column(c).to_numpy() for c in ("bucket", "pos", "n"))
+    if not 0 < pos[0] < all_[0]:
+        return _constant(float(pos[0] / all_[0]) if all_[0] else 0.0)
+    model = _start(keys[1:].astype(np.uint32), pos[1:], all_[1:], float(pos[0]), float(all_[0] - pos[0]), np.random.default_rng(seed))
+    steps = [np.full_like(p, 1e-3) for p in [model.emb, *model.conv, model.bias, model.out]], 1e-3
+
+    def dense(net: TextCnn, memory: list[np.ndarray], bias_memory: float) -> np.ndarray:
+        flat = np.concatenate([*(p.ravel() for p in (*net.conv, net.bias, net.out)), [net.out_bias], *(m.ravel() for m in memory[1:]), [bias_memory]])
+        return np.concatenate([flat, np.zeros(-len(flat) % width)]).astype(np.float32).reshape(-1, width)
+
+    for epoch in range(epochs):
+        shared = sc.broadcast((model, *steps))
+
+        def learn(number, bucket, offsets, labels, langs, held, epoch=epoch, shared=shared) -> dict:
+            start, memory, bias_memory = shared.value
+            net = TextCnn(start.keys, start.emb.copy(), [c.copy() for c in start.conv], start.bias.copy(), start.out.copy(), start.out_bias)
+            memory = [m.copy() for m in memory]
+            order = np.flatnonzero(~held)
+            np.random.default_rng([seed, epoch, number]).shuffle(order)
+            bias_memory = _epoch(net, memory, bias_memory, _all_rows(net, bucket), offsets, labels, order, batch, rate)
+            moved = np.flatnonzero((memory[0] != shared.value[1][0]).any(axis=1))
+            rest = dense(net, memory, bias_memory)
+            values = np.concatenate([np.concatenate([net.emb[moved], memory[0][moved]], axis=1), rest]).astype(np.float32)
+            cells = pa.FixedSizeListArray.from_arrays(pa.array(values.ravel()), width).cast(pa.list_(pa.float32()))
+            return {"at": np.concatenate([moved, -1 - np.arange(len(rest))]).astype(np.int64), "v": cells}
+
+        mixed = each(learn, "at long, v array<float>").groupBy("at").agg(F.array(*(F.avg(F.get("v", F.lit(j))).cast("float") for j in range(width))).alias("v"))
+        got = mixed.toArrow().sort_by("at")
+        at, values = got.column("at").to_numpy(), got.column("v").combine_chunks().flatten().to_numpy().reshape(-1, width)
+        words_at, memory = at >= 0, steps[0]
+        model.emb[at[words_at]], memory[0][at[words_at]] = values[words_at][:, :DIM], values[words_at][:, DIM:]
+        flat, done = values[~words_at][::-1].ravel(), 0
+        for p in (*model.conv, model.bias, model.out):
+            p[...] = flat[done : done + p.size].reshape(p.shape)
+            done += p.size
+        model.out_bias, done = float(flat[done]), done + 1
+        for m in memory[1:]:
+            m[...] = flat[done : done + m.size].reshape(m.shape)
+            done += m.size
+        steps = memory, float(flat[done])
+        shared.unpersist()
+
+    shared = sc.broadcast(model)
+
+    def held_back(_, bucket, offsets, labels, langs, held) -> dict:
+        net, ids = shared.value, np.flatnonzero(held)
+        z = _held_logits(net, _all_rows(net, bucket), offsets, ids)
+        return {"lang": pa.array([langs[i] or "" for i in ids], pa.string()), "y": labels[ids].astype(np.int32), "cell": np.round(np.clip(z, -60, 60) * CELL).astype(np.int64)}
+
+    cells = each(held_back, "lang string, y int, cell long").groupBy("lang", "y", "cell").agg(F.count(F.lit(1)).alias("n")).toArrow().sort_by([("lang", "ascending"), ("y", "ascending"), ("cell", "ascending")])
+    lang, y, cell, n = (cells.column(c).to_numpy() for c in ("lang", "y", "cell", "n"))
+    _calibrate(model, cell / CELL, y.astype(np.float64), lang, n.astype(np.float64))
+    return model
 
 
 def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -248,7 +384,7 @@ def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         offsets, codes, vocabulary = words(part.column("text"))
         bucket = buckets(vocabulary)[codes]
         cells = [bucket[a:b].tobytes() for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
-        yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("doc_id", "toxic", "lang")), pa.array(cells, pa.binary())], ["doc_id", "toxic", "lang", "words"])
+        yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("doc_id", "toxic", "lang", "of")), pa.array(cells, pa.binary())], ["doc_id", "toxic", "lang", "of", "words"])
 
 
 def score(docs: DataFrame, model: TextCnn, keep: list[str] | None = None) -> DataFrame:

@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import StructType
 
+from ..session import bound_batches
+
 
 def series_udf(fn: Callable[[pd.Series], pd.Series]):
     """Wrap a batch text function (Series -> Series) as an Arrow-batched pandas UDF."""
@@ -38,6 +40,7 @@ def resumable_map(spark: SparkSession, src: str, schema: StructType, cols: list[
     rerun does over.
     """
     udf = series_udf(fn)
+    bound_batches(spark)  # a worker holds some MB of text at once, however long the rows are
     if rejects is not None and valid is None:
         raise ValueError("rejects need a condition that tells valid rows")
     stream = spark.readStream.schema(schema).format(fmt).option("maxFilesPerTrigger", files_per_batch).load(src)
@@ -64,6 +67,7 @@ def read_batches(spark: SparkSession, folder: str, schema: StructType, fmt: str
 def resumable_map_batch(df: DataFrame, key: str, cols: list[str], fn: Callable[[pd.Series], pd.Series],
                         done: DataFrame | None) -> DataFrame:
     """Rows of ``df`` not yet in ``done`` (by ``key``), with ``fn`` applied to ``cols``."""
+    bound_batches(df.sparkSession)
     todo = df.join(done.select(key), key, "left_anti") if done is not None else df
     udf = series_udf(fn)
     return todo.select(*[udf(F.col(c)).alias(c) if c in cols else F.col(c) for c in df.columns])

@@ -44,6 +44,20 @@ def test_toxicity_finds_held_out_rows(spark, prose, edge_rows):
     assert set(model.thresholds) <= {"en", "de"} and by[1].threshold == model.thresholds.get("en", model.threshold)
 
 
+def test_toxicity_learns_from_every_label(spark, prose):
+    """Beyond a shard all rows count: the insult that only some documents have is learnt, as by one shard of all."""
+    rows = [(i, f"{t} {'zonk ' * 3 if bad and i % 2 else ''}", lang, s, bad) for i, t, lang, s, bad in labelled(prose, 900)]
+    docs = spark.createDataFrame([(*r[:4], 0) for r in rows], DOCS).repartition(3)
+    labels = spark.createDataFrame([(r[0], r[4]) for r in rows if r[0] % 3], "doc_id long, toxic int")
+    whole, dealt = toxicity.fit(docs, labels), toxicity.fit(docs, labels, shard=100)
+    assert len(dealt.keys) >= 0.9 * len(whole.keys)  # counts are of all shards
+    got = {r.doc_id: r for r in toxicity.score(docs, dealt).collect()}
+    held = [r for r in rows if r[0] % 3 == 0]
+    assert sum((got[r[0]].score >= 0.3) != bool(r[4]) for r in held) <= 0.03 * len(held)
+    again = toxicity.fit(docs.repartition(5), labels, shard=100)
+    assert np.allclose(again.emb, dealt.emb, atol=1e-5) and again.thresholds == dealt.thresholds
+
+
 def test_toxicity_without_labels(spark):
     docs = spark.createDataFrame([(1, "a b", "en", "s", 1)], DOCS)
     none = spark.createDataFrame([], "doc_id long, toxic int")
