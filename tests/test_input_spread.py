@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from mtlens.operators import corpus, learn
 from mtlens.plans import queries as Q
 from mtlens.sources import fixtures
+from mtlens.streaming import resumable
 
 DOCS = [(i, f"line a{i}\nline b, {i}\nline c{i}", "en", "web") for i in range(200)]
 
@@ -62,3 +63,19 @@ def test_encoding_moves_each_word_once_a_block(spark):
         assert len(got) == 2 * 51 and got[1, "a"] == [2, 2, 4, 1, 2] and got[1, "b"] == [0] * 5
         assert got[7, "a"] == [1, 2, 2, 3, 4, 1, 2] and got[7, "b"] == [3, 0, 0, 0, 0] and got[None, "a"] == [3, 0, 0, 0, 0]
     assert "posexplode(words" in enc._jdf.queryExecution().analyzed().toString() and "posexplode_outer" not in enc._jdf.queryExecution().analyzed().toString()
+
+
+def test_a_mapped_batch_is_bounded_in_bytes(spark, tmp_path):
+    """A worker never sees 10,000 long rows at once."""
+    text = "x" * 100_000
+    rows = spark.createDataFrame([(i,) for i in range(300)], "id long").coalesce(1).withColumn("s", F.lit(text))
+    rows.write.json(str(tmp_path / "in"))
+
+    def small_only(s):
+        if s.str.len().sum() > 8 << 20:
+            raise ValueError("too much text in a batch")
+        return s.str.upper()
+
+    resumable.resumable_map(spark, str(tmp_path / "in"), rows.schema, ["s"], small_only, str(tmp_path / "out"), str(tmp_path / "ck"))
+    got = resumable.read_batches(spark, str(tmp_path / "out"), rows.schema)
+    assert got.where(F.col("s") == text.upper()).count() == 300
