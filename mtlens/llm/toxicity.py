@@ -36,7 +36,7 @@ SHARD_WORDS = 8_000_000
 LABELS = 8_000_000  # ids that travel to the texts, 16 bytes each; more meet them in a shuffle
 CELL = 256  # parts of a unit of the log-odds in which several shards count their held-back rows
 SLICE = 2 << 20
-STEP = 1 << 20  # words looked up at once
+STEP = 1 << 17  # words looked up at once
 HELD_STEP = 1 << 17  # words of held-back documents that go through the filters at once
 
 
@@ -139,10 +139,14 @@ def _constant(score: float) -> TextCnn:
 
 def _word_counts(bucket: np.ndarray, offsets: np.ndarray, labels: np.ndarray, held: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(buckets, toxic training documents that have them, all that have them)."""
-    distinct = [np.unique(bucket[offsets[i] : offsets[i + 1]]) for i in np.flatnonzero(~held)]
-    toxic = np.repeat(labels[~held], [len(d) for d in distinct])
-    keys, inverse = np.unique(np.concatenate([np.empty(0, np.uint32), *distinct]), return_inverse=True)
-    return keys, np.bincount(inverse, weights=toxic, minlength=len(keys)), np.bincount(inverse, minlength=len(keys))
+    none = np.empty(0, np.uint32)
+    distinct = [[np.unique(bucket[offsets[i] : offsets[i + 1]]) for i in np.flatnonzero(~held & some)] for some in (labels != 0, labels == 0)]
+    marked, weight = np.concatenate([none, *distinct[0]]), None
+    if not np.isin(labels, (0, 1)).all():
+        weight = np.repeat(labels[~held & (labels != 0)], [len(d) for d in distinct[0]])
+    keys, all_ = np.unique(np.concatenate([marked, *distinct[1]]), return_counts=True)
+    pos = np.bincount(np.searchsorted(keys, marked), weights=weight, minlength=len(keys)).astype(np.float64)
+    return keys, pos, all_
 
 
 def _start(keys: np.ndarray, pos: np.ndarray, all_: np.ndarray, n_pos: float, n_neg: float, rng: np.random.Generator) -> TextCnn:
@@ -164,12 +168,31 @@ def _start(keys: np.ndarray, pos: np.ndarray, all_: np.ndarray, n_pos: float, n_
     return model
 
 
-def _all_rows(model: TextCnn, bucket: np.ndarray) -> np.ndarray:
-    return np.concatenate([model.rows(bucket[a : a + STEP]) for a in range(0, len(bucket), STEP)] or [np.empty(0, np.int32)])
+def _all_rows(model: TextCnn, bucket: np.ndarray, rows: np.ndarray | None = None) -> np.ndarray:
+    """Embedding rows of words' buckets, a step at a time; ``rows`` may be the memory of ``bucket`` itself."""
+    rows = np.empty(len(bucket), np.int32) if rows is None else rows
+    for a in range(0, len(bucket), STEP):
+        rows[a : a + STEP] = model.rows(bucket[a : a + STEP])
+    return rows
 
 
-def _epoch(model: TextCnn, memory: list[np.ndarray], bias_memory: float, rows, offsets, labels, order, batch: int, rate: float) -> float:
-    """One pass over the documents ``order``; the model and the memory of its steps change in place."""
+def _own_rows(rows: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """(rows of the table of ``words`` embeddings that occur, the first two always; ``rows`` renumbered among them, in place)."""
+    used = np.zeros(words, bool)
+    used[:2] = True
+    for a in range(0, len(rows), STEP):
+        used[rows[a : a + STEP]] = True
+    number = np.cumsum(used, dtype=np.int32) - 1
+    for a in range(0, len(rows), STEP):
+        rows[a : a + STEP] = number[rows[a : a + STEP]]
+    return np.flatnonzero(used), rows
+
+
+def _epoch(model: TextCnn, memory: list[np.ndarray], bias_memory: float, rows, offsets, labels, order, batch: int, rate: float, words: int | None = None) -> float:
+    """One pass over the documents ``order``; the model and the memory of its steps change in place.
+
+    ``words`` is the size of the whole table of embeddings, if ``model`` holds a part of it."""
+    words = len(model.emb) if words is None else words
     parts = [model.emb, *model.conv, model.bias, model.out]
     for s in range(0, len(order), batch):
         ids = order[s : s + batch]
@@ -179,7 +202,7 @@ def _epoch(model: TextCnn, memory: list[np.ndarray], bias_memory: float, rows, o
         flat, starts, first = padded(np.concatenate([rows[offsets[i] : offsets[i + 1]] for i in ids]), local)
         ends = np.append(first[1:], len(starts))
         view, at_row = model, flat
-        if len(model.emb) > 4 * len(flat):  # only the batch's words go through the filters
+        if words > 4 * len(flat):  # only the batch's words go through the filters
             used, at_row = np.unique(flat, return_inverse=True)
             view = TextCnn(model.keys, model.emb[used], model.conv, model.bias, model.out, model.out_bias)
         feats, at = [], []
@@ -284,11 +307,16 @@ def fit(docs: DataFrame, labels: DataFrame, shard: int = SHARD, seed: int = 7) -
 
 def _documents(got: pa.Table, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, list]:
     """(words' buckets, offsets, labels, langs) in an order that follows from the ids alone."""
-    got = got.take(pc.sort_indices(got, [("doc_id", "ascending")]))
-    got = got.take(pa.array(np.argsort(np.random.default_rng(seed).random(got.num_rows))))
-    cells = got.column("words").to_pylist()
-    offsets = np.concatenate([[0], np.cumsum([len(c) // 4 for c in cells])]).astype(np.int64)
-    return np.frombuffer(b"".join(cells), np.uint32), offsets, got.column("toxic").to_numpy().astype(np.float32), got.column("lang").to_pylist()
+    by_id = pc.sort_indices(got.select(["doc_id"]), [("doc_id", "ascending")]).to_numpy()
+    order = by_id[np.argsort(np.random.default_rng(seed).random(got.num_rows))]
+    lengths = pc.binary_length(got.column("words")).to_numpy()[order] // 4
+    offsets = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int64)
+    bucket, place = np.empty(offsets[-1], np.uint32), np.empty(len(order), np.int64)
+    place[order] = np.arange(len(order))
+    for to, cell in zip(place.tolist(), (c for part in got.column("words").chunks for c in part), strict=True):  # the words are copied once
+        bucket[offsets[to] : offsets[to + 1]] = np.frombuffer(cell.as_buffer(), np.uint32)
+    rest = got.select(["toxic", "lang"]).take(pa.array(order))
+    return bucket, offsets, rest.column("toxic").to_numpy().astype(np.float32), rest.column("lang").to_pylist()
 
 
 def _train_shards(one: DataFrame, shards: int, seed: int, epochs: int = 5, batch: int = 64, rate: float = 0.05) -> TextCnn:
@@ -312,8 +340,11 @@ def _train_shards(one: DataFrame, shards: int, seed: int, epochs: int = 5, batch
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for part in batches:
                 for number, cell in zip(part.column("shard").to_pylist(), part.column("rows"), strict=True):
-                    got = _documents(pa.ipc.open_stream(cell.as_buffer()).read_all(), seed)
-                    yield from pa.table(work(number, *got, np.arange(len(got[2])) % 5 == 4)).to_batches()
+                    yield from done(number, cell.as_buffer())
+
+        def done(number: int, cell: pa.Buffer) -> list[pa.RecordBatch]:
+            got = _documents(pa.ipc.open_stream(cell).read_all(), seed)
+            return pa.table(work(number, *got, np.arange(len(got[2])) % 5 == 4)).to_batches()
 
         return packed.mapInArrow(run, schema)
 
@@ -339,16 +370,18 @@ def _train_shards(one: DataFrame, shards: int, seed: int, epochs: int = 5, batch
 
         def learn(number, bucket, offsets, labels, langs, held, epoch=epoch, shared=shared) -> dict:
             start, memory, bias_memory = shared.value
-            net = TextCnn(start.keys, start.emb.copy(), [c.copy() for c in start.conv], start.bias.copy(), start.out.copy(), start.out_bias)
-            memory = [m.copy() for m in memory]
+            used, rows = _own_rows(_all_rows(start, bucket, bucket.view(np.int32)), len(start.emb))  # only the shard's own words are copied and change
+            net = TextCnn(start.keys, start.emb[used], [c.copy() for c in start.conv], start.bias.copy(), start.out.copy(), start.out_bias)
+            memory = [memory[0][used], *(m.copy() for m in memory[1:])]
+            before = memory[0].copy()
             order = np.flatnonzero(~held)
             np.random.default_rng([seed, epoch, number]).shuffle(order)
-            bias_memory = _epoch(net, memory, bias_memory, _all_rows(net, bucket), offsets, labels, order, batch, rate)
-            moved = np.flatnonzero((memory[0] != shared.value[1][0]).any(axis=1))
+            bias_memory = _epoch(net, memory, bias_memory, rows, offsets, labels, order, batch, rate, len(start.emb))
+            moved = np.flatnonzero((memory[0] != before).any(axis=1))
             rest = dense(net, memory, bias_memory)
             values = np.concatenate([np.concatenate([net.emb[moved], memory[0][moved]], axis=1), rest]).astype(np.float32)
             cells = pa.FixedSizeListArray.from_arrays(pa.array(values.ravel()), width).cast(pa.list_(pa.float32()))
-            return {"at": np.concatenate([moved, -1 - np.arange(len(rest))]).astype(np.int64), "v": cells}
+            return {"at": np.concatenate([used[moved], -1 - np.arange(len(rest))]).astype(np.int64), "v": cells}
 
         mixed = each(learn, "at long, v array<float>").groupBy("at").agg(F.array(*(F.avg(F.get("v", F.lit(j))).cast("float") for j in range(width))).alias("v"))
         got = mixed.toArrow().sort_by("at")

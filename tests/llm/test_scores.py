@@ -58,6 +58,34 @@ def test_toxicity_learns_from_every_label(spark, prose):
     assert np.allclose(again.emb, dealt.emb, atol=1e-5) and again.thresholds == dealt.thresholds
 
 
+def test_toxicity_shards_copy_their_own_words_only():
+    rows, before = np.array([9, 1, 4, 9, 0, 7], np.int32), [9, 1, 4, 9, 0, 7]
+    used, own = toxicity._own_rows(rows, 50)
+    assert used.tolist() == [0, 1, 4, 7, 9]
+    assert used[own].tolist() == before
+    # a part of the table learns what the whole one does
+    rng = np.random.default_rng(3)
+    n, words = 40, 3000
+    offsets = np.arange(n + 1) * 20
+    rows = rng.integers(1, 90, 20 * n).astype(np.int32) * 31
+    labels = (np.arange(n) % 3 == 0).astype(np.float32)
+
+    def net(emb):
+        r = np.random.default_rng(5)
+        conv = [r.normal(size=(w, toxicity.DIM, toxicity.FILTERS)).astype(np.float32) for w in toxicity.WIDTHS]
+        size = len(toxicity.WIDTHS) * toxicity.FILTERS
+        return toxicity.TextCnn(np.empty(0, np.uint32), emb, conv, np.zeros(size, np.float32), np.full(size, 0.3, np.float32), 0.0)
+
+    emb = rng.normal(size=(words, toxicity.DIM)).astype(np.float32)
+    whole, used_own = net(emb.copy()), toxicity._own_rows(rows.copy(), words)
+    part = net(emb[used_own[0]])
+    for model, at in ((whole, rows), (part, used_own[1])):
+        memory = [np.full_like(p, 1e-3) for p in [model.emb, *model.conv, model.bias, model.out]]
+        toxicity._epoch(model, memory, 1e-3, at, offsets, labels, np.arange(n), 16, 0.05, words)
+    assert np.allclose(whole.emb[used_own[0]], part.emb, atol=1e-5) and np.isclose(whole.out_bias, part.out_bias)
+    assert not np.allclose(whole.emb, emb)
+
+
 def test_toxicity_without_labels(spark):
     docs = spark.createDataFrame([(1, "a b", "en", "s", 1)], DOCS)
     none = spark.createDataFrame([], "doc_id long, toxic int")
