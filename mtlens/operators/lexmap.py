@@ -43,6 +43,7 @@ def embedded(rows: DataFrame, word: str, fields: Sequence[tuple[str, str]], orde
         bucket = F.get(table, F.pmod(F.xxhash64(token), F.lit(size)).cast("int"))
         return F.element_at(bucket, token)
 
+    lookup.words = sorted({r[word] for r in got})
     return lookup
 
 

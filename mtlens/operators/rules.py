@@ -24,8 +24,9 @@ the negation flag of their first occurrence; one expression turns these into hit
 
 * ``rule_decision`` embeds a lexicon of checked size as one constant (``lexmap``) and
   looks every token up inside the row: no shuffle, no join, one pass.
-* ``antonym_hits`` explodes both sides once, keeps the lexicon tokens, joins their entries and
-  groups them by pair again. ``rule_decision`` takes this path for larger lexicons:
+  ``antonym_hits`` explodes the hits of this plan.
+* For larger lexicons ``antonym_hits`` explodes both sides once, keeps the lexicon tokens, joins their entries and
+  groups them by pair again. ``rule_decision`` takes this path then:
   a decision depends on the two texts alone, so hits are found per
   distinct pair of texts and joined back by their hashes. Both paths give the same
   answers, with or without a row id and with repeated ones.
@@ -148,6 +149,35 @@ def _pair_hits(ref_i: Column, mt_i: Column, n_ref: Column, n_mt: Column, by_lemm
     return F.flatten(F.transform(ref_i, of_token))
 
 
+FEW_WORDS = 64  # forms of a lexicon that a set operation finds among a row's tokens
+
+
+def _embedded_forms(forms: DataFrame, limit: int | None):
+    fields = [(name, "bigint" if name.endswith("_pos") else "string") for name in ENTRY]
+    return embedded(forms, "form", fields, ["word_pos", "anto_pos"], limit)
+
+
+def _hits_in_row(df: DataFrame, lookup, negations: Iterable[str], ref: str, mt: str, split_danda: bool, by_lemma: bool) -> tuple[DataFrame, Column]:
+    """``df`` with both sides' tokens, negation counts (__n_ref, __n_mt) and lexicon tokens, and the hits from them."""
+    neg = lexicon_array(negations)
+    ref_t, mt_t = F.col("__ref_t"), F.col("__mt_t")
+
+    def known(toks: Column) -> Column:
+        """The distinct lexicon tokens of a side with their entries."""
+        few = len(lookup.words) <= FEW_WORDS
+        mine = F.array_intersect(toks, lexicon_array(lookup.words)) if few else F.array_distinct(toks)
+        found = F.transform(mine, lambda t: F.struct(t.alias("tok"), lookup(t).alias("entries")))
+        return F.filter(found, lambda x: x["entries"].isNotNull())
+
+    def with_flags(found: Column, toks: Column) -> Column:
+        return F.transform(found, lambda x: F.struct(x["tok"].alias("tok"), x["entries"].alias("entries"), _adjacent_neg(x["tok"], toks, neg).alias("adj")))
+
+    staged = df.withColumns({"__ref_t": tokens_word(ref, split_danda), "__mt_t": tokens_word(mt, split_danda)})
+    staged = staged.withColumns({"__n_ref": neg_count(ref_t, negations), "__n_mt": neg_count(mt_t, negations), "__ref_k": known(ref_t), "__mt_k": known(mt_t)})
+    staged = staged.withColumns({"__ref_i": with_flags(F.col("__ref_k"), ref_t), "__mt_i": with_flags(F.col("__mt_k"), mt_t)})
+    return staged, _pair_hits(F.col("__ref_i"), F.col("__mt_i"), F.col("__n_ref"), F.col("__n_mt"), by_lemma)
+
+
 def rule_decision(
     df: DataFrame,
     lexicon: DataFrame,
@@ -164,26 +194,11 @@ def rule_decision(
     ``limit``: the most lexicon rows (by form) that are embedded; it picks the plan, never the answer.
     ``lemmas``: (word, lemma); hits are then found by lemma too.
     """
-    fields = [(name, "bigint" if name.endswith("_pos") else "string") for name in ENTRY]
-    lookup = embedded(lexicon_forms(lexicon, lemmas), "form", fields, ["word_pos", "anto_pos"], limit)
+    lookup = _embedded_forms(lexicon_forms(lexicon, lemmas), limit)
     if lookup is None:
         return _rule_decision_join(df, lexicon, negations, ref, mt, out, split_danda, lemmas)
-    neg = lexicon_array(negations)
-    ref_t, mt_t = F.col("__ref_t"), F.col("__mt_t")
     n_ref, n_mt = F.col("__n_ref"), F.col("__n_mt")
-
-    def known(toks: Column) -> Column:
-        """The distinct lexicon tokens of a side with their entries."""
-        found = F.transform(F.array_distinct(toks), lambda t: F.struct(t.alias("tok"), lookup(t).alias("entries")))
-        return F.filter(found, lambda x: x["entries"].isNotNull())
-
-    def with_flags(found: Column, toks: Column) -> Column:
-        return F.transform(found, lambda x: F.struct(x["tok"].alias("tok"), x["entries"].alias("entries"), _adjacent_neg(x["tok"], toks, neg).alias("adj")))
-
-    staged = df.withColumns({"__ref_t": tokens_word(ref, split_danda), "__mt_t": tokens_word(mt, split_danda)})
-    staged = staged.withColumns({"__n_ref": neg_count(ref_t, negations), "__n_mt": neg_count(mt_t, negations), "__ref_k": known(ref_t), "__mt_k": known(mt_t)})
-    staged = staged.withColumns({"__ref_i": with_flags(F.col("__ref_k"), ref_t), "__mt_i": with_flags(F.col("__mt_k"), mt_t)})
-    hits = _pair_hits(F.col("__ref_i"), F.col("__mt_i"), n_ref, n_mt, lemmas is not None)
+    staged, hits = _hits_in_row(df, lookup, negations, ref, mt, split_danda, lemmas is not None)
     # the written hits are a column of their own: they are read twice
     staged = staged.withColumn("__w", F.array_sort(F.filter(hits, lambda h: h["v"].isNotNull())))
     start = F.when(n_mt != n_ref, F.lit(0))
@@ -209,12 +224,19 @@ def antonym_hits(
     mt: str = "mt",
     split_danda: bool = False,
     lemmas: DataFrame | None = None,
+    limit: int | None = None,
 ) -> DataFrame:
     """One row per hit: key, word, antonym, word_pos, anto_pos, n_ref, n_mt,
     neg_adjacent, cross_antonym, v (the value the hit writes, or null).
 
-    Rows equal in key and texts give their hits once."""
+    Rows equal in key and texts give their hits once. ``limit``: as for ``rule_decision``."""
     forms = lexicon_forms(lexicon, lemmas)
+    lookup = _embedded_forms(forms, limit)
+    if lookup is not None:
+        pairs = df.select(F.struct(F.col(key).alias("key"), text_key(ref, mt).alias("text")).alias("__k"), F.col(ref).alias("__ref"), F.col(mt).alias("__mt"))
+        staged, hits = _hits_in_row(pairs, lookup, negations, "__ref", "__mt", split_danda, lemmas is not None)
+        found = staged.select("__k", F.col("__n_ref").alias("n_ref"), F.col("__n_mt").alias("n_mt"), F.explode(hits).alias("h"))
+        return _hit_rows(found.select("__k", "n_ref", "n_mt", "h.*").distinct(), key)
     entries = forms.groupBy("form").agg(F.collect_list(F.struct(*ENTRY)).alias("entries"))
     if forms.limit(BROADCAST_LEXICON_LIMIT + 1).count() <= BROADCAST_LEXICON_LIMIT:
         entries = F.broadcast(entries)
@@ -236,16 +258,19 @@ def antonym_hits(
     info = F.struct(F.col("form").alias("tok"), "entries", "adj")
     sides = first.join(entries, "form").groupBy(*pair).agg(*(F.collect_list(F.when(F.col("side") == s, info)).alias(f"__{s}_i") for s in ("ref", "mt")))
     hits = _pair_hits(F.col("__ref_i"), F.col("__mt_i"), F.col("n_ref"), F.col("n_mt"), lemmas is not None)
-    h = sides.select(*pair, F.explode(hits).alias("h"))
-    return h.select(
-        F.col("__k.key").alias(key), "h.word", "h.antonym", "h.word_pos", "h.anto_pos", "n_ref", "n_mt",
-        F.col("h.adjacent").alias("neg_adjacent"), F.col("h.cross").alias("cross_antonym"), "h.v",
+    return _hit_rows(sides.select(*pair, F.explode(hits).alias("h")).select(*pair, "h.*"), key)
+
+
+def _hit_rows(hits: DataFrame, key: str) -> DataFrame:
+    return hits.select(
+        F.col("__k.key").alias(key), "word", "antonym", "word_pos", "anto_pos", "n_ref", "n_mt",
+        F.col("adjacent").alias("neg_adjacent"), F.col("cross").alias("cross_antonym"), "v",
     )
 
 
 def _rule_decision_join(df, lexicon, negations, ref, mt, out, split_danda, lemmas):
     pairs = df.select(text_key(ref, mt).alias("__t"), F.col(ref).alias("__ref"), F.col(mt).alias("__mt")).dropDuplicates(["__t"])
-    hits = antonym_hits(pairs, lexicon, negations, "__t", "__ref", "__mt", split_danda, lemmas)
+    hits = antonym_hits(pairs, lexicon, negations, "__t", "__ref", "__mt", split_danda, lemmas, limit=0)
     per_text = hits.where(F.col("v").isNotNull()).groupBy("__t").agg(F.max_by("v", F.struct("word_pos", "anto_pos")).alias("__hit_v"))
     start = F.when(neg_count(tokens_word(ref, split_danda), negations) != neg_count(tokens_word(mt, split_danda), negations), F.lit(0))
     keyed = df.withColumn("__key", text_key(ref, mt))
