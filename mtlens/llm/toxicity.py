@@ -18,6 +18,8 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import groupby, pairwise
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +27,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches, materialize, slices, small, word_hashes, words
+from .common import bound_batches, materialize, scratch_path, slices, small, word_hashes, words
 
 PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 BUCKETS = 1 << 24
@@ -305,10 +307,15 @@ def fit(docs: DataFrame, labels: DataFrame, shard: int = SHARD, seed: int = 7) -
     return _train_shards(one, shards, seed)
 
 
+def _order(got: pa.Table, seed: int) -> np.ndarray:
+    """An order that follows from the ids alone."""
+    by_id = pc.sort_indices(got.select(["doc_id"]), [("doc_id", "ascending")]).to_numpy()
+    return by_id[np.argsort(np.random.default_rng(seed).random(got.num_rows))]
+
+
 def _documents(got: pa.Table, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, list]:
     """(words' buckets, offsets, labels, langs) in an order that follows from the ids alone."""
-    by_id = pc.sort_indices(got.select(["doc_id"]), [("doc_id", "ascending")]).to_numpy()
-    order = by_id[np.argsort(np.random.default_rng(seed).random(got.num_rows))]
+    order = _order(got, seed)
     lengths = pc.binary_length(got.column("words")).to_numpy()[order] // 4
     offsets = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int64)
     bucket, place = np.empty(offsets[-1], np.uint32), np.empty(len(order), np.int64)
@@ -319,39 +326,89 @@ def _documents(got: pa.Table, seed: int) -> tuple[np.ndarray, np.ndarray, np.nda
     return bucket, offsets, rest.column("toxic").to_numpy().astype(np.float32), rest.column("lang").to_pylist()
 
 
+def _piece(piece: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(words' buckets, offsets, labels, held) of some documents of a shard; the words stay where they are."""
+    words = piece.column("words").cast(pa.binary())
+    offsets = np.frombuffer(words.buffers()[1], np.int32)[words.offset : words.offset + len(words) + 1].astype(np.int64)
+    bucket = np.frombuffer(words.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]].view(np.uint32)
+    return bucket, (offsets - offsets[0]) // 4, piece.column("toxic").to_numpy().astype(np.float32), piece.column("held").to_numpy(zero_copy_only=False)
+
+
+def _training(model: TextCnn, pieces: Iterator[pa.RecordBatch]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(embedding rows of the words, offsets, labels, documents to learn from) of a shard; held-back documents bring no words."""
+    rows, done, lengths, labels, held = None, 0, [], [], []
+    for piece in pieces:
+        if rows is None:
+            rows = np.empty(piece.column("total")[0].as_py(), np.int32)  # pages that no word reaches take no memory
+        held.append(piece.column("held").to_numpy(zero_copy_only=False))
+        labels.append(piece.column("toxic").to_numpy().astype(np.float32))
+        bucket, offsets, _, _ = _piece(piece.filter(pc.invert(piece.column("held"))))
+        _all_rows(model, bucket, rows[done : done + len(bucket)])
+        done += len(bucket)
+        lengths.append(np.zeros(piece.num_rows, np.int64))
+        lengths[-1][~held[-1]] = np.diff(offsets)
+    return rows[:done], np.concatenate([[0], np.cumsum(np.concatenate(lengths))]), np.concatenate(labels), np.flatnonzero(~np.concatenate(held))
+
+
 def _train_shards(one: DataFrame, shards: int, seed: int, epochs: int = 5, batch: int = 64, rate: float = 0.05) -> TextCnn:
-    """``train`` over documents (doc_id, toxic, lang, words) that stay in the tasks, a shard a row."""
+    """``train`` over documents (doc_id, toxic, lang, words) that stay in the tasks, a shard a file."""
     sc = one.sparkSession.sparkContext
     width = 2 * DIM
 
-    def pack(table: pa.Table) -> pa.Table:
-        sink = pa.BufferOutputStream()
-        with pa.ipc.new_stream(sink, table.schema) as out:
-            out.write_table(table)
-        return pa.table({"shard": table.column("shard")[:1], "rows": pa.array([sink.getvalue().to_pybytes()], pa.binary())})
-
-    # dealt out once, a file a shard or a few, and then only read
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A shard's documents in the order in which they are learnt from."""
+        table = pa.Table.from_batches(list(batches)).combine_chunks()
+        order, n = _order(table, seed), table.num_rows
+        size = pc.binary_length(table.column("words")).to_numpy()[order].astype(np.int64)
+        shard, total = table.column("shard")[0].as_py(), int(size.sum()) // 4
+        held = np.arange(n) % 5 == 4
+        table = table.select(["toxic", "lang", "words"])
+        for some in np.split(np.arange(n), np.flatnonzero(np.diff(np.cumsum(size) // SLICE)) + 1):
+            part = table.take(pa.array(order[some])).combine_chunks()
+            same = {"shard": shard, "docs": n, "total": total}
+            columns = {k: pa.array(np.full(len(some), v, np.int64)) for k, v in same.items()} | {"held": pa.array(held[some])}
+            yield from pa.table(columns | {c: part.column(c) for c in part.column_names}).to_batches()
+
+    # dealt out once, a file a shard, and then only read: a row a document, so that no cell and no batch grows with the shard
     dealt = one.withColumn("shard", F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(shards))).repartition(shards, "shard")
-    packed = materialize(dealt.groupBy("shard").applyInArrow(pack, "shard long, rows binary"), "shards")
+    schema = "docs long, total long, held boolean, toxic int, lang string, words binary"
+    path = scratch_path(one.sparkSession, "shards")
+    # one row group a file, which one task reads whole
+    whole = {"maxRecordsPerFile": 0, "parquet.block.size": 1 << 30}
+    dealt.groupBy("shard").applyInArrow(deal, f"shard long, {schema}").write.partitionBy("shard").options(**whole).parquet(path)
+    packed = one.sparkSession.read.schema(f"{schema}, shard long").parquet(path)
 
     def each(work, schema: str) -> DataFrame:
-        """``work(shard, bucket, offsets, labels, langs, held)`` of every shard: tables of ``schema``."""
+        """``work(shard, pieces)`` of every shard: tables of ``schema``. Pieces are runs of its documents, some MB each."""
+
+        def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.RecordBatch]]:
+            for part in slices(batches, "words"):
+                number = part.column("shard").to_numpy()
+                ends = [0, *(np.flatnonzero(np.diff(number)) + 1).tolist(), len(number)]
+                for a, b in pairwise(ends):
+                    yield int(number[a]), part.slice(a, b - a)
+
+        def complete(pieces: Iterator[tuple[int, pa.RecordBatch]]) -> Iterator[pa.RecordBatch]:
+            seen = docs = 0
+            for number, piece in pieces:
+                seen, docs = seen + piece.num_rows, piece.column("docs")[0].as_py()
+                yield piece
+            if seen != docs:
+                raise RuntimeError(f"shard {number} came in parts: {seen} of {docs} documents")
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for part in batches:
-                for number, cell in zip(part.column("shard").to_pylist(), part.column("rows"), strict=True):
-                    yield from done(number, cell.as_buffer())
-
-        def done(number: int, cell: pa.Buffer) -> list[pa.RecordBatch]:
-            got = _documents(pa.ipc.open_stream(cell).read_all(), seed)
-            return pa.table(work(number, *got, np.arange(len(got[2])) % 5 == 4)).to_batches()
+            for number, pieces in groupby(cut(batches), key=itemgetter(0)):
+                for table in work(number, complete(pieces)):
+                    yield from pa.table(table).to_batches()
 
         return packed.mapInArrow(run, schema)
 
-    def count(_, bucket, offsets, labels, langs, held) -> dict:
-        keys, pos, all_ = _word_counts(bucket, offsets, labels, held)
-        mine = labels[~held]
-        return {"bucket": np.append(keys.astype(np.int64), -1), "pos": np.append(pos, mine.sum()).astype(np.int64), "n": np.append(all_, len(mine)).astype(np.int64)}
+    def count(_, pieces) -> Iterator[dict]:
+        for piece in pieces:
+            bucket, offsets, labels, held = _piece(piece)
+            keys, pos, all_ = _word_counts(bucket, offsets, labels, held)
+            mine = labels[~held]
+            yield {"bucket": np.append(keys.astype(np.int64), -1), "pos": np.append(pos, mine.sum()).astype(np.int64), "n": np.append(all_, len(mine)).astype(np.int64)}
 
     counts = each(count, "bucket long, pos long, n long").groupBy("bucket").agg(F.sum("pos").alias("pos"), F.sum("n").alias("n"))
     got = counts.where((F.col("n") >= MIN_DOCS) | (F.col("bucket") < 0)).toArrow().sort_by("bucket")
@@ -368,20 +425,20 @@ def _train_shards(one: DataFrame, shards: int, seed: int, epochs: int = 5, batch
     for epoch in range(epochs):
         shared = sc.broadcast((model, *steps))
 
-        def learn(number, bucket, offsets, labels, langs, held, epoch=epoch, shared=shared) -> dict:
+        def learn(number, pieces, epoch=epoch, shared=shared) -> Iterator[dict]:
             start, memory, bias_memory = shared.value
-            used, rows = _own_rows(_all_rows(start, bucket, bucket.view(np.int32)), len(start.emb))  # only the shard's own words are copied and change
+            rows, offsets, labels, order = _training(start, pieces)
+            used, rows = _own_rows(rows, len(start.emb))  # only the shard's own words are copied and change
             net = TextCnn(start.keys, start.emb[used], [c.copy() for c in start.conv], start.bias.copy(), start.out.copy(), start.out_bias)
             memory = [memory[0][used], *(m.copy() for m in memory[1:])]
             before = memory[0].copy()
-            order = np.flatnonzero(~held)
             np.random.default_rng([seed, epoch, number]).shuffle(order)
             bias_memory = _epoch(net, memory, bias_memory, rows, offsets, labels, order, batch, rate, len(start.emb))
             moved = np.flatnonzero((memory[0] != before).any(axis=1))
             rest = dense(net, memory, bias_memory)
             values = np.concatenate([np.concatenate([net.emb[moved], memory[0][moved]], axis=1), rest]).astype(np.float32)
             cells = pa.FixedSizeListArray.from_arrays(pa.array(values.ravel()), width).cast(pa.list_(pa.float32()))
-            return {"at": np.concatenate([used[moved], -1 - np.arange(len(rest))]).astype(np.int64), "v": cells}
+            yield {"at": np.concatenate([used[moved], -1 - np.arange(len(rest))]).astype(np.int64), "v": cells}
 
         mixed = each(learn, "at long, v array<float>").groupBy("at").agg(F.array(*(F.avg(F.get("v", F.lit(j))).cast("float") for j in range(width))).alias("v"))
         got = mixed.toArrow().sort_by("at")
@@ -401,10 +458,14 @@ def _train_shards(one: DataFrame, shards: int, seed: int, epochs: int = 5, batch
 
     shared = sc.broadcast(model)
 
-    def held_back(_, bucket, offsets, labels, langs, held) -> dict:
-        net, ids = shared.value, np.flatnonzero(held)
-        z = _held_logits(net, _all_rows(net, bucket), offsets, ids)
-        return {"lang": pa.array([langs[i] or "" for i in ids], pa.string()), "y": labels[ids].astype(np.int32), "cell": np.round(np.clip(z, -60, 60) * CELL).astype(np.int64)}
+    def held_back(_, pieces) -> Iterator[dict]:
+        net = shared.value
+        for piece in pieces:
+            piece = piece.filter(piece.column("held"))
+            if piece.num_rows:
+                bucket, offsets, labels, _ = _piece(piece)
+                z = _held_logits(net, _all_rows(net, bucket), offsets, np.arange(len(labels)))
+                yield {"lang": pc.fill_null(piece.column("lang"), ""), "y": labels.astype(np.int32), "cell": np.round(np.clip(z, -60, 60) * CELL).astype(np.int64)}
 
     cells = each(held_back, "lang string, y int, cell long").groupBy("lang", "y", "cell").agg(F.count(F.lit(1)).alias("n")).toArrow().sort_by([("lang", "ascending"), ("y", "ascending"), ("cell", "ascending")])
     lang, y, cell, n = (cells.column(c).to_numpy() for c in ("lang", "y", "cell", "n"))

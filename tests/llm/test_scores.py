@@ -7,7 +7,9 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from mtlens.llm import brown, langid, toxicity
 from mtlens.llm.common import word_hashes
@@ -86,6 +88,27 @@ def test_toxicity_shards_copy_their_own_words_only():
     assert not np.allclose(whole.emb, emb)
 
 
+def test_toxicity_shards_are_read_document_by_document(spark, prose, monkeypatch, tmp_path):
+    """No cell holds a shard; a shard that comes in parts is an error, as its changes are averaged as a whole."""
+    docs = spark.createDataFrame([(k, " ".join(prose(20)) + (" idiot" if k % 4 == 0 else ""), "en", "s", 1) for k in range(200)], DOCS)
+    labels = spark.createDataFrame([(k, int(k % 4 == 0)) for k in range(200)], "doc_id long, toxic int")
+    longest = docs.agg(F.max(F.size(F.split("text", r"\s+")))).first()[0]
+    folders, path = [], str(tmp_path)
+    monkeypatch.setattr(toxicity, "scratch_path", lambda _, name: folders.append(f"{path}/{name}") or folders[-1])
+    toxicity.fit(docs, labels, shard=60)
+    got = spark.read.parquet(folders[0])
+    assert got.count() == 200 and got.agg(F.max(F.octet_length("words"))).first()[0] <= 4 * longest
+    assert got.select("shard").distinct().count() == len(got.inputFiles()) > 1
+
+    split = f"{path}/split"
+    monkeypatch.setattr(toxicity, "scratch_path", lambda _, name: split)
+    got.drop("docs").withColumn("docs", F.lit(1_000).cast("long")).write.partitionBy("shard").parquet(split)
+    monkeypatch.setattr("pyspark.sql.readwriter.DataFrameWriter.parquet", lambda *a, **k: None)
+    one = docs.select("doc_id", F.lit(0).alias("toxic"), "lang", F.lit(b"").alias("words"))
+    with pytest.raises(Exception, match="came in parts"):
+        toxicity._train_shards(one, 3, 7)
+
+
 def test_toxicity_without_labels(spark):
     docs = spark.createDataFrame([(1, "a b", "en", "s", 1)], DOCS)
     none = spark.createDataFrame([], "doc_id long, toxic int")
