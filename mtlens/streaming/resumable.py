@@ -9,6 +9,7 @@ every row once; batches that ended are not run again. Rows that are not valid go
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Callable
 
 import pandas as pd
@@ -24,7 +25,9 @@ def series_udf(fn: Callable[[pd.Series], pd.Series]):
     """Wrap a batch text function (Series -> Series) as an Arrow-batched pandas UDF."""
     @pandas_udf("string")
     def apply(s: pd.Series) -> pd.Series:
-        return fn(s)
+        mapped = fn(s.copy(deep=False))
+        gc.collect(1)  # accessors (``.str``) and their Series hold each other, and so the batch, until some later collection
+        return mapped
 
     return apply
 

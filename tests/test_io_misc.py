@@ -1,3 +1,7 @@
+import gc
+import weakref
+
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -142,3 +146,20 @@ def test_resumable_batch_leaves_out_what_is_done(spark):
     got = resumable.resumable_map_batch(df, "k", ["s"], lambda s: s.str.lower(), done)
     assert sorted(map(tuple, got.collect())) == [(0, "a0"), (2, "a2"), (4, "a4")]
     assert resumable.resumable_map_batch(df, "k", ["s"], lambda s: s.str.lower(), None).count() == 5
+
+
+def test_a_mapped_batch_is_let_go(spark):
+    """Not kept until a collection of garbage happens to come."""
+    seen = []
+
+    def lower(s):
+        seen.append(weakref.ref(s))
+        return s.str.lower()
+
+    apply = resumable.series_udf(lower).func
+    gc.disable()
+    try:
+        got = [apply(pd.Series(["A", None])).tolist() for _ in range(5)]
+    finally:
+        gc.enable()
+    assert got == [["a", None]] * 5 and len(seen) == 5 and all(ref() is None for ref in seen)
