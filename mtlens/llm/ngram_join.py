@@ -40,12 +40,13 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import as_long, bound_batches, materialize, mix, shingle_sets, slices, small
+from .common import as_long, bound_batches, lean, materialize, mix, shingle_sets, slices, small
 
 FREQUENT_IN_CHUNK = 2  # a shingle in so many different sets of a chunk is reported
 FREQUENT_IN_ALL = 4  # and known to the first order if the reports come to so many
 FREQUENT_KEPT = 500_000  # at most; the most frequent ones
 CHUNK = 2_000_000  # shingles that a task counts at once
+STEP_BYTES = 1 << 20  # of text that a task takes apart at once; its words and hashes take some ten times that
 FILTER_BITS = 1 << 27  # bound of the bitmap that spares the set pass most documents
 ORDERS = (np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F))  # seeds of the second and the third order
 
@@ -70,7 +71,7 @@ def _survey(width: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size, seen = [], 0, set()
-        for batch in slices(batches):
+        for batch in slices(batches, limit=STEP_BYTES):
             ns, nodes = [], []
             for tokens in shingle_sets(batch.column("text"), width):
                 ns.append(len(tokens))
@@ -108,7 +109,7 @@ def _postings(width: int, percent: int, frequent: np.ndarray, rank: np.ndarray):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = set()  # nodes that this task has posted: copies in its part of the input post once
-        for batch in slices(batches):
+        for batch in slices(batches, limit=STEP_BYTES):
             parts, nodes, ns, lengths = [], [], [], []
             for tokens in shingle_sets(batch.column("text"), width):
                 if len(tokens) and (node := set_key(tokens)) not in seen:
@@ -181,7 +182,7 @@ def _sets(width: int, percent: int, bitmap: np.ndarray):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = set()
-        for batch in slices(wanted(batches)):
+        for batch in slices(wanted(batches), limit=STEP_BYTES):
             ids, nodes, orders, shorts, sets = [], [], [], [], []
             for doc_id, tokens in zip(batch.column("doc_id").to_pylist(), shingle_sets(batch.column("text"), width), strict=True):
                 if len(tokens) and (doc_id, node := set_key(tokens)) not in seen:
@@ -361,7 +362,7 @@ def _links(docs: DataFrame, nodes: DataFrame, lists: DataFrame, pairs: DataFrame
     involved = materialize(nodes.join(ends, "node", "left_semi"), "involved")
     bits = min(FILTER_BITS, max(1 << 20, 1 << int(16 * involved.count()).bit_length()))
     slot = F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS))
-    sets = docs.select("doc_id", "text", slot.alias("slot")).mapInArrow(_sets(width, percent, _bitmap(involved, bits)), "doc_id long, node long, orders binary, short binary, tokens binary")
+    sets = docs.select("doc_id", "text", slot.alias("slot")).mapInArrow(lean(_sets(width, percent, _bitmap(involved, bits))), "doc_id long, node long, orders binary, short binary, tokens binary")
     chosen = small(involved.select(F.col("doc_id").alias("id"), F.col("node").alias("of")))
     sets = materialize(sets.join(chosen, (F.col("node") == F.col("of")) & F.col("doc_id").eqNullSafe(F.col("id"))).select("node", "orders", "short", "tokens"), "sets")
 
@@ -370,7 +371,7 @@ def _links(docs: DataFrame, nodes: DataFrame, lists: DataFrame, pairs: DataFrame
         left = sets.select("node", column).join(ends, "node", "left_semi")
         a = left.select(F.col("node").alias("a"), F.col(column).alias("set_a"))
         b = left.select(F.col("node").alias("b"), F.col(column).alias("set_b"))
-        kept = pairs.join(a, "a").join(b, "b").select("a", "b", "set_a", "set_b").mapInArrow(_kept(test, percent), "a long, b long")
+        kept = pairs.join(a, "a").join(b, "b").select("a", "b", "set_a", "set_b").mapInArrow(lean(_kept(test, percent)), "a long, b long")
         pairs = materialize(kept.distinct(), column)
     return pairs
 
@@ -384,7 +385,7 @@ def link_documents(docs: DataFrame, percent: int = 75, width: int = 5) -> DataFr
     """
     bound_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    survey = materialize(docs.mapInArrow(_survey(width), "doc_id long, n long, node long, token long, count long"), "survey")
+    survey = materialize(docs.mapInArrow(lean(_survey(width)), "doc_id long, n long, node long, token long, count long"), "survey")
     rows = survey.where(F.col("n").isNotNull()).select("doc_id", "n", "node")
     top = (
         survey.where(F.col("token").isNotNull()).groupBy("token").agg(F.sum("count").alias("count"))
@@ -395,9 +396,9 @@ def link_documents(docs: DataFrame, percent: int = 75, width: int = 5) -> DataFr
     by_hash = np.argsort(frequent)
     frequent, rank = frequent[by_hash], rank[by_hash]
 
-    postings = docs.mapInArrow(_postings(width, percent, frequent, rank), "token long, node long, n int, pos int")
+    postings = docs.mapInArrow(lean(_postings(width, percent, frequent, rank)), "token long, node long, n int, pos int")
     lists = materialize(
-        postings.repartition("token").sortWithinPartitions("token", "n", "node").mapInArrow(_lists, "token long, node long, n int, pos int"), "lists"
+        postings.repartition("token").sortWithinPartitions("token", "n", "node").mapInArrow(lean(_lists), "token long, node long, n int, pos int"), "lists"
     )
     lists = materialize(_ranked(lists, percent), "ranked")
     nodes = rows.where(F.col("node").isNotNull()).groupBy("node").agg(F.min("doc_id").alias("doc_id"))

@@ -27,7 +27,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches, materialize, scratch_path, slices, small, word_hashes, words
+from .common import bound_batches, lean, materialize, scratch_path, slices, small, word_hashes, words
 
 PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 BUCKETS = 1 << 24
@@ -296,7 +296,7 @@ def fit(docs: DataFrame, labels: DataFrame, shard: int = SHARD, seed: int = 7) -
     )
     bound_batches(docs.sparkSession)
     met = docs.select("doc_id", "text", "lang").join(small(known, LABELS), "doc_id")
-    hashed = met.select("doc_id", "toxic", "lang", F.xxhash64("text").alias("of"), "text").mapInArrow(_hashed, "doc_id long, toxic int, lang string, of long, words binary")
+    hashed = met.select("doc_id", "toxic", "lang", F.xxhash64("text").alias("of"), "text").mapInArrow(lean(_hashed), "doc_id long, toxic int, lang string, of long, words binary")
     one = hashed.groupBy("doc_id", "toxic").agg(F.min_by(F.struct("lang", "words"), F.struct("of", "lang")).alias("x"))
     one = materialize(one.select("doc_id", "toxic", "x.lang", "x.words"), "labelled")
     size = one.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("words")), F.lit(0))).first()
@@ -401,7 +401,7 @@ def _train_shards(one: DataFrame, shards: int, seed: int, epochs: int = 5, batch
                 for table in work(number, complete(pieces)):
                     yield from pa.table(table).to_batches()
 
-        return packed.mapInArrow(run, schema)
+        return packed.mapInArrow(lean(run), schema)
 
     def count(_, pieces) -> Iterator[dict]:
         for piece in pieces:
@@ -502,4 +502,4 @@ def score(docs: DataFrame, model: TextCnn, keep: list[str] | None = None) -> Dat
             columns = {c: batch.column(c) for c in keep}
             yield pa.RecordBatch.from_pydict(columns | {"score": pa.array(got), "threshold": pa.array(cut), "toxic": pa.array(got >= cut)})
 
-    return base.mapInArrow(run, out)
+    return base.mapInArrow(lean(run), out)
