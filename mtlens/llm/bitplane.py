@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import bound_batches, slices, words
+from .common import KEPT, bound_batches, lean, slices, words
 
 BLOCK = 1 << 16
 END = 1
@@ -208,14 +208,15 @@ class Encoder:
         return out, out_offsets
 
 
-_encoders: dict[str, Encoder] = {}
+ENCODERS = "token encoders"
 
 
 def encoder(path: str) -> Encoder:
-    """One encoder a worker process."""
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
+    """One encoder a worker process, until another operator's task runs in it."""
+    found = KEPT.setdefault(ENCODERS, {})
+    if path not in found:
+        found[path] = Encoder(path)
+    return found[path]
 
 
 # ---- writing
@@ -267,7 +268,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end: int = END, blo
     size = rows.agg(F.sum(F.octet_length("text") + 16).alias("bytes")).first()["bytes"] or 0
     shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // SHARD_BYTES))
     ordered = rows.repartitionByRange(shards, "doc_id").sortWithinPartitions("doc_id", "text")
-    ordered.mapInArrow(_blocks(tokenizer, block, bits, end), CHUNK_SCHEMA).write.option("compression", "none").parquet(f"{path}/chunks")
+    ordered.mapInArrow(lean(_blocks(tokenizer, block, bits, end), ENCODERS), CHUNK_SCHEMA).write.option("compression", "none").parquet(f"{path}/chunks")
     chunks = spark.read.schema(CHUNK_SCHEMA).parquet(f"{path}/chunks")
     index = chunks.join(_starts(chunks), "shard").select("shard", "block", (F.col("start") + F.col("first")).alias("start"), "n", F.transform("planes", F.length).alias("plane_bytes"))
     index.write.parquet(f"{path}/index")
@@ -314,12 +315,12 @@ def read_digests(spark: SparkSession, path: str) -> DataFrame:
     """Per document from the files: doc_id, start, n_tokens, ids_crc32 (of the ids as little-endian uint32)."""
     chunks = spark.read.schema(CHUNK_SCHEMA).parquet(f"{path}/chunks")
     index = spark.read.parquet(f"{path}/index")
-    parts = chunks.mapInArrow(_parts, "shard long, doc_first long, doc_id long, n_tokens long, block long, n long, crc long")
+    parts = chunks.mapInArrow(lean(_parts, ENCODERS), "shard long, doc_first long, doc_id long, n_tokens long, block long, n long, crc long")
     alone = parts.where("n = n_tokens").select("shard", "doc_first", "doc_id", "n_tokens", "crc")
     several = (
         parts.where("n < n_tokens").groupBy("shard", "doc_first", "doc_id", "n_tokens")
         .agg(F.sort_array(F.collect_list(F.struct("block", "n", "crc"))).alias("parts"))
-        .mapInArrow(_joined, "shard long, doc_first long, doc_id long, n_tokens long, crc long")
+        .mapInArrow(lean(_joined, ENCODERS), "shard long, doc_first long, doc_id long, n_tokens long, crc long")
     )
     starts = index.groupBy("shard").agg(F.min("start").alias("start"))
     return alone.unionAll(several).join(starts, "shard").select("doc_id", (F.col("start") + F.col("doc_first")).alias("start"), "n_tokens", F.col("crc").alias("ids_crc32"))

@@ -109,3 +109,11 @@ def test_texts_are_taken_apart_in_small_steps(monkeypatch):
     assert len(steps) > 2 and max(steps) < 1.2 * ngram_join.STEP_BYTES
     rows = got.filter(pa.compute.is_valid(got.column("n")))
     assert rows.column("doc_id").to_pylist() == list(range(len(texts))) and set(rows.column("n").to_pylist()) == {146}
+
+
+def test_a_worker_drops_what_other_operators_kept(monkeypatch):
+    monkeypatch.setattr(common, "KEPT", {"token encoders": {"file": object()}, "others": {}})
+    list(common.lean(iter, "token encoders")(iter([])))
+    assert list(common.KEPT) == ["token encoders"]
+    list(common.lean(iter)(iter([])))
+    assert common.KEPT == {}
