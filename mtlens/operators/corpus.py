@@ -34,12 +34,13 @@ def pair_lines(df: DataFrame, s1: str = "s1", s2: str = "s2", key: str = "pair_i
 
 def clean_pairs(lines: DataFrame, line: str = "line", key: str = "pair_id") -> DataFrame:
     """(key, s1, s2) from raw lines: strip, drop blank and single-part lines; extra parts ignored.
-    Undecodable lines (U+FFFD after decoding) are dropped."""
+    Undecodable lines (U+FFFD after decoding) are dropped. The second part is read with ``get``: a filter that
+    is not compiled with its neighbours evaluates shared expressions first, also for lines that have no such part."""
     stripped = strip(F.col(line))
     parts = F.split(stripped, "\t", -1)
     return lines.where(
         (stripped != "") & (F.size(parts) >= 2) & ~F.col(line).contains("�")
-    ).select(key, strip(parts[0]).alias("s1"), strip(parts[1]).alias("s2"))
+    ).select(key, strip(parts[0]).alias("s1"), strip(F.get(parts, F.lit(1))).alias("s2"))
 
 
 def length_filter(df: DataFrame, s1: str = "s1", s2: str = "s2", max_tokens: int = MAX_TOKENS) -> DataFrame:
@@ -70,7 +71,7 @@ def contradiction_pairs(pairs: DataFrame, lexicon: DataFrame, key: str = "pair_i
         def first_hit(toks: str) -> Column:
             found = F.transform(toks, lambda t: lookup(F.lower(t)))
             i = F.array_position(F.transform(found, lambda f: f.isNotNull()), F.lit(True)).cast("int")
-            return F.when(i > 0, F.struct(i.alias("i"), F.element_at(F.element_at(found, i), 1)["antonym"].alias("antonym")))
+            return F.when(i > 0, F.struct(i.alias("i"), F.get(F.get(found, i - 1), F.lit(0))["antonym"].alias("antonym")))
 
         staged = staged.withColumns({"__ha": first_hit("__a"), "__hb": first_hit("__b")})
     else:

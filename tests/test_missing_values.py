@@ -130,3 +130,15 @@ def test_readers_and_tsv(spark, tmp_path):
     assert [tuple(r) for r in io.scan_human_csv(spark, str(tmp_path / "h.csv")).collect()] == [("a", "b, c", 7.0), ("x", "y", None)]
     io.write_results(spark.createDataFrame([('say "hi"', "b", 1)], "s1 string, s2 string, label int"), str(tmp_path / "out"), "tsv")
     assert [tuple(r) for r in io.scan_labelled_tsv(spark, str(tmp_path / "out"))[0].collect()] == [('say "hi"', "b", "1")]
+
+
+def test_lines_of_one_part_are_dropped_before_substitution(spark):
+    """A side without text leaves one part; the filter for antonyms reads the second one of every line."""
+    from mtlens.operators import rules
+
+    lexicon = rules.antonym_lexicon(fixtures.antonym_table(spark))
+    rows = [(1, "The cat", "x y"), (2, "", "the y"), (3, "the y", " "), (4, None, "the y"), (5, None, None), (6, "\t", "the"), (7, "a", "b the"), (8, "a", "b")]
+    pairs = spark.createDataFrame(rows, "pair_id long, s1 string, s2 string")
+    for limit in (None, 0):
+        got = corpus.contradiction_pairs(corpus.paraphrase_pairs(corpus.pair_lines(pairs)), lexicon, limit=limit).collect()
+        assert sorted(tuple(r) for r in got) == [(1, "that cat", "x y", 0), (7, "b that", "a", 0)]
