@@ -97,3 +97,55 @@ def _check(rows):
         assert got[i]["ChrF"] == chrf(h, r), (h, r)
         assert got[i]["ChrF++"] == chrf(h, r, 2), (h, r)
     assert got[0]["BLEU"] == 1.0 and got[0]["ChrF"] == 1.0
+
+
+def _made(n, seed=7):
+    import random
+
+    rng = random.Random(seed)
+    letters = "ab,.:;-!( )\t é1290.,.,-& 　日😀'\"_\x85\x1c"
+    odd = ["<skipped>a.b", "x-\ny 5.", "&quot;a&amp;lt; b", "1..2", "..5", ".5", "5.", "a..", "5,,a", "-5 3-4 a-b", ".", "...,,,5", "", None, "\n", "a\n", "-"]
+    return odd + ["".join(rng.choice(letters) for _ in range(rng.randint(0, 22))) for _ in range(n)]
+
+
+def _cut_by(texts, split):
+    import numpy as np
+
+    cut = NG._cut(texts)
+    at = [*np.flatnonzero(split(cut)).tolist(), len(cut.dense)]
+    words = iter(["".join(map(chr, cut.dense[a:b])) for a, b in zip(at, at[1:])])
+    return [[next(words) for _ in range(n)] for n in np.diff(np.searchsorted(at[:-1], cut.ends), prepend=0)]
+
+
+def test_tokens_cut_in_numpy_are_those_of_the_expressions(spark):
+    texts = _made(3000)
+    df = spark.createDataFrame(list(enumerate(texts)), "i long, s string").selectExpr("i", "s")
+    got = dict(enumerate(zip(_cut_by(NG._unescaped(texts), NG._split_13a), _cut_by(texts, NG._split_mark))))
+    for r in df.select("i", "s", NG.tok13a(df.s).alias("b"), NG.chrf_words(df.s).alias("w")).collect():
+        assert got[r.i] == (r.b or [], r.w or []), r.s
+        assert r.s is None or r.b == _tok13a(r.s)
+
+
+def test_grams_counted_by_a_sort_are_those_counted_by_hashes():
+    import random
+
+    import numpy as np
+
+    rng = random.Random(3)
+    flat = lambda lists: (np.array([x for one in lists for x in one], np.uint32), np.array([len(one) for one in lists]))
+    for top, symbols, packed in ((6, 5, True), (2, 9, True), (4, 5000, True), (6, 5000, False)):
+        hyp = [[rng.randrange(symbols) for _ in range(rng.randint(0, 40))] for _ in range(200)]
+        ref = [one[::-1] if rng.random() < 0.3 else one[3:] + one[:2] for one in hyp]
+        expected = [[[max(len(a) - n + 1, 0), max(len(b) - n + 1, 0), sum((_grams(a, n) & _grams(b, n)).values())] for n in range(1, top + 1)] for a, b in zip(hyp, ref)]
+        sides = *flat(hyp), *flat(ref), top
+        assert NG._order_counts(*sides).tolist() == NG._hashed_counts(*sides).tolist() == expected
+        assert (NG._packed_counts(*sides) is not None) == packed
+
+
+def test_the_texts_alone_cross_to_python(spark):
+    """No token is made in the JVM: its regular expressions took most of the time."""
+    df = spark.createDataFrame([(i, h, r) for i, (h, r) in enumerate(CASES)] + [(9, None, "a b")], "row_id long, mt string, ref string")
+    out = NG.sentence_metrics(df, method="vectorized")
+    assert "regexp" not in out._jdf.queryExecution().optimizedPlan().toString().lower()
+    key = lambda r: r.row_id
+    assert sorted(out.collect(), key=key) == sorted(NG.sentence_metrics(df, method="explode").select(*out.columns).collect(), key=key)
