@@ -76,3 +76,13 @@ def test_distances_side_by_side():
     assert len(distance.distances([])) == 0
     some = sorted([p for p in pairs if 0 < len(p[1]) <= len(p[0]) <= 64], key=lambda p: -len(p[1]))
     assert np.array_equal(distance._side_by_side(some, 1), [distance.distance(a, b) for a, b in some])
+
+
+def test_blank_ascii_texts_meet_no_wide_class(spark):
+    """Whitespace beyond ASCII is looked for in texts that hold more bytes than characters alone; tokens are Python's."""
+    spaces = [chr(c) for c in range(0x3001) if chr(c).isspace()]
+    texts = [f"a{c}b {c}" for c in spaces] + ["a​b c", " ", "é x", "日　本", "a b"]
+    for r in spark.createDataFrame([(s,) for s in texts], "s string").select("s", T.tokens_ws("s").alias("t"), T.tokens_word("s").alias("w")).collect():
+        assert r.t == r.s.split() and r.w == r.s.lower().split()
+    plan = spark.range(1).select(T.tokens_ws(F.col("id").cast("string")))._jdf.queryExecution().toString()
+    assert "octet_length" in plan.lower()
