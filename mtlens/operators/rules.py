@@ -157,8 +157,10 @@ def _embedded_forms(forms: DataFrame, limit: int | None):
     return embedded(forms, "form", fields, ["word_pos", "anto_pos"], limit)
 
 
-def _hits_in_row(df: DataFrame, lookup, negations: Iterable[str], ref: str, mt: str, split_danda: bool, by_lemma: bool) -> tuple[DataFrame, Column]:
-    """``df`` with both sides' tokens, negation counts (__n_ref, __n_mt) and lexicon tokens, and the hits from them."""
+def _hits_in_row(df: DataFrame, lookup, negations: Iterable[str], ref: str, mt: str, split_danda: bool, by_lemma: bool, all_flags: bool = True) -> tuple[DataFrame, Column]:
+    """``df`` with both sides' tokens, negation counts (__n_ref, __n_mt) and lexicon tokens, and the hits from them.
+
+    Without ``all_flags`` a pair with equal counts gets no adjacency: the values of its hits do not depend on it."""
     neg = lexicon_array(negations)
     ref_t, mt_t = F.col("__ref_t"), F.col("__mt_t")
 
@@ -169,8 +171,12 @@ def _hits_in_row(df: DataFrame, lookup, negations: Iterable[str], ref: str, mt:
         found = F.transform(mine, lambda t: F.struct(t.alias("tok"), lookup(t).alias("entries")))
         return F.filter(found, lambda x: x["entries"].isNotNull())
 
+    def near(token: Column, toks: Column) -> Column:
+        flag = _adjacent_neg(token, toks, neg)
+        return flag if all_flags else F.when(F.col("__n_ref") != F.col("__n_mt"), flag).otherwise(F.lit(False))
+
     def with_flags(found: Column, toks: Column) -> Column:
-        return F.transform(found, lambda x: F.struct(x["tok"].alias("tok"), x["entries"].alias("entries"), _adjacent_neg(x["tok"], toks, neg).alias("adj")))
+        return F.transform(found, lambda x: F.struct(x["tok"].alias("tok"), x["entries"].alias("entries"), near(x["tok"], toks).alias("adj")))
 
     staged = df.withColumns({"__ref_t": tokens_word(ref, split_danda), "__mt_t": tokens_word(mt, split_danda)})
     staged = staged.withColumns({"__n_ref": neg_count(ref_t, negations), "__n_mt": neg_count(mt_t, negations), "__ref_k": known(ref_t), "__mt_k": known(mt_t)})
@@ -198,7 +204,7 @@ def rule_decision(
     if lookup is None:
         return _rule_decision_join(df, lexicon, negations, ref, mt, out, split_danda, lemmas)
     n_ref, n_mt = F.col("__n_ref"), F.col("__n_mt")
-    staged, hits = _hits_in_row(df, lookup, negations, ref, mt, split_danda, lemmas is not None)
+    staged, hits = _hits_in_row(df, lookup, negations, ref, mt, split_danda, lemmas is not None, all_flags=False)
     # the written hits are a column of their own: they are read twice
     staged = staged.withColumn("__w", F.array_sort(F.filter(hits, lambda h: h["v"].isNotNull())))
     start = F.when(n_mt != n_ref, F.lit(0))

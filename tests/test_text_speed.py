@@ -86,3 +86,16 @@ def test_blank_ascii_texts_meet_no_wide_class(spark):
         assert r.t == r.s.split() and r.w == r.s.lower().split()
     plan = spark.range(1).select(T.tokens_ws(F.col("id").cast("string")))._jdf.queryExecution().toString()
     assert "octet_length" in plan.lower()
+
+
+def test_adjacency_is_for_unequal_negation_counts_alone(spark):
+    """Equal counts decide without it; the hits still show it."""
+    rows = [(1, "the cat", "that cat"), (2, "the cat is no good", "that no cat"), (3, "no the cat", "that cat"), (4, "the cat a b no", "that cat")]
+    df = spark.createDataFrame(rows, "row_id long, ref string, mt string")
+    lexicon = rules.antonym_lexicon(fx.antonym_table(spark))
+    out = rules.rule_decision(df, lexicon, fx.FX_NEG)
+    assert {r.row_id: r.d_rule for r in out.collect()} == {1: 0, 2: 0, 3: 1, 4: 0}
+    assert {r.row_id: r.d_rule for r in rules.rule_decision(df, lexicon, fx.FX_NEG, limit=0).collect()} == {1: 0, 2: 0, 3: 1, 4: 0}
+    assert {r.row_id: r.neg_adjacent for r in rules.antonym_hits(df, lexicon, fx.FX_NEG).collect()} == {1: False, 2: True, 3: True, 4: False}
+    plan = lambda d: d._jdf.queryExecution().analyzed().toString()
+    assert "NOT (__n_ref" in plan(out) and "NOT (__n_ref" not in plan(rules.antonym_hits(df, lexicon, fx.FX_NEG))
